@@ -122,8 +122,8 @@ def infer(counts: DataFrame, confidence: float = 0.95) -> DataFrame:
     )
 
 
-def systematic_sample(df: DataFrame, keys: Sequence[str], every: int) -> DataFrame:
-    """M6: every k-th row in key order.
+def numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows with their place 1, 2, ... in key order, as `__place`.
 
     A window over the whole table would number it in one task. Instead the rows
     are range-partitioned and sorted by key, numbered inside each partition, and
@@ -135,14 +135,17 @@ def systematic_sample(df: DataFrame, keys: Sequence[str], every: int) -> DataFra
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     marked = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", local_bits)
-    place = F.col("__id").bitwiseAND(F.lit((1 << local_bits) - 1)) + 1
+    local = F.col("__id").bitwiseAND(F.lit((1 << local_bits) - 1)) + 1
     sizes = marked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = marked.withColumns({"__part": part, "__place": place}).join(
-        F.broadcast(offsets), F.col("__part") == F.col("part")
-    )
-    return numbered.where((F.col("offset") + F.col("__place")) % every == 0).select(*df.columns)
+    joined = marked.join(F.broadcast(offsets), part == F.col("part"))
+    return joined.select(*df.columns, (F.col("offset") + local).alias("__place"))
+
+
+def systematic_sample(df: DataFrame, keys: Sequence[str], every: int) -> DataFrame:
+    """M6: every k-th row in key order."""
+    return numbered(df, keys).where(F.col("__place") % every == 0).drop("__place")
 
 
 def stratified_sample(df: DataFrame, stratum: str, fractions: dict[Any, float], seed: int = 42) -> DataFrame:
