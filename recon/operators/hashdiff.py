@@ -22,6 +22,10 @@ from recon.sources.side import TableSide, check_keys
 FACTOR = 32
 THRESHOLD = 16_384
 
+# Checksum levels at most, and unequal segments the driver may hold.
+LEVELS = 4
+MAX_SEGMENTS = 65_536
+
 # A key with more rows than this is handled without shuffling its rows. The
 # list of such keys can be broadcast: a table of N rows has at most
 # N / HOT_KEY_ROWS of them.
@@ -259,15 +263,13 @@ def hash_diff(
     rules: CompareRules | None = None,
     factor: int = FACTOR,
     threshold: int = THRESHOLD,
-    levels: int = 2,
+    levels: int = LEVELS,
     as_text: bool = True,
 ) -> DataFrame:
     """Compare segments by checksum, then only the rows of unequal segments.
 
-    One scan per side yields all segment checksums (factor ** levels of them).
-    Rows of equal segments are dropped inside the scan stage by a semi join on
-    the unequal segment numbers, at most factor ** levels of them and therefore
-    safe to broadcast. Two equal tables shuffle no rows at all.
+    The checksum levels run now, the row comparison on demand. Two equal tables
+    shuffle no rows at all.
     """
     rules = rules or CompareRules()
     left, right = unequal_parts(a, b, rules=rules, factor=factor, threshold=threshold, levels=levels)
@@ -281,35 +283,44 @@ def unequal_parts(
     rules: CompareRules,
     factor: int = FACTOR,
     threshold: int = THRESHOLD,
-    levels: int = 2,
+    levels: int = LEVELS,
     remapping: Remapping | None = None,
 ) -> tuple[TableSide, TableSide]:
-    """Both sides cut down to the segments whose checksums differ."""
+    """Both sides cut down to the segments whose checksums differ.
+
+    The first level cuts the key space into `factor` squared segments; one scan
+    per side yields all their checksums. While unequal segments hold `threshold`
+    rows or more, the next level cuts only those, `factor` times finer. The
+    driver sees unequal segment numbers alone, never more than MAX_SEGMENTS: a
+    level that could exceed that is not started, and the rows of the segments
+    found so far are compared instead.
+    """
     _check_factors(factor, threshold)
     check_keys(a, b)
+    left, right = (_settled(s) for s in (a, b))
     if remapping is not None:
         pairs = remapping.pairs(a.value_columns, b.value_columns)
-        left = replace(a, update_column=None, min_update=None, max_update=None, df=a.filtered(), where=None,
-                       extra_columns=tuple(p[0] for p in pairs))
-        right = replace(b, update_column=None, min_update=None, max_update=None, df=b.filtered(), where=None,
-                        extra_columns=tuple(p[1] for p in pairs))
-    else:
-        left, right = a, b
+        left = replace(left, update_column=None, extra_columns=tuple(p[0] for p in pairs))
+        right = replace(right, update_column=None, extra_columns=tuple(p[1] for p in pairs))
     check_column_types(left, right)
-    segmenter = make_segmenter(left, right, factor**levels)
+    segmenter = make_segmenter(left, right, min(factor**2, MAX_SEGMENTS))
     if segmenter is None:  # both sides empty: equal (K8)
-        return a, b
-    compared = compare_segments(left, right, segmenter, ignored=rules.ignored_columns)
-    unequal = compared.where("is_diff").select("segment_id")
-    return _within(left, segmenter, unequal), _within(right, segmenter, unequal)
+        return left, right
+    for level in range(1, levels + 1):
+        compared = compare_segments(left, right, segmenter, ignored=rules.ignored_columns)
+        unequal = compared.where("is_diff").select("segment_id", F.greatest("rows_a", "rows_b").alias("n")).collect()
+        numbers = [r.segment_id for r in unequal]
+        left, right = (replace(s, df=s.df.where(segmenter.within(s, numbers))) for s in (left, right))
+        largest = max((r.n for r in unequal), default=0)
+        segmenter = segmenter.finer(factor)
+        if largest < threshold or segmenter is None or len(numbers) * factor > MAX_SEGMENTS:
+            break
+    return left, right
 
 
-def _within(s: TableSide, segmenter: Segmenter, wanted: DataFrame) -> TableSide:
-    rows = s.filtered()
-    number = segmenter.segment([F.col(k) for k in s.keys], [s.text(k) for k in s.keys])
-    tagged = rows.withColumn("__segment", number)
-    kept = tagged.join(F.broadcast(wanted), tagged["__segment"] == wanted["segment_id"], "left_semi").drop("__segment")
-    return replace(s, df=kept, min_key=None, max_key=None, min_update=None, max_update=None, where=None)
+def _settled(s: TableSide) -> TableSide:
+    """The side with its row restrictions applied to the frame."""
+    return replace(s, df=s.filtered(), min_key=None, max_key=None, min_update=None, max_update=None, where=None)
 
 
 def bisect_report(
@@ -325,9 +336,10 @@ def bisect_report(
     segmenter = make_segmenter(a, b, factor**levels)
     if segmenter is None or segmenter.buckets or len(a.keys) != 1:
         raise ValueError("the report needs one integer key and at least one row")
+    axis = segmenter.axes[0]
     fine = compare_segments(a, b, segmenter)
     wide = T.DecimalType(38, 0)
-    width, start, last = segmenter.widths[0], segmenter.starts[0], segmenter.size - 1
+    width, start, last = axis.width, axis.start, axis.cells - 1
     # The children of a segment tile it exactly: level L cells are runs of finest cells.
     report, parents = None, None
     for level in range(1, levels + 1):
@@ -347,7 +359,7 @@ def bisect_report(
                 F.lit(level).alias("level"),
                 F.col("id").alias("segment_id"),
                 (F.lit(start) + F.col("id") * F.lit(run * width)).alias("lo"),
-                F.when((F.col("id") + 1) * F.lit(run) > F.lit(last), F.lit(segmenter.ends[0]))
+                F.when((F.col("id") + 1) * F.lit(run) > F.lit(last), F.lit(axis.end))
                 .otherwise(F.lit(start) + (F.col("id") + 1) * F.lit(run * width))
                 .alias("hi"),
                 "rows_a",

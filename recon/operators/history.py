@@ -189,7 +189,7 @@ def metric_rollup(metrics: DataFrame, since: datetime | None = None) -> DataFram
         F.round(F.avg(v), 2).alias("avg"),
         F.round(F.min(v), 2).alias("min"),
         F.round(F.max(v), 2).alias("max"),
-        F.round(F.max_by(v, F.struct("recorded_at", "metric_value")), 2).alias("last"),
+        F.round(F.max_by(v, "recorded_at"), 2).alias("last"),
     )
 
 
@@ -232,16 +232,32 @@ def fired_alerts(checks: DataFrame, cooldown_seconds: int) -> DataFrame:
 
 
 def quality_trend(summary: DataFrame) -> DataFrame:
-    """Each completed run against the previous run of the same table pair."""
-    w = Window.partitionBy("source_table", "target_table").orderBy("start_time", "comparison_id")
-    rows = summary.where(F.col("status") == "completed").withColumn("previous_rate", F.lag("match_rate").over(w))
-    change = F.col("match_rate") - F.col("previous_rate")
-    direction = (
-        F.when(F.col("previous_rate").isNull(), "first")
-        .when(change > 0, "improving")
-        .when(change < 0, "degrading")
-        .otherwise("stable")
+    """Each completed run against the previous run of the same table pair.
+
+    One pair may own most of the history, so runs are ordered within days, and
+    the first run of a day looks up the last run of the day before it in a list
+    with one row per pair and day.
+    """
+    pair = ["source_table", "target_table"]
+    order = ["start_time", "comparison_id"]
+    runs = summary.where(F.col("status") == "completed").withColumn("day", F.to_date("start_time"))
+    within = Window.partitionBy(*pair, "day")
+    runs = runs.withColumns(
+        {
+            "same_day": F.lag("match_rate").over(within.orderBy(*order)),
+            "at": F.row_number().over(within.orderBy(*order)),
+            "of": F.count(F.lit(1)).over(within),
+        }
     )
-    return rows.select(
-        "comparison_id", "source_table", "target_table", "match_rate", "previous_rate", direction.alias("trend")
+    closing = runs.where(F.col("at") == F.col("of")).select(
+        *pair,
+        "day",
+        F.lag("match_rate").over(Window.partitionBy(*pair).orderBy("day")).alias("day_before"),
+    )
+    joined = runs.join(closing, [*pair, "day"])
+    previous = F.when(F.col("at") == 1, F.col("day_before")).otherwise(F.col("same_day"))
+    change = F.col("match_rate") - previous
+    direction = (
+        F.when(previous.isNull(), "first").when(change > 0, "improving").when(change < 0, "degrading").otherwise("stable")
     )
+    return joined.select("comparison_id", *pair, "match_rate", previous.alias("previous_rate"), direction.alias("trend"))

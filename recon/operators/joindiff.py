@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from recon.functions.names import Remapping
 from recon.functions.normalize import common_scale
 from recon.functions.predicates import CompareRules
-from recon.operators.keys import require_unique_keys
+from recon.operators.keys import require_sound_keys
 from recon.sources.side import TableSide, check_keys
 
 NUMERIC = T.NumericType
@@ -320,12 +320,6 @@ def join_diff(
     Duplicate keys would multiply in the join, so they raise unless the caller
     vouches for uniqueness (K4); use `rowset_diff` for data with duplicates.
     """
-    from recon.operators.keys import require_no_null_keys
-
     check_keys(a, b)
-    for s in (a, b):
-        if validate_unique_key:
-            require_unique_keys(s)
-        if not skip_null_keys:
-            require_no_null_keys(s)
+    require_sound_keys(a, b, unique=validate_unique_key, no_nulls=not skip_null_keys)
     return compare_by_key(a, b, rules=rules, remapping=remapping, null_keys="skip")

@@ -45,6 +45,30 @@ def require_no_null_keys(s: TableSide) -> None:
         raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
 
 
+def require_sound_keys(a: TableSide, b: TableSide, *, unique: bool = True, no_nulls: bool = True) -> None:
+    """K1, K2 for both sides in one job; nothing runs when neither is asked for."""
+    if not unique:
+        for s in (a, b) if no_nulls else ():
+            require_no_null_keys(s)
+        return
+    parts = [
+        s.rows().select(F.lit(i).alias("side"), *[F.col(k).alias(f"k{n}") for n, k in enumerate(s.keys)])
+        for i, s in enumerate((a, b))
+    ]
+    keys = [f"k{n}" for n in range(len(a.keys))]
+    counts = parts[0].unionByName(parts[1]).groupBy("side", *keys).agg(F.count(F.lit(1)).alias("n"))
+    is_null = any_null(tuple(keys))
+    found = counts.groupBy("side").agg(
+        F.count_if(is_null).alias("nulls"), F.max(F.when(~is_null, F.col("n"))).alias("most")
+    )
+    for row in found.collect():
+        s = (a, b)[row.side]
+        if no_nulls and row.nulls:
+            raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
+        if (row.most or 0) > 1:
+            require_unique_keys(s)  # names an offending key
+
+
 def row_count(s: TableSide) -> DataFrame:
     """K7."""
     return s.rows().agg(F.count(F.lit(1)).alias("n_rows"))

@@ -102,7 +102,7 @@ def exact_percentiles(
             F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
         ).alias("c")
     ).select("c.column_name", "c.v")
-    cells = cells.where(F.col("v").isNotNull())
+    cells = cells.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
     margin = 4.0 / accuracy
     wanted = [x for p in percentiles for x in (max(p - margin, 0.0), min(p + margin, 1.0))]

@@ -14,6 +14,10 @@ from recon.functions.checksum import NULL_TEXT, checksum_sum, low48, md5_bucket,
 from recon.sources.side import TableSide, key_family
 
 
+# More key ranges than this are tested by segment number instead.
+MAX_RANGES = 64
+
+
 class EmptyTableError(ValueError):
     """A key range was asked of a table without rows."""
 
@@ -33,16 +37,11 @@ def key_bounds(s: TableSide) -> list[tuple[Any, Any]]:
 
 
 def common_bounds(a: TableSide, b: TableSide) -> list[tuple[Any, Any]] | None:
-    """Per key column the range covering both sides; None when both are empty."""
-    found = []
-    for s in (a, b):
-        try:
-            found.append(key_bounds(s))
-        except EmptyTableError:
-            continue
-    if not found:
-        return None
-    return [(min(f[i][0] for f in found), max(f[i][1] for f in found)) for i in range(len(a.keys))]
+    """Per key column the range covering both sides, in one job; None when both are empty."""
+    n = len(a.keys)
+    ends = [s.filtered().select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(s.keys)]) for s in (a, b)]
+    row = ends[0].unionByName(ends[1]).agg(*[f(f"k{i}") for i in range(n) for f in (F.min, F.max)]).first()
+    return None if row[0] is None else [(row[2 * i], row[2 * i + 1]) for i in range(n)]
 
 
 def space_size(bounds: Sequence[tuple[int, int]]) -> int:
@@ -59,44 +58,109 @@ def checkpoints(start: int, end: int, count: int) -> list[int]:
     return [p for p in range(start, end, step)][1 : count + 1] if step else []
 
 
+@dataclass(frozen=True)
+class Axis:
+    """One integer key dimension, cut into `cells` ranges of `width` values; the last takes the rest."""
+
+    start: int
+    end: int
+    width: int
+    cells: int
+
+    @classmethod
+    def even(cls, start: int, end: int, cells: int) -> "Axis":
+        """The ranges between the `checkpoints` of [start, end)."""
+        inner = checkpoints(start, end, cells - 1) if end - start > 1 and cells > 1 else []
+        return cls(start, end, inner[0] - start if inner else end - start, len(inner) + 1)
+
+    def place(self, key: Column) -> Column:
+        steps = F.call_function("div", key.cast("bigint") - F.lit(self.start), F.lit(self.width)).cast("bigint")
+        inside = F.greatest(F.lit(0).cast("bigint"), F.least(steps, F.lit(self.cells - 1).cast("bigint")))
+        return F.coalesce(inside, F.lit(0).cast("bigint"))
+
+    def low(self, cell: int) -> int | None:
+        """First key of a cell; None for the first cell, which is open below (and holds NULL)."""
+        return self.start + cell * self.width if cell > 0 else None
+
+    def high(self, cell: int) -> int | None:
+        """First key after a cell; None for the last cell, which is open above."""
+        return self.start + (cell + 1) * self.width if cell < self.cells - 1 else None
+
+
 @dataclass(frozen=True)
 class Segmenter:
     """Maps a key to a segment number 0..size-1.
 
     Integer keys are cut into even ranges per dimension (a mesh for compound
-    keys); anything else goes to an MD5 bucket of its text. `splits` holds the
-    inner split points per dimension and is empty for buckets.
+    keys); anything else goes to an MD5 bucket of its text.
     """
 
-    splits: tuple[tuple[int, ...], ...] = ()
-    starts: tuple[int, ...] = ()
-    ends: tuple[int, ...] = ()
-    widths: tuple[int, ...] = ()
+    axes: tuple[Axis, ...] = ()
     buckets: int = 0
 
     @property
     def size(self) -> int:
-        return self.buckets if self.buckets else math.prod(len(s) + 1 for s in self.splits)
+        return self.buckets or math.prod(x.cells for x in self.axes)
 
     def segment(self, keys: Sequence[Column], texts: Sequence[Column]) -> Column:
         """Segment number of a row."""
         if self.buckets:
             return md5_bucket(F.concat_ws("|", *[F.coalesce(t, F.lit(NULL_TEXT)) for t in texts]), self.buckets)
         cell = F.lit(0).cast("bigint")
-        for key, inner, start, width in zip(keys, self.splits, self.starts, self.widths):
-            k = key.cast("bigint")
-            place = F.floor((k - F.lit(start)) / F.lit(width)).cast("bigint") if inner else F.lit(0).cast("bigint")
-            place = F.greatest(F.lit(0).cast("bigint"), F.least(place, F.lit(len(inner)).cast("bigint")))
-            cell = cell * (len(inner) + 1) + F.coalesce(place, F.lit(0).cast("bigint"))
+        for key, axis in zip(keys, self.axes):
+            cell = cell * axis.cells + axis.place(key)
         return cell
 
+    def of(self, s: TableSide) -> Column:
+        return self.segment([F.col(k) for k in s.keys], [s.text(k) for k in s.keys])
+
     def box(self, number: int) -> list[tuple[int | None, int | None]]:
         """Half-open key bounds of a segment per dimension (None = open end)."""
         out = []
-        for inner in reversed(self.splits):
-            number, place = divmod(number, len(inner) + 1)
-            out.append((inner[place - 1] if place else None, inner[place] if place < len(inner) else None))
-        return list(reversed(out))
+        for axis in reversed(self.axes):
+            number, cell = divmod(number, axis.cells)
+            out.append((axis.low(cell), axis.high(cell)))
+        return out[::-1]
+
+    def finer(self, factor: int) -> "Segmenter | None":
+        """The same key space in `factor` times as many segments; None when it cannot be cut further."""
+        if self.buckets:
+            return Segmenter(buckets=self.buckets * factor)
+        axis = self.axes[0]
+        if len(self.axes) > 1 or axis.width < 2:
+            return None
+        return Segmenter((Axis.even(axis.start, axis.end, axis.cells * factor),))
+
+    def within(self, s: TableSide, numbers: Sequence[int]) -> Column:
+        """Condition that a row lies in one of the segments.
+
+        For one integer key, neighbouring segments join into key ranges, which
+        the Parquet or JDBC scan can use to skip what lies outside.
+        """
+        if not numbers:
+            return F.lit(False)
+        if self.buckets or len(self.axes) > 1:
+            return self.of(s).isin(list(numbers))
+        axis, key = self.axes[0], F.col(s.keys[0])
+        runs: list[list[int]] = []
+        for n in sorted(numbers):
+            if runs and n == runs[-1][1] + 1:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
+
+        def between(first: int, last: int) -> Column:
+            low, high = axis.low(first), axis.high(last)
+            test = F.lit(True) if low is None else key >= F.lit(low)
+            test = test if high is None else test & (key < F.lit(high))
+            return test | key.isNull() if low is None else test
+
+        if len(runs) > MAX_RANGES:
+            return between(runs[0][0], runs[-1][1]) & self.of(s).isin(list(numbers))
+        out = between(*runs[0])
+        for first, last in runs[1:]:
+            out = out | between(first, last)
+        return out
 
 
 def make_segmenter(a: TableSide, b: TableSide, segments: int) -> Segmenter | None:
@@ -106,16 +170,8 @@ def make_segmenter(a: TableSide, b: TableSide, segments: int) -> Segmenter | Non
     bounds = common_bounds(a, b)
     if bounds is None:
         return None
-    per_dimension = max(int(round(segments ** (1 / len(bounds)))), 2) - 1
-    splits, starts, ends, widths = [], [], [], []
-    for lo, hi in bounds:
-        lo, hi = int(lo), int(hi) + 1
-        inner = checkpoints(lo, hi, per_dimension) if hi - lo > 1 else []
-        splits.append(tuple(inner))
-        starts.append(lo)
-        ends.append(hi)
-        widths.append((inner[0] - lo) if inner else hi - lo)
-    return Segmenter(tuple(splits), tuple(starts), tuple(ends), tuple(widths))
+    cells = max(int(round(segments ** (1 / len(bounds)))), 2)
+    return Segmenter(tuple(Axis.even(int(lo), int(hi) + 1, cells) for lo, hi in bounds))
 
 
 def uuid_segment(key: Column, segments: int) -> Column:
@@ -151,6 +207,5 @@ def segment_checksums(
     tasks times segments small rows, whatever the table size.
     """
     texts = checked_texts(s, ignored, scales)
-    number = segmenter.segment([F.col(k) for k in s.keys], [s.text(k) for k in s.keys])
-    rows = s.rows().select(number.alias("segment_id"), low48(row_text(texts)).alias("n"))
+    rows = s.rows().select(segmenter.of(s).alias("segment_id"), low48(row_text(texts)).alias("n"))
     return rows.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_rows"), checksum_sum(F.col("n")).alias("checksum"))

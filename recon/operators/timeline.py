@@ -134,34 +134,28 @@ def timeline(compared: Compared, column: str, buckets: Buckets) -> DataFrame:
     """
     i = [ca for ca, _ in compared.pairs].index(column)
     at_a, at_b = buckets.number(F.col(f"a{i}")), buckets.number(F.col(f"b{i}"))
-    where_diff = F.coalesce(at_a, at_b)
-    only_a, only_b, changed = compared.only_a(), compared.only_b(), compared.changed()
-    kind = F.when(only_a, "t").when(only_b, "s").when(changed, "v")
+    kind = F.when(compared.only_a(), "t").when(compared.only_b(), "s").when(compared.changed(), "v")
+    # Rows fall into few (bucket, bucket, kind) classes; only those are spread out.
+    classes = (
+        compared.matched.select(at_a.alias("at_a"), at_b.alias("at_b"), kind.alias("kind"))
+        .groupBy("at_a", "at_b", "kind")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     marks = F.array(
-        F.struct(at_a.alias("bucket"), F.lit("a").alias("kind")),
-        F.struct(at_b.alias("bucket"), F.lit("b").alias("kind")),
-        F.struct(where_diff.alias("bucket"), kind.alias("kind")),
+        F.struct(F.col("at_a").alias("bucket"), F.lit("a").alias("kind")),
+        F.struct(F.col("at_b").alias("bucket"), F.lit("b").alias("kind")),
+        F.struct(F.coalesce("at_a", "at_b").alias("bucket"), F.col("kind").alias("kind")),
     )
+    names = {"a": "rows_a", "b": "rows_b", "t": "missing_in_target", "s": "missing_in_source", "v": "value_differences"}
     per_kind = (
-        compared.matched.select(F.explode(marks).alias("m"))
-        .select("m.*")
+        classes.select("n", F.explode(marks).alias("m"))
+        .select("n", "m.*")
         .where(F.col("bucket").isNotNull() & F.col("kind").isNotNull())
         .groupBy("bucket")
-        .agg(
-            *[
-                F.count_if(F.col("kind") == code).alias(name)
-                for code, name in (
-                    ("a", "rows_a"),
-                    ("b", "rows_b"),
-                    ("t", "missing_in_target"),
-                    ("s", "missing_in_source"),
-                    ("v", "value_differences"),
-                )
-            ]
-        )
+        .agg(*[F.sum(F.when(F.col("kind") == code, F.col("n"))).alias(name) for code, name in names.items()])
     )
     spark = compared.matched.sparkSession
-    counts = ["rows_a", "rows_b", "missing_in_target", "missing_in_source", "value_differences"]
+    counts = list(names.values())
     joined = buckets.frame(spark).join(per_kind, "bucket", "left").na.fill(0, counts)
     total = F.greatest("rows_a", "rows_b")
     differences = F.col("missing_in_target") + F.col("missing_in_source") + F.col("value_differences")

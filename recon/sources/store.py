@@ -13,11 +13,9 @@ from pyspark.errors import AnalysisException
 from recon.operators.grading import difference_type
 from recon.operators.history import doomed
 
-# Stored layouts, number of stored and shown differences, and the
-# longest stored value.
+# Stored layouts, number of stored and of shown differences.
 DETAIL_LIMIT = 1_000
 SHOWN_DETAILS = 100
-VALUE_LENGTH = 1_000
 
 LAYOUTS = {
     "comparison_summary": (
@@ -137,8 +135,11 @@ class ResultStore:
         return out
 
 
-def detail_rows(compared, limit: int = DETAIL_LIMIT) -> DataFrame:
-    """The first differing keys in long form: one row per differing column, or one per exclusive row."""
+def detail_rows(compared, limit: int | None = DETAIL_LIMIT) -> DataFrame:
+    """Differing keys in long form: one row per differing column, or one per exclusive row.
+
+    The store keeps the first `limit` keys (None: all of them); values are kept whole.
+    """
     names = compared.pairs_key_names()
     kind = difference_type(F.when(compared.only_a(), "-").when(compared.only_b(), "+").otherwise("!"))
 
@@ -147,11 +148,10 @@ def detail_rows(compared, limit: int = DETAIL_LIMIT) -> DataFrame:
         return F.to_json(F.struct(*[compared.text(i, which).alias(p[side]) for i, p in enumerate(compared.pairs)]))
 
     def item(column, source, target, severity):
-        cut = lambda c: F.substring(c, 1, VALUE_LENGTH)
         return F.struct(
             column.cast("string").alias("column_name"),
-            cut(source).alias("source_value"),
-            cut(target).alias("target_value"),
+            source.alias("source_value"),
+            target.alias("target_value"),
             F.lit(severity).alias("severity"),
         )
 
@@ -174,7 +174,7 @@ def detail_rows(compared, limit: int = DETAIL_LIMIT) -> DataFrame:
         .otherwise(F.array(*changed))
     )
     keyed = compared.different.select(*compared.key_columns(), kind.alias("difference_type"), items.alias("items"))
-    first = keyed.orderBy(*names).limit(limit)
+    first = keyed if limit is None else keyed.orderBy(*names).limit(limit)
     row_key = F.to_json(F.struct(*[F.col(k) for k in names]))
     rows = first.select(row_key.alias("row_key"), "difference_type", F.explode("items").alias("i")).where("i is not null")
     return rows.select("row_key", "difference_type", "i.*")

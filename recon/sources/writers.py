@@ -61,9 +61,13 @@ def insert_query(df: DataFrame, name: str) -> None:
     df.write.insertInto(name)
 
 
-def create_table_as(df: DataFrame, name: str, keys: Sequence[str] = (), buckets: int = 0) -> None:
-    """Table from a query. Bucketed by the keys, later comparisons on them need no shuffle."""
+def create_table_as(
+    df: DataFrame, name: str, keys: Sequence[str] = (), buckets: int = 0, path: str | None = None
+) -> None:
+    """Table from a query, kept at `path` if given. Bucketed by the keys, later comparisons on them need no shuffle."""
     writer = df.write.mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
     if keys and buckets:
         writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
     writer.saveAsTable(name)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recon.operators import joindiff as jd
 from recon.operators import keys as k
+from recon.operators.hashdiff import hash_diff
 from recon.operators.output import cell_table, row_json
 from recon.sources.side import side
 from recon.suite.inputs import (
@@ -209,6 +210,27 @@ def column_match(spark, sf):
     return k.column_match(compared(spark, sf))
 
 
+@check(
+    "K4_assume_unique",
+    MATCHED
+    + """SELECT count(a0) AS "rows_A", count(b0) AS "rows_B", count(*) FILTER (WHERE xa) AS "exclusive_A", count(*) FILTER (WHERE xb) AS "exclusive_B",
+      count(*) FILTER (WHERE NOT xa AND NOT xb AND d1 + d2 > 0) AS updated, count(*) FILTER (WHERE d0 + d1 + d2 = 0) AS unchanged,
+      count(*) FILTER (WHERE d0 + d1 + d2 > 0) AS total FROM f""",
+)
+def assume_unique(spark, sf):
+    return jd.join_diff(*sides(spark, sf), validate_unique_key=False).stats()
+
+
+@check(
+    "K8_empty_side",
+    f"""WITH a AS ({sql(ORDERS_A, 'orders')})
+    SELECT '-' AS sign, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice, o_orderstatus FROM a""",
+)
+def empty_side(spark, sf):
+    a, b = sides(spark, sf)
+    return hash_diff(a, side(b.df, "o_orderkey", COLUMNS, where="o_orderkey < 0"))
+
+
 @check("K7_row_count", "SELECT count(*) AS n_rows FROM orders WHERE o_orderkey >= 50")
 def row_count(spark, sf):
     return k.row_count(side(table(spark, sf, "orders"), "o_orderkey", [], min_key=(50,)))
@@ -227,7 +249,28 @@ def cells_flat(spark, sf):
     return cell_table(compared(spark, sf))
 
 
-@check("D12_row_json")
+CELL_PAIR = "json_object('isPK', {pk}, 'isDiff', {d} = 1, 'dataset1', {a}, 'dataset2', {b})"
+CELL_ONE = "json_object('isPK', {pk}, 'value', {v})"
+
+
+def _object(cell: str, rows: list[dict]) -> str:
+    names = ["o_orderkey", "o_totalprice", "o_orderstatus"]
+    return "CAST(json_object(" + ", ".join(f"'{n}', {cell.format(**r)}" for n, r in zip(names, rows)) + ") AS VARCHAR)"
+
+
+TEXTS = [[f"CAST({s}0 AS VARCHAR)", f"CAST({s}1 AS VARCHAR)", f"{s}2"] for s in "ab"]
+PKS = ["true", "false", "false"]
+
+
+@check(
+    "D12_row_json",
+    MATCHED
+    + f"""SELECT coalesce(a0, b0) AS o_orderkey, CASE WHEN xa THEN 'dataset1' WHEN xb THEN 'dataset2' ELSE 'diff' END AS "group",
+      CASE WHEN xa THEN {_object(CELL_ONE, [dict(pk=p, v=v) for p, v in zip(PKS, TEXTS[0])])}
+        WHEN xb THEN {_object(CELL_ONE, [dict(pk=p, v=v) for p, v in zip(PKS, TEXTS[1])])}
+        ELSE {_object(CELL_PAIR, [dict(pk=p, d=f'd{i}', a=TEXTS[0][i], b=TEXTS[1][i]) for i, p in enumerate(PKS)])} END AS cells
+      FROM f WHERE d0 + d1 + d2 > 0""",
+)
 def rows_as_json(spark, sf):
     return row_json(compared(spark, sf))
 

@@ -85,6 +85,19 @@ def nested_text(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", nz.nested_text(F.col("embedding")).alias("embedding"))
 
 
+@check(
+    "N7_nested_json",
+    """SELECT o_orderkey, CAST(json_array(o_orderkey, o_custkey) AS VARCHAR) AS pair,
+      CAST(json_object('status', o_orderstatus, 'keys', json_array(o_orderkey, o_custkey)) AS VARCHAR) AS nested FROM orders""",
+)
+def nested_json(spark, sf):
+    pair = F.array("o_orderkey", "o_custkey")
+    nested = F.struct(F.col("o_orderstatus").alias("status"), pair.alias("keys"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", nz.nested_text(pair).alias("pair"), nz.nested_text(nested).alias("nested")
+    )
+
+
 @check(
     "N8_by_type",
     """SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(user_id AS VARCHAR) AS user_id,

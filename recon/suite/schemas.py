@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recon.operators import schema as sc
-from recon.suite.inputs import CUSTOMERS_A, CUSTOMERS_RELEASE, derive, sql
+from recon.plans.lineage import scratch_path
+from recon.sources.catalog import list_columns
+from recon.sources.store import ResultStore
+from recon.suite.inputs import CUSTOMERS_A, CUSTOMERS_RELEASE, derive, sql, table
 from recon.suite.registry import check
 
 UUIDS = """SELECT c_custkey, concat(substr(md5(c_name), 1, 8), '-', substr(md5(c_name), 9, 4), '-', substr(md5(c_name), 13, 4), '-',
@@ -73,3 +76,83 @@ def schema_diff(spark, sf):
         new.select("column_name", F.col("n_values").alias("target_values")), "column_name", "full_outer"
     )
     return found.join(counts, "column_name")
+
+
+SOURCE_TABLES = {"customer": (CUSTOMERS_A, OLD), "region": ("SELECT r_regionkey, r_name FROM {t}", ["r_regionkey", "r_name"]),
+                 "part": ("SELECT p_partkey, p_name, p_size FROM {t}", ["p_partkey", "p_name", "p_size"])}
+TARGET_TABLES = {"customer": (CUSTOMERS_RELEASE, NEW), "region": SOURCE_TABLES["region"],
+                 "supplier": ("SELECT s_suppkey, s_name FROM {t}", ["s_suppkey", "s_name"])}
+
+
+def _catalog_of(spark, sf, tables):
+    """Type names found in the rows of several tables."""
+    out = None
+    for name, (text, columns) in tables.items():
+        df = derive(spark, sf, name, text)
+        items = [F.struct(F.lit(c).alias("column_name"), F.typeof(c).alias("t")) for c in columns]
+        cells = df.select(F.explode(F.array(*items)).alias("c")).select(F.lit(f"shop.{name}").alias("qualified"), "c.*")
+        out = cells if out is None else out.unionByName(cells)
+    found = out.groupBy("qualified", "column_name", sc.normalized_type(F.col("t")).alias("data_type")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.element_at(F.split("qualified", "[.]"), -1).alias("table_name"), "column_name", "data_type")
+
+
+def _catalog_sql(tables) -> str:
+    parts = [
+        f"SELECT '{n}' AS table_name, '{c}' AS column_name, typeof({c}) AS t FROM ({sql(text, n)})"
+        for n, (text, columns) in tables.items()
+        for c in columns
+    ]
+    return f"SELECT DISTINCT table_name, column_name, {TYPE_CASE} AS type_name FROM ({' UNION ALL '.join(parts)})"
+
+
+CATALOG = f"""WITH s AS ({_catalog_sql(SOURCE_TABLES)}), t AS ({_catalog_sql(TARGET_TABLES)}),
+ d AS (SELECT table_name, NULL AS column_name, NULL AS source_type, NULL AS target_type, 'table_only_in_source' AS difference_type
+    FROM (SELECT table_name FROM s EXCEPT SELECT table_name FROM t)
+  UNION ALL SELECT table_name, NULL, NULL, NULL, 'table_only_in_target' FROM (SELECT table_name FROM t EXCEPT SELECT table_name FROM s)
+  UNION ALL SELECT table_name, column_name, s.type_name, t.type_name, CASE WHEN t.type_name IS NULL THEN 'only_in_source'
+      WHEN s.type_name IS NULL THEN 'only_in_target' ELSE 'type_changed' END
+    FROM s FULL OUTER JOIN t USING (table_name, column_name) WHERE s.type_name IS DISTINCT FROM t.type_name
+    AND table_name IN (SELECT table_name FROM s INTERSECT SELECT table_name FROM t)) """
+
+
+@check("X3_catalog_diff", CATALOG + "SELECT * FROM d")
+def catalog_diff(spark, sf):
+    return sc.catalog_diff(_catalog_of(spark, sf, SOURCE_TABLES), _catalog_of(spark, sf, TARGET_TABLES))
+
+
+@check(
+    "X3_catalog_summary",
+    CATALOG
+    + """, n AS (SELECT count(*) FILTER (WHERE difference_type LIKE 'table_only%') AS table_differences,
+      count(DISTINCT table_name) FILTER (WHERE difference_type IN ('only_in_source', 'only_in_target')) AS column_differences,
+      count(DISTINCT table_name) FILTER (WHERE difference_type = 'type_changed') AS type_differences FROM d)
+    SELECT *, table_differences + column_differences + type_differences AS total_differences,
+      table_differences + column_differences + type_differences = 0 AS schemas_identical FROM n""",
+)
+def catalog_summary(spark, sf):
+    return sc.catalog_summary(catalog_diff(spark, sf))
+
+
+@check("S8_schema_results", CATALOG + "SELECT 'one' AS comparison_id, * FROM d WHERE column_name IS NOT NULL")
+def schema_results(spark, sf):
+    store = ResultStore(spark, scratch_path(spark, "schemas"))
+    diff = catalog_diff(spark, sf)
+    store.save("schema_table_differences", "one", diff.where("column_name IS NULL"))
+    store.save("schema_column_differences", "one", diff.where("column_name IS NOT NULL"))
+    store.save("schema_comparison_summary", "one", sc.catalog_summary(diff).withColumn("status", F.lit("completed")))
+    return store.read("schema_column_differences").drop("created_at")
+
+
+@check(
+    "S3_columns",
+    """SELECT table_name, column_name, position, n_values FROM (VALUES ('labels', 'doc_id', 1), ('labels', 'quality', 2), ('labels', 'toxic', 3))
+      v(table_name, column_name, position), (SELECT count(*) AS n_values FROM labels)""",
+)
+def listed_columns(spark, sf):
+    """Columns as the catalog lists them, with the number of values in each."""
+    labels = table(spark, sf, "labels")
+    labels.createOrReplaceTempView("labels_listed")
+    counts = labels.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n_values")) for c in labels.columns]).alias("a"))
+    counts = counts.select(F.explode("a").alias("x")).select("x.*")
+    listed = list_columns(spark, "labels_listed").select(F.lit("labels").alias("table_name"), "column_name", "position")
+    return listed.join(counts, "column_name").select("table_name", "column_name", "position", "n_values")

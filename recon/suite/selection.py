@@ -289,12 +289,13 @@ def full_outer(spark, sf):
 
 @check(
     "J4d_theta_join",
-    """SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal""",
+    """SELECT l_orderkey, l_partkey, l_linenumber, o_orderdate, l_shipdate FROM lineitem
+    JOIN orders ON l_orderkey = o_orderkey AND l_shipdate < o_orderdate""",
 )
 def theta(spark, sf):
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    on = (c.c_nationkey == s.s_nationkey) & (c.c_acctbal < s.s_acctbal)
-    return rel.theta_join(c, s, on).select("c_custkey", "s_suppkey")
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    on = (l.l_orderkey == o.o_orderkey) & (l.l_shipdate < o.o_orderdate)
+    return rel.theta_join(l, o, on).select("l_orderkey", "l_partkey", "l_linenumber", "o_orderdate", "l_shipdate")
 
 
 @check(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recon.operators.joindiff import compare_by_key
@@ -9,7 +11,7 @@ from recon.plans.compare import Options, compare
 from recon.plans.lineage import scratch_path
 from recon.sources.readers import connect_to_table, read_files, read_query
 from recon.sources.side import side
-from recon.sources.writers import export_csv, export_jsonl, materialize_diff
+from recon.sources.writers import create_table_as, drop_table, export_csv, export_jsonl, insert_query, materialize_diff
 from recon.suite.inputs import table
 from recon.suite.matching import DIFFERENT, FLAT, MATCHED, SIGNED, compared, sides
 from recon.suite.registry import check
@@ -120,7 +122,47 @@ def json_lines(spark, sf):
     return spark.read.text(path)
 
 
-@check("S9_csv")
+ROW_JSON = """concat('{"o_orderkey":"', {s}0, '","o_totalprice":"', {s}1, '"', CASE WHEN {s}2 IS NULL THEN '' ELSE concat(',"o_orderstatus":"', {s}2, '"') END, '}')"""
+
+
+@check(
+    "H2_details",
+    MATCHED
+    + """, d AS (SELECT *, coalesce(a0, b0) AS k FROM f WHERE d0 + d1 + d2 > 0 ORDER BY coalesce(a0, b0) LIMIT 1000),
+    j AS (SELECT *, concat('{"o_orderkey":', k, '}') AS row_key FROM d),
+    c AS (SELECT row_key, 'o_totalprice' AS column_name, 'value_different' AS difference_type FROM j WHERE NOT xa AND NOT xb AND d1 = 1
+      UNION ALL SELECT row_key, 'o_orderstatus', 'value_different' FROM j WHERE NOT xa AND NOT xb AND d2 = 1
+      UNION ALL SELECT row_key, NULL, CASE WHEN xa THEN 'missing_in_target' ELSE 'missing_in_source' END FROM j WHERE xa OR xb)
+    SELECT * FROM c ORDER BY row_key COLLATE C, column_name NULLS FIRST LIMIT 100""",
+)
+def details(spark, sf):
+    store = compare(*sides(spark, sf), Options(assume_unique_key=True)).save(scratch_path(spark, "store"), "one")
+    return store.details("one")["difference_details"].select("row_key", "column_name", "difference_type")
+
+
+@check(
+    "S10_create_insert",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')",
+)
+def create_insert(spark, sf):
+    """A table from a query, then an insert from another; read back from its folder."""
+    t, path, name = table(spark, sf, "orders"), scratch_path(spark, "managed"), f"recon_{uuid.uuid4().hex}"
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    create_table_as(t.where("o_orderstatus = 'F'").select(*columns), name, path=path)
+    insert_query(t.where("o_orderstatus = 'O'").select(*columns), name)
+    drop_table(spark, name)
+    return spark.read.parquet(path)
+
+
+@check(
+    "S9_csv",
+    MATCHED
+    + """SELECT CASE WHEN xa THEN 'missing_in_target' WHEN xb THEN 'missing_in_source' ELSE 'value_different' END AS type,
+      concat('{"o_orderkey":', coalesce(a0, b0), '}') AS key,"""
+    + f"CASE WHEN NOT xb THEN {ROW_JSON.replace('{s}', 'a')} END AS source_values, CASE WHEN NOT xa THEN {ROW_JSON.replace('{s}', 'b')} END AS target_values,"
+    + """nullif(CASE WHEN xa OR xb THEN '' ELSE concat_ws(',', CASE WHEN d1 = 1 THEN 'o_totalprice' END, CASE WHEN d2 = 1 THEN 'o_orderstatus' END) END, '')
+      AS differing_columns FROM f WHERE d0 + d1 + d2 > 0""",
+)
 def csv(spark, sf):
     path = scratch_path(spark, "csv")
     export_csv(compared(spark, sf), path)

@@ -11,7 +11,7 @@ from recon.functions.normalize import common_scale, default_scale
 from recon.functions.predicates import tolerance_digits
 from recon.operators.sampling import SamplePlan, modulus, sample_size, z_score
 from recon.operators.schema import column_kind, table_key
-from recon.operators.segments import Segmenter, checkpoints, space_size
+from recon.operators.segments import Axis, Segmenter, checkpoints, space_size
 from recon.operators.timeline import Buckets, bucket_width, label_layout
 
 
@@ -98,11 +98,22 @@ def test_checkpoints():
 
 
 def test_mesh_boxes_tile_the_space():
-    s = Segmenter(splits=((5,), (10, 20)), starts=(0, 0), ends=(10, 30), widths=(5, 10))
+    s = Segmenter((Axis.even(0, 10, 2), Axis.even(0, 30, 3)))
     assert s.size == 6
     assert s.box(0) == [(None, 5), (None, 10)]
     assert s.box(4) == [(5, None), (10, 20)]
     assert s.box(5) == [(5, None), (20, None)]
+    assert s.finer(2) is None
+
+
+def test_axis_follows_the_checkpoints():
+    for start, end, cells in ((0, 1000, 32), (-50, 77, 8), (0, 3, 11), (5, 6, 4)):
+        axis = Axis.even(start, end, cells)
+        inner = checkpoints(start, end, cells - 1) if end - start > 1 else []
+        assert [axis.low(i) for i in range(1, axis.cells)] == inner
+        assert [axis.high(i) for i in range(axis.cells - 1)] == inner
+    fine = Segmenter((Axis.even(0, 1000, 4),)).finer(4)
+    assert fine.size == 16
 
 
 def test_sample_sizes():
