@@ -45,12 +45,8 @@ def require_no_null_keys(s: TableSide) -> None:
         raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
 
 
-def require_sound_keys(a: TableSide, b: TableSide, *, unique: bool = True, no_nulls: bool = True) -> None:
-    """K1, K2 for both sides in one job; nothing runs when neither is asked for."""
-    if not unique:
-        for s in (a, b) if no_nulls else ():
-            require_no_null_keys(s)
-        return
+def key_facts(a: TableSide, b: TableSide) -> list[tuple[int, int]]:
+    """Per side: keys with a NULL part, and rows of the most frequent whole key. One job for both sides."""
     parts = [
         s.rows().select(F.lit(i).alias("side"), *[F.col(k).alias(f"k{n}") for n, k in enumerate(s.keys)])
         for i, s in enumerate((a, b))
@@ -61,11 +57,20 @@ def require_sound_keys(a: TableSide, b: TableSide, *, unique: bool = True, no_nu
     found = counts.groupBy("side").agg(
         F.count_if(is_null).alias("nulls"), F.max(F.when(~is_null, F.col("n"))).alias("most")
     )
-    for row in found.collect():
-        s = (a, b)[row.side]
-        if no_nulls and row.nulls:
+    by_side = {r.side: (r.nulls, r.most or 0) for r in found.collect()}
+    return [by_side.get(i, (0, 0)) for i in (0, 1)]
+
+
+def require_sound_keys(a: TableSide, b: TableSide, *, unique: bool = True, no_nulls: bool = True) -> None:
+    """K1, K2 for both sides; nothing runs when neither is asked for."""
+    if not unique:
+        for s in (a, b) if no_nulls else ():
+            require_no_null_keys(s)
+        return
+    for s, (nulls, most) in zip((a, b), key_facts(a, b)):
+        if no_nulls and nulls:
             raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
-        if (row.most or 0) > 1:
+        if most > 1:
             require_unique_keys(s)  # names an offending key
 
 

@@ -16,7 +16,7 @@ from recon.functions.names import Remapping
 from recon.functions.predicates import CompareRules
 from recon.operators import classify, grading, hashdiff, profile, timeline
 from recon.operators.joindiff import Compared, compare_by_key, with_scores
-from recon.operators.keys import duplicate_keys, require_no_null_keys
+from recon.operators.keys import DuplicateKeysError, NullKeysError, any_null, key_facts, require_sound_keys
 from recon.operators.sampling import SamplePlan, key_sample, modulus
 from recon.operators.schema import unsupported_types
 from recon.plans.lineage import materialize
@@ -44,15 +44,33 @@ class Options:
     threshold: int = hashdiff.THRESHOLD
 
 
-def choose_algorithm(a: TableSide, b: TableSide, options: Options, same_system: bool = True) -> str:
-    """`join` for two tables of one system, `hash` across systems, `rows` when keys repeat."""
-    if options.algorithm not in ("auto", "join", "hash", "rows"):
-        raise ValueError("algorithm must be auto, join, hash or rows")
-    if options.algorithm != "auto":
-        return options.algorithm
-    if not options.assume_unique_key and any(duplicate_keys(s).limit(1).collect() for s in (a, b)):
-        return "rows"
-    return "join" if same_system else "hash"
+ALGORITHMS = ("auto", "join", "hash", "rows")
+
+
+def choose_algorithm(a: TableSide, b: TableSide, options: Options, same_system: bool = True) -> tuple[str, bool]:
+    """The algorithm, and whether the keys are unique.
+
+    `auto` takes `join` for two tables of one system and `hash` across systems,
+    and `rows` when keys repeat. Keys are checked by one job for both sides,
+    unless the caller vouches for them.
+    """
+    if options.algorithm not in ALGORITHMS:
+        raise ValueError(f"algorithm must be one of {', '.join(ALGORITHMS)}")
+    if options.algorithm == "rows":
+        return "rows", False
+    unique = True
+    if options.assume_unique_key:
+        require_sound_keys(a, b, unique=False, no_nulls=not options.skip_null_keys)
+    else:
+        for s, (nulls, most) in zip((a, b), key_facts(a, b)):
+            if nulls and not options.skip_null_keys:
+                raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
+            unique = unique and most <= 1
+    if options.algorithm == "auto":
+        return ("rows" if not unique else "join" if same_system else "hash"), unique
+    if options.algorithm == "join" and not unique:
+        raise DuplicateKeysError("a join needs unique keys; use the algorithms 'hash' or 'rows'")
+    return options.algorithm, unique
 
 
 def sampled(a: TableSide, b: TableSide, options: Options) -> tuple[TableSide, TableSide]:
@@ -112,9 +130,10 @@ class ComparisonResult:
         def part(df: DataFrame, **cols) -> DataFrame:
             return df.agg(*[cols.get(n, F.max(zero)).alias(n) for n in names])
 
+        # Rows with NULL keys were left out of the comparison, so they are no part of its counts.
         counted = (
-            part(self.a.rows(), rows_A=F.count(F.lit(1)))
-            .unionByName(part(self.b.rows(), rows_B=F.count(F.lit(1))))
+            part(self.a.rows().where(~any_null(self.a.keys)), rows_A=F.count(F.lit(1)))
+            .unionByName(part(self.b.rows().where(~any_null(self.b.keys)), rows_B=F.count(F.lit(1))))
             .unionByName(
                 part(
                     c.matched,
@@ -153,7 +172,12 @@ class ComparisonResult:
             raise ValueError("set time_column and compare by unique keys")
         column = self.options.time_column
         buckets = timeline.make_buckets(self.a.filtered(), column, self.options.timeline_buckets)
-        return timeline.timeline(self.full, column, buckets)
+        whole = self.full
+        if self.algorithm == "hash":  # holds unequal segments only; a timeline counts all rows
+            whole = compare_by_key(
+                self.a, self.b, rules=self.options.rules, remapping=self.options.remapping, null_keys="skip"
+            )
+        return timeline.timeline(whole, column, buckets)
 
     def alerts(self, thresholds: Mapping[str, float] | None = None) -> DataFrame:
         return grading.alerts(self.stats, dict(thresholds or {}))
@@ -236,17 +260,14 @@ def compare(a: TableSide, b: TableSide, options: Options | None = None, *, same_
     spark = a.df.sparkSession
     warnings = unsupported_types(spark, a, b, strict=options.strict_types)
     a, b = sampled(a, b, options)
-    algorithm = choose_algorithm(a, b, options, same_system)
-    if algorithm in ("join", "hash") and not options.skip_null_keys:
-        for s in (a, b):
-            require_no_null_keys(s)
-    if algorithm == "rows":
-        rows = hashdiff.rowset_diff(a, b, rules=options.rules)
-        return ComparisonResult(a, b, options, algorithm, None, rows, warnings)
+    algorithm, unique = choose_algorithm(a, b, options, same_system)
     left, right = a, b
     if algorithm == "hash":
         left, right = hashdiff.unequal_parts(
             a, b, rules=options.rules, factor=options.factor, threshold=options.threshold, remapping=options.remapping
         )
+    if algorithm == "rows" or not unique:
+        rows = hashdiff.rowset_diff(left, right, rules=options.rules)
+        return ComparisonResult(a, b, options, algorithm, None, rows, warnings)
     full = compare_by_key(left, right, rules=options.rules, remapping=options.remapping, null_keys="skip")
     return ComparisonResult(a, b, options, algorithm, full, None, warnings)

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Plans here are wide; recording a call site for each expression doubles the time to build them.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 

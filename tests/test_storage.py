@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recon import CompareRules, Options, Remapping, ResultStore, batch_compare, compare, connect_to_table, side
 from recon.operators import history as hs
 from recon.operators import sampling as sp
+from recon.operators.keys import DuplicateKeysError, NullKeysError
 from recon.operators.relational import explain_frame
 from recon.plans.batch import batch_totals
 from recon.plans.compare import choose_algorithm
@@ -159,10 +160,17 @@ def test_store_schema_results(spark, tmp_path):
 
 def test_algorithms(spark):
     a, b = pair(spark)
-    assert choose_algorithm(a, b, Options()) == "join"
-    assert choose_algorithm(a, b, Options(), same_system=False) == "hash"
+    assert choose_algorithm(a, b, Options()) == ("join", True)
+    assert choose_algorithm(a, b, Options(), same_system=False) == ("hash", True)
     doubled = side(a.df.union(a.df), "id")
-    assert choose_algorithm(a, doubled, Options()) == "rows"
+    assert choose_algorithm(a, doubled, Options()) == ("rows", False)
+    with pytest.raises(DuplicateKeysError):
+        compare(a, doubled, Options(algorithm="join"))
+    assert compare(a, doubled, Options(algorithm="hash")).diff.count() == 300
+    null = side(a.df.withColumn("id", F.expr("nullif(id, 3)")), "id")
+    with pytest.raises(NullKeysError):
+        compare(null, b)
+    assert compare(null, b, Options(skip_null_keys=True)).stats.first().exclusive_B == 1
     with pytest.raises(ValueError):
         choose_algorithm(a, b, Options(algorithm="magic"))
     by = {alg: compare(a, b, Options(algorithm=alg)) for alg in ("join", "hash", "rows")}
@@ -171,6 +179,14 @@ def test_algorithms(spark):
     assert len({tuple(sorted(tuple(x) for x in r.diff.collect())) for r in by.values()}) == 1
 
 
+def test_timeline_counts_equal_segments_too(spark):
+    a, _ = pair(spark, 200)
+    b = side(a.df.where("id <> 150"), "id")
+    for algorithm in ("join", "hash"):
+        r = compare(a, b, Options(algorithm=algorithm, time_column="ts", factor=4, threshold=8))
+        assert tuple(r.timeline.agg(F.sum("total_rows"), F.sum("differences")).first()) == (200, 1)
+
+
 def test_hash_compare_with_remapping_and_tolerance(spark):
     a, b = pair(spark)
     renamed = side(b.df.withColumnRenamed("v", "w").withColumn("x", F.col("x") + 0.001), "id")
