@@ -128,7 +128,7 @@ def numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     A window over the whole table would number it in one task. Instead the rows
     are range-partitioned and sorted by key, numbered inside each partition, and
     each partition starts from the row count of those before it: a list with one
-    number per partition. The range-partitioned rows are checkpointed, so both
+    number per partition. The range-partitioned rows are written out once, so both
     uses see the same partition boundaries, also after a lost executor.
     """
     local_bits = 33  # layout of monotonically_increasing_id

@@ -222,6 +222,16 @@ def unsupported_types(spark: SparkSession, a: TableSide, b: TableSide, strict: b
     return spark.createDataFrame(rows, "side string, column_name string, data_type string, reason string")
 
 
+def affected_values(found: DataFrame, s: TableSide) -> DataFrame:
+    """How many values of the side stand behind each listed column (one aggregate over its rows)."""
+    columns = [c for c in s.columns]
+    counted = s.rows().agg(
+        F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n_values")) for c in columns]).alias("all")
+    )
+    per_column = counted.select(F.explode("all").alias("c")).select("c.*")
+    return found.join(per_column, "column_name", "left")
+
+
 def zone_warnings(spark: SparkSession, a: TableSide, b: TableSide) -> DataFrame:
     """T4: column pairs where only one side carries a time zone, with a recommended precision."""
     from recon.operators.joindiff import pair_columns

@@ -34,10 +34,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: compute once, keep on shared storage, drop the lineage."""
+def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Compute once into a table on shared storage and read it back.
+
+    Later stages start from the written files, so a lost executor costs a
+    re-read, not a recomputation, and each reader takes only the columns it needs.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,3 +32,24 @@ def use_utc(spark: SparkSession) -> SparkSession:
     """Pin the session zone to UTC, so both sides print timestamps alike."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+# Shuffle partition size to aim at, and limits for the number of partitions.
+PARTITION_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 200_000
+
+
+def shuffle_partitions_for(total_bytes: int, least: int) -> int:
+    """Partitions for a shuffle of `total_bytes`."""
+    return max(least, min(MOST_PARTITIONS, -(-total_bytes // PARTITION_BYTES)))
+
+
+def size_shuffles(spark: SparkSession, total_bytes: int) -> int:
+    """Set the shuffle partitions for comparing `total_bytes` of compared columns (both sides together).
+
+    Adaptive execution merges small partitions but never makes more than were
+    asked for, so the number has to be large enough for large tables.
+    """
+    n = shuffle_partitions_for(total_bytes, spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n

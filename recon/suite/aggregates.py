@@ -146,7 +146,7 @@ def filter_types(spark, sf):
 @check(
     "A17_throughput",
     f"""WITH h AS ({sql(HISTORY, 'orders')})
-    SELECT comparison_id, round(rows_compared / greatest(execution_time_seconds, 1), 2) AS rows_per_second FROM h""",
+    SELECT comparison_id, CAST(round(CAST(rows_compared / greatest(execution_time_seconds, 1) AS DECIMAL(38,6)), 2) AS DOUBLE) AS rows_per_second FROM h""",
 )
 def throughput(spark, sf):
     return derive(spark, sf, "orders", HISTORY).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recon.operators import schema as sc
 from recon.plans.lineage import scratch_path
 from recon.sources.catalog import list_columns
+from recon.sources.side import side
 from recon.sources.store import ResultStore
 from recon.suite.inputs import CUSTOMERS_A, CUSTOMERS_RELEASE, derive, sql, table
 from recon.suite.registry import check
@@ -78,10 +79,16 @@ def schema_diff(spark, sf):
     return found.join(counts, "column_name")
 
 
-SOURCE_TABLES = {"customer": (CUSTOMERS_A, OLD), "region": ("SELECT r_regionkey, r_name FROM {t}", ["r_regionkey", "r_name"]),
-                 "part": ("SELECT p_partkey, p_name, p_size FROM {t}", ["p_partkey", "p_name", "p_size"])}
-TARGET_TABLES = {"customer": (CUSTOMERS_RELEASE, NEW), "region": SOURCE_TABLES["region"],
-                 "supplier": ("SELECT s_suppkey, s_name FROM {t}", ["s_suppkey", "s_name"])}
+SOURCE_TABLES = {
+    "customer": (CUSTOMERS_A, OLD),
+    "region": ("SELECT r_regionkey, r_name FROM {t}", ["r_regionkey", "r_name"]),
+    "part": ("SELECT p_partkey, p_name, p_size FROM {t}", ["p_partkey", "p_name", "p_size"]),
+}
+TARGET_TABLES = {
+    "customer": (CUSTOMERS_RELEASE, NEW),
+    "region": SOURCE_TABLES["region"],
+    "supplier": ("SELECT s_suppkey, s_name FROM {t}", ["s_suppkey", "s_name"]),
+}
 
 
 def _catalog_of(spark, sf, tables):
@@ -156,3 +163,73 @@ def listed_columns(spark, sf):
     counts = counts.select(F.explode("a").alias("x")).select("x.*")
     listed = list_columns(spark, "labels_listed").select(F.lit("labels").alias("table_name"), "column_name", "position")
     return listed.join(counts, "column_name").select("table_name", "column_name", "position", "n_values")
+
+
+LEFT_TYPES = """SELECT event_id, CAST(ts AS TIMESTAMP_LTZ) AS ts, CAST(value AS DECIMAL(12,2)) AS value, event_type,
+  map(event_type, user_id) AS tags, user_id FROM {t}"""
+RIGHT_TYPES = """SELECT event_id, ts, CAST(value AS DECIMAL(14,3)) AS value, map(event_type, user_id) AS tags, user_id, event_type FROM {t}"""
+
+
+def _typed_sides(spark, sf):
+    columns = ["ts", "value", "tags", "event_type"]
+    left, right = derive(spark, sf, "events", LEFT_TYPES), derive(spark, sf, "events", RIGHT_TYPES)
+    return side(left, "event_id", columns), side(right, "event_id", columns)
+
+
+@check(
+    "C13_unsupported_types",
+    "SELECT side, 'tags' AS column_name, count(*) AS n_values FROM events, (VALUES ('A'), ('B')) v(side) GROUP BY side",
+)
+def unsupported(spark, sf):
+    """Columns without a normal form, and how many values they keep out of the comparison."""
+    a, b = _typed_sides(spark, sf)
+    return sc.affected_values(sc.unsupported_types(spark, a, b), a).select("side", "column_name", "n_values")
+
+
+@check(
+    "T4_zone_warnings",
+    "SELECT 'ts' AS column_name, 'millisecond' AS recommended_precision, count(ts) AS n_values FROM events",
+)
+def zones(spark, sf):
+    a, b = _typed_sides(spark, sf)
+    return sc.affected_values(sc.zone_warnings(spark, a, b), a).select("column_name", "recommended_precision", "n_values")
+
+
+@check(
+    "X4_attribute_warnings",
+    """WITH n AS (SELECT count(value) AS nv, count(ts) AS nt FROM events)
+    SELECT 'value' AS column_name, 'numeric_precision' AS attribute, '12' AS source, '14' AS target, nv AS n_values FROM n
+    UNION ALL SELECT 'value', 'numeric_scale', '2', '3', nv FROM n
+    UNION ALL SELECT 'value', 'data_type', 'decimal(12,2)', 'decimal(14,3)', nv FROM n
+    UNION ALL SELECT 'ts', 'data_type', 'timestamp', 'timestamp_ntz', nt FROM n""",
+)
+def attributes(spark, sf):
+    a, b = _typed_sides(spark, sf)
+    found = sc.attribute_warnings(sc.schema_frame(spark, a.df.schema), sc.schema_frame(spark, b.df.schema))
+    return sc.affected_values(found, a)
+
+
+@check(
+    "X5_column_kinds",
+    """SELECT column_name, kind, n_values FROM (VALUES ('event_id', 'integer'), ('ts', 'datetime'), ('value', 'float'), ('tags', 'unsupported'),
+      ('event_type', 'string')) v(column_name, kind), (SELECT count(*) AS n_values FROM events)""",
+)
+def kinds(spark, sf):
+    a, _ = _typed_sides(spark, sf)
+    named = sc.schema_frame(spark, a.rows().schema).select("column_name", "kind")
+    return sc.affected_values(named, a)
+
+
+@check(
+    "X6_layout_changes",
+    """SELECT 6 AS columns_a, 6 AS columns_b, 0 AS only_in_a, 0 AS only_in_b, 2 AS column_type_mismatches, 3 AS column_reorders,
+      count(*) AS n_rows FROM events""",
+)
+def layout(spark, sf):
+    a, b = _typed_sides(spark, sf)
+    changes = sc.layout_changes(sc.schema_frame(spark, a.df.schema), sc.schema_frame(spark, b.df.schema))
+    columns = changes.columns
+    # The one row of changes next to the number of rows they concern.
+    counted = a.rows().agg(F.count(F.lit(1)).alias("n_rows"))
+    both = changes.unionByName(counted, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in [*columns, "n_rows"]])
