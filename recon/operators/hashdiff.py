@@ -310,7 +310,7 @@ def unequal_parts(
         compared = compare_segments(left, right, segmenter, ignored=rules.ignored_columns)
         unequal = compared.where("is_diff").select("segment_id", F.greatest("rows_a", "rows_b").alias("n")).collect()
         numbers = [r.segment_id for r in unequal]
-        left, right = (replace(s, df=s.df.where(segmenter.within(s, numbers))) for s in (left, right))
+        left, right = (replace(s, df=segmenter.restrict(s, numbers)) for s in (left, right))
         largest = max((r.n for r in unequal), default=0)
         segmenter = segmenter.finer(factor)
         if largest < threshold or segmenter is None or len(numbers) * factor > MAX_SEGMENTS:

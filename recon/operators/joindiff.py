@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from recon.functions.names import Remapping
 from recon.functions.normalize import common_scale
 from recon.functions.predicates import CompareRules
-from recon.operators.keys import require_sound_keys
+from recon.operators.keys import any_null, require_sound_keys
 from recon.sources.side import TableSide, check_keys
 
 NUMERIC = T.NumericType
@@ -281,14 +281,25 @@ def emulated_outer(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def both_sides(a: TableSide, b: TableSide) -> DataFrame:
     """Rows of A whose key is also in B."""
-    left, right = a.rows(), b.rows().select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(b.keys)])
-    return left.join(right, [left[k] == right[f"__{i}"] for i, k in enumerate(a.keys)], "left_semi")
+    return _by_presence(a, b, "left_semi")
 
 
 def only_left(a: TableSide, b: TableSide) -> DataFrame:
-    """Rows of A whose key is not in B."""
-    left, right = a.rows(), b.rows().select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(b.keys)])
-    return left.join(right, [left[k] == right[f"__{i}"] for i, k in enumerate(a.keys)], "left_anti")
+    """Rows of A whose key is not in B; a NULL key is in no table."""
+    null = any_null(a.keys)
+    return _by_presence(a, b, "left_anti").unionByName(a.rows().where(null))
+
+
+def _by_presence(a: TableSide, b: TableSide, how: str) -> DataFrame:
+    """Semi or anti join on whole keys.
+
+    The keys of B are made distinct first, so a frequent key crosses the
+    shuffle once per task, and adaptive execution can split a skewed A.
+    """
+    left = a.rows().where(~any_null(a.keys))
+    right = b.rows().select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(b.keys)])
+    right = right.where(~any_null(tuple(right.columns))).distinct()
+    return left.join(right, [left[k] == right[f"__{i}"] for i, k in enumerate(a.keys)], how)
 
 
 def side_stats(s: TableSide) -> DataFrame:

@@ -59,6 +59,20 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
     return union_all(*frames).distinct()
 
 
+def except_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of `left` that `right` lacks.
+
+    Both sides are made distinct first: copies of a row then collapse before
+    the shuffle of the join instead of after it.
+    """
+    return left.distinct().subtract(right.distinct())
+
+
+def intersect_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows on both sides, with copies collapsed first."""
+    return left.distinct().intersect(right.distinct())
+
+
 def explain_frame(df: DataFrame, mode: str = "formatted") -> DataFrame:
     """the query plan as a one-column frame."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from recon.functions.checksum import NULL_TEXT, checksum_sum, low48, md5_bucket,
 from recon.sources.side import TableSide, key_family
 
 
-# More key ranges than this are tested by segment number instead.
+# More key ranges than this are picked by segment number instead.
 MAX_RANGES = 64
 
 
@@ -76,7 +77,7 @@ class Axis:
     def place(self, key: Column) -> Column:
         steps = F.call_function("div", key.cast("bigint") - F.lit(self.start), F.lit(self.width)).cast("bigint")
         inside = F.greatest(F.lit(0).cast("bigint"), F.least(steps, F.lit(self.cells - 1).cast("bigint")))
-        return F.coalesce(inside, F.lit(0).cast("bigint"))
+        return F.when(key.isNull(), F.lit(0).cast("bigint")).otherwise(inside)
 
     def low(self, cell: int) -> int | None:
         """First key of a cell; None for the first cell, which is open below (and holds NULL)."""
@@ -131,36 +132,43 @@ class Segmenter:
             return None
         return Segmenter((Axis.even(axis.start, axis.end, axis.cells * factor),))
 
-    def within(self, s: TableSide, numbers: Sequence[int]) -> Column:
-        """Condition that a row lies in one of the segments.
+    def restrict(self, s: TableSide, numbers: Sequence[int]) -> DataFrame:
+        """The rows of a side that lie in the given segments.
 
         For one integer key, neighbouring segments join into key ranges, which
-        the Parquet or JDBC scan can use to skip what lies outside.
+        the Parquet or JDBC scan can use to skip what lies outside. Many
+        scattered segments are picked by a broadcast join instead; the caller
+        bounds how many numbers there can be.
         """
+        rows = s.filtered()
         if not numbers:
-            return F.lit(False)
-        if self.buckets or len(self.axes) > 1:
-            return self.of(s).isin(list(numbers))
+            return rows.where(F.lit(False))
+        if not self.buckets and len(self.axes) == 1:
+            runs = _runs(numbers)
+            if len(runs) <= MAX_RANGES:
+                return rows.where(reduce(lambda x, y: x | y, [self._between(s, *r) for r in runs]))
+            rows = rows.where(self._between(s, runs[0][0], runs[-1][1]))
+        wanted = rows.sparkSession.createDataFrame([(n,) for n in numbers], "segment_id bigint")
+        tagged = rows.withColumn("__segment", self.of(s))
+        return tagged.join(F.broadcast(wanted), F.col("__segment") == F.col("segment_id"), "left_semi").drop("__segment")
+
+    def _between(self, s: TableSide, first: int, last: int) -> Column:
         axis, key = self.axes[0], F.col(s.keys[0])
-        runs: list[list[int]] = []
-        for n in sorted(numbers):
-            if runs and n == runs[-1][1] + 1:
-                runs[-1][1] = n
-            else:
-                runs.append([n, n])
-
-        def between(first: int, last: int) -> Column:
-            low, high = axis.low(first), axis.high(last)
-            test = F.lit(True) if low is None else key >= F.lit(low)
-            test = test if high is None else test & (key < F.lit(high))
-            return test | key.isNull() if low is None else test
-
-        if len(runs) > MAX_RANGES:
-            return between(runs[0][0], runs[-1][1]) & self.of(s).isin(list(numbers))
-        out = between(*runs[0])
-        for first, last in runs[1:]:
-            out = out | between(first, last)
-        return out
+        low, high = axis.low(first), axis.high(last)
+        test = F.lit(True) if high is None else key < F.lit(high)
+        # The first segment is open below and also holds NULL keys.
+        return test | key.isNull() if low is None else test & (key >= F.lit(low))
+
+
+def _runs(numbers: Sequence[int]) -> list[tuple[int, int]]:
+    """Neighbouring numbers as (first, last)."""
+    runs: list[tuple[int, int]] = []
+    for n in sorted(numbers):
+        if runs and n == runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], n)
+        else:
+            runs.append((n, n))
+    return runs
 
 
 def make_segmenter(a: TableSide, b: TableSide, segments: int) -> Segmenter | None:

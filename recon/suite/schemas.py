@@ -222,8 +222,8 @@ def kinds(spark, sf):
 
 @check(
     "X6_layout_changes",
-    """SELECT 6 AS columns_a, 6 AS columns_b, 0 AS only_in_a, 0 AS only_in_b, 2 AS column_type_mismatches, 3 AS column_reorders,
-      count(*) AS n_rows FROM events""",
+    """SELECT 6::BIGINT AS columns_a, 6::BIGINT AS columns_b, 0::BIGINT AS only_in_a, 0::BIGINT AS only_in_b,
+      2::BIGINT AS column_type_mismatches, 3::BIGINT AS column_reorders, count(*) AS n_rows FROM events""",
 )
 def layout(spark, sf):
     a, b = _typed_sides(spark, sf)

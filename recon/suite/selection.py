@@ -340,10 +340,10 @@ def union_all(spark, sf):
 @check("U2_except", A_B + "SELECT o_custkey, o_orderstatus FROM b EXCEPT SELECT o_custkey, o_orderstatus FROM a")
 def subtract(spark, sf):
     a, b = _halves(spark, sf)
-    return b.subtract(a)
+    return rel.except_distinct(b, a)
 
 
 @check("U3_intersect", A_B + "SELECT o_custkey, o_orderstatus FROM a INTERSECT SELECT o_custkey, o_orderstatus FROM b")
 def intersect(spark, sf):
     a, b = _halves(spark, sf)
-    return a.intersect(b)
+    return rel.intersect_distinct(a, b)

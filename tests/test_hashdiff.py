@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recon import CompareRules, bisect_report, hash_diff, join_diff, rowset_diff, side
 from recon.functions.checksum import checksum_sum, low48
 from recon.operators.hashdiff import common_scales, ordered_diff, rowset_stats, tables_equal, unequal_parts
+from recon.operators.relational import explain_frame
 from recon.operators.segments import EmptyTableError, key_bounds, make_segmenter, table_checksum
 
 
@@ -118,6 +119,31 @@ def test_equal_tables_leave_no_segments(spark):
     assert tables_equal(a, a).first().is_equal
 
 
+def test_scattered_and_neighbouring_segments(spark):
+    rows = spark.range(20_000).select(F.expr("nullif(id, 777)").alias("id"), (F.col("id") % 7).alias("v"))
+    a = side(rows, "id")
+    few = side(rows.withColumn("v", F.when(F.col("id").between(5000, 5005), -1).otherwise(F.col("v"))), "id")
+    many = side(rows.withColumn("v", F.when(F.col("id") % 150 == 3, -1).otherwise(F.col("v"))), "id")
+    none = side(rows.where("id IS NOT NULL"), "id")
+    for b, n, kept in ((few, 12, 200), (many, 268, 6000), (none, 1, 100)):
+        left, right = unequal_parts(a, b, rules=CompareRules(), factor=16, threshold=64)
+        assert left.rows().count() <= kept
+        assert rowset_diff(left, right).count() == n
+        assert hash_diff(a, b, factor=16, threshold=64).count() == n
+    texts = [side(s.df.withColumn("id", F.concat(F.lit("k"), "id")).na.drop(), "id") for s in (a, many)]
+    assert hash_diff(*texts, factor=16, threshold=64).count() == 268
+
+
+def test_ranges_reach_the_scan(spark, tmp_path):
+    rows = spark.range(20_000).withColumn("v", F.col("id") % 7)
+    rows.write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    changed = t.withColumn("v", F.when(F.col("id") == 5000, -1).otherwise(F.col("v")))
+    left, _ = unequal_parts(side(t, "id"), side(changed, "id"), rules=CompareRules(), factor=16, threshold=64)
+    plan = "\n".join(r.plan for r in explain_frame(left.rows()).collect())
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(id," in plan and "LessThan(id," in plan
+
+
 def test_empty_sides(spark):
     a = side(spark.range(5), "id", [])
     none = side(spark.range(0), "id", [])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recon import CompareRules, compare_by_key, join_diff, side
 from recon.operators.hashdiff import rowset_diff
+from recon.operators.joindiff import both_sides, only_left
 from recon.operators.keys import DuplicateKeysError, NullKeysError, duplicate_keys, key_health, key_summary
 from recon.operators.output import row_json
 from recon.sources.side import TableSide
@@ -77,6 +78,13 @@ def test_null_keys_never_match(spark):
     assert (s.rows_A, s.rows_B, s.exclusive_A, s.exclusive_B, s.unchanged) == (2, 2, 1, 1, 1)
 
 
+def test_presence_with_duplicates_and_nulls(spark):
+    a = side(spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int"), "id")
+    b = side(spark.createDataFrame([(1,), (1,), (1,), (None,)], "id int"), "id")
+    assert [r.id for r in both_sides(a, b).collect()] == [1, 1]
+    assert sorted((r.id for r in only_left(a, b).collect()), key=str) == [2, None]
+
+
 def test_key_types_must_match(spark):
     ints = spark.createDataFrame([(1, "a")], "id int, v string")
     texts = spark.createDataFrame([("1", "a")], "id string, v string")
