@@ -297,11 +297,7 @@ def unequal_parts(
     """
     _check_factors(factor, threshold)
     check_keys(a, b)
-    left, right = (_settled(s) for s in (a, b))
-    if remapping is not None:
-        pairs = remapping.pairs(a.value_columns, b.value_columns)
-        left = replace(left, update_column=None, extra_columns=tuple(p[0] for p in pairs))
-        right = replace(right, update_column=None, extra_columns=tuple(p[1] for p in pairs))
+    left, right = aligned(a, b, remapping)
     check_column_types(left, right)
     segmenter = make_segmenter(left, right, min(factor**2, MAX_SEGMENTS))
     if segmenter is None:  # both sides empty: equal (K8)
@@ -318,9 +314,18 @@ def unequal_parts(
     return left, right
 
 
-def _settled(s: TableSide) -> TableSide:
-    """The side with its row restrictions applied to the frame."""
-    return replace(s, df=s.filtered(), min_key=None, max_key=None, min_update=None, max_update=None, where=None)
+def aligned(a: TableSide, b: TableSide, remapping: Remapping | None = None) -> tuple[TableSide, TableSide]:
+    """Both sides with their row restrictions applied, and their columns paired by position."""
+    left, right = (
+        replace(s, df=s.filtered(), min_key=None, max_key=None, min_update=None, max_update=None, where=None) for s in (a, b)
+    )
+    if remapping is None:
+        return left, right
+    pairs = remapping.pairs(a.value_columns, b.value_columns)
+    return (
+        replace(left, update_column=None, extra_columns=tuple(p[0] for p in pairs)),
+        replace(right, update_column=None, extra_columns=tuple(p[1] for p in pairs)),
+    )
 
 
 def bisect_report(

@@ -254,7 +254,7 @@ def quality_trend(summary: DataFrame) -> DataFrame:
         "day",
         F.lag("match_rate").over(Window.partitionBy(*pair).orderBy("day")).alias("day_before"),
     )
-    joined = runs.join(closing, [*pair, "day"])
+    joined = runs.join(closing, [*pair, "day"], "left")
     previous = F.when(F.col("at") == 1, F.col("day_before")).otherwise(F.col("same_day"))
     change = F.col("match_rate") - previous
     direction = (

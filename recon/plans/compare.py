@@ -104,6 +104,7 @@ class ComparisonResult:
     full: Compared | None
     rows_diff: DataFrame | None
     warnings: DataFrame
+    where: tuple[str | None, str | None] = (None, None)
 
     @cached_property
     def compared(self) -> Compared:
@@ -174,9 +175,7 @@ class ComparisonResult:
         buckets = timeline.make_buckets(self.a.filtered(), column, self.options.timeline_buckets)
         whole = self.full
         if self.algorithm == "hash":  # holds unequal segments only; a timeline counts all rows
-            whole = compare_by_key(
-                self.a, self.b, rules=self.options.rules, remapping=self.options.remapping, null_keys="skip"
-            )
+            whole = compare_by_key(self.a, self.b, rules=self.options.rules, null_keys="skip")
         return timeline.timeline(whole, column, buckets)
 
     def alerts(self, thresholds: Mapping[str, float] | None = None) -> DataFrame:
@@ -225,7 +224,7 @@ class ComparisonResult:
                     round(row.match_rate * 100, 2),
                     json.dumps({"percent": self.options.sample_percent, "size": self.options.sample_size}),
                     json.dumps(dict(self.options.remapping.mapping) if self.options.remapping else {}),
-                    json.dumps({"source": self.a.where, "target": self.b.where}),
+                    json.dumps(dict(zip(("source", "target"), self.where))),
                     "completed",
                 )
             ],
@@ -259,15 +258,16 @@ def compare(a: TableSide, b: TableSide, options: Options | None = None, *, same_
     check_keys(a, b)
     spark = a.df.sparkSession
     warnings = unsupported_types(spark, a, b, strict=options.strict_types)
-    a, b = sampled(a, b, options)
+    where = (a.where, b.where)
+    a, b = sampled(*hashdiff.aligned(a, b, options.remapping), options)
     algorithm, unique = choose_algorithm(a, b, options, same_system)
     left, right = a, b
     if algorithm == "hash":
         left, right = hashdiff.unequal_parts(
-            a, b, rules=options.rules, factor=options.factor, threshold=options.threshold, remapping=options.remapping
+            a, b, rules=options.rules, factor=options.factor, threshold=options.threshold
         )
     if algorithm == "rows" or not unique:
         rows = hashdiff.rowset_diff(left, right, rules=options.rules)
-        return ComparisonResult(a, b, options, algorithm, None, rows, warnings)
-    full = compare_by_key(left, right, rules=options.rules, remapping=options.remapping, null_keys="skip")
-    return ComparisonResult(a, b, options, algorithm, full, None, warnings)
+        return ComparisonResult(a, b, options, algorithm, None, rows, warnings, where)
+    full = compare_by_key(left, right, rules=options.rules, null_keys="skip")
+    return ComparisonResult(a, b, options, algorithm, full, None, warnings, where)

@@ -80,7 +80,9 @@ class ResultStore:
         schema = T.StructType.fromDDL(LAYOUTS[table])
         try:
             return self.spark.read.schema(schema).parquet(self.location(table)).select(*schema.names)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def save(self, table: str, comparison_id: str, rows: DataFrame) -> None:
@@ -103,9 +105,10 @@ class ResultStore:
     def delete(self, tables: tuple[str, ...], ids: list[str]) -> None:
         """Drop the partitions of the given comparisons; other partitions are not touched."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for table in tables:
             for i in ids:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.location(table)}/comparison_id={i}")
+                p = jvm.org.apache.hadoop.fs.Path(f"{self.location(table)}/comparison_id={escape(i)}")
                 p.getFileSystem(conf).delete(p, True)
 
     def clear(

@@ -1,6 +1,6 @@
 """Inputs of the checks: the given tables and changed copies derived from them.
 
-Each copy is one SQL text that Spark and the reference SQL engine both run, so
+Each copy is one SQL text that Spark and the SQL twin both run, so
 the two sides of a check always see the same data. `{t}` stands for the table.
 """
 

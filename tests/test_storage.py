@@ -146,6 +146,23 @@ def test_store_round_trip(spark, tmp_path):
     assert store.read("difference_details").count() == 0
 
 
+def test_comparison_ids_stay_texts(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "ids"))
+    row = spark.createDataFrame([("completed",)], "status string")
+    for cid in ("007", "a:b c", "2024-01-01"):
+        store.save("comparison_summary", cid, row)
+    assert sorted(r.comparison_id for r in store.read("comparison_summary").collect()) == ["007", "2024-01-01", "a:b c"]
+    store.delete(("comparison_summary",), ["a:b c"])
+    assert store.read("comparison_summary").count() == 2
+
+
+def test_rows_compare_with_remapping(spark):
+    a, b = pair(spark, 40)
+    renamed = side(b.df.withColumnRenamed("v", "w"), "id", ["ts", "w", "x"])
+    got = compare(a, renamed, Options(algorithm="rows", remapping=Remapping({"v": "w"}))).stats.first()
+    assert tuple(got[:5]) == tuple(compare(a, b).stats.select("rows_A", "rows_B", "exclusive_A", "exclusive_B", "updated").first())
+
+
 def test_store_schema_results(spark, tmp_path):
     store = ResultStore(spark, str(tmp_path / "s"))
     assert store.read("schema_comparison_summary").count() == 0
