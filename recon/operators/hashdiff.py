@@ -72,33 +72,37 @@ def _comparable(c: Column, name: str, dtype: T.DataType, rules: CompareRules) ->
     return c
 
 
-def _tagged(a: TableSide, b: TableSide, rules: CompareRules) -> DataFrame:
-    """Rows of both sides in one frame: side tag, keys k0.., values v0.., two hashes of the compared values.
+def _row_hashes(a: TableSide, b: TableSide, which: str, rules: CompareRules, *, with_keys: bool = False) -> list[Column]:
+    """Two 64-bit hashes over the compared values of one side ('-' is A, '+' is B).
 
-    Values are brought to the common type of the pair first, so equal values of
-    different widths hash alike.
+    A pair of different types is hashed as common text, so equal values hash
+    alike; everything else is hashed as it is, without turning into text.
     """
+    n, compared = len(a.keys), []
+    for i, (ca, cb) in enumerate(pair_columns(a, b)):
+        is_key = i < n
+        if (is_key and not with_keys) or (not is_key and ca in rules.ignored_columns):
+            continue
+        one, name = (a, ca) if which == "-" else (b, cb)
+        da, db = a.dtype(ca), b.dtype(cb)
+        if da != db:
+            c, dtype = one.text(name, scale=common_scale(da, db)), T.StringType()
+        else:
+            c, dtype = F.col(name), da
+        compared.append((c if is_key else _comparable(c, ca, dtype, rules), dtype))
+    return fingerprint(compared)
+
+
+def _tagged(a: TableSide, b: TableSide, rules: CompareRules) -> DataFrame:
+    """Rows of both sides in one frame: side tag, keys k0.., values v0.., two hashes of the compared values."""
     pairs = pair_columns(a, b)
     n = len(a.keys)
     frames = []
     for which, one in (("-", a), ("+", b)):
-        keys, values, compared = [], [], []
-        for i, (ca, cb) in enumerate(pairs):
-            name = ca if which == "-" else cb
-            if i < n:
-                keys.append(F.col(name).alias(f"k{i}"))
-                continue
-            values.append(F.col(name).alias(f"v{i - n}"))
-            if ca in rules.ignored_columns:
-                continue
-            da, db = a.dtype(ca), b.dtype(cb)
-            c = F.col(name)
-            if da != db:
-                c, dtype = one.text(name, scale=common_scale(da, db)), T.StringType()
-            else:
-                dtype = da
-            compared.append((_comparable(c, ca, dtype, rules), dtype))
-        h1, h2 = fingerprint(compared)
+        names = [p[0] if which == "-" else p[1] for p in pairs]
+        keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(names[:n])]
+        values = [F.col(c).alias(f"v{i}") for i, c in enumerate(names[n:])]
+        h1, h2 = _row_hashes(a, b, which, rules)
         frames.append(one.rows().select(F.lit(which).alias("sign"), *keys, *values, h1.alias("h1"), h2.alias("h2")))
     return frames[0].unionByName(frames[1])
 
@@ -249,6 +253,38 @@ def compare_segments(
     )
 
 
+# Sums of 22-bit parts stay within bigint for two trillion rows of a segment.
+PART_BITS = 22
+PART_MASK = (1 << PART_BITS) - 1
+
+
+def unequal_segments(a: TableSide, b: TableSide, segmenter: Segmenter, rules: CompareRules) -> DataFrame:
+    """Numbers and sizes of the segments whose rows are not the same on both sides.
+
+    Both sides meet in one aggregate: rows of A add their hashes, rows of B take
+    theirs away, and what is left is zero where the rows are equal. Typed engine
+    hashes (128 bits per row) replace the MD5 text here, since the numbers never
+    leave the engine; `segment_checksums` has the portable ones.
+    """
+    exact = replace(rules, float_tolerance=None)  # stricter than the rule, so nothing is missed
+    frames = []
+    for which, one, sign in (("-", a, 1), ("+", b, -1)):
+        parts = []
+        for h in _row_hashes(a, b, which, exact, with_keys=True):
+            parts += [F.shiftright(h, 2 * PART_BITS), F.shiftright(h, PART_BITS).bitwiseAND(PART_MASK), h.bitwiseAND(PART_MASK)]
+        signed = [(p * sign).alias(f"p{i}") for i, p in enumerate(parts)]
+        frames.append(one.rows().select(segmenter.of(one).alias("segment_id"), F.lit(sign).alias("s"), *signed))
+    parts = [c for c in frames[0].columns if c.startswith("p")]
+    sums = (
+        frames[0]
+        .unionByName(frames[1])
+        .groupBy("segment_id")
+        .agg(F.count_if(F.col("s") == 1).alias("rows_a"), F.count_if(F.col("s") == -1).alias("rows_b"), *[F.sum(p).alias(p) for p in parts])
+    )
+    differs = reduce(lambda x, y: x | y, [F.col(p) != 0 for p in parts], F.col("rows_a") != F.col("rows_b"))
+    return sums.where(differs).select("segment_id", F.greatest("rows_a", "rows_b").alias("n"))
+
+
 def _check_factors(factor: int, threshold: int) -> None:
     if factor >= threshold:
         raise ValueError("the bisection factor must be lower than the threshold")
@@ -286,10 +322,10 @@ def unequal_parts(
     levels: int = LEVELS,
     remapping: Remapping | None = None,
 ) -> tuple[TableSide, TableSide]:
-    """Both sides cut down to the segments whose checksums differ.
+    """Both sides cut down to the segments whose rows differ.
 
     The first level cuts the key space into `factor` squared segments; one scan
-    per side yields all their checksums. While unequal segments hold `threshold`
+    per side compares all of them. While unequal segments hold `threshold`
     rows or more, the next level cuts only those, `factor` times finer. The
     driver sees unequal segment numbers alone, never more than MAX_SEGMENTS: a
     level that could exceed that is not started, and the rows of the segments
@@ -303,8 +339,7 @@ def unequal_parts(
     if segmenter is None:  # both sides empty: equal (K8)
         return left, right
     for level in range(1, levels + 1):
-        compared = compare_segments(left, right, segmenter, ignored=rules.ignored_columns)
-        unequal = compared.where("is_diff").select("segment_id", F.greatest("rows_a", "rows_b").alias("n")).collect()
+        unequal = unequal_segments(left, right, segmenter, rules).collect()
         numbers = [r.segment_id for r in unequal]
         left, right = (replace(s, df=segmenter.restrict(s, numbers)) for s in (left, right))
         largest = max((r.n for r in unequal), default=0)
