@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from recon.llm.common import table
 from recon.llm.mixing import mix
 from recon.llm.naming import exact_groups
+from recon.llm.packing import pack
 from recon.llm.sharding import shard
 
 
@@ -16,6 +17,19 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Packed by the public byte-level vocabulary of the box."""
+    import public_tokenizers as public
+
+    return pack(
+        docs, public.path("byte_bpe_50k.json"), ranks=public.path("byte_bpe_50k.tiktoken"), pattern=public.PATTERN
+    )
+
+
+def op3_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -74,6 +88,7 @@ JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_naming": op2_block_naming,
+    "op3_tree_packing": op3_tree_packing,
     "op6_histogram_sort": op6_histogram_sort,
     "op8_hash_mix": op8_hash_mix,
 }
