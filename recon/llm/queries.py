@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recon.llm.bottomk import near_groups
 from recon.llm.common import table
 from recon.llm.mixing import mix
 from recon.llm.naming import exact_groups
@@ -38,6 +39,10 @@ def op8_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("times")
 
 
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=2)
+
+
 OP2_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -86,11 +91,41 @@ JOIN b ON d.source IS NOT DISTINCT FROM b.source
 JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
 """
 
+# Sets as lists of distinct shingles; links by joining on shingles; components by spreading the smallest id.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_transform(
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+               lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t
+    FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN [t[1]]
+           ELSE list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]) END) AS v
+    FROM w
+), e AS (
+    SELECT doc_id, len(v) AS n, unnest(v) AS g FROM s
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+    SELECT doc_id AS x, doc_id AS root FROM documents
+    UNION
+    SELECT p.y, r.root FROM r JOIN p ON r.x = p.x
+), c AS (
+    SELECT x, min(root) AS root FROM r GROUP BY x
+)
+SELECT s.doc_id, len(s.v) AS n_shingles, c.root AS component_id, s.doc_id = c.root AS kept
+FROM s JOIN c ON s.doc_id = c.x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_naming": op2_block_naming,
     "op3_tree_packing": op3_tree_packing,
     "op6_histogram_sort": op6_histogram_sort,
     "op8_hash_mix": op8_hash_mix,
+    "op9_bottom_k": op9_bottom_k,
 }
 
-SQL: dict[str, str] = {"op2_block_naming": OP2_SQL, "op8_hash_mix": OP8_SQL}
+SQL: dict[str, str] = {"op2_block_naming": OP2_SQL, "op8_hash_mix": OP8_SQL, "op9_bottom_k": OP9_SQL}
