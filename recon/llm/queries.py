@@ -12,6 +12,7 @@ from recon.llm.mixing import mix
 from recon.llm.naming import exact_groups
 from recon.llm.packing import pack
 from recon.llm.sharding import shard
+from recon.llm.toxicity import toxicity
 
 
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op3_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op4_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -123,6 +128,7 @@ FROM s JOIN c ON s.doc_id = c.x
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_naming": op2_block_naming,
     "op3_tree_packing": op3_tree_packing,
+    "op4_gru_toxicity": op4_gru_toxicity,
     "op6_histogram_sort": op6_histogram_sort,
     "op8_hash_mix": op8_hash_mix,
     "op9_bottom_k": op9_bottom_k,
