@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recon.llm.bottomk import near_groups
 from recon.llm.common import table
@@ -12,6 +13,7 @@ from recon.llm.mixing import mix
 from recon.llm.naming import exact_groups
 from recon.llm.packing import pack
 from recon.llm.sharding import shard
+from recon.llm.topk import top_inner_products
 from recon.llm.toxicity import toxicity
 
 
@@ -36,6 +38,10 @@ def op4_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,20 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP5_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+), m AS (
+    SELECT a.r, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r
+), o AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM m
+)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 10
+"""
+
 OP8_SQL = r"""
 WITH d AS (
     SELECT doc_id, source,
@@ -129,9 +149,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_naming": op2_block_naming,
     "op3_tree_packing": op3_tree_packing,
     "op4_gru_toxicity": op4_gru_toxicity,
+    "op5_ball_tree": op5_ball_tree,
     "op6_histogram_sort": op6_histogram_sort,
     "op8_hash_mix": op8_hash_mix,
     "op9_bottom_k": op9_bottom_k,
 }
 
-SQL: dict[str, str] = {"op2_block_naming": OP2_SQL, "op8_hash_mix": OP8_SQL, "op9_bottom_k": OP9_SQL}
+SQL: dict[str, str] = {"op2_block_naming": OP2_SQL, "op5_ball_tree": OP5_SQL, "op8_hash_mix": OP8_SQL, "op9_bottom_k": OP9_SQL}
