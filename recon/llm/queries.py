@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recon.llm.bottomk import near_groups
 from recon.llm.common import table
+from recon.llm.ctw import lm_scores
 from recon.llm.mixing import mix
 from recon.llm.naming import exact_groups
 from recon.llm.packing import pack
@@ -46,6 +47,10 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op7_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("times")
 
@@ -151,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_gru_toxicity": op4_gru_toxicity,
     "op5_ball_tree": op5_ball_tree,
     "op6_histogram_sort": op6_histogram_sort,
+    "op7_context_trees": op7_context_trees,
     "op8_hash_mix": op8_hash_mix,
     "op9_bottom_k": op9_bottom_k,
 }
