@@ -14,8 +14,14 @@ from recon.llm.mixing import mix
 from recon.llm.naming import exact_groups
 from recon.llm.packing import pack
 from recon.llm.sharding import shard
+from recon.llm.templates import drop_repeated_lines
 from recon.llm.topk import top_inner_products
 from recon.llm.toxicity import toxicity
+from recon.llm.warc import archive_round_trip
+
+
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("html")
 
 
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +65,31 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=2)
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
+# Base32 of the SHA-1: its 160 bits in groups of five.
+OP1_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), b AS (
+    SELECT *, array_to_string(list_transform(string_split(sha1(body), ''),
+               lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111',
+                          '1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), '') AS bits,
+           first_value(page_id) OVER (PARTITION BY body ORDER BY page_id NULLS LAST) AS keep
+    FROM p
+)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + 16 * substr(bits, (5 * i + 1)::INT, 1)::INT + 8 * substr(bits, (5 * i + 2)::INT, 1)::INT
+             + 4 * substr(bits, (5 * i + 3)::INT, 1)::INT + 2 * substr(bits, (5 * i + 4)::INT, 1)::INT
+             + substr(bits, (5 * i + 5)::INT, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN keep IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keep IS NOT DISTINCT FROM page_id THEN NULL ELSE keep END AS refers_to
+FROM b
+"""
+
 OP2_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -151,6 +182,7 @@ FROM s JOIN c ON s.doc_id = c.x
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_capture_index": op1_capture_index,
     "op2_block_naming": op2_block_naming,
     "op3_tree_packing": op3_tree_packing,
     "op4_gru_toxicity": op4_gru_toxicity,
@@ -159,6 +191,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_context_trees": op7_context_trees,
     "op8_hash_mix": op8_hash_mix,
     "op9_bottom_k": op9_bottom_k,
+    "op10_line_templates": op10_line_templates,
 }
 
-SQL: dict[str, str] = {"op2_block_naming": OP2_SQL, "op5_ball_tree": OP5_SQL, "op8_hash_mix": OP8_SQL, "op9_bottom_k": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_capture_index": OP1_SQL,
+    "op2_block_naming": OP2_SQL,
+    "op5_ball_tree": OP5_SQL,
+    "op8_hash_mix": OP8_SQL,
+    "op9_bottom_k": OP9_SQL,
+}
