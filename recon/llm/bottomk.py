@@ -8,7 +8,7 @@
    about 5 in 10^10 pairs. Small sets are listed under their smallest values, as
    many as must hold a common one, which misses nothing.
 3. Lists of more than LIST_PAIRS members are listed again under longer runs. What
-   is still long at the longest run is a mass of near copies: its members are
+   is still long there is a mass of near copies: its members are
    compared with three hubs first, and then all those that are in another
    component than most of the list are compared with the whole list.
 4. Pairs pass if size ratio and the overlap of the union's sketch allow the
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recon.llm.common import attach, whole_text
+from recon.llm.common import attach, whole_text, without_rows
 from recon.llm.components import components
 from recon.plans.lineage import materialize
 
@@ -222,10 +222,10 @@ def near_groups(
     k: int = K,
     most: int = LIST_PAIRS,
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: row_id, doc_id, n_shingles, component_id, kept, first.
 
     component_id is the smallest id in the row's group of near duplicates; kept
-    tells whether it is the row's own. NULL texts are empty; texts without words
+    tells whether it is the row's own, first is true for exactly one row of a group. NULL texts are empty; texts without words
     link with nothing and stand for themselves. Repeated rows have equal sets and
     so one group; NULL ids count as larger than any other. An empty table gives no
     rows. `docs` must give the same rows in the same partitions when it is read
@@ -265,12 +265,30 @@ def near_groups(
     total = full.count()
     placed = attach(full.select("row_id", "doc_id", "n", "sig"), classes, ["sig"], "copies", total).drop("sig")
     placed = placed.join(roots, placed.rep == roots.node, "left").select(
-        "doc_id", "n", F.coalesce("root", "rep").alias("root")
+        "row_id", "doc_id", "n", F.coalesce("root", "rep").alias("root")
     )
     placed = materialize(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    grouped = attach(placed, materialize(least, "groups"), ["root"], "size", total).select("doc_id", "n", "component_id")
-    alone = sketches.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id"))).alias("first")
+    groups = materialize(placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("size")), "groups")
+    grouped = attach(placed, groups, ["root"], "size", total).select(
+        "row_id",
+        "doc_id",
+        "n",
+        F.col("first.doc_id").alias("component_id"),
+        (F.col("row_id") == F.col("first.row_id")).alias("first"),
+    )
+    empty = sketches.where("n = 0")
+    alone = empty.select("row_id", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return grouped.unionByName(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "row_id",
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        "first",
     )
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...) that are first in their group, with all their columns."""
+    return without_rows(docs, near_groups(docs).where("NOT first"))

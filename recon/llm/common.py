@@ -46,3 +46,21 @@ def whole_text(col: str | Column) -> Column:
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; NULL ids count as the text 'null'."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % folds
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows numbered in `gone` (row_id), all columns as they are.
+
+    Rows are numbered as operators number them, so `docs` must be a scan of files.
+    """
+    row = fresh(docs, "row_id")
+    numbers = gone.select(F.col("row_id").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(numbers, row, "left_anti").drop(row)

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recon.llm.common import attach, numbered, whole_text
+from recon.llm.common import attach, numbered, whole_text, without_rows
 from recon.plans.lineage import materialize
 
 BLOCK_CHARS = 4096
@@ -88,10 +88,15 @@ def text_names(rows: DataFrame, chars: int = BLOCK_CHARS, bits: int = 64) -> Dat
     return reduce(DataFrame.unionByName, done)
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...) that stay, with all their columns."""
+    return without_rows(docs, exact_groups(docs).where("NOT kept"))
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = BLOCK_CHARS, bits: int = 64
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of `docs`: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays; NULL ids are smallest, and
     of repeated rows with the same id exactly one stays. NULL texts are empty, so
@@ -109,6 +114,7 @@ def exact_groups(
     )
     groups = materialize(groups.withColumn("n", F.col("group_size")), "identity-groups")
     return attach(named, groups, ["level", "name"], "n", named.count()).select(
+        "row_id",
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",

@@ -25,7 +25,7 @@ def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def op8_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), words=2)
+    return near_groups(table(spark, sf_dir, "documents"), words=2).drop("row_id", "first")
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ WITH d AS (
     FROM r
 ), t AS (
     SELECT source, source_size,
-           least(lim::DOUBLE, w * (SELECT min(level) FROM l WHERE level <= ratio)) AS target
+           least(lim::DOUBLE, w * (SELECT max(level) FROM l WHERE level <= ratio)) AS target
     FROM l
 ), b AS (
     SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS rounds FROM t

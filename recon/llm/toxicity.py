@@ -111,3 +111,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
         F.col(id_col).alias("doc_id"), (fold_of(id_col, FOLDS) == HELD_OUT).alias("held_out"), score.alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...) that score below the threshold, with all their columns."""
+    return docs.where(trained_scorer(docs, labels)(whole_text("text")) < threshold)
