@@ -1,7 +1,7 @@
 """A small bidirectional gated recurrent network with attention pooling, in numpy.
 
 Each word enters as a word vector beside the mean of the vectors of its character
-3- and 4-grams. Both kinds of vectors are hashed into fixed tables, so the network
+3- and 4-grams and of its beginnings. Both kinds of vectors are hashed into fixed tables, so the network
 has a fixed size. A text is a sequence of overlapping windows of words; its score
 is that of its highest window.
 """
@@ -18,7 +18,9 @@ import numpy as np
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 12
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
+LEAST_ROUNDS, STEPS = 8, 500
 KEEP = 30.0  # update-gate input of the padding word: the state passes unchanged
+STARTS = (6, 7, 8, 9, 10)  # lengths of word beginnings, with the mark, that count as n-grams
 PAD = 0  # its number
 
 Params = dict[str, np.ndarray]
@@ -43,6 +45,7 @@ def word_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b = f"<{core}>".encode()
         grams.extend([zlib.crc32(b[i : i + 3]) % CHAR_ROWS for i in range(len(b) - 2)])
         grams.extend([zlib.crc32(b[i : i + 4], 1) % CHAR_ROWS for i in range(len(b) - 3)])
+        grams.extend([zlib.crc32(b[:i], 2) % CHAR_ROWS for i in STARTS if i < len(b)])
     return np.array(heads, np.int64), np.array(grams, np.int32), np.array(first, np.int64)
 
 
@@ -205,12 +208,13 @@ def windows_of(numbers: np.ndarray) -> np.ndarray:
     return padded[starts[:, None] + np.arange(WINDOW)]
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 0) -> Params:
+def train(texts: list[str], labels: list[int], batch: int = 128, rate: float = 0.01, seed: int = 0) -> Params:
     """Learn from whole texts: each round trains on the highest window of every text, and on one more of each clean text.
 
     Only some windows of a toxic text are toxic, and which is not told; the highest
-    one is taken for toxic. The first rounds draw windows at random instead. Texts
-    of the rarer kind are drawn as often as those of the other.
+    one is taken for toxic. The first rounds draw windows at random instead. Toxic
+    texts are drawn up to twice a round, since they are rare. There are LEAST_ROUNDS
+    rounds, and more for few texts, so that there are always about STEPS steps.
     """
     p, rng = fresh(seed), np.random.default_rng(seed)
     number: dict[str, int] = {}
@@ -224,10 +228,12 @@ def train(texts: list[str], labels: list[int], rounds: int = 10, batch: int = 12
     owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
     every = np.concatenate(cut)
     opt = Adam(p, rate)
-    times = max(1, int((y == 0).sum() // max(1, (y == 1).sum())))
+    times = min(2, max(1, int((y == 0).sum() // (y == 1).sum())))
+    per_round = (2 * (y == 0).sum() + times * (y == 1).sum()) / batch
+    rounds = max(LEAST_ROUNDS, int(STEPS / per_round))
     for r in range(rounds):
         opt.rate = rate * (1 - 0.8 * r / rounds)
-        if r < 2:
+        if r < rounds // 5 + 1:
             s = rng.random(len(every))
         else:
             gates = projected(p, inputs(p, rows))
@@ -237,7 +243,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 10, batch: int = 12
         top = order[last]
         clean = np.flatnonzero(y[owner] == 0)
         more = rng.choice(clean, min(len(clean), int((y == 0).sum())), replace=False)
-        chosen = np.concatenate([top[y == 0], np.repeat(top[y == 1], min(times, 2)), more])
+        chosen = np.concatenate([top[y == 0], np.repeat(top[y == 1], times), more])
         rng.shuffle(chosen)
         for i in range(0, len(chosen), batch):
             part = chosen[i : i + batch]

@@ -17,7 +17,7 @@ from recon.llm.common import fold_of, whole_text
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 # Bounds of the training sample: texts of each kind, and characters of a text that may be in it.
-TOXIC_TEXTS, CLEAN_TEXTS, SAMPLE_CHARS = 1500, 4000, 20_000
+TOXIC_TEXTS, CLEAN_TEXTS, SAMPLE_CHARS = 1000, 3000, 20_000
 
 _models: dict[str, gru.Scorer] = {}
 
