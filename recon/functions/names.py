@@ -82,7 +82,7 @@ class Remapping:
         out = []
         for s, t in self.mapping.items():
             if self._fold(s) not in have_s:
-                out.append(f"Source column '{s}' in mapping not found in source table")
+                out.append(f"mapping {s}:{t} is not used: side A has no column {s}")
             if self._fold(t) not in have_t:
-                out.append(f"Target column '{t}' in mapping not found in target table")
+                out.append(f"mapping {s}:{t} is not used: side B has no column {t}")
         return out

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recon.functions.normalize import epoch_micros, json_text
+from recon.functions.normalize import common_scale, epoch_micros, json_text, normalize, number_text, timestamp_text, uuid_text
 
 # Accepted precision levels with their length in microseconds.
 PRECISION_MICROS = {
@@ -34,11 +34,12 @@ def distinct_from(a: Column, b: Column) -> Column:
 
 
 def beyond_tolerance(a: Column, b: Column, tolerance: float) -> Column:
-    """NULL on one side is always a difference; otherwise the gap must exceed the tolerance."""
+    """Equal values are no difference, NULL on one side always is; otherwise the gap must exceed the tolerance."""
     if tolerance is None or tolerance <= 0:
         return distinct_from(a, b)
     gap = F.abs(a - b) > F.lit(tolerance)
-    return F.when(a.isNull() | b.isNull(), distinct_from(a, b)).otherwise(gap)
+    # NaN against NaN and infinity against itself have no gap to speak of, but are equal.
+    return F.when(a.isNull() | b.isNull() | a.eqNullSafe(b), distinct_from(a, b)).otherwise(gap)
 
 
 def tolerance_digits(tolerance: float) -> int:
@@ -101,20 +102,63 @@ class CompareRules:
     ignore_blanks: bool = False
     ignored_columns: frozenset[str] = field(default_factory=frozenset)
 
-    def differs(self, a: Column, b: Column, name: str, left: T.DataType, right: T.DataType) -> Column:
+    timestamp_digits: int | None = None
+    timestamp_rounds: bool = False
+
+    def tolerant(self, name: str, left: T.DataType, right: T.DataType) -> bool:
+        """Whether a pair is compared by a gap, which is no equivalence and so has no comparable value."""
+        both = isinstance(left, T.NumericType) and isinstance(right, T.NumericType)
+        return bool(self.float_tolerance) and both and isinstance(left, FRACTIONAL) | isinstance(right, FRACTIONAL)
+
+    def comparable(
+        self, c: Column, name: str, own: T.DataType, other: T.DataType, form: str | None = None
+    ) -> tuple[Column, T.DataType]:
+        """The value of one side of a column pair that equals the other side's exactly when the pair counts as equal.
+
+        Every algorithm compares by this value: the join tests it, row hashes and row
+        sets are made of it. `name` is the column's name in A, `own` and `other` are the
+        declared types of this side and the other, `form` the pair's text form.
+        """
+        text = T.StringType()
+        variant = isinstance(own, T.VariantType)
+        if self.json_mode and (name in self.json_columns or variant):
+            c = F.to_json(c) if variant else c
+            if self.json_mode == "exact":
+                return c, text
+            if self.json_mode == "keys_only":
+                return F.to_json(_key_list(c)), text
+            return json_text(c), text
+        if isinstance(own, TEMPORAL) and isinstance(other, TEMPORAL):
+            if self.timestamp_precision:
+                return truncate_timestamp(c, self.timestamp_precision), T.LongType()
+            if self.timestamp_digits is not None:
+                return timestamp_text(c, self.timestamp_digits, self.timestamp_rounds), text
+            return (c, own) if own == other else (epoch_micros(c), T.LongType())
+        if isinstance(own, T.NumericType) and isinstance(other, T.NumericType):
+            if own == other:
+                return c, own
+            scale = common_scale(own, other)
+            # Integers of different widths are exact as decimals; fractions meet at the common scale.
+            return number_text(c, scale or 0), text
+        if isinstance(own, T.StringType) and isinstance(other, T.StringType):
+            if form == "uuid":
+                c = uuid_text(c)
+            elif form == "json":
+                c = json_text(c)
+            c = F.lower(c) if self.ignore_case else c
+            return (F.trim(c) if self.ignore_blanks else c), text
+        if isinstance(own, (T.MapType, T.VariantType)):
+            return F.to_json(c), text
+        if own == other:
+            return c, own
+        return normalize(c, own, scale=common_scale(own, other), form=form), text
+
+    def differs(
+        self, a: Column, b: Column, name: str, left: T.DataType, right: T.DataType, form: str | None = None
+    ) -> Column:
         """The predicate for one column pair, chosen by the declared types."""
-        if self.json_mode and (name in self.json_columns or isinstance(left, T.VariantType)):
-            if isinstance(left, T.VariantType):
-                a, b = F.to_json(a), F.to_json(b)
-            return json_differs(a, b, self.json_mode)
-        if self.float_tolerance and isinstance(left, FRACTIONAL):
+        if self.tolerant(name, left, right):
             return beyond_tolerance(a, b, self.float_tolerance)
-        if self.timestamp_precision and isinstance(left, TEMPORAL):
-            return distinct_from(
-                truncate_timestamp(a, self.timestamp_precision), truncate_timestamp(b, self.timestamp_precision)
-            )
-        if isinstance(left, T.StringType) and isinstance(right, T.StringType):
-            return text_differs(a, b, ignore_case=self.ignore_case, ignore_blanks=self.ignore_blanks)
-        if isinstance(left, (T.MapType, T.VariantType)) or isinstance(right, (T.MapType, T.VariantType)):
-            return distinct_from(F.to_json(a), F.to_json(b))
-        return distinct_from(a, b)
+        return distinct_from(
+            self.comparable(a, name, left, right, form)[0], self.comparable(b, name, right, left, form)[0]
+        )

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from recon.functions.checksum import fingerprint
 from recon.functions.names import Remapping
 from recon.functions.normalize import common_scale, json_text
-from recon.functions.predicates import CompareRules, truncate_timestamp
+from recon.functions.predicates import CompareRules
 from recon.operators.joindiff import pair_columns
 from recon.operators.segments import Segmenter, make_segmenter, segment_checksums, table_checksum
-from recon.sources.side import TableSide, check_keys
+from recon.sources.side import TableSide, check_keys, pair_form, with_key_forms
 
 # Default number of segments per level and the row count below
 # which a segment is compared row by row.
@@ -26,11 +26,6 @@ THRESHOLD = 16_384
 LEVELS = 4
 MAX_SEGMENTS = 65_536
 
-# A key with more rows than this is handled without shuffling its rows. The
-# list of such keys can be broadcast: a table of N rows has at most
-# N / HOT_KEY_ROWS of them.
-HOT_KEY_ROWS = 1_000_000
-
 
 def common_scales(a: TableSide, b: TableSide) -> tuple[dict[str, int], dict[str, int]]:
     """Lowest common fraction digits of each column pair, by name on either side."""
@@ -58,25 +53,10 @@ def check_column_types(a: TableSide, b: TableSide, strict: bool = True) -> list[
 # ---- row sets ---------------------------------------------------------------
 
 
-def _comparable(c: Column, name: str, dtype: T.DataType, rules: CompareRules) -> Column:
-    """The value that has to be equal on both sides for the column to count as equal."""
-    if rules.json_mode in ("normalized", "semantic") and name in rules.json_columns:
-        return json_text(c)
-    if rules.float_tolerance and isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        raise ValueError("a tolerance is no equivalence relation; use join_diff for float_tolerance")
-    if rules.timestamp_precision and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return truncate_timestamp(c, rules.timestamp_precision)
-    if isinstance(dtype, T.StringType):
-        c = F.lower(c) if rules.ignore_case else c
-        c = F.trim(c) if rules.ignore_blanks else c
-    return c
-
-
 def _row_hashes(a: TableSide, b: TableSide, which: str, rules: CompareRules, *, with_keys: bool = False) -> list[Column]:
-    """Two 64-bit hashes over the compared values of one side ('-' is A, '+' is B).
+    """Two 64-bit hashes over the comparable values of one side ('-' is A, '+' is B).
 
-    A pair of different types is hashed as common text, so equal values hash
-    alike; everything else is hashed as it is, without turning into text.
+    They are the values that the join compares, so all algorithms agree on what is equal.
     """
     n, compared = len(a.keys), []
     for i, (ca, cb) in enumerate(pair_columns(a, b)):
@@ -84,12 +64,11 @@ def _row_hashes(a: TableSide, b: TableSide, which: str, rules: CompareRules, *,
         if (is_key and not with_keys) or (not is_key and ca in rules.ignored_columns):
             continue
         one, name = (a, ca) if which == "-" else (b, cb)
-        da, db = a.dtype(ca), b.dtype(cb)
-        if da != db:
-            c, dtype = one.text(name, scale=common_scale(da, db)), T.StringType()
-        else:
-            c, dtype = F.col(name), da
-        compared.append((c if is_key else _comparable(c, ca, dtype, rules), dtype))
+        own, other = (a.dtype(ca), b.dtype(cb)) if which == "-" else (b.dtype(cb), a.dtype(ca))
+        if not is_key and rules.tolerant(ca, own, other):
+            raise ValueError("a tolerance is no equivalence relation; use join_diff for float_tolerance")
+        how = CompareRules() if is_key else rules
+        compared.append(how.comparable(F.col(name), ca, own, other, pair_form(a, b, ca, cb)))
     return fingerprint(compared)
 
 
@@ -144,7 +123,6 @@ def rowset_diff(
     b: TableSide,
     *,
     rules: CompareRules | None = None,
-    hot_key_rows: int = HOT_KEY_ROWS,
     as_text: bool = True,
 ) -> DataFrame:
     """D3: duplicate-safe difference: `(sign, keys.., values..)`.
@@ -154,28 +132,18 @@ def rowset_diff(
     that is not ignored. Ignored columns stay in the output.
 
     First pass: per key two counts and two hash ranges (small, pre-aggregated).
-    Second pass: the rows of the reported keys by a left-semi join, which
-    becomes a broadcast when few keys differ. Keys with more than `hot_key_rows`
-    rows are always reported, so their rows are picked by a broadcast join and
-    never shuffled; no task has to hold the rows of one key. NULL keys form a
-    group like any other.
+    Second pass: the rows of the reported keys by a left-semi join. It becomes a
+    broadcast when few keys differ; otherwise adaptive execution can split the
+    rows of a frequent key over tasks, since no row of the left side needs another.
+    NULL keys form a group like any other.
     """
     check_keys(a, b)
+    a, b = with_key_forms(a, b)
     rules = rules or CompareRules()
-    n = len(a.keys)
-    keys = [f"k{i}" for i in range(n)]
-    hot_key_rows = max(hot_key_rows, 2)  # three rows of a key cannot be one on each side
+    keys = [f"k{i}" for i in range(len(a.keys))]
     tagged = _tagged(a, b, rules)
-    # Both lists are filters over the same aggregate, so its shuffle is reused.
-    reported = _key_verdicts(tagged, keys).where("reported")
-    size = F.col("n_a") + F.col("n_b")
-    hot = F.broadcast(reported.where(size > hot_key_rows).select(*keys))
-    cold = reported.where(size <= hot_key_rows).select(*keys)
-
-    picked_hot = _semi(tagged, hot, keys)
-    picked_cold = _semi(_semi(tagged, hot, keys, "left_anti"), cold, keys)
-    picked = picked_hot.unionByName(picked_cold)
-    return _named(picked, a, b, as_text)
+    reported = _key_verdicts(tagged, keys).where("reported").select(*keys)
+    return _named(_semi(tagged, reported, keys), a, b, as_text)
 
 
 def _semi(rows: DataFrame, wanted: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
@@ -203,6 +171,7 @@ def rowset_stats(a: TableSide, b: TableSide, *, rules: CompareRules | None = Non
     count rows whose key the other side lacks; `duplicated` counts keys present
     on both sides with several rows on at least one.
     """
+    a, b = with_key_forms(a, b)
     keys = [f"k{i}" for i in range(len(a.keys))]
     v = _key_verdicts(_tagged(a, b, rules or CompareRules()), keys)
     na, nb = F.col("n_a"), F.col("n_b")
@@ -321,6 +290,7 @@ def unequal_parts(
     threshold: int = THRESHOLD,
     levels: int = LEVELS,
     remapping: Remapping | None = None,
+    gaps: bool = False,
 ) -> tuple[TableSide, TableSide]:
     """Both sides cut down to the segments whose rows differ.
 
@@ -329,12 +299,16 @@ def unequal_parts(
     rows or more, the next level cuts only those, `factor` times finer. The
     driver sees unequal segment numbers alone, never more than MAX_SEGMENTS: a
     level that could exceed that is not started, and the rows of the segments
-    found so far are compared instead.
+    found so far are compared instead. `gaps` allows a tolerance: segments are then
+    found by exact equality, and the caller compares their rows by the tolerance.
     """
     _check_factors(factor, threshold)
     check_keys(a, b)
-    left, right = aligned(a, b, remapping)
+    left, right = with_key_forms(*aligned(a, b, remapping))
     check_column_types(left, right)
+    for ca, cb in pair_columns(left, right)[len(left.keys) :]:
+        if ca not in rules.ignored_columns and rules.tolerant(ca, left.dtype(ca), right.dtype(cb)) and not gaps:
+            raise ValueError("a tolerance is no equivalence relation; use join_diff for float_tolerance")
     segmenter = make_segmenter(left, right, min(factor**2, MAX_SEGMENTS))
     if segmenter is None:  # both sides empty: equal (K8)
         return left, right

@@ -13,7 +13,7 @@ from recon.functions.names import Remapping
 from recon.functions.normalize import common_scale
 from recon.functions.predicates import CompareRules
 from recon.operators.keys import any_null, require_sound_keys
-from recon.sources.side import TableSide, check_keys
+from recon.sources.side import TableSide, check_keys, pair_form, with_key_forms
 
 NUMERIC = T.NumericType
 
@@ -61,7 +61,8 @@ class Compared:
         ca, cb = self.pairs[i]
         if ca in self.rules.ignored_columns:
             return F.lit(False)
-        return self.rules.differs(F.col(f"a{i}"), F.col(f"b{i}"), ca, self.a.dtype(ca), self.b.dtype(cb))
+        form = pair_form(self.a, self.b, ca, cb)
+        return self.rules.differs(F.col(f"a{i}"), F.col(f"b{i}"), ca, self.a.dtype(ca), self.b.dtype(cb), form)
 
     def any_value_differs(self) -> Column:
         tests = [self.differs(i) for i in self.value_positions]
@@ -197,10 +198,10 @@ class Compared:
         return self.matched.agg(F.count_if(self.only_a() | self.only_b()).alias("exclusive_count"))
 
     def exclusive_sample(self, n: int = 10, seed: int | None = None) -> DataFrame:
-        """K5: a few exclusive rows; by hash of the key unless a seed asks for a random pick."""
+        """K5: a few exclusive rows, those with the smallest digest of the key, or of seed and key; repeatable either way."""
         rows = self.matched.where(self.only_a() | self.only_b())
-        key = F.md5(F.concat_ws("|", *[c.cast("string") for c in self.key_columns()]))
-        order = F.rand(seed) if seed is not None else key
+        salt = [] if seed is None else [F.lit(str(seed))]
+        order = F.md5(F.concat_ws("|", *salt, *[c.cast("string") for c in self.key_columns()]))
         flat = [self.text(i, w).alias(f"{self.pairs[i][0 if w == 'a' else 1]}_{w}") for i in range(len(self.pairs)) for w in "ab"]
         return rows.orderBy(order, *self.key_columns()).limit(n).select(*flat)
 
@@ -250,6 +251,7 @@ def compare_by_key(
     rows (`null_keys="keep"`) or left out (`"skip"`).
     """
     check_keys(a, b)
+    a, b = with_key_forms(a, b)
     pairs = pair_columns(a, b, remapping)
     n = len(a.keys)
     cols_a = [F.col(ca).alias(f"a{i}") for i, (ca, _) in enumerate(pairs)]
@@ -332,5 +334,6 @@ def join_diff(
     vouches for uniqueness (K4); use `rowset_diff` for data with duplicates.
     """
     check_keys(a, b)
+    a, b = with_key_forms(a, b)
     require_sound_keys(a, b, unique=validate_unique_key, no_nulls=not skip_null_keys)
     return compare_by_key(a, b, rules=rules, remapping=remapping, null_keys="skip")

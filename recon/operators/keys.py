@@ -42,7 +42,7 @@ def null_key_rows(s: TableSide) -> DataFrame:
 
 def require_no_null_keys(s: TableSide) -> None:
     if null_key_rows(s).limit(1).collect():
-        raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
+        raise NullKeysError(f"{s.name} has rows whose key is NULL in part or whole")
 
 
 def key_facts(a: TableSide, b: TableSide) -> list[tuple[int, int]]:
@@ -69,7 +69,7 @@ def require_sound_keys(a: TableSide, b: TableSide, *, unique: bool = True, no_nu
         return
     for s, (nulls, most) in zip((a, b), key_facts(a, b)):
         if no_nulls and nulls:
-            raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
+            raise NullKeysError(f"{s.name} has rows whose key is NULL in part or whole")
         if most > 1:
             require_unique_keys(s)  # names an offending key
 

@@ -156,15 +156,27 @@ def value_distribution(df: DataFrame, column: str, limit: int | None = None) ->
 
 
 def folded_distribution(df: DataFrame, column: str) -> DataFrame:
-    """The 20 most frequent values next to the number of values in the distribution."""
-    top = value_distribution(df, column)
-    w = Window.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())  # at most 100 rows
-    return (
-        top.withColumn("rank", F.row_number().over(w))
-        .withColumn("total_unique_values", F.count(F.lit(1)).over(Window.partitionBy()))
-        .where(F.col("rank") <= SHOWN_VALUES)
-        .select("rank", "value", "n", "total_unique_values")
-    )
+    """The 20 most frequent values next to the number of different values (NULL is one)."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("n").desc(), F.col("value").asc_nulls_last()]
+    top = counts.orderBy(*order).limit(SHOWN_VALUES)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # SHOWN_VALUES rows
+    total = counts.agg(F.count(F.lit(1)).alias("total_unique_values"))  # one row
+    return ranked.join(F.broadcast(total), F.lit(True), "left").select("rank", "value", "n", "total_unique_values")
+
+
+def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A8 for the result store: per column the most frequent values with their counts, as JSON (at most TOP_VALUES each)."""
+    parts = []
+    for c in columns:
+        top = value_distribution(df, c).select("n", F.col("value").cast("string").alias("value"))
+        listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", "n")))
+        texts = F.to_json(F.transform(listed, lambda v: F.struct(v["value"].alias("value"), v["n"].alias("n"))))
+        parts.append(top.agg(F.lit(c).alias("column_name"), texts.alias("value_distribution")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def compare_profiles(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recon.functions.checksum import NULL_TEXT, md5_bucket
+from recon.functions.checksum import NULL_TEXT, low48, md5_bucket
 from recon.plans.lineage import materialize
 
 # Z scores of common confidence levels.
@@ -22,17 +22,24 @@ def z_score(confidence: float) -> float:
     return Z_SCORES.get(confidence) or NormalDist().inv_cdf(1 - (1 - confidence) / 2)
 
 
-def percent_sample(df: DataFrame, percent: float, seed: int = 42) -> DataFrame:
-    """M1: Bernoulli sample, decided row by row inside the scan."""
-    return df.sample(withReplacement=False, fraction=percent / 100.0, seed=seed)
+def _share_of(keys: Sequence[str], seed: int) -> Column:
+    """A number in [0, 1) made of seed and key: the same for a key wherever its row lies."""
+    return low48(F.concat(F.lit(f"{seed}|"), key_text(keys))) / F.lit(float(1 << 48))
 
 
-def fixed_sample(df: DataFrame, n: int, seed: int = 42, margin: float = 1.5) -> DataFrame:
-    """M2: about `n` random rows: an oversampled fraction, then a limit."""
-    total = df.count()
-    if total <= n:
-        return df
-    return df.sample(withReplacement=False, fraction=min(1.0, n / total * margin), seed=seed).limit(n)
+def percent_sample(df: DataFrame, percent: float, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """M1: Bernoulli sample, decided row by row inside the scan; repeatable for any file layout if keys are given."""
+    if keys is None:
+        return df.sample(withReplacement=False, fraction=percent / 100.0, seed=seed)
+    return df.where(_share_of(keys, seed) < percent / 100.0)
+
+
+def fixed_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """M2: exactly `n` random rows (all, if fewer): those with the smallest digest of seed and key.
+
+    The same rows whatever the file layout; each task keeps its own `n` smallest, so there is no full sort.
+    """
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), key_text(keys))), *keys).limit(n)
 
 
 def hashed_sample(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -72,7 +79,7 @@ def key_sample(df: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class SamplePlan:
-    """Settings of automatic sampling."""
+    """Settings for proposing a sample size; nothing is sampled unless a caller asks for it."""
 
     confidence: float = 0.95
     margin_of_error: float = 0.01
@@ -82,7 +89,7 @@ class SamplePlan:
     largest_share: float = 0.8
 
     def size_for(self, rows: int) -> int | None:
-        """M4: sample size for a table, None when it should be compared whole."""
+        """M4: proposed sample size for a table, None when sampling would not pay."""
         if rows <= self.threshold:
             return None
         n = sample_size(rows, self.confidence, self.margin_of_error)
@@ -148,9 +155,14 @@ def systematic_sample(df: DataFrame, keys: Sequence[str], every: int) -> DataFra
     return numbered(df, keys).where(F.col("__place") % every == 0).drop("__place")
 
 
-def stratified_sample(df: DataFrame, stratum: str, fractions: dict[Any, float], seed: int = 42) -> DataFrame:
-    """M7: a fraction per stratum."""
-    return df.sampleBy(stratum, fractions, seed)
+def stratified_sample(
+    df: DataFrame, stratum: str, fractions: dict[Any, float], keys: Sequence[str] | None = None, seed: int = 42
+) -> DataFrame:
+    """M7: a fraction per stratum, none of strata that are not named; repeatable if keys are given."""
+    if keys is None:
+        return df.sampleBy(stratum, fractions, seed)
+    wanted = F.coalesce(*[F.when(F.col(stratum) == F.lit(v), F.lit(f)) for v, f in fractions.items()], F.lit(0.0))
+    return df.where(_share_of(keys, seed) < wanted)
 
 
 def stratified_fixed(df: DataFrame, stratum: str, keys: Sequence[str], n: int) -> DataFrame:

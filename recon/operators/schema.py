@@ -248,15 +248,10 @@ UUID_PATTERN = r"^\s*[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]
 ALPHANUMERIC_PATTERN = r"^[ \-0-9A-Z_a-z]+$"
 
 
-def text_kinds(df: DataFrame, columns: Sequence[str] | None = None, sample_rows: int | None = 64) -> DataFrame:
-    """C14: what text columns hold: UUIDs, alphanumeric keys, a mix, or plain text.
-
-    By default the first rows decide; `sample_rows=None` checks every row.
-    """
+def text_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """C14: what text columns hold: UUIDs, alphanumeric keys, a mix, or plain text; every row is checked, in one aggregate."""
     columns = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
     rows = df.select(*columns)
-    if sample_rows is not None:
-        rows = rows.limit(sample_rows)
     items = []
     for c in columns:
         v = F.col(c)

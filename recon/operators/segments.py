@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recon.functions.checksum import NULL_TEXT, checksum_sum, low48, md5_bucket, row_digest_text, row_text
 from recon.sources.side import TableSide, key_family
 
 
+# Keys within plus and minus this can be subtracted as bigint.
+NARROW = 1 << 62
+
 # More key ranges than this are picked by segment number instead.
 MAX_RANGES = 64
 
@@ -59,6 +64,11 @@ def checkpoints(start: int, end: int, count: int) -> list[int]:
     return [p for p in range(start, end, step)][1 : count + 1] if step else []
 
 
+def key_literal(n: int, wide: bool = False) -> Column:
+    """An integer of any size as a literal; bigint unless it does not fit or `wide` asks for a decimal."""
+    return F.lit(Decimal(n)).cast(T.DecimalType(38, 0)) if wide or not -(2**63) <= n < 2**63 else F.lit(n)
+
+
 @dataclass(frozen=True)
 class Axis:
     """One integer key dimension, cut into `cells` ranges of `width` values; the last takes the rest."""
@@ -75,7 +85,10 @@ class Axis:
         return cls(start, end, inner[0] - start if inner else end - start, len(inner) + 1)
 
     def place(self, key: Column) -> Column:
-        steps = F.call_function("div", key.cast("bigint") - F.lit(self.start), F.lit(self.width)).cast("bigint")
+        wide = not (-NARROW < self.start and self.end < NARROW)  # differences, or keys, may not fit a bigint
+        own = key.cast(T.DecimalType(38, 0)) if wide else key.cast("bigint")
+        gone = own - key_literal(self.start, wide)
+        steps = F.call_function("div", gone, key_literal(self.width, wide)).cast("bigint")
         inside = F.greatest(F.lit(0).cast("bigint"), F.least(steps, F.lit(self.cells - 1).cast("bigint")))
         return F.when(key.isNull(), F.lit(0).cast("bigint")).otherwise(inside)
 
@@ -155,9 +168,9 @@ class Segmenter:
     def _between(self, s: TableSide, first: int, last: int) -> Column:
         axis, key = self.axes[0], F.col(s.keys[0])
         low, high = axis.low(first), axis.high(last)
-        test = F.lit(True) if high is None else key < F.lit(high)
+        test = F.lit(True) if high is None else key < key_literal(high)
         # The first segment is open below and also holds NULL keys.
-        return test | key.isNull() if low is None else test & (key >= F.lit(low))
+        return test | key.isNull() if low is None else test & (key >= key_literal(low))
 
 
 def _runs(numbers: Sequence[int]) -> list[tuple[int, int]]:

@@ -26,7 +26,7 @@ def batch_compare(
             s = compare(a, b, options).stats.first()
             rows.append((name, "completed", s.rows_A, s.rows_B, s.diff_keys, s.match_rate, None))
         except Exception as e:  # noqa: BLE001  (any failure belongs to its own comparison)
-            rows.append((name, "failed", None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+            rows.append((name, "failed", None, None, None, None, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(rows, LAYOUT)
 
 

@@ -9,18 +9,19 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recon.functions.names import Remapping
 from recon.functions.predicates import CompareRules
 from recon.operators import classify, grading, hashdiff, profile, timeline
-from recon.operators.joindiff import Compared, compare_by_key, with_scores
+from recon.operators.joindiff import Compared, compare_by_key, pair_columns, with_scores
 from recon.operators.keys import DuplicateKeysError, NullKeysError, any_null, key_facts, require_sound_keys
-from recon.operators.sampling import SamplePlan, key_sample, modulus
-from recon.operators.schema import unsupported_types
+from recon.operators.sampling import infer, key_sample, modulus
+from recon.operators.schema import text_kinds, unsupported_types
 from recon.plans.lineage import materialize
-from recon.sources.side import TableSide, check_keys
+from recon.sources.side import TableSide, check_keys, pair_form, with_key_forms
 from recon.sources.store import ResultStore, detail_rows
 
 
@@ -36,12 +37,12 @@ class Options:
     strict_types: bool = False
     sample_percent: float | None = None
     sample_size: int | None = None
-    auto_sample: SamplePlan | None = None
     time_column: str | None = None
     timeline_buckets: int = timeline.BUCKETS
     profile_columns: bool = False
     factor: int = hashdiff.FACTOR
     threshold: int = hashdiff.THRESHOLD
+    detect_text_forms: bool = False
 
 
 ALGORITHMS = ("auto", "join", "hash", "rows")
@@ -64,7 +65,7 @@ def choose_algorithm(a: TableSide, b: TableSide, options: Options, same_system:
     else:
         for s, (nulls, most) in zip((a, b), key_facts(a, b)):
             if nulls and not options.skip_null_keys:
-                raise NullKeysError(f"NULL values in one or more primary keys of {s.name}")
+                raise NullKeysError(f"{s.name} has rows whose key is NULL in part or whole")
             unique = unique and most <= 1
     if options.algorithm == "auto":
         return ("rows" if not unique else "join" if same_system else "hash"), unique
@@ -74,15 +75,11 @@ def choose_algorithm(a: TableSide, b: TableSide, options: Options, same_system:
 
 
 def sampled(a: TableSide, b: TableSide, options: Options) -> tuple[TableSide, TableSide]:
-    """M3, M4: the same keys on both sides."""
+    """M3: the same keys on both sides, if a percentage or size is asked for."""
     if options.sample_percent is not None:
         m = modulus(percent=options.sample_percent)
-    elif options.sample_size is not None or options.auto_sample is not None:
-        total = max(s.rows().count() for s in (a, b))
-        size = options.sample_size or options.auto_sample.size_for(total)
-        if size is None:
-            return a, b
-        m = modulus(size=size, total=total)
+    elif options.sample_size is not None:
+        m = modulus(size=options.sample_size, total=max(s.rows().count() for s in (a, b)))
     else:
         return a, b
     return tuple(replace(s, df=key_sample(s.df, s.keys, m)) for s in (a, b))
@@ -105,6 +102,19 @@ class ComparisonResult:
     rows_diff: DataFrame | None
     warnings: DataFrame
     where: tuple[str | None, str | None] = (None, None)
+    whole: tuple[TableSide, TableSide] | None = None
+
+    @cached_property
+    def inference(self) -> DataFrame:
+        """M5: what the differences of a sampled comparison say about the whole tables, one row."""
+        if self.whole is None:
+            raise ValueError("only a sampled comparison has an inference")
+        sizes = [s.rows().agg(F.count(F.lit(1)).alias("n")) for s in self.whole]
+        population = sizes[0].unionByName(sizes[1]).agg(F.max("n").alias("population_size"))  # one row
+        counts = self.stats.select(
+            F.col("diff_keys").alias("sample_differences"), F.greatest("rows_A", "rows_B").alias("sample_size")
+        )
+        return infer(counts.join(F.broadcast(population), F.lit(True), "left"))
 
     @cached_property
     def compared(self) -> Compared:
@@ -182,9 +192,22 @@ class ComparisonResult:
         return grading.alerts(self.stats, dict(thresholds or {}))
 
     def save(self, path: str, comparison_id: str) -> ResultStore:
-        """Write summary, details, column statistics, timeline and metrics."""
-        spark = self.a.df.sparkSession
-        store = ResultStore(spark, path)
+        """Write summary, details, column statistics, timeline and metrics; a run that fails is stored as failed."""
+        store = ResultStore(self.a.df.sparkSession, path)
+        begun = datetime.now(timezone.utc).replace(tzinfo=None)
+        try:
+            return self._save(store, comparison_id)
+        except Exception as e:
+            row = (self.a.name, self.b.name, list(self.a.keys), self.algorithm, begun, "failed", f"{type(e).__name__}: {e}")
+            layout = (
+                "source_table string, target_table string, key_columns array<string>, algorithm string, "
+                "start_time timestamp_ntz, status string, error_message string"
+            )
+            store.save("comparison_summary", comparison_id, store.spark.createDataFrame([row], layout))
+            raise
+
+    def _save(self, store: ResultStore, comparison_id: str) -> ResultStore:
+        spark = store.spark
         begun = datetime.now(timezone.utc).replace(tzinfo=None)
         clock = time.monotonic()
         row = self.stats.first()
@@ -193,6 +216,8 @@ class ComparisonResult:
         if self.options.profile_columns:
             left, right, _ = self.column_statistics()
             labels = F.to_json(F.struct(F.col("p25").alias("25"), F.col("p50").alias("50"), F.col("p75").alias("75")))
+            left = left.join(profile.distributions(self.a.rows(), self.a.columns), "column_name", "left")
+            right = right.join(profile.distributions(self.b.rows(), self.b.columns), "column_name", "left")
             both = left.withColumn("table_side", F.lit("source")).unionByName(right.withColumn("table_side", F.lit("target")))
             store.save("column_statistics", comparison_id, both.withColumn("percentiles", labels))
         if self.options.time_column and self.full is not None:
@@ -252,22 +277,54 @@ def timeline_rows(periods: DataFrame, time_column: str) -> DataFrame:
     )
 
 
+def all_warnings(spark: SparkSession, a: TableSide, b: TableSide, options: Options) -> DataFrame:
+    """Unsupported types, times with and without a zone, and mapping entries without a column."""
+    found = unsupported_types(spark, a, b, strict=options.strict_types)
+    unused = options.remapping.warnings(a.value_columns, b.value_columns) if options.remapping else []
+    rows = [(None, None, None, text) for text in unused]
+    left, right = hashdiff.aligned(a, b, options.remapping)
+    for ca, cb in pair_columns(left, right):
+        if {type(left.dtype(ca)), type(right.dtype(cb))} == {T.TimestampType, T.TimestampNTZType}:
+            rows.append((None, ca, f"{left.dtype(ca).simpleString()}, {right.dtype(cb).simpleString()}", "only one side has a time zone"))
+    return found.unionByName(spark.createDataFrame(rows, found.schema)) if rows else found
+
+
+def with_found_forms(a: TableSide, b: TableSide) -> tuple[TableSide, TableSide]:
+    """C14: text columns that hold nothing but UUIDs on both sides are compared as UUIDs; one aggregate per side."""
+    pairs = [
+        (ca, cb)
+        for ca, cb in pair_columns(a, b)
+        if isinstance(a.dtype(ca), T.StringType) and isinstance(b.dtype(cb), T.StringType) and not pair_form(a, b, ca, cb)
+    ]
+    if not pairs:
+        return a, b
+    kinds = [{r.column_name: r.kind for r in text_kinds(s.rows(), c).collect()} for s, c in zip((a, b), zip(*pairs))]
+    found = [(ca, cb) for ca, cb in pairs if kinds[0][ca] == kinds[1][cb] == "uuid"]
+    left = replace(a, text_forms=a.text_forms + tuple((ca, "uuid") for ca, _ in found))
+    return left, replace(b, text_forms=b.text_forms + tuple((cb, "uuid") for _, cb in found))
+
+
 def compare(a: TableSide, b: TableSide, options: Options | None = None, *, same_system: bool = True) -> ComparisonResult:
     """Compare two sides; the checks run now, the results on demand."""
     options = options or Options()
     check_keys(a, b)
     spark = a.df.sparkSession
-    warnings = unsupported_types(spark, a, b, strict=options.strict_types)
+    warnings = all_warnings(spark, a, b, options)
     where = (a.where, b.where)
-    a, b = sampled(*hashdiff.aligned(a, b, options.remapping), options)
+    a, b = hashdiff.aligned(a, b, options.remapping)
+    if options.detect_text_forms:
+        a, b = with_found_forms(a, b)
+    a, b = whole = with_key_forms(a, b)
+    a, b = sampled(a, b, options)
+    whole = None if options.sample_percent is None and options.sample_size is None else whole
     algorithm, unique = choose_algorithm(a, b, options, same_system)
     left, right = a, b
     if algorithm == "hash":
         left, right = hashdiff.unequal_parts(
-            a, b, rules=options.rules, factor=options.factor, threshold=options.threshold
+            a, b, rules=options.rules, factor=options.factor, threshold=options.threshold, gaps=unique
         )
     if algorithm == "rows" or not unique:
         rows = hashdiff.rowset_diff(left, right, rules=options.rules)
-        return ComparisonResult(a, b, options, algorithm, None, rows, warnings, where)
+        return ComparisonResult(a, b, options, algorithm, None, rows, warnings, where, whole)
     full = compare_by_key(left, right, rules=options.rules, null_keys="skip")
-    return ComparisonResult(a, b, options, algorithm, full, None, warnings, where)
+    return ComparisonResult(a, b, options, algorithm, full, None, warnings, where, whole)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recon.functions.age import age_bounds
-from recon.functions.normalize import normalize
+from recon.functions.normalize import normalize, uuid_text
 
 
 @dataclass(frozen=True)
@@ -47,9 +47,9 @@ class TableSide:
             raise ValueError("min_update/max_update need an update_column")
         if self.min_key is not None and self.max_key is not None:
             if all(lo >= hi for lo, hi in zip(self.min_key, self.max_key)):
-                raise ValueError(f"min_key must be smaller than max_key ({self.min_key} >= {self.max_key})")
+                raise ValueError(f"the key range [{self.min_key}, {self.max_key}) holds no key")
         if self.min_update is not None and self.max_update is not None and self.min_update >= self.max_update:
-            raise ValueError(f"min_update must be smaller than max_update ({self.min_update} >= {self.max_update})")
+            raise ValueError(f"the update window [{self.min_update}, {self.max_update}) holds no time")
         if not self.case_sensitive:
             self._adopt_schema_case()
         for c in self.columns:
@@ -128,6 +128,22 @@ def side(df: DataFrame, keys: str | Sequence[str], columns: Sequence[str] | None
     return TableSide(df, keys, extra_columns=tuple(columns), **options)
 
 
+def pair_form(a: TableSide, b: TableSide, ca: str, cb: str) -> str | None:
+    """Text form of a column pair: the one that either side names."""
+    return dict(a.text_forms).get(ca) or dict(b.text_forms).get(cb)
+
+
+def with_key_forms(a: TableSide, b: TableSide) -> tuple[TableSide, TableSide]:
+    """Both sides with UUID keys in their normal form, so that keys equal in that form match everywhere."""
+    left, right = a, b
+    for ka, kb in zip(a.keys, b.keys):
+        text = isinstance(a.dtype(ka), T.StringType) and isinstance(b.dtype(kb), T.StringType)
+        if text and pair_form(a, b, ka, kb) == "uuid":
+            left = replace(left, df=left.df.withColumn(ka, uuid_text(F.col(ka))))
+            right = replace(right, df=right.df.withColumn(kb, uuid_text(F.col(kb))))
+    return left, right
+
+
 def check_keys(a: TableSide, b: TableSide) -> None:
     """K3: equal arity, key-able types, matching families."""
     if len(a.keys) != len(b.keys):

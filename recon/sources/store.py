@@ -13,10 +13,7 @@ from pyspark.errors import AnalysisException
 from recon.operators.grading import difference_type
 from recon.operators.history import doomed
 
-# Stored layouts, number of stored and of shown differences.
-DETAIL_LIMIT = 1_000
-SHOWN_DETAILS = 100
-
+# Stored layouts.
 LAYOUTS = {
     "comparison_summary": (
         "comparison_id string, source_table string, target_table string, key_columns array<string>, algorithm string, "
@@ -129,19 +126,19 @@ class ResultStore:
                 cleared[f"{name}_comparisons"] = len(ids)
         return cleared
 
-    def details(self, comparison_id: str) -> dict[str, DataFrame]:
-        """H2: everything stored for one comparison, at most 100 differences; reads one partition per table."""
+    def details(self, comparison_id: str, limit: int | None = None) -> dict[str, DataFrame]:
+        """H2: everything stored for one comparison; reads one partition per table. `limit` shows the first differences only."""
         mine = F.col("comparison_id") == comparison_id
         out = {t: self.read(t).where(mine) for t in ("comparison_summary", "column_statistics", "performance_metrics")}
         shown = self.read("difference_details").where(mine)
-        out["difference_details"] = shown.orderBy("row_key", "column_name").limit(SHOWN_DETAILS)
+        out["difference_details"] = shown if limit is None else shown.orderBy("row_key", "column_name").limit(limit)
         return out
 
 
-def detail_rows(compared, limit: int | None = DETAIL_LIMIT) -> DataFrame:
+def detail_rows(compared, limit: int | None = None) -> DataFrame:
     """Differing keys in long form: one row per differing column, or one per exclusive row.
 
-    The store keeps the first `limit` keys (None: all of them); values are kept whole.
+    All differing keys are kept, or the first `limit` if asked; values are kept whole.
     """
     names = compared.pairs_key_names()
     kind = difference_type(F.when(compared.only_a(), "-").when(compared.only_b(), "+").otherwise("!"))

@@ -11,17 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from recon.operators.joindiff import Compared
 from recon.operators.output import csv_fields, json_lines
 
-# Default number of difference rows kept in a table; rows per insert.
-WRITE_LIMIT = 1_000
+# Fixed value: rows per insert.
 INSERT_BATCH = 8_192
 
 
 def materialize_diff(
-    compared: Compared, path: str, *, limit: int | None = WRITE_LIMIT, all_rows: bool = False, fmt: str = "parquet"
+    compared: Compared, path: str, *, limit: int | None = None, all_rows: bool = False, fmt: str = "parquet"
 ) -> DataFrame:
     """Replace the table at `path` by the differing (or all matched) rows; returns the frame read back.
 
-    A limit picks the first rows by key, so repeated runs write the same rows.
+    All rows are written unless a limit is asked for; it picks the first rows by key, so repeated runs write the same rows.
     """
     rows = compared.all_rows() if all_rows else compared.diff_rows()
     if limit is not None and not all_rows:

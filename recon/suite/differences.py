@@ -91,7 +91,100 @@ def rowset_diff(spark, sf):
 def rowset_hot(spark, sf):
     a = side(derive(spark, sf, "lineitem", LINES_A), "l_returnflag", ["l_orderkey"])
     b = side(derive(spark, sf, "lineitem", LINES_B), "l_returnflag", ["l_orderkey"])
-    return hd.rowset_diff(a, b, hot_key_rows=1000)
+    return hd.rowset_diff(a, b)
+
+
+# The same orders with other types: a finer scale, timestamps for dates, and a wider key.
+TYPED_A = "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12,2)) AS price, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM {t}"
+TYPED_B = """SELECT CAST(o_orderkey AS DECIMAL(20,0)) AS o_orderkey,
+  CAST(CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 83 = 0 THEN o_totalprice + 0.001
+       ELSE o_totalprice END AS DECIMAL(14,3)) AS price,
+  CASE WHEN o_orderkey % 61 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 1 HOUR
+       ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS day, o_orderstatus
+FROM {t} WHERE o_orderkey % 97 <> 0"""
+MIXED = f"""WITH a AS ({sql(TYPED_A, 'orders')}), b AS ({sql(TYPED_B, 'orders')}),
+ j AS (SELECT a.o_orderkey AS k, b.o_orderkey IS NULL AS gone FROM a LEFT JOIN b ON a.o_orderkey = b.o_orderkey
+       WHERE b.o_orderkey IS NULL OR a.price <> CAST(b.price AS DECIMAL(12,2)) OR CAST(a.day AS TIMESTAMP) <> b.day
+          OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus)
+ SELECT '-' AS sign, CAST(k AS VARCHAR) AS o_orderkey FROM j UNION ALL SELECT '+', CAST(k AS VARCHAR) FROM j WHERE NOT gone"""
+
+
+def mixed_sides(spark, sf):
+    return tuple(side(derive(spark, sf, "orders", t), "o_orderkey") for t in (TYPED_A, TYPED_B))
+
+
+@check("J1_mixed_types", MIXED)
+def join_mixed(spark, sf):
+    return jd.join_diff(*mixed_sides(spark, sf)).signed_rows().select("sign", "o_orderkey")
+
+
+@check("D2_mixed_types", MIXED)
+def hash_mixed(spark, sf):
+    return hd.hash_diff(*mixed_sides(spark, sf)).select("sign", "o_orderkey")
+
+
+@check("D3_mixed_types", MIXED)
+def rowset_mixed(spark, sf):
+    return hd.rowset_diff(*mixed_sides(spark, sf)).select("sign", "o_orderkey")
+
+
+# Customers by a UUID that one side spells in upper case.
+UUID_OF = (
+    "concat(substr(md5(c_name), 1, 8), '-', substr(md5(c_name), 9, 4), '-', substr(md5(c_name), 13, 4), '-', "
+    "substr(md5(c_name), 17, 4), '-', substr(md5(c_name), 21, 12))"
+)
+NAMED_A = f"SELECT {UUID_OF} AS id, {UUID_OF} AS ref, c_acctbal, c_custkey FROM {{t}}"
+NAMED_B = f"""SELECT upper({UUID_OF}) AS id, concat(' ', upper({UUID_OF})) AS ref,
+  CASE WHEN c_custkey % 31 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_custkey
+FROM {{t}} WHERE c_custkey % 37 <> 0"""
+UUID_SIGNED = f"""WITH a AS ({sql(NAMED_A, 'customer')}), b AS ({sql(NAMED_B, 'customer')}),
+ j AS (SELECT a.id, b.id IS NULL AS gone FROM a LEFT JOIN b ON a.id = lower(b.id) WHERE b.id IS NULL OR a.c_acctbal <> b.c_acctbal)
+ SELECT '-' AS sign, id FROM j UNION ALL SELECT '+', id FROM j WHERE NOT gone"""
+
+
+def uuid_sides(spark, sf):
+    forms = (("id", "uuid"), ("ref", "uuid"))
+    return tuple(side(derive(spark, sf, "customer", t), "id", text_forms=forms) for t in (NAMED_A, NAMED_B))
+
+
+@check("N5_uuid_join", UUID_SIGNED)
+def uuid_join(spark, sf):
+    return jd.join_diff(*uuid_sides(spark, sf)).signed_rows().select("sign", "id")
+
+
+@check("D2_uuid_keys", UUID_SIGNED)
+def uuid_hash(spark, sf):
+    return hd.hash_diff(*uuid_sides(spark, sf)).select("sign", "id")
+
+
+@check("C14_applied_to_compare", UUID_SIGNED)
+def uuid_found(spark, sf):
+    """UUID columns found by looking at all their values, keys and others, with no form given."""
+    a, b = (side(derive(spark, sf, "customer", t), "id") for t in (NAMED_A, NAMED_B))
+    return compare(a, b, Options(detect_text_forms=True, assume_unique_key=True)).diff.select("sign", "id")
+
+
+@check("D3_uuid_keys", UUID_SIGNED)
+def uuid_rows(spark, sf):
+    return hd.rowset_diff(*uuid_sides(spark, sf)).select("sign", "id")
+
+
+# Keys spread over nearly the whole range of a bigint, as hashed keys are.
+WIDE = "CAST((o_orderkey * 7919 % 1000003 - 500000) AS BIGINT) * 18000000000000"
+WIDE_A = f"SELECT {WIDE} AS k, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM {{t}} WHERE o_orderkey < 1000003"
+WIDE_B = f"""SELECT {WIDE} AS k, CAST(CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS DECIMAL(12,2)) AS price
+FROM {{t}} WHERE o_orderkey < 1000003 AND o_orderkey % 97 <> 0"""
+
+
+@check(
+    "D2_wide_keys",
+    f"""WITH a AS ({sql(WIDE_A, 'orders')}), b AS ({sql(WIDE_B, 'orders')}),
+    j AS (SELECT a.k, a.price AS pa, b.price AS pb FROM a LEFT JOIN b ON a.k = b.k WHERE a.price IS DISTINCT FROM b.price)
+    SELECT '-' AS sign, CAST(k AS VARCHAR) AS k, CAST(pa AS VARCHAR) AS price FROM j
+    UNION ALL SELECT '+', CAST(k AS VARCHAR), CAST(pb AS VARCHAR) FROM j WHERE pb IS NOT NULL""",
+)
+def hash_wide(spark, sf):
+    return hd.hash_diff(*(side(derive(spark, sf, "orders", t), "k") for t in (WIDE_A, WIDE_B)), factor=8, threshold=64)
 
 
 @check(

@@ -175,7 +175,13 @@ def exclusive_sample(spark, sf):
     return compared(spark, sf).exclusive_sample()
 
 
-@check("K5_random_exclusive_sample")
+@check(
+    "K5_random_exclusive_sample",
+    MATCHED
+    + """SELECT CAST(a0 AS VARCHAR) AS o_orderkey_a, CAST(b0 AS VARCHAR) AS o_orderkey_b, CAST(a1 AS VARCHAR) AS o_totalprice_a,
+      CAST(b1 AS VARCHAR) AS o_totalprice_b, a2 AS o_orderstatus_a, b2 AS o_orderstatus_b FROM f WHERE xa OR xb
+    ORDER BY md5(concat('11|', CAST(coalesce(a0, b0) AS VARCHAR))), coalesce(a0, b0) LIMIT 10""",
+)
 def random_exclusive_sample(spark, sf):
     return compared(spark, sf).exclusive_sample(seed=11)
 

@@ -76,7 +76,7 @@ def value_distribution(spark, sf):
 @check(
     "A8_folded_distribution",
     EVENT_PAIR
-    + """, d AS (SELECT user_id AS value, count(*) AS n FROM b GROUP BY user_id ORDER BY n DESC, value NULLS LAST LIMIT 100),
+    + """, d AS (SELECT user_id AS value, count(*) AS n FROM b GROUP BY user_id),
     r AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, value NULLS LAST) AS INTEGER) AS rank, value, n, count(*) OVER () AS total_unique_values FROM d)
     SELECT * FROM r WHERE rank <= 20""",
 )

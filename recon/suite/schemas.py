@@ -31,7 +31,7 @@ def _kind_sql(c: str) -> str:
 
 @check("C14_text_kinds", f"WITH u AS ({sql(UUIDS, 'customer')}) " + " UNION ALL ".join(_kind_sql(c) for c in TEXTS))
 def text_kinds(spark, sf):
-    return sc.text_kinds(derive(spark, sf, "customer", UUIDS), TEXTS, sample_rows=None)
+    return sc.text_kinds(derive(spark, sf, "customer", UUIDS), TEXTS)
 
 
 # Type names found row by row, with the number of values that carry them.

@@ -173,13 +173,13 @@ def uuid_segment(spark, sf):
 
 @check(
     "C12_text_key_order",
-    """WITH k AS (SELECT DISTINCT substr(regexp_replace(url, '[^ \\-0-9A-Z_a-z]', '', 'g'), 1, 40) AS id FROM pages)
+    """WITH k AS (SELECT DISTINCT regexp_replace(url, '[^ \\-0-9A-Z_a-z]', '', 'g') AS id FROM pages)
     SELECT id, row_number() OVER (ORDER BY id COLLATE C) AS place FROM k""",
 )
 def text_key_order(spark, sf):
     from recon.operators.sampling import numbered
 
-    ids = table(spark, sf, "pages").select(F.substring(F.regexp_replace("url", r"[^ \-0-9A-Z_a-z]", ""), 1, 40).alias("id"))
+    ids = table(spark, sf, "pages").select(F.regexp_replace("url", r"[^ \-0-9A-Z_a-z]", "").alias("id"))
     return numbered(ids.distinct(), ["id"]).select("id", F.col("__place").alias("place"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from recon.plans.compare import Options, compare
 from recon.plans.lineage import scratch_path
 from recon.sources.readers import connect_to_table, read_files, read_query
 from recon.sources.side import side
+from recon.sources.store import ResultStore
 from recon.sources.writers import create_table_as, drop_table, export_csv, export_jsonl, insert_query, materialize_diff
 from recon.suite.inputs import table
 from recon.suite.matching import DIFFERENT, FLAT, MATCHED, SIGNED, compared, sides
@@ -80,7 +83,7 @@ def materialized_rows(spark, sf):
 @check(
     "S7_difference_details",
     MATCHED
-    + """, d AS (SELECT *, coalesce(a0, b0) AS k FROM f WHERE d0 + d1 + d2 > 0 ORDER BY coalesce(a0, b0) LIMIT 1000),
+    + """, d AS (SELECT *, coalesce(a0, b0) AS k FROM f WHERE d0 + d1 + d2 > 0),
     j AS (SELECT *, concat('{"o_orderkey":', k, '}') AS row_key FROM d)
     SELECT row_key, 'value_different' AS difference_type, 'medium' AS severity, 'o_totalprice' AS column_name, CAST(a1 AS VARCHAR) AS source_value,
       CAST(b1 AS VARCHAR) AS target_value FROM j WHERE NOT xa AND NOT xb AND d1 = 1
@@ -110,6 +113,39 @@ def stored_summary(spark, sf):
     )
 
 
+@check(
+    "S7_failed_run",
+    "SELECT 'orders' AS source_table, 'failed' AS status, true AS told, count(*) AS rows_tried FROM orders GROUP BY ALL",
+)
+def failed_run(spark, sf):
+    """A run that breaks leaves its message behind."""
+    a, b = sides(spark, sf)
+    broken = replace(b, df=b.df.withColumn("o_totalprice", F.expr("CAST(raise_error('broken price') AS DECIMAL(12,2))")))
+    path = scratch_path(spark, "store")
+    with suppress(Exception):
+        compare(a, broken, Options(assume_unique_key=True, skip_null_keys=True)).save(path, "one")
+    told = ResultStore(spark, path).read("comparison_summary").select(
+        "source_table", "status", F.contains("error_message", F.lit("broken price")).alias("told")
+    )
+    return told.join(F.broadcast(a.df.agg(F.count(F.lit(1)).alias("rows_tried"))), F.lit(True), "left")
+
+
+@check(
+    "S7_column_statistics",
+    """WITH a AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1)
+    SELECT 'o_orderstatus' AS column_name, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_rows FROM a""",
+)
+def stored_statistics(spark, sf):
+    """The stored value distribution of a column, read back from its JSON."""
+    options = Options(assume_unique_key=True, profile_columns=True)
+    store = compare(*sides(spark, sf), options).save(scratch_path(spark, "store"), "one")
+    mine = store.read("column_statistics").where("table_side = 'source' AND column_name = 'o_orderstatus'")
+    values = F.from_json("value_distribution", "array<struct<value string, n long>>")
+    return mine.select("column_name", F.explode(values).alias("v")).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_values"), F.sum("v.n").alias("n_rows")
+    )
+
+
 @check(
     "S9_json_lines",
     MATCHED
@@ -128,12 +164,12 @@ ROW_JSON = """concat('{"o_orderkey":"', {s}0, '","o_totalprice":"', {s}1, '"', C
 @check(
     "H2_details",
     MATCHED
-    + """, d AS (SELECT *, coalesce(a0, b0) AS k FROM f WHERE d0 + d1 + d2 > 0 ORDER BY coalesce(a0, b0) LIMIT 1000),
+    + """, d AS (SELECT *, coalesce(a0, b0) AS k FROM f WHERE d0 + d1 + d2 > 0),
     j AS (SELECT *, concat('{"o_orderkey":', k, '}') AS row_key FROM d),
     c AS (SELECT row_key, 'o_totalprice' AS column_name, 'value_different' AS difference_type FROM j WHERE NOT xa AND NOT xb AND d1 = 1
       UNION ALL SELECT row_key, 'o_orderstatus', 'value_different' FROM j WHERE NOT xa AND NOT xb AND d2 = 1
       UNION ALL SELECT row_key, NULL, CASE WHEN xa THEN 'missing_in_target' ELSE 'missing_in_source' END FROM j WHERE xa OR xb)
-    SELECT * FROM c ORDER BY row_key COLLATE C, column_name NULLS FIRST LIMIT 100""",
+    SELECT * FROM c""",
 )
 def details(spark, sf):
     store = compare(*sides(spark, sf), Options(assume_unique_key=True)).save(scratch_path(spark, "store"), "one")
@@ -142,14 +178,14 @@ def details(spark, sf):
 
 @check(
     "S10_create_insert",
-    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
 )
 def create_insert(spark, sf):
     """A table from a query, then an insert from another; read back from its folder."""
     t, path, name = table(spark, sf, "orders"), scratch_path(spark, "managed"), f"recon_{uuid.uuid4().hex}"
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
     create_table_as(t.where("o_orderstatus = 'F'").select(*columns), name, path=path)
-    insert_query(t.where("o_orderstatus = 'O'").select(*columns), name)
+    insert_query(t.where("o_orderstatus IS DISTINCT FROM 'F'").select(*columns), name)
     drop_table(spark, name)
     return spark.read.parquet(path)
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from recon.operators import sampling as sp
 from recon.operators import timeline as tl
 from recon.operators.joindiff import compare_by_key
+from recon.plans.compare import Options, compare
 from recon.suite.differences import EVENT_PAIR, event_sides
 from recon.suite.inputs import EVENTS_A, derive, table
-from recon.suite.matching import MATCHED, compared
+from recon.suite.matching import MATCHED, compared, sides
 from recon.suite.registry import check
 
 # Width in seconds by the range of the table, as a CASE chain.
@@ -141,14 +142,17 @@ def labels(spark, sf):
     return table(spark, sf, "events").select("event_id", *shown)
 
 
-@check("M1_percent_sample")
+SHARE = "('0x' || substr(md5(concat('42|', CAST(o_orderkey AS VARCHAR))), 21, 12))::BIGINT / 281474976710656::DOUBLE"
+
+
+@check("M1_percent_sample", f"SELECT * FROM orders WHERE {SHARE} < 0.1")
 def percent_sample(spark, sf):
-    return sp.percent_sample(table(spark, sf, "orders"), 10.0)
+    return sp.percent_sample(table(spark, sf, "orders"), 10.0, ["o_orderkey"])
 
 
-@check("M2_fixed_sample")
+@check("M2_fixed_sample", "SELECT * FROM orders ORDER BY md5(concat('42|', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 100")
 def fixed_sample(spark, sf):
-    return sp.fixed_sample(table(spark, sf, "orders"), 100)
+    return sp.fixed_sample(table(spark, sf, "orders"), 100, ["o_orderkey"])
 
 
 @check("M2_hashed_sample", "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
@@ -192,8 +196,7 @@ def sample_size(spark, sf):
     return out
 
 
-@check(
-    "M5_inference",
+INFERENCE = (
     MATCHED
     + """, s AS (SELECT count(*) FILTER (WHERE coalesce(a0, b0) % 10 = 0 AND d0 + d1 + d2 > 0) AS k,
       greatest(count(*) FILTER (WHERE a0 % 10 = 0), count(*) FILTER (WHERE b0 % 10 = 0)) AS n, greatest(count(a0), count(b0)) AS total FROM f),
@@ -201,8 +204,11 @@ def sample_size(spark, sf):
     SELECT k AS sample_differences, n AS sample_size, total AS population_size, round(p, 9) AS sample_proportion, round(se, 9) AS standard_error,
       round(1.96 * se, 9) AS margin_of_error, round(greatest(0, p - 1.96 * se), 9) AS ci_low, round(least(1, p + 1.96 * se), 9) AS ci_high,
       CAST(floor(p * total) AS BIGINT) AS estimated_differences, CAST(floor(greatest(0, p - 1.96 * se) * total) AS BIGINT) AS estimated_low,
-      CAST(floor(least(1, p + 1.96 * se) * total) AS BIGINT) AS estimated_high, round(total / n, 9) AS extrapolation_factor FROM p""",
+      CAST(floor(least(1, p + 1.96 * se) * total) AS BIGINT) AS estimated_high, round(total / n, 9) AS extrapolation_factor FROM p"""
 )
+
+
+@check("M5_inference", INFERENCE)
 def inference(spark, sf):
     c = compared(spark, sf)
     kept = F.pmod(F.coalesce("a0", "b0"), F.lit(10)) == 0
@@ -216,6 +222,14 @@ def inference(spark, sf):
     return out.withColumns({r: F.round(r, 9) for r in real})
 
 
+@check("M5_sampled_compare", INFERENCE)
+def sampled_compare(spark, sf):
+    """The inference that a sampled comparison carries."""
+    out = compare(*sides(spark, sf), Options(assume_unique_key=True, sample_percent=10)).inference
+    real = ["sample_proportion", "standard_error", "margin_of_error", "ci_low", "ci_high", "extrapolation_factor"]
+    return out.withColumns({r: F.round(r, 9) for r in real})
+
+
 @check(
     "M6_systematic",
     """SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations) WHERE rn % 7 = 0""",
@@ -225,9 +239,13 @@ def systematic(spark, sf):
     return sp.systematic_sample(t, ["conv_id", "turn"], 7)
 
 
-@check("M7_stratified")
+@check(
+    "M7_stratified",
+    f"SELECT * FROM orders WHERE {SHARE} < CASE o_orderstatus WHEN 'F' THEN 0.1 WHEN 'O' THEN 0.2 WHEN 'P' THEN 0.5 ELSE 0 END",
+)
 def stratified(spark, sf):
-    return sp.stratified_sample(table(spark, sf, "orders"), "o_orderstatus", {"F": 0.1, "O": 0.2, "P": 0.5})
+    shares = {"F": 0.1, "O": 0.2, "P": 0.5}
+    return sp.stratified_sample(table(spark, sf, "orders"), "o_orderstatus", shares, ["o_orderkey"])
 
 
 @check(

@@ -27,7 +27,7 @@ def test_duplicates_report_every_row(spark):
         [("-", "12", "ABCDE")] * 2 + [("+", "4", "ABCDEF")] + [("+", "4", "ABCDE")] * 2 + [("+", "6", "ABCDE")] * 3
     )
     assert rows_of(rowset_diff(a, b)) == expected
-    assert rows_of(rowset_diff(a, b, hot_key_rows=2)) == expected
+    assert rows_of(rowset_diff(a, b)) == expected
     assert rows_of(hash_diff(a, b, factor=2, threshold=4)) == expected
 
 
@@ -234,5 +234,4 @@ def test_row_sets_with_duplicates_against_brute_force(spark, seed):
             expected += [("-", *r) for r in la] + [("+", *r) for r in rb]
     a, b = (side(spark.createDataFrame(rows, "k int, v string"), "k") for rows in (left, right))
     order = lambda rows: sorted(rows, key=repr)
-    for hot in (2, 3, 1000):
-        assert order(tuple(r) for r in rowset_diff(a, b, hot_key_rows=hot, as_text=False).collect()) == order(expected)
+    assert order(tuple(r) for r in rowset_diff(a, b, as_text=False).collect()) == order(expected)

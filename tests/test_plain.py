@@ -69,8 +69,8 @@ def test_remapping():
         ("same", "same"),
     ]
     assert r.warnings(["user_id"], ["y"]) == [
-        "Target column 'customer_id' in mapping not found in target table",
-        "Source column 'x' in mapping not found in source table",
+        "mapping user_id:customer_id is not used: side B has no column customer_id",
+        "mapping x:y is not used: side A has no column x",
     ]
     loose = Remapping({"User_ID": "cust"}, case_sensitive=False)
     assert loose.pairs(["user_id", "Name"], ["CUST", "name"]) == [("user_id", "CUST"), ("Name", "name")]

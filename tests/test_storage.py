@@ -238,7 +238,7 @@ def test_systematic_numbers_every_row(spark):
 def test_samples(spark):
     df = spark.range(1000)
     assert 30 < sp.percent_sample(df, 10).count() < 200
-    assert sp.fixed_sample(df, 50).count() == 50 and sp.fixed_sample(df, 5000).count() == 1000
+    assert sp.fixed_sample(df, 50, ["id"]).count() == 50 and sp.fixed_sample(df, 5000, ["id"]).count() == 1000
     assert sp.hashed_sample(df, ["id"], 10).collect() == sp.hashed_sample(df, ["id"], 10).collect()
     strata = df.withColumn("g", F.col("id") % 3)
     counts = sp.stratified_fixed(strata, "g", ["id"], 7).groupBy("g").count().collect()
