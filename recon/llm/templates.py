@@ -59,22 +59,22 @@ def repeated_lines(
     # Lines of one document only cannot recur across documents.
     shared = lines.join(leaves.where("n > 1 AND a <> b").select("leaf"), "leaf", "left_semi")
     placed = materialize(
-        shared.select("row_id", "doc_id", "line", "leaf", F.posexplode("fields").alias("place", "field")).withColumn(
-            "spot", F.xxhash64("leaf", "place", "field")
+        shared.select("row_id", "doc_id", "line", "leaf", F.posexplode("fields").alias("place", "field")).select(
+            "row_id", "doc_id", "line", F.xxhash64("leaf", "place", "field").alias("spot")
         ),
         "fields",
     )
     often = placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("spot")
-    # A template is the sum of the hashes of its constant fields, which stand for field and place.
+    # A spot stands for leaf, place and field; a template is told by the number, sum and exclusive-or of its constant spots.
     marked = placed.join(often.withColumn("hit", F.col("spot")), "spot", "left")
-    of_line = marked.groupBy("row_id", "doc_id", "line", "leaf").agg(
+    of_line = marked.groupBy("row_id", "doc_id", "line").agg(
         F.count("hit").alias("kept"),
         F.count(F.lit(1)).alias("all"),
-        F.sum(F.col("hit").cast("decimal(20,0)")).alias("sum"),
-        F.bit_xor(F.xxhash64(F.lit(1), "hit")).alias("mix"),
+        F.sum(F.shiftright("hit", 6)).alias("sum"),
+        F.bit_xor("hit").alias("mix"),
     )
     told = of_line.where(F.col("kept") >= constant * F.col("all"))
-    told = materialize(told.select("row_id", "doc_id", "line", F.xxhash64("leaf", "sum", "mix", "kept").alias("template")), "told")
+    told = materialize(told.select("row_id", "doc_id", "line", F.xxhash64("sum", "mix", "kept", "all").alias("template")), "told")
     first = told.groupBy("template").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id"))).alias("first"),
         F.min("row_id").alias("a"),
