@@ -18,7 +18,7 @@ import numpy as np
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 12
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
-LEAST_ROUNDS, STEPS = 8, 500
+LEAST_ROUNDS, MOST_ROUNDS, STEPS = 8, 60, 500
 KEEP = 30.0  # update-gate input of the padding word: the state passes unchanged
 STARTS = (6, 7, 8, 9, 10)  # lengths of word beginnings, with the mark, that count as n-grams
 PAD = 0  # its number
@@ -214,7 +214,7 @@ def train(texts: list[str], labels: list[int], batch: int = 128, rate: float = 0
     Only some windows of a toxic text are toxic, and which is not told; the highest
     one is taken for toxic. The first rounds draw windows at random instead. Toxic
     texts are drawn up to twice a round, since they are rare. There are LEAST_ROUNDS
-    rounds, and more for few texts, so that there are always about STEPS steps.
+    rounds, and up to MOST_ROUNDS for few texts, to reach STEPS steps.
     """
     p, rng = fresh(seed), np.random.default_rng(seed)
     number: dict[str, int] = {}
@@ -230,7 +230,7 @@ def train(texts: list[str], labels: list[int], batch: int = 128, rate: float = 0
     opt = Adam(p, rate)
     times = min(2, max(1, int((y == 0).sum() // (y == 1).sum())))
     per_round = (2 * (y == 0).sum() + times * (y == 1).sum()) / batch
-    rounds = max(LEAST_ROUNDS, int(STEPS / per_round))
+    rounds = min(MOST_ROUNDS, max(LEAST_ROUNDS, int(STEPS / per_round)))
     for r in range(rounds):
         opt.rate = rate * (1 - 0.8 * r / rounds)
         if r < rounds // 5 + 1:
