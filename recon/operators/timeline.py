@@ -132,7 +132,10 @@ def timeline(compared: Compared, column: str, buckets: Buckets) -> DataFrame:
     are meaningful. One aggregate over the matched rows; what is joined to the
     bucket list has at most one row per bucket.
     """
-    i = [ca for ca, _ in compared.pairs].index(column)
+    names = [ca for ca, _ in compared.pairs]
+    if column not in names:
+        raise ValueError(f"time column {column!r} is not among the compared columns: {', '.join(names)}")
+    i = names.index(column)
     at_a, at_b = buckets.number(F.col(f"a{i}")), buckets.number(F.col(f"b{i}"))
     kind = F.when(compared.only_a(), "t").when(compared.only_b(), "s").when(compared.changed(), "v")
     # Rows fall into few (bucket, bucket, kind) classes; only those are spread out.

@@ -238,3 +238,9 @@ def test_release_columns(spark):
     assert {x.column_name: x.difference_type for x in r.columns.collect()} == {"q": "type_changed", "extra": "only_in_target"}
     assert tuple(r.summary().first()) == (2, 2, 1, 1, 0, 1)
     assert [x.column_name for x in r.values_changed().collect()] == ["v"]
+
+
+def test_timeline_names_a_missing_time_column(spark):
+    s = side(spark.createDataFrame([(1, 2)], "k int, v int"), "k")
+    with pytest.raises(ValueError, match="time column 'at'"):
+        tl.timeline(compare_by_key(s, s), "at", None)
