@@ -7,10 +7,10 @@
    among the K smallest hashes of their union are common: at J = 0.8 and K = 32
    about 5 in 10^10 pairs. Small sets are listed under their smallest values, as
    many as must hold a common one, which misses nothing.
-3. Lists of more than LIST_PAIRS members are listed again under longer runs. What
-   is still long there is a mass of near copies: its members are
-   compared with three hubs first, and then all those that are in another
-   component than most of the list are compared with the whole list.
+3. Members of lists with more than LIST_PAIRS members are compared with two hubs of
+   the list and listed again under longer runs. What is still long there is a mass
+   of near copies: its members that are then in another component than most of the
+   list are compared with the whole list.
 4. Pairs pass if size ratio and the overlap of the union's sketch allow the
    threshold; the survivors are compared on full sets.
 5. Components of the confirmed links give the groups.
@@ -35,8 +35,8 @@ from recon.plans.lineage import materialize
 
 WORDS, PERCENT = 5, 80
 K = 32
-LIST_PAIRS = 64
-RUNS = (2, 3, 4, 6, 8)
+LIST_PAIRS = 16
+RUNS = (2, 12)
 # Of the K smallest hashes of a union so many must be common; at J = 0.8 fewer come once in 10^9 pairs.
 LEAST_COMMON = 10
 KNOWN_WORDS = 1_000_000
@@ -140,7 +140,7 @@ def _short_pairs(listed: DataFrame, counts: DataFrame, most: int, percent: int)
 
 
 def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs from short lists, and the members (key, rep, n) of lists that stay long."""
+    """Pairs from short lists and with hubs of long ones, and the members (key, rep, n) of lists that stay long."""
     edge = k * 100 // percent
     pairs, long_members = [], []
 
@@ -149,7 +149,9 @@ def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataF
     pairs.append(_short_pairs(small, counts, most, percent))
     long_keys = counts.where(F.col("members") > most).select("key")
     if long_keys.take(1):
-        long_members.append(small.join(long_keys, "key").select("key", "rep", "n"))
+        long = small.join(long_keys, "key").select("key", "rep", "n")
+        pairs.append(_hub_pairs(long, percent))
+        long_members.append(long)
 
     large = reps.where(F.col("n") > k)
     listed, parents = _listed(large, RUNS[0]), None
@@ -163,19 +165,21 @@ def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataF
         if not parents.take(1):
             parents = None
             break
+        long = listed.join(parents, "key").select("key", "rep", "n")
+        pairs.append(_hub_pairs(long, percent))
     if parents is not None:
-        long_members.append(listed.join(parents, "key").select("key", "rep", "n"))
+        long_members.append(long)
     members = materialize(reduce(DataFrame.unionByName, long_members), "long-lists") if long_members else None
     return reduce(DataFrame.unionByName, pairs), members
 
 
 def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Every member with three hubs of its list: linear in the list."""
-    pick = members.groupBy("key").agg(
-        F.min("rep").alias("h1"), F.max("rep").alias("h2"), F.min_by("rep", F.xxhash64("rep")).alias("h3")
-    )
-    met = members.join(pick, "key").select("rep", F.explode(F.array("h1", "h2", "h3")).alias("hub")).where("rep <> hub")
-    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    """Every member with two hubs of its list, if their sizes allow: linear in the list."""
+    hub = F.struct("rep", "n")
+    pick = members.groupBy("key").agg(F.array(F.min(hub), F.max(hub)).alias("hubs"))
+    met = members.join(pick, "key").select("rep", "n", F.explode("hubs").alias("hub"))
+    met = met.where((F.col("rep") != F.col("hub.rep")) & _similar_sizes("n", "hub.n", percent))
+    return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
 
 
 def _split_pairs(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -246,8 +250,6 @@ def near_groups(
     )
 
     found, members = _candidates(reps, percent, k, most)
-    if members is not None:
-        found = found.unionByName(_hub_pairs(members, percent))
     pairs = materialize(_plausible(found.distinct(), reps, k), "candidates")
     wanted = pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id")))
     if members is not None:
