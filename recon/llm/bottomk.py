@@ -7,10 +7,11 @@
    among the K smallest hashes of their union are common: at J = 0.8 and K = 32
    about 5 in 10^10 pairs. Small sets are listed under their smallest values, as
    many as must hold a common one, which misses nothing.
-3. Members of lists with more than LIST_PAIRS members are compared with two hubs of
-   the list and listed again under longer runs. What is still long there is a mass
-   of near copies: its members that are then in another component than most of the
-   list are compared with the whole list.
+3. Members of lists with more than LIST_PAIRS members are compared with hubs of the
+   list: its smallest row and members that are in many long lists, as the original
+   of many copies is. Where such a list then still spans several components, its
+   members are listed again under the tokens of their full sets that are rarest,
+   as many as must hold a common one, and compared across components there.
 4. Pairs pass if size ratio and the overlap of the union's sketch allow the
    threshold; the survivors are compared on full sets.
 5. Components of the confirmed links give the groups.
@@ -36,7 +37,8 @@ from recon.plans.lineage import materialize
 WORDS, PERCENT = 5, 80
 K = 32
 LIST_PAIRS = 16
-RUNS = (2, 12)
+RUN = 2
+BUCKETS = 1 << 20  # of token counts; they only set the order of tokens, and any order misses nothing
 # Of the K smallest hashes of a union so many must be common; at J = 0.8 fewer come once in 10^9 pairs.
 LEAST_COMMON = 10
 KNOWN_WORDS = 1_000_000
@@ -102,6 +104,12 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(run, "row_id long, full array<long>")
 
 
+def _sets_of(pairs: DataFrame, rows: DataFrame, words: int, name: str) -> DataFrame:
+    """(rep, full): the full sets of both ends of the pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    return materialize(_sets(rows.join(ends, "row_id", "left_semi"), words).withColumnRenamed("row_id", "rep"), name)
+
+
 def _run_keys(length: int) -> Column:
     """Hashes of all runs of `length` neighbouring sketch values, with their first position."""
     starts = F.sequence(F.lit(1), F.size("sketch") - length + 1)
@@ -140,58 +148,102 @@ def _short_pairs(listed: DataFrame, counts: DataFrame, most: int, percent: int)
 
 
 def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs from short lists and with hubs of long ones, and the members (key, rep, n) of lists that stay long."""
+    """Pairs from short lists and with hubs of long ones, and the members (key, rep, n) of long lists."""
     edge = k * 100 // percent
     pairs, long_members = [], []
-
-    small = _small_listed(reps.where(F.col("n") <= edge), percent)
-    counts = materialize(small.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "small-lists")
-    pairs.append(_short_pairs(small, counts, most, percent))
-    long_keys = counts.where(F.col("members") > most).select("key")
-    if long_keys.take(1):
-        long = small.join(long_keys, "key").select("key", "rep", "n")
-        pairs.append(_hub_pairs(long, percent))
-        long_members.append(long)
-
-    large = reps.where(F.col("n") > k)
-    listed, parents = _listed(large, RUNS[0]), None
-    for i, length in enumerate(RUNS):
-        if parents is not None:
-            at = _listed(large, RUNS[i - 1]).join(parents, "key").select("rep", "at")
-            listed = _listed(large, length).join(at, ["rep", "at"])
-        counts = materialize(listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"lists-{length}")
+    small, large = _small_listed(reps.where(F.col("n") <= edge), percent), _listed(reps.where(F.col("n") > k), RUN)
+    for name, listed in (("small-lists", small), ("lists", large)):
+        counts = materialize(listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), name)
         pairs.append(_short_pairs(listed, counts, most, percent))
-        parents = counts.where(F.col("members") > most).select("key")
-        if not parents.take(1):
-            parents = None
-            break
-        long = listed.join(parents, "key").select("key", "rep", "n")
-        pairs.append(_hub_pairs(long, percent))
-    if parents is not None:
-        long_members.append(long)
-    members = materialize(reduce(DataFrame.unionByName, long_members), "long-lists") if long_members else None
+        long_keys = counts.where(F.col("members") > most).select("key")
+        if long_keys.take(1):
+            long = materialize(listed.join(long_keys, "key").select("key", "rep", "n"), f"long-{name}")
+            pairs.append(_hub_pairs(long, percent))
+            long_members.append(long)
+    members = reduce(DataFrame.unionByName, long_members) if long_members else None
     return reduce(DataFrame.unionByName, pairs), members
 
 
 def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Every member with two hubs of its list, if their sizes allow: linear in the list."""
+    """Every member with three hubs of its list, if their sizes allow: linear in the list.
+
+    The original of a family has no edits, so it is in the most long lists; ties go
+    another way in each list.
+    """
+    met = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("lists")), "rep")
     hub = F.struct("rep", "n")
-    pick = members.groupBy("key").agg(F.array(F.min(hub), F.max(hub)).alias("hubs"))
+
+    def top(salt: int) -> Column:
+        return F.max_by(hub, F.struct("lists", F.xxhash64("key", "rep", F.lit(salt))))
+
+    pick = met.groupBy("key").agg(F.array_distinct(F.array(F.min(hub), top(1), top(2))).alias("hubs"))
     met = members.join(pick, "key").select("rep", "n", F.explode("hubs").alias("hub"))
     met = met.where((F.col("rep") != F.col("hub.rep")) & _similar_sizes("n", "hub.n", percent))
     return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
 
 
-def _split_pairs(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Members outside their list's largest component, with all members of other components."""
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(row_id, root) of members of lists that span several components."""
     m = members.join(roots, members.rep == roots.node, "left").select(
-        "key", "rep", "n", F.coalesce("root", "rep").alias("root")
+        "key", F.col("rep").alias("row_id"), F.coalesce("root", "rep").alias("root")
     )
+    spread = m.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    return m.join(spread.select("key"), "key", "left_semi").select("row_id", "root").distinct()
+
+
+def _buckets(tokens: np.ndarray) -> np.ndarray:
+    return tokens & (BUCKETS - 1)
+
+
+def _rarest(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rep, root, n, at, key): sets under their rarest tokens, as many as leave fewer behind than a similar set must share."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for text in b.column(0):
+                np.add.at(total, _buckets(shingle_hashes(text.as_py().encode(), words)), 1)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "met"])
+
+    counted = rows.select("text").mapInArrow(count, "bucket long, met long")
+    table = counted.groupBy("bucket").agg(F.sum("met").alias("met")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[table["bucket"].to_numpy()] = table["met"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            for row, root, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = shingle_hashes(text.as_py().encode(), words)
+                n, met = len(s), often[_buckets(s)]
+                first = np.lexsort((s, met))[: n - (n * percent + 99) // 100 + 1]
+                at = np.flatnonzero(met[first] > 1)  # others are in one set only
+                cols = [np.full(len(at), x, np.int64) for x in (row, root, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, cols), pa.array(at), pa.array(s[first[at]])], names=["rep", "root", "n", "at", "key"]
+                )
+
+    return rows.select("row_id", "root", "text").mapInArrow(run, "rep long, root long, n long, at long, key long")
+
+
+def _split_pairs(m: DataFrame, percent: int) -> DataFrame:
+    """Members outside their list's largest component, with all members of other components.
+
+    `at` counts the tokens before a member's place. At the first token that two sets
+    share, what both have from there on must reach the overlap that the threshold asks.
+    """
     sizes = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("parts"))
-    m = m.join(major.where("parts > 1"), "key")
-    minor = m.where("root <> major").select("key", F.col("rep").alias("z"), F.col("n").alias("zn"), F.col("root").alias("zroot"))
-    met = m.join(minor, "key").where((F.col("root") != F.col("zroot")) & _similar_sizes("n", "zn", percent))
+    m = m.join(major.where("parts > 1").drop("parts"), "key")
+    minor = m.where("root <> major").select(
+        "key", F.col("rep").alias("z"), F.col("n").alias("zn"), F.col("root").alias("zroot"), F.col("at").alias("zat")
+    )
+    once = (F.col("root") == F.col("major")) | (F.col("rep") < F.col("z"))
+    left = F.least(F.col("n") - F.col("at"), F.col("zn") - F.col("zat"))
+    enough = left * (100 + percent) >= (F.col("n") + F.col("zn")) * percent
+    met = m.join(minor, "key").where((F.col("root") != F.col("zroot")) & once & enough & _similar_sizes("n", "zn", percent))
     return met.select(F.least("rep", "z").alias("a"), F.greatest("rep", "z").alias("b"))
 
 
@@ -251,18 +303,16 @@ def near_groups(
 
     found, members = _candidates(reps, percent, k, most)
     pairs = materialize(_plausible(found.distinct(), reps, k), "candidates")
-    wanted = pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id")))
-    if members is not None:
-        wanted = wanted.unionByName(members.select(F.col("rep").alias("row_id")))
-    needed = rows.join(wanted.distinct(), "row_id", "left_semi")
-    sets = materialize(_sets(needed, words).withColumnRenamed("row_id", "rep"), "sets")
-    links = materialize(_confirmed(pairs, sets, percent), "links")
+    links = materialize(_confirmed(pairs, _sets_of(pairs, rows, words, "sets"), percent), "links")
     roots = components(links, "a", "b")
     if members is not None:
-        more = _plausible(_split_pairs(members, materialize(roots, "roots"), percent).distinct(), reps, k)
-        more = materialize(_confirmed(more, sets, percent), "more-links")
-        if more.take(1):
-            roots = components(links.unionByName(more), "a", "b")
+        open_rows = materialize(_unsettled(members, materialize(roots, "roots")), "unsettled")
+        if open_rows.take(1):
+            listed = materialize(_rarest(rows.join(open_rows, "row_id"), words, percent), "rarest")
+            more = materialize(_plausible(_split_pairs(listed, percent).distinct(), reps, k), "more-candidates")
+            more = materialize(_confirmed(more, _sets_of(more, rows, words, "more-sets"), percent), "more-links")
+            if more.take(1):
+                roots = components(links.unionByName(more), "a", "b")
 
     total = full.count()
     placed = attach(full.select("row_id", "doc_id", "n", "sig"), classes, ["sig"], "copies", total).drop("sig")

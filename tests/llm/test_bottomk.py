@@ -57,6 +57,24 @@ def test_groups_match_brute_force(spark, tmp_path, words, most):
     assert got == brute(texts, words)
 
 
+def test_a_mass_of_edits_of_one_original_is_one_group(spark, tmp_path):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(10, 290), 5):
+            w[at] = f"v{i}x{at}"
+        texts.append(" ".join(w))
+    # Beside them, texts that share half of the original and are no copies, and edits of edits.
+    texts += [" ".join([*base[:150], *(f"u{i}y{j}" for j in range(150))]) for i in range(40)]
+    texts += [t.replace("w20 ", "x20 ").replace("w250 ", "x250 ") for t in rng.sample(texts[1:300], 30)]
+    rng.shuffle(texts)
+    df = docs_of(spark, tmp_path, texts, more="mass")
+    got = sorted(tuple(r)[1:5] for r in near_groups(df, words=5).collect())
+    assert got == brute(texts, 5)
+
+
 def test_repeated_rows_nulls_and_no_rows(spark, tmp_path):
     rows = [(5, "same text here", None, None, None)] * 3 + [(None, "same text here", None, None, None), (2, None, None, None, None)]
     df = written(spark, tmp_path, rows, DOCS)
