@@ -2,11 +2,13 @@
 
 Every line goes down a tree of fixed depth: by its number of tokens, then by its
 leading tokens, where tokens with digits count as variable. In a leaf, a line is
-cut into at most FIELDS fields of neighbouring tokens. A field that recurs at its
-place in the leaf is constant, any other is variable; the line's template is its
-constant fields with gaps for the variable ones. A template that is constant
-enough and occurs in several documents is kept where it occurs first and dropped
-from all other documents.
+cut into at most FIELDS fields of neighbouring tokens. Most fields of a template
+are met about equally often at their places in the leaf; a field met less than
+half as often as them is variable, so it does not matter how large the leaf is or
+what else is in it. The line's template is its constant fields with gaps for the
+variable ones; a line that is not constant enough stands for itself, whole. A
+template that occurs in several documents is kept where it occurs first and
+dropped from all other documents.
 
 Everything is counted by leaf, place and field hash with map-side sums, so a leaf
 of any size is a few numbers per task.
@@ -26,6 +28,7 @@ FIELDS = 16
 LEAST_TOKENS = 4  # shorter lines say too little to be told apart
 MIN_DOCS = 2
 CONSTANT = 0.6  # share of fields that must be constant
+CONSTANT_SHARE = 0.5  # a constant field is met so often, as a share of what most fields of its line are met
 VARIABLE = "<*>"
 
 
@@ -38,7 +41,7 @@ def tokens_of(line: Column) -> Column:
 
 
 def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> DataFrame:
-    """(row_id, doc_id, line, leaf, fields): the tree leaf of each line and the hashes of its fields."""
+    """(row_id, doc_id, line, exact, leaf, lead, fields): hash and tree leaf of each line, number of its leading fields, hashes of all."""
     lines = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
     lines = lines.withColumn("t", tokens_of(F.col("words"))).where(F.size("t") >= least)
     size = F.ceil(F.size("t") / fields).cast("int")
@@ -47,6 +50,8 @@ def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> Data
         "row_id",
         "doc_id",
         "line",
+        F.xxhash64(F.btrim("words", F.lit(" \t\r"))).alias("exact"),
+        F.least(F.floor(F.lit(leading) / size), F.size("t")).alias("lead"),
         F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"),
         F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("t", i, size), " "))).alias("fields"),
     )
@@ -61,22 +66,26 @@ def repeated_lines(
     # Lines of one document only cannot recur across documents.
     shared = lines.join(leaves.where("n > 1 AND a <> b").select("leaf"), "leaf", "left_semi")
     placed = materialize(
-        shared.select("row_id", "doc_id", "line", "leaf", F.posexplode("fields").alias("place", "field")).select(
-            "row_id", "doc_id", "line", F.xxhash64("leaf", "place", "field").alias("spot")
+        shared.select("row_id", "line", "leaf", "lead", F.posexplode("fields").alias("place", "field")).select(
+            "row_id", "line", F.xxhash64("leaf", "place", "field").alias("spot"), (F.col("place") >= F.col("lead")).alias("tail")
         ),
         "fields",
     )
-    often = placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("spot")
-    # A spot stands for leaf, place and field; a template is told by the number, sum and exclusive-or of its constant spots.
-    marked = placed.join(often.withColumn("hit", F.col("spot")), "spot", "left")
-    of_line = marked.groupBy("row_id", "doc_id", "line").agg(
-        F.count("hit").alias("kept"),
-        F.count(F.lit(1)).alias("all"),
-        F.sum(F.shiftright("hit", 6)).alias("sum"),
-        F.bit_xor("hit").alias("mix"),
-    )
-    told = of_line.where(F.col("kept") >= constant * F.col("all"))
-    told = materialize(told.select("row_id", "doc_id", "line", F.xxhash64("sum", "mix", "kept", "all").alias("template")), "told")
+    often = placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    met = F.struct("tail", F.coalesce("n", F.lit(0)).alias("n"), "spot")
+    of_line = placed.join(often, "spot", "left").groupBy("row_id", "line").agg(F.collect_list(met).alias("f"))
+    # What enough fields behind the leading ones are met at least; a field met far less often varies, however often that is.
+    tail = F.sort_array(F.transform(F.filter("f", lambda x: x["tail"]), lambda x: x["n"]), asc=False)
+    of_line = of_line.withColumn("usual", F.get(tail, F.ceil(constant * F.size(tail)).cast("int") - 1))
+    is_constant = lambda x: (x["n"] >= min_docs) & (x["n"] >= CONSTANT_SHARE * F.col("usual"))
+    spots = F.sort_array(F.transform(F.filter("f", is_constant), lambda x: x["spot"]))
+    of_line = of_line.select("row_id", "line", "usual", spots.alias("spots"), F.size("f").alias("all"))
+    enough = (F.col("usual") >= min_docs) & (F.size("spots") >= constant * F.col("all"))
+    general = of_line.where(enough).select("row_id", "line", F.xxhash64("spots", "all").alias("general"))
+    # Without a general template, the whole line is one.
+    told = shared.select("row_id", "doc_id", "line", "exact").join(general, ["row_id", "line"], "left")
+    told = told.select("row_id", "doc_id", "line", F.coalesce("general", "exact").alias("template"))
+    told = materialize(told, "told")
     first = told.groupBy("template").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id"))).alias("first"),
         F.min("row_id").alias("a"),

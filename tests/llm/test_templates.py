@@ -37,3 +37,13 @@ def test_min_docs_repeated_rows_and_no_rows(spark, tmp_path):
     same = written(spark, tmp_path, [(1, line, None, None, None)] * 4 + [(None, line, None, None, None)], DOCS)
     assert sorted(r.n_dropped for r in drop_repeated_lines(same).collect()) == [0, 1, 1, 1, 1]
     assert drop_repeated_lines(written(spark, tmp_path, [], DOCS)).count() == 0
+
+
+def test_word_valued_fields_vary_in_tables_of_any_size(spark, tmp_path):
+    names = ["".join(chr(97 + (i // 26**j) % 26) for j in range(3)) for i in range(200)]
+    for size in (100, 10_000):
+        rng = random.Random(size)
+        texts = [f"this page was last edited by {rng.choice(names)} of the team" for _ in range(size)]
+        texts += [f"this page was {words(rng, 7)}" for _ in range(size)]  # the same leaf, other lines
+        got = drop_repeated_lines(docs_of(spark, tmp_path, texts, more=f"names{size}")).collect()
+        assert sorted(r.doc_id for r in got if r.n_dropped) == list(range(1, size)), size
