@@ -25,7 +25,7 @@ from recon.plans.lineage import materialize
 
 LEADING = 3
 FIELDS = 16
-LEAST_TOKENS = 4  # shorter lines say too little to be told apart
+LEAST_TOKENS = 4  # shorter lines, and scripts without blanks, are compared whole
 MIN_DOCS = 2
 CONSTANT = 0.6  # share of fields that must be constant
 CONSTANT_SHARE = 0.5  # a constant field is met so often, as a share of what most fields of its line are met
@@ -43,7 +43,8 @@ def tokens_of(line: Column) -> Column:
 def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> DataFrame:
     """(row_id, doc_id, line, exact, leaf, lead, fields): hash and tree leaf of each line, number of its leading fields, hashes of all."""
     lines = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.withColumn("t", tokens_of(F.col("words"))).where(F.size("t") >= least)
+    lines = lines.withColumn("t", tokens_of(F.col("words"))).where(F.size("t") > 0)
+    whole = F.size("t") < least
     size = F.ceil(F.size("t") / fields).cast("int")
     starts = F.sequence(F.lit(1), F.size("t"), size)
     return lines.select(
@@ -53,7 +54,7 @@ def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> Data
         F.xxhash64(F.btrim("words", F.lit(" \t\r"))).alias("exact"),
         F.least(F.floor(F.lit(leading) / size), F.size("t")).alias("lead"),
         F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"),
-        F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("t", i, size), " "))).alias("fields"),
+        F.when(whole, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("t", i, size), " ")))).alias("fields"),
     )
 
 
@@ -122,7 +123,7 @@ def drop_repeated_lines(
 
     A recurring template stays in the document with the smallest id, NULL ids last,
     and in ties in the row read first. NULL texts are empty: one line, none dropped. Lines with fewer than
-    `least` tokens stay. Repeated rows lose all recurring lines but in one of them.
+    `least` tokens recur only whole, character by character but for blanks around them. Repeated rows lose all recurring lines but in one of them.
     An empty table gives no rows. `docs` must give the same rows in the same
     partitions when it is read again, as a scan of files does.
     """

@@ -47,3 +47,9 @@ def test_word_valued_fields_vary_in_tables_of_any_size(spark, tmp_path):
         texts += [f"this page was {words(rng, 7)}" for _ in range(size)]  # the same leaf, other lines
         got = drop_repeated_lines(docs_of(spark, tmp_path, texts, more=f"names{size}")).collect()
         assert sorted(r.doc_id for r in got if r.n_dropped) == list(range(1, size)), size
+
+
+def test_short_lines_recur_whole(spark, tmp_path):
+    texts = ["All rights reserved.\nfirst", "one two 3\nAll rights reserved. ", "一行没有空格的文字\none two 4", "一行没有空格的文字\n\n \n"]
+    got = {r.doc_id: r.text for r in drop_repeated_lines(docs_of(spark, tmp_path, texts, more="short")).collect()}
+    assert got == {0: texts[0], 1: "one two 3", 2: texts[2], 3: "\n "[0:1] + " \n"}
