@@ -40,6 +40,12 @@ def tokens_of(line: Column) -> Column:
     return F.filter(F.split(masked, r"[ \t\r]+"), lambda t: t != "")
 
 
+def _field(tokens: Column) -> Column:
+    """The hash of a field, NULL if half of its tokens or more are masked: such a field is variable."""
+    masked = F.size(F.filter(tokens, lambda t: t == VARIABLE))
+    return F.when(masked * 2 < F.size(tokens), F.xxhash64(F.array_join(tokens, " ")))
+
+
 def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> DataFrame:
     """(row_id, doc_id, line, exact, leaf, lead, fields): hash and tree leaf of each line, number of its leading fields, hashes of all."""
     lines = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
@@ -54,7 +60,7 @@ def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> Data
         F.xxhash64(F.btrim("words", F.lit(" \t\r"))).alias("exact"),
         F.least(F.floor(F.lit(leading) / size), F.size("t")).alias("lead"),
         F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"),
-        F.when(whole, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("t", i, size), " ")))).alias("fields"),
+        F.when(whole, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: _field(F.slice("t", i, size)))).alias("fields"),
     )
 
 
@@ -68,11 +74,11 @@ def repeated_lines(
     shared = lines.join(leaves.where("n > 1 AND a <> b").select("leaf"), "leaf", "left_semi")
     placed = materialize(
         shared.select("row_id", "line", "leaf", "lead", F.posexplode("fields").alias("place", "field")).select(
-            "row_id", "line", F.xxhash64("leaf", "place", "field").alias("spot"), (F.col("place") >= F.col("lead")).alias("tail")
+            "row_id", "line", F.when(F.col("field").isNotNull(), F.xxhash64("leaf", "place", "field")).alias("spot"), (F.col("place") >= F.col("lead")).alias("tail")
         ),
         "fields",
     )
-    often = placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    often = placed.where("spot IS NOT NULL").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     met = F.struct("tail", F.coalesce("n", F.lit(0)).alias("n"), "spot")
     of_line = placed.join(often, "spot", "left").groupBy("row_id", "line").agg(F.collect_list(met).alias("f"))
     # What enough fields behind the leading ones are met at least; a field met far less often varies, however often that is.

@@ -53,3 +53,10 @@ def test_short_lines_recur_whole(spark, tmp_path):
     texts = ["All rights reserved.\nfirst", "one two 3\nAll rights reserved. ", "一行没有空格的文字\none two 4", "一行没有空格的文字\n\n \n"]
     got = {r.doc_id: r.text for r in drop_repeated_lines(docs_of(spark, tmp_path, texts, more="short")).collect()}
     assert got == {0: texts[0], 1: "one two 3", 2: texts[2], 3: "\n "[0:1] + " \n"}
+
+
+def test_rows_of_numbers_stay(spark, tmp_path):
+    texts = ["2021-03-04 12.5 33.1 48.0", "1999-01-01 7.0 8.1 9.3", "1 2 3 kg", "4 5 6 kg", "1999-01-01 7.0 8.1 9.3"]
+    texts += [" ".join(str(i * 100 + j) for j in range(40)) for i in range(3)]
+    got = {r.doc_id: r.n_dropped for r in drop_repeated_lines(docs_of(spark, tmp_path, texts, more="numbers")).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 0, 0, 1, 0, 0, 0]  # one is an exact copy
