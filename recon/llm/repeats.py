@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ PLACE = np.uint64((1 << 21) - 1)  # low bits of a window's minimum hold the plac
 BATCH_BYTES = 16 << 20  # text whose anchors or contexts are gathered before they are sent
 RANGE_BYTES = 64 << 20  # text whose anchors make one range
 FINER = 16  # buckets of contexts per range
+ROW_GROUPS = 4  # groups of rows per range, whose intervals are gathered
 SORT_BYTES = 1 << 20  # context bytes that are sorted at a time
 HOT_SHARE, HOT_LEAST = 1_000_000, 50_000
 NO_PLACE = np.uint32(0xFFFFFFFF)
@@ -346,13 +348,16 @@ def _contexts(body: bytes) -> Iterator[tuple[bytes, int, int, list[tuple[int, in
         at, used = at + length, used + places
 
 
-def _settle(window: int):
-    """(row_id, body): intervals of each row whose windows a smaller id has too."""
+def _settle(window: int, groups: int):
+    """(rows, body): packed intervals of rows whose windows a smaller id has too, for each group of rows."""
 
     def run(group: pa.Table) -> pa.Table:
-        known = group.filter(pc.is_valid(group["row_id"])).select(["row_id", "body"])
         best: dict[bytes, tuple[int, list, int]] = {}
-        gone: dict[int, list] = {}
+        known = group.filter(pc.is_valid(group["row_id"]))
+        gone: dict[int, list] = {
+            row: np.frombuffer(body, "<i8").reshape(-1, 2).tolist()
+            for row, body in zip(known["row_id"].to_pylist(), known["body"].to_pylist())
+        }
 
         def all_of(context: bytes, places: list) -> None:
             for row, at in places:
@@ -378,9 +383,11 @@ def _settle(window: int):
                     for row, at in best[c][1]:
                         gone.setdefault(row, []).extend(_spans(at, less, window))
 
-        # Equal windows have the same gram as anchor, so contexts are sorted in parts that keep a gram together.
+        # Equal windows have the same gram as anchor, so a context that is alone with its key is done, and
+        # the others are sorted in parts that keep a key together.
+        several = Counter(b[2] for b in best.values())
         part, held, last = [], 0, None
-        for key, context in sorted((b[2], c) for c, b in best.items()):
+        for key, context in sorted((b[2], c) for c, b in best.items() if several[b[2]] > 1):
             if held >= SORT_BYTES and key != last:
                 sort(part)
                 part, held = [], 0
@@ -388,28 +395,51 @@ def _settle(window: int):
             held, last = held + len(context), key
         if part:
             sort(part)
-        more = pa.table(
-            {"row_id": pa.array(list(gone), pa.int64()), "body": pa.array([_raw(s) for s in gone.values()], pa.binary())}
-        )
-        return pa.concat_tables([known, more])
+        dealt: dict[int, list] = {}
+        for row, spans in gone.items():
+            dealt.setdefault(row * 7919 % groups, []).append((row, spans))
+        bodies = []
+        for items in dealt.values():
+            head = np.array([(row, len(spans)) for row, spans in items], "<i8").tobytes()
+            raw = head + _raw([x for _, spans in items for x in spans])
+            size = len(raw).to_bytes(8, "little") + len(items).to_bytes(8, "little")
+            bodies.append(size + pa.compress(raw, CODEC, asbytes=True))
+        return pa.table({"rows": pa.array(list(dealt), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
     return run
 
 
+def _by_rows(group: pa.Table) -> pa.Table:
+    """(row_id, spans): all intervals of each row of a group, disjoint and in order."""
+    gone: dict[int, list] = {}
+    for body in group["body"].to_pylist():
+        size, n = int.from_bytes(body[:8], "little"), int.from_bytes(body[8:16], "little")
+        raw = pa.decompress(body[16:], size, CODEC, asbytes=True)
+        at = 16 * n
+        for row, spans in np.frombuffer(raw, "<i8", 2 * n).reshape(n, 2).tolist():
+            gone.setdefault(row, []).append(raw[at : at + 16 * spans])
+            at += 16 * spans
+    out = []
+    for spans in gone.values():
+        pairs = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+        first, end = pairs[np.argsort(pairs[:, 0], kind="stable")].T
+        end = np.maximum.accumulate(end)
+        opens = np.flatnonzero(np.r_[True, first[1:] > end[:-1]])
+        out.append(np.c_[first[opens], end[np.r_[opens[1:] - 1, len(end) - 1]]].astype("<i8").tobytes())
+    return pa.table({"row_id": pa.array(list(gone), pa.int64()), "spans": pa.array(out, pa.binary())})
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, spans in zip(batch.column("text"), batch.column("spans")):
-            text, end, n, removed, kept = text.as_py(), 0, 0, 0, []
-            pairs = sorted(map(tuple, np.frombuffer(b"".join(spans.as_py() or []), "<i8").reshape(-1, 2).tolist()))
+            text, end, removed, kept = text.as_py(), 0, 0, []
+            pairs = np.frombuffer(spans.as_py() or b"", "<i8").reshape(-1, 2).tolist()
             for a, b in pairs:
-                if not n or a > end:
-                    kept.append(text[end:a])
-                    n, removed, end = n + 1, removed + b - a, b
-                elif b > end:
-                    removed, end = removed + b - end, b
+                kept.append(text[end:a])
+                removed, end = removed + b - a, b
             kept.append(text[end:])
-            rows.append((len(text), removed, n, hashlib.sha256(b"".join(kept)).hexdigest()))
+            rows.append((len(text), removed, len(pairs), hashlib.sha256(b"".join(kept)).hexdigest()))
         cols = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()]))],
@@ -453,8 +483,8 @@ def repeated_strings(
         .select("row_id", "doc_id", "text", "places")
         .mapInArrow(_send_contexts(ranges * FINER, window, gram, hot), "bucket int, row_id long, body binary")
     )
-    gone = contexts.groupBy("bucket").applyInArrow(_settle(window), "row_id long, body binary")
-    spans = gone.groupBy("row_id").agg(F.collect_list("body").alias("spans"))
+    gone = contexts.groupBy("bucket").applyInArrow(_settle(window, ranges * ROW_GROUPS), "rows int, body binary")
+    spans = gone.groupBy("rows").applyInArrow(_by_rows, "row_id long, spans binary")
     return (
         texts.join(spans, "row_id", "left")
         .select("doc_id", "text", "spans")
