@@ -46,7 +46,7 @@ PLACE = np.uint64((1 << 21) - 1)  # low bits of a window's minimum hold the plac
 BATCH_BYTES = 16 << 20  # text whose anchors or contexts are gathered before they are sent
 RANGE_BYTES = 64 << 20  # text whose anchors make one range
 FINER = 16  # buckets of contexts per range
-ROW_GROUPS = 4  # groups of rows per range, whose intervals are gathered
+ROW_GROUPS = 4  # groups of rows per range, whose places and intervals are gathered
 SORT_BYTES = 1 << 20  # context bytes that are sorted at a time
 HOT_SHARE, HOT_LEAST = 1_000_000, 50_000
 NO_PLACE = np.uint32(0xFFFFFFFF)
@@ -203,13 +203,51 @@ def _triples(rows) -> pa.RecordBatch:
     )
 
 
-def _met_again(hot: int):
-    """Places whose anchor is in two rows at least; with row_id NULL, hashes of grams that more than `hot` batches or rows sent."""
+def _by_groups(items: Iterator[tuple[int, bytes]], groups: int) -> list[tuple[int, bytes]]:
+    """(group of rows, body): what was found for single rows, packed by groups of rows."""
+    dealt: dict[int, list] = {}
+    for row, found in items:
+        dealt.setdefault(row * 7919 % groups, []).append((row, found))
+    out = []
+    for group, parts in dealt.items():
+        raw = np.array([(row, len(found)) for row, found in parts], "<i8").tobytes() + b"".join(f for _, f in parts)
+        size = len(raw).to_bytes(8, "little") + len(parts).to_bytes(8, "little")
+        out.append((group, size + pa.compress(raw, CODEC, asbytes=True)))
+    return out
+
+
+def _of_rows(bodies: pa.ChunkedArray) -> dict[int, bytes]:
+    """What was found for each row, put together."""
+    out: dict[int, list] = {}
+    for body in bodies.to_pylist():
+        size, n = int.from_bytes(body[:8], "little"), int.from_bytes(body[8:16], "little")
+        raw, at = pa.decompress(body[16:], size, CODEC, asbytes=True), 16 * n
+        for row, length in np.frombuffer(raw, "<i8", 2 * n).reshape(n, 2).tolist():
+            out.setdefault(row, []).append(raw[at : at + length])
+            at += length
+    return {row: b"".join(parts) for row, parts in out.items()}
+
+
+def _places(group: pa.Table) -> pa.Table:
+    """(row_id, places): all places of each row of a group."""
+    found = _of_rows(group["body"])
+    return pa.table({"row_id": pa.array(list(found), pa.int64()), "places": pa.array(list(found.values()), pa.binary())})
+
+
+def _pairs(rows: list) -> pa.Table:
+    cols = list(zip(*rows)) or [[], []]
+    return pa.table({"rows": pa.array(cols[0], pa.int32()), "body": pa.array(cols[1], pa.binary())})
+
+
+def _met_again(hot: int, groups: int):
+    """(rows, body): places whose anchor is in two rows at least, packed for each group of rows; with rows NULL,
+    hashes of grams that more than `hot` batches or rows sent.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        known = group.filter(pc.is_valid(group["row_id"])).select(["row_id", "body"])
+        known = group.filter(pc.is_valid(group["row_id"]))
         packed = group.filter(pc.is_null(group["row_id"]))["body"]
-        out = []
+        found, more = list(zip(known["row_id"].to_pylist(), known["body"].to_pylist())), []
         if len(packed):
             key, row, place = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py()) for b in packed)))
             order = np.argsort(key, kind="stable")
@@ -219,13 +257,11 @@ def _met_again(hot: int):
             met = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
             # A gram that a batch has in several rows came without a place and needs no answer.
             told = np.repeat(met, size) & (place != NO_PLACE)
-            out = [(r, b) for _, r, b in _by_row(row[told], place[told], 1)]
+            found += [(r, b) for _, r, b in _by_row(row[told], place[told], 1)]
             common = key[first[size > hot]]
             if len(common):
-                out.append((None, common.astype("<u8").tobytes()))
-        cols = list(zip(*out)) or [[], []]
-        more = pa.table({"row_id": pa.array(cols[0], pa.int64()), "body": pa.array(cols[1], pa.binary())})
-        return pa.concat_tables([known, more])
+                more = [(None, common.astype("<u8").tobytes())]
+        return _pairs(_by_groups(found, groups) + more)
 
     return run
 
@@ -294,7 +330,7 @@ def _send_contexts(buckets: int, window: int, gram: int, hot: frozenset[int]):
         texts = [r["text"] for r in rows]
         text, first, count, place, key = anchors(texts, window, gram)
         wanted = np.concatenate(
-            [np.uint64(t << 40) | np.frombuffer(b"".join(r["places"]), "<u4").astype(np.uint64) for t, r in enumerate(rows)]
+            [np.uint64(t << 40) | np.frombuffer(r["places"], "<u4").astype(np.uint64) for t, r in enumerate(rows)]
         )
         stay = np.isin((text.astype(np.uint64) << np.uint64(40)) | place.astype(np.uint64), wanted)
         met: dict[bytes, tuple[int, int, list]] = {}  # context: key, id, (row, first window) of that id
@@ -395,33 +431,16 @@ def _settle(window: int, groups: int):
             held, last = held + len(context), key
         if part:
             sort(part)
-        dealt: dict[int, list] = {}
-        for row, spans in gone.items():
-            dealt.setdefault(row * 7919 % groups, []).append((row, spans))
-        bodies = []
-        for items in dealt.values():
-            head = np.array([(row, len(spans)) for row, spans in items], "<i8").tobytes()
-            raw = head + _raw([x for _, spans in items for x in spans])
-            size = len(raw).to_bytes(8, "little") + len(items).to_bytes(8, "little")
-            bodies.append(size + pa.compress(raw, CODEC, asbytes=True))
-        return pa.table({"rows": pa.array(list(dealt), pa.int32()), "body": pa.array(bodies, pa.binary())})
+        return _pairs(_by_groups(((row, _raw(spans)) for row, spans in gone.items()), groups))
 
     return run
 
 
 def _by_rows(group: pa.Table) -> pa.Table:
     """(row_id, spans): all intervals of each row of a group, disjoint and in order."""
-    gone: dict[int, list] = {}
-    for body in group["body"].to_pylist():
-        size, n = int.from_bytes(body[:8], "little"), int.from_bytes(body[8:16], "little")
-        raw = pa.decompress(body[16:], size, CODEC, asbytes=True)
-        at = 16 * n
-        for row, spans in np.frombuffer(raw, "<i8", 2 * n).reshape(n, 2).tolist():
-            gone.setdefault(row, []).append(raw[at : at + 16 * spans])
-            at += 16 * spans
-    out = []
+    gone, out = _of_rows(group["body"]), []
     for spans in gone.values():
-        pairs = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+        pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
         first, end = pairs[np.argsort(pairs[:, 0], kind="stable")].T
         end = np.maximum.accumulate(end)
         opens = np.flatnonzero(np.r_[True, first[1:] > end[:-1]])
@@ -471,19 +490,18 @@ def repeated_strings(
     sent = texts.select("row_id", "text").mapInArrow(
         _send_anchors(ranges, window, gram), "bucket int, row_id long, body binary"
     )
-    found = materialize(
-        sent.groupBy("bucket").applyInArrow(_met_again(max(hot_least, total // HOT_SHARE)), "row_id long, body binary"), "anchors"
-    )
-    common = [r.body for r in found.where("row_id IS NULL").select("body").collect()]
+    groups, most = ranges * ROW_GROUPS, max(hot_least, total // HOT_SHARE)
+    found = materialize(sent.groupBy("bucket").applyInArrow(_met_again(most, groups), "rows int, body binary"), "anchors")
+    common = [r.body for r in found.where("rows IS NULL").select("body").collect()]
     hot = frozenset(np.frombuffer(b"".join(common), "<u8").tolist())
-    places = found.where("row_id IS NOT NULL").groupBy("row_id").agg(F.collect_list("body").alias("places"))
+    places = found.where("rows IS NOT NULL").groupBy("rows").applyInArrow(_places, "row_id long, places binary")
     # The texts' exchange is the same for both joins, so Spark shuffles them once.
     contexts = (
         texts.join(places, "row_id")
         .select("row_id", "doc_id", "text", "places")
         .mapInArrow(_send_contexts(ranges * FINER, window, gram, hot), "bucket int, row_id long, body binary")
     )
-    gone = contexts.groupBy("bucket").applyInArrow(_settle(window, ranges * ROW_GROUPS), "rows int, body binary")
+    gone = contexts.groupBy("bucket").applyInArrow(_settle(window, groups), "rows int, body binary")
     spans = gone.groupBy("rows").applyInArrow(_by_rows, "row_id long, spans binary")
     return (
         texts.join(spans, "row_id", "left")
