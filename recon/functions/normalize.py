@@ -128,8 +128,21 @@ def normalize(
 
 
 def common_scale(left: T.DataType, right: T.DataType) -> int | None:
-    """The lower of two numeric scales, or None when neither side is fractional."""
+    """The lower of two numeric scales, or None when neither side is fractional.
+
+    Whole numbers have no digits to lose: against them the other side's scale holds, so 1 and 1.4 differ.
+    """
     fractional = (T.FloatType, T.DoubleType, T.DecimalType)
     if not isinstance(left, fractional) and not isinstance(right, fractional):
         return None
-    return min(default_scale(left), default_scale(right))
+    scales = default_scale(left), default_scale(right)
+    whole = [isinstance(t, T.IntegralType) or isinstance(t, T.DecimalType) and t.scale == 0 for t in (left, right)]
+    return max(scales) if any(whole) else min(scales)
+
+
+def lowered_scale(left: T.DataType, right: T.DataType) -> int | None:
+    """The common scale, if it hides digits that one of the sides can hold."""
+    scale = common_scale(left, right)
+    fractional = (T.FloatType, T.DoubleType, T.DecimalType)
+    both = isinstance(left, fractional) and isinstance(right, fractional)
+    return scale if both and scale < max(default_scale(left), default_scale(right)) else None

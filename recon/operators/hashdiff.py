@@ -15,6 +15,7 @@ from recon.functions.normalize import common_scale, json_text
 from recon.functions.predicates import CompareRules
 from recon.operators.joindiff import pair_columns
 from recon.operators.segments import Segmenter, make_segmenter, segment_checksums, table_checksum
+from recon.operators.splitters import RangeSegmenter, rows_segmenter
 from recon.sources.side import TableSide, check_keys, pair_form, with_key_forms
 
 # Default number of segments per level and the row count below
@@ -22,9 +23,9 @@ from recon.sources.side import TableSide, check_keys, pair_form, with_key_forms
 FACTOR = 32
 THRESHOLD = 16_384
 
-# Checksum levels at most, and unequal segments the driver may hold.
+# Checksum levels at most; a further one must have left out this share of the rows.
 LEVELS = 4
-MAX_SEGMENTS = 65_536
+LEAST_SHARE = 0.1
 
 
 def common_scales(a: TableSide, b: TableSide) -> tuple[dict[str, int], dict[str, int]]:
@@ -227,7 +228,9 @@ PART_BITS = 22
 PART_MASK = (1 << PART_BITS) - 1
 
 
-def unequal_segments(a: TableSide, b: TableSide, segmenter: Segmenter, rules: CompareRules) -> DataFrame:
+def unequal_segments(
+    a: TableSide, b: TableSide, segmenter: Segmenter | RangeSegmenter, rules: CompareRules
+) -> DataFrame:
     """Numbers and sizes of the segments whose rows are not the same on both sides.
 
     Both sides meet in one aggregate: rows of A add their hashes, rows of B take
@@ -251,7 +254,9 @@ def unequal_segments(a: TableSide, b: TableSide, segmenter: Segmenter, rules: Co
         .agg(F.count_if(F.col("s") == 1).alias("rows_a"), F.count_if(F.col("s") == -1).alias("rows_b"), *[F.sum(p).alias(p) for p in parts])
     )
     differs = reduce(lambda x, y: x | y, [F.col(p) != 0 for p in parts], F.col("rows_a") != F.col("rows_b"))
-    return sums.where(differs).select("segment_id", F.greatest("rows_a", "rows_b").alias("n"))
+    return sums.where(differs).select(
+        "segment_id", F.greatest("rows_a", "rows_b").alias("n"), (F.col("rows_a") + F.col("rows_b")).alias("both")
+    )
 
 
 def _check_factors(factor: int, threshold: int) -> None:
@@ -294,12 +299,13 @@ def unequal_parts(
 ) -> tuple[TableSide, TableSide]:
     """Both sides cut down to the segments whose rows differ.
 
-    The first level cuts the key space into `factor` squared segments; one scan
-    per side compares all of them. While unequal segments hold `threshold`
-    rows or more, the next level cuts only those, `factor` times finer. The
-    driver sees unequal segment numbers alone, never more than MAX_SEGMENTS: a
-    level that could exceed that is not started, and the rows of the segments
-    found so far are compared instead. `gaps` allows a tolerance: segments are then
+    The first level cuts the keys into `factor` squared ranges of about equal
+    rows (MOST_SEGMENTS at most); one scan per side compares all of them. While an
+    unequal range holds `threshold` rows or more, the next level cuts what is left
+    in the same way, unless the last one left out less than LEAST_SHARE of the rows;
+    then the rows themselves are compared. Ranges are comparisons of the keys, of
+    any type and number, so the scan can skip what they leave out. The driver sees
+    the numbers of unequal ranges alone. `gaps` allows a tolerance: segments are then
     found by exact equality, and the caller compares their rows by the tolerance.
     """
     _check_factors(factor, threshold)
@@ -309,16 +315,15 @@ def unequal_parts(
     for ca, cb in pair_columns(left, right)[len(left.keys) :]:
         if ca not in rules.ignored_columns and rules.tolerant(ca, left.dtype(ca), right.dtype(cb)) and not gaps:
             raise ValueError("a tolerance is no equivalence relation; use join_diff for float_tolerance")
-    segmenter = make_segmenter(left, right, min(factor**2, MAX_SEGMENTS))
-    if segmenter is None:  # both sides empty: equal (K8)
-        return left, right
-    for level in range(1, levels + 1):
+    for _ in range(levels):
+        segmenter = rows_segmenter(left, right, factor**2)
+        if segmenter is None:  # both sides empty: equal (K8)
+            break
         unequal = unequal_segments(left, right, segmenter, rules).collect()
         numbers = [r.segment_id for r in unequal]
         left, right = (replace(s, df=segmenter.restrict(s, numbers)) for s in (left, right))
         largest = max((r.n for r in unequal), default=0)
-        segmenter = segmenter.finer(factor)
-        if largest < threshold or segmenter is None or len(numbers) * factor > MAX_SEGMENTS:
+        if largest < threshold or sum(r.both for r in unequal) > (1 - LEAST_SHARE) * segmenter.rows:
             break
     return left, right
 

@@ -158,7 +158,7 @@ def fail_stuck(summary: DataFrame, now: datetime, hours: int, statuses: tuple[st
     """H8: runs in one of the statuses for longer than `hours` become failed, with a reason."""
     limit = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(hours)} HOURS")
     stuck = F.col("status").isin(*statuses) & (F.col("created_at") < limit)
-    reason = F.concat(F.lit("Task timeout - stuck in "), F.col("status"), F.lit(" state"))
+    reason = F.concat(F.lit("no end within the allowed hours, last seen "), F.col("status"))
     message = F.col("error_message") if "error_message" in summary.columns else F.lit(None).cast("string")
     return summary.withColumns(
         {"error_message": F.when(stuck, reason).otherwise(message), "status": F.when(stuck, "failed").otherwise(F.col("status"))}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recon.functions.normalize import default_scale, normalize
+from recon.functions.normalize import default_scale, epoch_micros, normalize
 
 # Reported percentiles, distribution sizes, comparison limits.
 PERCENTILES = (0.25, 0.50, 0.75)
@@ -21,7 +23,8 @@ CARDINALITY_GAP = 0.1
 AVERAGE_GAP_PERCENT = 5.0
 SMALLEST_AVERAGE = 0.0001
 
-SKETCH_ACCURACY = 100_000
+CODE_BITS = 50
+PASS_BITS = 12
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -36,17 +39,17 @@ def column_profile(
 ) -> DataFrame:
     """One row per column with counts, extremes, average, average length, percentiles.
 
-    One aggregate for all columns (exact distinct counts are combined map-side;
-    `approximate_distinct` trades them for a sketch), plus one bounded-memory
-    pass for exact percentiles. A sample is a sample of rows, taken by the
+    One aggregate for all columns, one long table of values for the exact distinct
+    counts (`approximate_distinct` trades it for a sketch), and a few counting
+    passes, which run now, for exact percentiles. A sample is a sample of rows, taken by the
     caller before profiling.
     """
     columns = list(columns or df.columns)
-    items = []
+    items, none_yet = [], F.lit(0).cast("bigint")
     for c in columns:
         dtype, v = df.schema[c].dataType, F.col(c)
         numeric, temporal = isinstance(dtype, T.NumericType), isinstance(dtype, TEMPORAL)
-        distinct = F.approx_count_distinct(v) if approximate_distinct else F.count_distinct(v)
+        distinct = F.approx_count_distinct(v) if approximate_distinct else none_yet
         shown = lambda x, dt=dtype: normalize(x, dt, scale=default_scale(dt) if scale is None else scale)
         none = F.lit(None)
         items.append(
@@ -64,6 +67,10 @@ def column_profile(
         )
     wide = df.agg(F.array(*items).alias("all"))
     profile = wide.select(F.explode("all").alias("c")).select("c.*")
+    if not approximate_distinct:
+        order = profile.columns
+        distinct = F.broadcast(distinct_counts(df, columns).withColumnRenamed("unique_count", "found"))  # one row per column
+        profile = profile.join(distinct, "column_name", "left").withColumn("unique_count", F.coalesce("found", none_yet)).select(order)
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
     labels = [f"p{round(p * 100)}" for p in percentiles]
     if percentiles and numbers:
@@ -85,65 +92,125 @@ def with_rates(profile: DataFrame) -> DataFrame:
     ).withColumn("cardinality", F.when(total > 0, F.col("unique_count") / total).otherwise(F.lit(0.0)))
 
 
-def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], percentiles: Sequence[float], *, accuracy: int = SKETCH_ACCURACY
-) -> DataFrame:
-    """Exact interpolated percentiles `(column_name, p, value)` without holding a column in memory.
-
-    A mergeable quantile sketch brackets each percentile from both sides; its
-    rank error is at most 1/accuracy, and the bracket leaves four times that. A
-    second pass counts what lies below the bracket and ranks only the distinct
-    values inside it, about 8/accuracy of the rows. Columns with no more than
-    `accuracy` values are ranked whole. The bracket table has one row per column
-    and percentile, so broadcasting it is safe.
+def ordered_code(v: Column) -> Column:
+    """A bigint that orders as the double `v` does: sign, exponent, and the leading 50 bits of the fraction.
+
+    Up to a few neighbouring doubles share a code. Codes lie within 2^62, so two of them can be subtracted.
     """
-    cells = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
-        ).alias("c")
-    ).select("c.column_name", "c.v")
-    cells = cells.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-    margin = 4.0 / accuracy
-    wanted = [x for p in percentiles for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = cells.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", wanted, accuracy).alias("q")
-    )
-    few = F.col("n") <= accuracy
-    edges = [
-        F.struct(
-            F.lit(p).alias("p"),
-            F.when(few, float("-inf")).otherwise(F.col("q")[2 * i]).alias("lo"),
-            F.when(few, float("inf")).otherwise(F.col("q")[2 * i + 1]).alias("hi"),
-        )
-        for i, p in enumerate(percentiles)
+    step = F.lit(float(1 << CODE_BITS))
+    size = F.abs(v)
+    exponent = F.greatest(F.lit(-1074.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    finite = ((size / F.pow(F.lit(2.0), exponent) - 1) * step).cast("bigint") + (exponent.cast("bigint") + 1075) * (1 << CODE_BITS)
+    code = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2100 << CODE_BITS)).otherwise(finite)
+    return F.when(v < 0, -code).otherwise(code).cast("bigint")
+
+
+@dataclass(frozen=True)
+class _Part:
+    """A range of codes of one column that holds wanted ranks; `below` values lie under it."""
+
+    column: int
+    lo: int
+    hi: int
+    below: int
+    ranks: tuple[int, ...]
+
+    @property
+    def shift(self) -> int:
+        return max(0, (self.hi - self.lo).bit_length() - PASS_BITS)
+
+
+def order_statistics(
+    df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Iterable[int]]
+) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """The number of values of each numeric column, NULL and NaN left out, and those at the ranks (from 0) that `ranks` wants of so many.
+
+    Each pass counts the values of the ranges that still hold a wanted rank in
+    2^PASS_BITS buckets and goes on with the bucket of each rank, until a bucket
+    holds one value. Nothing is sorted, tasks send bucket counts only, and the
+    path is the same for one row or a trillion, and for one value in all rows.
+    """
+    base = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    sound = [F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")) for i in range(len(columns))]
+    base = base.select(*[v.alias(f"v{i}") for i, v in enumerate(sound)], *[ordered_code(v).alias(f"c{i}") for i, v in enumerate(sound)])
+    facts = (("n", F.count), ("lo", F.min), ("hi", F.max))
+    ends = base.agg(*[f(f"c{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in facts]).first()
+    sizes = {c: ends[f"n{i}"] for i, c in enumerate(columns)}
+    found: dict[tuple[str, int], float] = {}
+    parts = [
+        _Part(i, ends[f"lo{i}"], ends[f"hi{i}"], 0, tuple(sorted(set(ranks(sizes[c])))))
+        for i, c in enumerate(columns)
+        if sizes[c]
     ]
-    brackets = sketch.select(F.col("column_name").alias("name"), "n", F.explode(F.array(*edges)).alias("b"))
-    brackets = brackets.select("name", "n", "b.*")
-
-    placed = cells.join(F.broadcast(brackets), F.col("column_name") == F.col("name")).where(F.col("v") <= F.col("hi"))
-    slots = placed.groupBy(
-        "column_name", "p", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("slot")
-    ).agg(F.count(F.lit(1)).alias("cnt"))
-    run = Window.partitionBy("column_name", "p").orderBy(F.col("slot").asc_nulls_first())
-    ranked = slots.withColumn("cum", F.sum("cnt").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.col("p") * (F.col("n") - 1)
-    low, high = F.floor(rank), F.ceil(rank)
-    picked = ranked.groupBy("column_name", "p", "n").agg(
-        F.min(F.when(F.col("cum") > low, F.col("slot"))).alias("v_low"),
-        F.min(F.when(F.col("cum") > high, F.col("slot"))).alias("v_high"),
-        F.coalesce(F.max(F.when(F.col("slot").isNull(), F.col("cnt"))), F.lit(0)).alias("below"),
-        F.max("cum").alias("seen"),
-    )
-    value = F.col("v_low") + (F.col("v_high") - F.col("v_low")) * (rank - low)
-    return picked.select(
-        "column_name",
-        "p",
-        F.when((F.col("below") > low) | (F.col("seen") <= high), F.raise_error(F.lit("percentile outside its bracket")))
-        .otherwise(value)
-        .cast("double")
-        .alias("value"),
+    while parts:
+        items = []
+        for n, p in enumerate(parts):
+            code, v = F.col(f"c{p.column}"), F.col(f"v{p.column}")
+            # A range of one code tells its few values apart by themselves.
+            bucket = F.shiftright(code, p.shift) - F.lit(p.lo >> p.shift) if p.hi > p.lo else F.lit(0).cast("bigint")
+            own = v if p.hi == p.lo else F.lit(None).cast("double")
+            items.append(F.when(code.between(p.lo, p.hi), F.struct(F.lit(n).alias("n"), bucket.alias("b"), own.alias("own"), v.alias("v"))))
+        rows = base.select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*")
+        counts = rows.groupBy("n", "b", "own").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("v").alias("high"))
+        buckets: dict[int, list] = {}
+        for r in counts.collect():
+            buckets.setdefault(r.n, []).append((r.b, r.own if r.own is not None else 0.0, r.size, r.low, r.high))
+        ahead = []
+        for n, p in enumerate(parts):
+            below, todo = p.below, list(p.ranks)
+            for b, _, size, low, high in sorted(buckets[n]):
+                here = tuple(r for r in todo if r < below + size)
+                if here and low == high:
+                    found.update({(columns[p.column], r): low for r in here})
+                elif here:
+                    start = ((p.lo >> p.shift) + b) << p.shift
+                    ahead.append(_Part(p.column, max(p.lo, start), min(p.hi, start + (1 << p.shift) - 1), below, here))
+                todo = todo[len(here) :]
+                below += size
+        parts = ahead
+    return sizes, found
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], percentiles: Sequence[float]) -> DataFrame:
+    """Exact interpolated percentiles `(column_name, p, value)`, by selection of their neighbouring ranks; runs now."""
+    sizes, found = order_statistics(
+        df, columns, lambda n: [f(p * (n - 1)) for p in percentiles for f in (math.floor, math.ceil)]
     )
+    rows = []
+    for c, n in sizes.items():
+        for p in percentiles if n else ():
+            x = p * (n - 1)
+            low, high = found[c, math.floor(x)], found[c, math.ceil(x)]
+            rows.append((c, p, low if low == high else low + (high - low) * (x - math.floor(x))))
+    return df.sparkSession.createDataFrame(rows, "column_name string, p double, value double")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact numbers of different values `(column_name, unique_count)`, NULL left out.
+
+    All columns go through one long table of (column, value), in which tasks keep each
+    value once before the shuffle; a value stands in the field of its kind.
+    """
+    items = []
+    for n, c in enumerate(columns):
+        dtype, v = df.schema[c].dataType, F.col(c)
+        whole = isinstance(dtype, (T.IntegralType, T.BooleanType, *TEMPORAL))
+        fraction = isinstance(dtype, (T.FloatType, T.DoubleType))
+        number = epoch_micros(v) if isinstance(dtype, TEMPORAL) else v.cast("bigint")
+        if isinstance(dtype, T.BinaryType):
+            v = F.hex(v)
+        elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+            v = F.to_json(v)
+        fields = [
+            (number if whole else F.lit(None)).cast("bigint").alias("i"),
+            (v if fraction else F.lit(None)).cast("double").alias("d"),
+            (F.lit(None) if whole or fraction else v).cast("string").alias("s"),
+        ]
+        items.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("n"), *fields)))
+    cells = df.select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*").distinct()
+    names = F.array(*[F.lit(c) for c in columns])
+    counted = cells.groupBy("n").agg(F.count(F.lit(1)).alias("unique_count"))
+    return counted.select(F.get(names, F.col("n")).alias("column_name"), "unique_count")
 
 
 def value_distribution(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:

@@ -256,7 +256,7 @@ def text_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     for c in columns:
         v = F.col(c)
         is_uuid, is_alnum = v.rlike(UUID_PATTERN), v.rlike(ALPHANUMERIC_PATTERN)
-        n, uuids, alnums = F.count(F.lit(1)), F.count_if(is_uuid), F.count_if(is_alnum)
+        n, uuids, alnums = F.count(v), F.count_if(is_uuid), F.count_if(is_alnum)  # NULLs tell nothing
         kind = (
             F.when(n == 0, "text")
             .when(uuids == n, "uuid")

@@ -157,7 +157,7 @@ class Segmenter:
         if not numbers:
             return rows.where(F.lit(False))
         if not self.buckets and len(self.axes) == 1:
-            runs = _runs(numbers)
+            runs = neighbours(numbers)
             if len(runs) <= MAX_RANGES:
                 return rows.where(reduce(lambda x, y: x | y, [self._between(s, *r) for r in runs]))
             rows = rows.where(self._between(s, runs[0][0], runs[-1][1]))
@@ -173,7 +173,7 @@ class Segmenter:
         return test | key.isNull() if low is None else test & (key >= key_literal(low))
 
 
-def _runs(numbers: Sequence[int]) -> list[tuple[int, int]]:
+def neighbours(numbers: Sequence[int]) -> list[tuple[int, int]]:
     """Neighbouring numbers as (first, last)."""
     runs: list[tuple[int, int]] = []
     for n in sorted(numbers):

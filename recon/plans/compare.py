@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recon.functions.names import Remapping
+from recon.functions.normalize import lowered_scale
 from recon.functions.predicates import CompareRules
 from recon.operators import classify, grading, hashdiff, profile, timeline
 from recon.operators.joindiff import Compared, compare_by_key, pair_columns, with_scores
@@ -278,7 +279,7 @@ def timeline_rows(periods: DataFrame, time_column: str) -> DataFrame:
 
 
 def all_warnings(spark: SparkSession, a: TableSide, b: TableSide, options: Options) -> DataFrame:
-    """Unsupported types, times with and without a zone, and mapping entries without a column."""
+    """Unsupported types, lowered precision, times with and without a zone, mapping entries without a column."""
     found = unsupported_types(spark, a, b, strict=options.strict_types)
     unused = options.remapping.warnings(a.value_columns, b.value_columns) if options.remapping else []
     rows = [(None, None, None, text) for text in unused]
@@ -286,6 +287,10 @@ def all_warnings(spark: SparkSession, a: TableSide, b: TableSide, options: Optio
     for ca, cb in pair_columns(left, right):
         if {type(left.dtype(ca)), type(right.dtype(cb))} == {T.TimestampType, T.TimestampNTZType}:
             rows.append((None, ca, f"{left.dtype(ca).simpleString()}, {right.dtype(cb).simpleString()}", "only one side has a time zone"))
+        digits = lowered_scale(left.dtype(ca), right.dtype(cb))
+        if digits is not None and not options.rules.tolerant(ca, left.dtype(ca), right.dtype(cb)):
+            types = f"{left.dtype(ca).simpleString()}, {right.dtype(cb).simpleString()}"
+            rows.append((None, ca, types, f"compared by {digits} fraction digits, finer differences are not seen"))
     return found.unionByName(spark.createDataFrame(rows, found.schema)) if rows else found
 
 

@@ -133,14 +133,24 @@ def pair_form(a: TableSide, b: TableSide, ca: str, cb: str) -> str | None:
     return dict(a.text_forms).get(ca) or dict(b.text_forms).get(cb)
 
 
+def raw_key(key: str) -> str:
+    """Column that keeps the text of a key as it is stored, for range filters of the scan."""
+    return f"__raw_{key}"
+
+
+def _in_form(df: DataFrame, key: str) -> DataFrame:
+    kept = df if raw_key(key) in df.columns else df.withColumn(raw_key(key), F.col(key))
+    return kept.withColumn(key, uuid_text(F.col(key)))
+
+
 def with_key_forms(a: TableSide, b: TableSide) -> tuple[TableSide, TableSide]:
     """Both sides with UUID keys in their normal form, so that keys equal in that form match everywhere."""
     left, right = a, b
     for ka, kb in zip(a.keys, b.keys):
         text = isinstance(a.dtype(ka), T.StringType) and isinstance(b.dtype(kb), T.StringType)
         if text and pair_form(a, b, ka, kb) == "uuid":
-            left = replace(left, df=left.df.withColumn(ka, uuid_text(F.col(ka))))
-            right = replace(right, df=right.df.withColumn(kb, uuid_text(F.col(kb))))
+            left = replace(left, df=_in_form(left.df, ka))
+            right = replace(right, df=_in_form(right.df, kb))
     return left, right
 
 

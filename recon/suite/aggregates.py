@@ -157,11 +157,11 @@ def throughput(spark, sf):
 @check(
     "Q4_advice",
     S
-    + """SELECT concat('Investigate ', "exclusive_A", ' missing records in target') AS recommendation FROM t WHERE "exclusive_A" > 0
-    UNION ALL SELECT concat('Investigate ', "exclusive_B", ' extra records in target') FROM t WHERE "exclusive_B" > 0
-    UNION ALL SELECT concat('Review ', updated, ' value discrepancies') FROM t WHERE updated > 0
-    UNION ALL SELECT 'Implement data validation rules' FROM t WHERE 1 - CAST(total AS DOUBLE) / larger < 0.95
-    UNION ALL SELECT 'Implement comprehensive data cleansing process' FROM t WHERE 1 - CAST(total AS DOUBLE) / larger < 0.9""",
+    + """SELECT concat("exclusive_A", ' rows did not arrive in the target: look for a failed or filtered load') AS recommendation FROM t WHERE "exclusive_A" > 0
+    UNION ALL SELECT concat("exclusive_B", ' rows are in the target alone: look for missed deletes or double loads') FROM t WHERE "exclusive_B" > 0
+    UNION ALL SELECT concat(updated, ' keys carry other values: start with the columns that differ most') FROM t WHERE updated > 0
+    UNION ALL SELECT 'under 95 % of the keys agree: check the load before it is published' FROM t WHERE 1 - CAST(total AS DOUBLE) / larger < 0.95
+    UNION ALL SELECT 'under 90 % of the keys agree: rebuild the target from its source' FROM t WHERE 1 - CAST(total AS DOUBLE) / larger < 0.9""",
 )
 def advice(spark, sf):
     return gr.advice(with_scores(compared(spark, sf).stats()))

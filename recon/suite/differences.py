@@ -164,16 +164,92 @@ def uuid_found(spark, sf):
     return compare(a, b, Options(detect_text_forms=True, assume_unique_key=True)).diff.select("sign", "id")
 
 
+@check("D2_uuid_ranges", UUID_SIGNED)
+def uuid_ranges(spark, sf):
+    """UUID keys in ranges of their normal form, over several levels."""
+    return hd.hash_diff(*uuid_sides(spark, sf), factor=4, threshold=16).select("sign", "id")
+
+
+@check("C14_with_nulls", UUID_SIGNED)
+def uuid_found_with_nulls(spark, sf):
+    """NULLs do not keep a column from being seen as UUIDs."""
+    a, b = (
+        side(derive(spark, sf, "customer", t).withColumn("ref", F.expr("CASE WHEN c_custkey % 5 <> 0 THEN ref END")), "id")
+        for t in (NAMED_A, NAMED_B)
+    )
+    found = [
+        compare(a, b, Options(detect_text_forms=True, assume_unique_key=True, algorithm=how)).diff.select("sign", "id")
+        for how in ("join", "hash", "rows")
+    ]
+    return found[0].intersectAll(found[1]).intersectAll(found[2])
+
+
+# Customers by name, and orders by a time.
+TEXT_A = "SELECT c_name, CAST(c_acctbal AS DECIMAL(12,2)) AS c_acctbal FROM {t}"
+TEXT_B = """SELECT concat(c_name, CASE WHEN c_custkey % 41 = 0 THEN '!' ELSE '' END) AS c_name,
+  CAST(CASE WHEN c_custkey % 31 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS DECIMAL(12,2)) AS c_acctbal
+FROM {t} WHERE c_custkey % 37 <> 0"""
+
+
+@check(
+    "D2_text_keys",
+    f"""WITH a AS ({sql(TEXT_A, 'customer')}), b AS ({sql(TEXT_B, 'customer')})
+    SELECT '-' AS sign, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+    UNION ALL SELECT '+', c_name, CAST(c_acctbal AS VARCHAR) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+)
+def hash_text(spark, sf):
+    return hd.hash_diff(*(side(derive(spark, sf, "customer", t), "c_name") for t in (TEXT_A, TEXT_B)), factor=4, threshold=16)
+
+
+AT = "TIMESTAMP '2020-01-01 00:00:00' + INTERVAL '1' SECOND * (o_orderkey * 7919 % 100000007)"
+TIME_A = f"SELECT {AT} AS t_at, o_orderkey, o_custkey FROM {{t}}"
+TIME_B = f"""SELECT {AT} AS t_at, o_orderkey, CASE WHEN o_orderkey % 89 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey
+FROM {{t}} WHERE o_orderkey % 97 <> 0"""
+
+
+@check(
+    "D2_time_keys",
+    f"""WITH a AS ({sql(TIME_A, 'orders')}), b AS ({sql(TIME_B, 'orders')})
+    SELECT '-' AS sign, strftime(t_at, '%Y-%m-%d %H:%M:%S.%f') AS t_at, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey
+      FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+    UNION ALL SELECT '+', strftime(t_at, '%Y-%m-%d %H:%M:%S.%f'), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)
+      FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+)
+def hash_time(spark, sf):
+    timed = (side(derive(spark, sf, "orders", t), ("t_at", "o_orderkey")) for t in (TIME_A, TIME_B))
+    return hd.hash_diff(*timed, factor=8, threshold=64)
+
+
+# A whole number against a fraction.
+WHOLE_A = "SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS v, CAST(o_custkey AS BIGINT) AS w FROM {t}"
+WHOLE_B = """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 89 = 0 THEN o_custkey + 0.4 ELSE o_custkey END AS DECIMAL(14,2)) AS v,
+  CAST(CASE WHEN o_orderkey % 83 = 0 THEN o_custkey + 0.25 ELSE o_custkey END AS DOUBLE) AS w FROM {t}"""
+
+
+@check(
+    "C15_integer_against_decimal",
+    """WITH hit AS (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders WHERE o_orderkey % 89 = 0 OR o_orderkey % 83 = 0)
+    SELECT algorithm, sign, o_orderkey FROM hit, (VALUES ('join'), ('hash'), ('rows')) a(algorithm), (VALUES ('-'), ('+')) s(sign)""",
+)
+def integer_against_decimal(spark, sf):
+    a, b = (side(derive(spark, sf, "orders", t), "o_orderkey") for t in (WHOLE_A, WHOLE_B))
+    parts = [
+        compare(a, b, Options(algorithm=how, assume_unique_key=True)).diff.select(F.lit(how).alias("algorithm"), "sign", "o_orderkey")
+        for how in ("join", "hash", "rows")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @check("D3_uuid_keys", UUID_SIGNED)
 def uuid_rows(spark, sf):
     return hd.rowset_diff(*uuid_sides(spark, sf)).select("sign", "id")
 
 
 # Keys spread over nearly the whole range of a bigint, as hashed keys are.
-WIDE = "CAST((o_orderkey * 7919 % 1000003 - 500000) AS BIGINT) * 18000000000000"
-WIDE_A = f"SELECT {WIDE} AS k, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM {{t}} WHERE o_orderkey < 1000003"
+WIDE = "CAST(o_orderkey * 7919 % 2147483647 - 1073741823 AS BIGINT) * 8000000000"
+WIDE_A = f"SELECT {WIDE} AS k, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM {{t}}"
 WIDE_B = f"""SELECT {WIDE} AS k, CAST(CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS DECIMAL(12,2)) AS price
-FROM {{t}} WHERE o_orderkey < 1000003 AND o_orderkey % 97 <> 0"""
+FROM {{t}} WHERE o_orderkey % 97 <> 0"""
 
 
 @check(

@@ -119,7 +119,7 @@ def export(spark, sf):
     "H8_fail_stuck",
     H
     + """SELECT comparison_id, CASE WHEN status IN ('running', 'pending') AND created_at < TIMESTAMP '1999-01-01' - INTERVAL 48 HOUR THEN 'failed' ELSE status END AS status,
-    CASE WHEN status IN ('running', 'pending') AND created_at < TIMESTAMP '1999-01-01' - INTERVAL 48 HOUR THEN concat('Task timeout - stuck in ', status, ' state') END AS error_message
+    CASE WHEN status IN ('running', 'pending') AND created_at < TIMESTAMP '1999-01-01' - INTERVAL 48 HOUR THEN concat('no end within the allowed hours, last seen ', status) END AS error_message
     FROM h""",
 )
 def stuck(spark, sf):

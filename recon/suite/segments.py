@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recon.functions import checksum as cs
 from recon.operators import segments as sg
 from recon.operators.hashdiff import common_scales, compare_segments
+from recon.operators.splitters import rows_segmenter
 from recon.sources.side import side
 from recon.suite.inputs import LINES_A, NULLKEYS_A, ORDERS_A, ORDERS_B, TURNS_A, TURNS_B, derive, sql, table
 from recon.suite.matching import sides
@@ -46,6 +47,28 @@ def checkpoints(spark, sf):
     return below.select(F.explode(F.array(*items)).alias("p")).select("p.*")
 
 
+@check(
+    "C2_quantile_checkpoints",
+    f"""{PAIR}, u AS (SELECT o_orderkey AS k FROM a UNION ALL SELECT o_orderkey FROM b),
+    m AS (SELECT greatest(1, count(*) // (32 * 64)) AS m FROM u),
+    s AS (SELECT k, count(*) AS n FROM u, m WHERE ('0x' || substr(md5(CAST(k AS VARCHAR)), 21, 12))::BIGINT % m = 0 GROUP BY k),
+    c AS (SELECT k, sum(n) OVER (ORDER BY k) AS seen, sum(n) OVER () AS total FROM s),
+    p AS (SELECT DISTINCT min(k) AS split FROM c, range(1, 32) t(i) WHERE seen * 32 > i * total GROUP BY i)
+    SELECT row_number() OVER (ORDER BY split) AS place, split, (SELECT count(*) FROM u WHERE k < split) AS rows_below FROM p""",
+)
+def quantile_checkpoints(spark, sf):
+    """Cut points of equal rows, and the rows of both sides below them."""
+    a, b = sides(spark, sf)
+    seg = rows_segmenter(a, b, 32)
+    rows = a.rows().select("o_orderkey").unionByName(b.rows().select("o_orderkey"))
+    below = rows.agg(*[F.count_if(F.col("o_orderkey") < c).alias(f"n{i}") for i, (c,) in enumerate(seg.cuts, start=1)])
+    items = [
+        F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(c).cast("bigint").alias("split"), F.col(f"n{i}").alias("rows_below"))
+        for i, (c,) in enumerate(seg.cuts, start=1)
+    ]
+    return below.select(F.explode(F.array(*items)).alias("p")).select("p.*")
+
+
 @check(
     "C3_segment_of_row",
     RANGE

@@ -306,7 +306,7 @@ def test_history_rules(spark):
     ]
     h = spark.createDataFrame(rows, "comparison_id string, status string, created_at timestamp_ntz")
     got = {r.comparison_id: (r.status, r.error_message) for r in hs.fail_stuck(h, now, 24).collect()}
-    assert got == {"1": ("failed", "Task timeout - stuck in running state"), "2": ("running", None), "3": ("completed", None)}
+    assert got == {"1": ("failed", "no end within the allowed hours, last seen running"), "2": ("running", None), "3": ("completed", None)}
     assert [r[0] for r in hs.doomed(h, now=now, days=2).collect()] == ["3"]
     assert hs.success_rate(h).first().health == "unhealthy"
     assert hs.success_rate(h.where("status = 'none'")).first().health == "healthy"
