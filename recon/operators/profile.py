@@ -24,7 +24,7 @@ AVERAGE_GAP_PERCENT = 5.0
 SMALLEST_AVERAGE = 0.0001
 
 CODE_BITS = 50
-PASS_BITS = 12
+PASS_BITS = 14
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -150,7 +150,7 @@ def order_statistics(
             bucket = F.shiftright(code, p.shift) - F.lit(p.lo >> p.shift) if p.hi > p.lo else F.lit(0).cast("bigint")
             own = v if p.hi == p.lo else F.lit(None).cast("double")
             items.append(F.when(code.between(p.lo, p.hi), F.struct(F.lit(n).alias("n"), bucket.alias("b"), own.alias("own"), v.alias("v"))))
-        rows = base.select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*")
+        rows = base.select(F.explode(F.array(*items)).alias("x")).where("x IS NOT NULL").select("x.*")
         counts = rows.groupBy("n", "b", "own").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("low"), F.max("v").alias("high"))
         buckets: dict[int, list] = {}
         for r in counts.collect():
@@ -207,7 +207,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             (F.lit(None) if whole or fraction else v).cast("string").alias("s"),
         ]
         items.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("n"), *fields)))
-    cells = df.select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*").distinct()
+    cells = df.select(F.explode(F.array(*items)).alias("x")).where("x IS NOT NULL").select("x.*").distinct()
     names = F.array(*[F.lit(c) for c in columns])
     counted = cells.groupBy("n").agg(F.count(F.lit(1)).alias("unique_count"))
     return counted.select(F.get(names, F.col("n")).alias("column_name"), "unique_count")

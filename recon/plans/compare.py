@@ -17,6 +17,7 @@ from recon.functions.names import Remapping
 from recon.functions.normalize import lowered_scale
 from recon.functions.predicates import CompareRules
 from recon.operators import classify, grading, hashdiff, profile, timeline
+from recon.operators.alignment import align_rows
 from recon.operators.joindiff import Compared, compare_by_key, pair_columns, with_scores
 from recon.operators.keys import DuplicateKeysError, NullKeysError, any_null, key_facts, require_sound_keys
 from recon.operators.sampling import infer, key_sample, modulus
@@ -104,6 +105,7 @@ class ComparisonResult:
     warnings: DataFrame
     where: tuple[str | None, str | None] = (None, None)
     whole: tuple[TableSide, TableSide] | None = None
+    aligned: Compared | None = None
 
     @cached_property
     def inference(self) -> DataFrame:
@@ -119,8 +121,9 @@ class ComparisonResult:
 
     @cached_property
     def compared(self) -> Compared:
+        """The differing rows in pairs; repeated keys are paired row by row."""
         if self.full is None:
-            raise ValueError("this result exists only for unique keys (algorithms join and hash)")
+            return replace(self.aligned, matched=materialize(self.aligned.matched))
         return replace(self.full, matched=materialize(self.full.different))
 
     @cached_property
@@ -212,8 +215,7 @@ class ComparisonResult:
         begun = datetime.now(timezone.utc).replace(tzinfo=None)
         clock = time.monotonic()
         row = self.stats.first()
-        if self.full is not None:
-            store.save("difference_details", comparison_id, detail_rows(self.compared))
+        store.save("difference_details", comparison_id, detail_rows(self.compared))
         if self.options.profile_columns:
             left, right, _ = self.column_statistics()
             labels = F.to_json(F.struct(F.col("p25").alias("25"), F.col("p50").alias("50"), F.col("p75").alias("75")))
@@ -330,6 +332,7 @@ def compare(a: TableSide, b: TableSide, options: Options | None = None, *, same_
         )
     if algorithm == "rows" or not unique:
         rows = hashdiff.rowset_diff(left, right, rules=options.rules)
-        return ComparisonResult(a, b, options, algorithm, None, rows, warnings, where, whole)
+        aligned = align_rows(left, right, rules=options.rules)
+        return ComparisonResult(a, b, options, algorithm, None, rows, warnings, where, whole, aligned)
     full = compare_by_key(left, right, rules=options.rules, null_keys="skip")
     return ComparisonResult(a, b, options, algorithm, full, None, warnings, where, whole)

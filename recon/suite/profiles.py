@@ -8,6 +8,8 @@ from recon.operators import classify as cl
 from recon.operators import profile as pf
 from recon.operators.hashdiff import key_counts
 from recon.operators.joindiff import compare_by_key
+from recon.plans.compare import Options, compare
+from recon.plans.lineage import scratch_path
 from recon.sources.side import side
 from recon.suite.differences import EVENT_PAIR, event_sides
 from recon.suite.inputs import EVENTS_A, EVENTS_B, LINES_A, LINES_B, derive, sql
@@ -168,6 +170,74 @@ def classify_duplicates(spark, sf):
     return cl.classify_duplicates(counts)
 
 
+# Lines by their order alone, so keys repeat: equal lines cancel, the others pair in the order of their values.
+ALIGNED = f"""WITH a AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM ({sql(LINES_A, 'lineitem')})),
+ b AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM ({sql(LINES_B, 'lineitem')})),
+ g AS (SELECT l_orderkey AS k, l_partkey AS p, l_quantity AS q, l_returnflag AS r, CAST(sum(s) AS BIGINT) AS d
+       FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY 1, 2, 3, 4 HAVING sum(s) <> 0),
+ x AS (SELECT k, p, q, r, d > 0 AS in_a, unnest(range(abs(d))) AS i FROM g),
+ n AS (SELECT *, row_number() OVER (PARTITION BY in_a, k ORDER BY p NULLS FIRST, q NULLS FIRST, r NULLS FIRST) AS place FROM x),
+ m AS (SELECT coalesce(y.k, z.k) AS k, y.k IS NULL AS xb, z.k IS NULL AS xa, y.p AS pa, y.q AS qa, y.r AS ra, z.p AS pb, z.q AS qb, z.r AS rb
+       FROM (FROM n WHERE in_a) y FULL JOIN (FROM n WHERE NOT in_a) z ON y.k = z.k AND y.place = z.place) """
+NUMBER_LEVEL = """'value_mismatch' AS difference_type, CASE WHEN abs({0}a - {0}b) / greatest(abs({0}a), abs({0}b)) > 0.1 THEN 'high'
+  WHEN abs({0}a - {0}b) / greatest(abs({0}a), abs({0}b)) > 0.01 THEN 'medium' ELSE 'low' END AS severity,
+  CAST({0}a AS VARCHAR) AS source_value, CAST({0}b AS VARCHAR) AS target_value FROM m WHERE NOT xa AND NOT xb AND {0}a <> {0}b"""
+
+
+def repeated(spark, sf, **options):
+    columns = ["l_partkey", "l_quantity", "l_returnflag"]
+    a, b = (side(derive(spark, sf, "lineitem", t), "l_orderkey", columns) for t in (LINES_A, LINES_B))
+    return compare(a, b, Options(algorithm="rows", **options))
+
+
+@check(
+    "Q1_repeated_keys",
+    ALIGNED
+    + f"""SELECT k AS l_orderkey, 'l_partkey' AS column_name, {NUMBER_LEVEL.format('p')}
+    UNION ALL SELECT k, 'l_quantity', {NUMBER_LEVEL.format('q')}
+    UNION ALL SELECT k, 'l_returnflag', CASE WHEN ra IS NULL OR rb IS NULL THEN 'null_mismatch' ELSE 'value_mismatch' END,
+      CASE WHEN ra IS NULL OR rb IS NULL THEN 'high' ELSE 'medium' END, ra, rb FROM m WHERE NOT xa AND NOT xb AND ra IS DISTINCT FROM rb""",
+)
+def classify_repeated(spark, sf):
+    return repeated(spark, sf).classification
+
+
+@check(
+    "A5_repeated_keys",
+    ALIGNED
+    + """SELECT count(*) FILTER (WHERE NOT xa AND NOT xb) AS paired, count(*) FILTER (WHERE xa) AS only_a, count(*) FILTER (WHERE xb) AS only_b,
+      count(*) FILTER (WHERE NOT xa AND NOT xb AND pa <> pb) AS l_partkey, count(*) FILTER (WHERE NOT xa AND NOT xb AND qa <> qb) AS l_quantity,
+      count(*) FILTER (WHERE NOT xa AND NOT xb AND ra IS DISTINCT FROM rb) AS l_returnflag FROM m""",
+)
+def counts_repeated(spark, sf):
+    c = repeated(spark, sf).compared
+    return c.matched.agg(
+        F.count_if(c.in_both()).alias("paired"),
+        F.count_if(c.only_a()).alias("only_a"),
+        F.count_if(c.only_b()).alias("only_b"),
+        *[F.count_if(c.in_both() & c.differs(i)).alias(c.pairs[i][0]) for i in c.value_positions],
+    )
+
+
+@check(
+    "S7_details_repeated_keys",
+    ALIGNED
+    + """, j AS (SELECT *, concat('{"l_orderkey":', k, '}') AS row_key,
+       concat('{"l_orderkey":"', k, '","l_partkey":"', pa, '","l_quantity":"', qa, '"', CASE WHEN ra IS NOT NULL THEN concat(',"l_returnflag":"', ra, '"') ELSE '' END, '}') AS ja,
+       concat('{"l_orderkey":"', k, '","l_partkey":"', pb, '","l_quantity":"', qb, '"', CASE WHEN rb IS NOT NULL THEN concat(',"l_returnflag":"', rb, '"') ELSE '' END, '}') AS jb FROM m)
+    SELECT row_key, 'value_different' AS difference_type, 'medium' AS severity, 'l_partkey' AS column_name, CAST(pa AS VARCHAR) AS source_value,
+      CAST(pb AS VARCHAR) AS target_value FROM j WHERE NOT xa AND NOT xb AND pa <> pb
+    UNION ALL SELECT row_key, 'value_different', 'medium', 'l_quantity', CAST(qa AS VARCHAR), CAST(qb AS VARCHAR) FROM j WHERE NOT xa AND NOT xb AND qa <> qb
+    UNION ALL SELECT row_key, 'value_different', 'medium', 'l_returnflag', coalesce(ra, ''), coalesce(rb, '') FROM j
+      WHERE NOT xa AND NOT xb AND ra IS DISTINCT FROM rb
+    UNION ALL SELECT row_key, 'missing_in_target', 'high', NULL, ja, '' FROM j WHERE xa
+    UNION ALL SELECT row_key, 'missing_in_source', 'high', NULL, '', jb FROM j WHERE xb""",
+)
+def details_repeated(spark, sf):
+    store = repeated(spark, sf).save(scratch_path(spark, "store"), "one")
+    return store.read("difference_details").select("row_key", "difference_type", "severity", "column_name", "source_value", "target_value")
+
+
 @check(
     "Q3_summary",
     CLASSIFIED
