@@ -29,7 +29,7 @@ SHARD_VECTORS = 4096
 QUERY_BLOCK = 2048  # queries that meet a shard in one task
 LEAF = 64
 FIRST_LEAVES = 2
-LIMIT = 2.0**51  # larger components cannot be told exactly in double arithmetic
+LEAST, MOST = -(2**63), 2**63 - 1  # scores beyond these travel as these
 
 
 class BallTree:
@@ -70,8 +70,11 @@ class BallTree:
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bound of the inner product of each query with anything in each node, rounded up."""
         norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        up = queries @ self.centres.T + norms[:, None] * self.radii
-        return up + 1e-9 * (1 + norms[:, None] * (self.radii + np.sqrt(np.einsum("ij,ij->i", self.centres, self.centres))))
+        with np.errstate(over="ignore", invalid="ignore"):
+            up = queries @ self.centres.T + norms[:, None] * self.radii
+            slack = norms[:, None] * (self.radii + np.sqrt(np.einsum("ij,ij->i", self.centres, self.centres)))
+            up = up + 1e-9 * (1 + slack)
+        return np.where(np.isnan(up), np.inf, up)  # where doubles overflow, nothing is ruled out
 
 
 class Best:
@@ -128,7 +131,7 @@ def search(
             for i in take.tolist():
                 best.offer(int(found[i]), int(ids[inside[i]]))
         for score, minus in best.heap:
-            yield q, -minus, score
+            yield q, -minus, min(max(score, LEAST), MOST)
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -174,14 +177,15 @@ def top_inner_products(
 
     Components become floor(scale * x); the score is their integer inner product,
     ties go to the smaller id. Vectors that are NULL or hold NULL, NaN or infinite
-    components, and rows without an id, take no part; neither do vectors with
-    components of 2^51 or more after scaling. A shorter vector counts as filled up
+    components, and rows without an id, take no part; components may have any size,
+    and scores are exact, but a score of the result that does not fit 64 bits is an
+    error. A shorter vector counts as filled up
     with zeros. Repeated rows are rows like others: each is a query, and a
     candidate for the other. Copies of one vector are spread over the shards.
     Queries are dealt to every shard in blocks; a block never meets more than one
     shard in a task. No rows, or one row, give no result.
     """
-    fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(LIMIT / scale)))
+    fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = materialize(
         vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
         .where(fine)
@@ -213,7 +217,11 @@ def top_inner_products(
     first = meet(wanted.withColumn("floor", F.lit(float("-inf"))), FIRST_LEAVES)
     order = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     bars = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    bars = materialize(bars.select("row", F.col("score").cast("double").alias("floor")), "bars")
+    # As a double, a large score may round up; the floor must not.
+    lower = F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-15 - 1
+    bars = materialize(bars.select("row", lower.alias("floor")), "bars")
     floors = wanted.join(bars, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     found = meet(floors, None).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    too_large = F.raise_error(F.lit("a score does not fit 64 bits")).cast("long")
+    score = F.when((F.col("score") == LEAST) | (F.col("score") == MOST), too_large).otherwise(F.col("score"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recon.llm.topk import BallTree, top_inner_products
@@ -44,6 +45,17 @@ def test_exact_beyond_double_arithmetic(spark, tmp_path):
     assert ask(written(spark, tmp_path, rows, SCHEMA), shard_vectors=20) == brute(rows)
 
 
+def test_components_of_any_size(spark, tmp_path):
+    wide = SCHEMA.replace("array<float>", "array<double>")
+    rows = [(0, [1.0, 0.0], 0, 0), (1, [4e12, 0.0], 0, 0), (2, [2.0, 1.0], 0, 0), (3, [-3.5e12, 1e300], 0, 0), (4, [0.0, -1e305], 0, 0)]
+    df = written(spark, tmp_path, rows, wide)
+    got = top_inner_products(df, F.col("vec_id") == 0)
+    exact = {i: math.floor(1024 * e[0]) * 1024 for i, e, *_ in rows[1:]}
+    assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))
+    with pytest.raises(Exception, match="64 bits"):
+        top_inner_products(df, F.col("vec_id") == 1).collect()
+
+
 def test_few_or_no_vectors(spark, tmp_path):
     assert ask(written(spark, tmp_path, [], SCHEMA)) == []
     assert ask(written(spark, tmp_path, [(10, [1.0], 0, 0)], SCHEMA)) == []
