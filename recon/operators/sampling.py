@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from recon.functions.checksum import NULL_TEXT, low48, md5_bucket
 from recon.plans.lineage import materialize
 
+DIGITS = 3  # hexadecimal digits of a digest that one counting pass looks at
+MOST_STRATA = 100_000  # more bounds than this are joined by a shuffle
+
 # Z scores of common confidence levels.
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576, 0.995: 2.807, 0.999: 3.291}
 
@@ -37,14 +40,50 @@ def percent_sample(df: DataFrame, percent: float, keys: Sequence[str] | None = N
 def fixed_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """M2: exactly `n` random rows (all, if fewer): those with the smallest digest of seed and key.
 
-    The same rows whatever the file layout; each task keeps its own `n` smallest, so there is no full sort.
+    The same rows whatever the file layout. See `smallest_digests`; its counting passes run now.
     """
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), key_text(keys))), *keys).limit(n)
+    return smallest_digests(df, F.md5(F.concat(F.lit(f"{seed}|"), key_text(keys))), keys, n)
 
 
 def hashed_sample(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """M2, repeatable: the `n` rows with the smallest key digest (top-n, no full sort)."""
-    return df.orderBy(F.md5(key_text(keys)), *keys).limit(n)
+    """M2, repeatable: the `n` rows with the smallest key digest."""
+    return smallest_digests(df, F.md5(key_text(keys)), keys, n)
+
+
+def smallest_digests(df: DataFrame, digest: Column, keys: Sequence[str], n: int, stratum: str | None = None) -> DataFrame:
+    """The `n` rows with the smallest digest (hexadecimal text), of the whole table or of each stratum; ties go by the keys.
+
+    Two counting passes find, per stratum, the bucket of 24 leading bits in which the
+    n-th row lies: rows before it are kept by a plain filter, and only that bucket, a
+    16-millionth of the rows, is ordered. No task sends its n best rows, so n may be
+    as large as the table. NULL is a stratum like any other.
+    """
+    columns, group = df.columns, ["__stratum"]
+    tagged = df.withColumn("__stratum", F.lit(0) if stratum is None else F.col(stratum)).withColumn("__digest", digest)
+
+    def boundary(rows: DataFrame, length: int, below: Column) -> DataFrame:
+        counts = rows.groupBy(*group, F.substring("__digest", 1, length).alias("p")).agg(
+            F.count(F.lit(1)).alias("rows"), F.max(below).alias("less")
+        )
+        run = Window.partitionBy(*group).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # 4,096 buckets
+        seen = counts.withColumn("seen", F.sum("rows").over(run) + F.col("less"))
+        crossed = seen.where((F.col("seen") >= n) & (F.col("seen") - F.col("rows") < n))
+        return materialize(crossed.select(F.col("__stratum").alias("s"), "p", (F.col("seen") - F.col("rows")).alias("less")), "bounds")
+
+    def known(rows: DataFrame, bounds: DataFrame, how: str) -> DataFrame:
+        few = bounds.count() <= MOST_STRATA
+        return rows.join(F.broadcast(bounds) if few else bounds, F.col("__stratum").eqNullSafe(F.col("s")), how)
+
+    if n < 1:
+        return df.limit(0)
+    first = boundary(tagged, DIGITS, F.lit(0))
+    inside = known(tagged, first, "inner").where(F.substring("__digest", 1, DIGITS) == F.col("p"))
+    placed = known(tagged, boundary(inside, 2 * DIGITS, F.col("less")), "left")
+    place = F.substring("__digest", 1, 2 * DIGITS)
+    whole = placed.where(F.col("p").isNull() | (place < F.col("p")))
+    order = Window.partitionBy(*group).orderBy("__digest", *keys)
+    edge = placed.where(place == F.col("p")).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n - F.col("less"))
+    return whole.select(*columns).unionByName(edge.select(*columns))
 
 
 def key_text(keys: Sequence[str]) -> Column:
@@ -166,10 +205,5 @@ def stratified_sample(
 
 
 def stratified_fixed(df: DataFrame, stratum: str, keys: Sequence[str], n: int) -> DataFrame:
-    """M7, repeatable: `n` rows per stratum by key digest.
-
-    The rank filter lets Spark cut every stratum to `n` rows per task before
-    the shuffle, so a dominant stratum stays small.
-    """
-    w = Window.partitionBy(stratum).orderBy(F.md5(key_text(keys)), *keys)
-    return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
+    """M7, repeatable: `n` rows per stratum by key digest, however large a stratum is; see `smallest_digests`."""
+    return smallest_digests(df, F.md5(key_text(keys)), keys, n, stratum)
