@@ -43,10 +43,10 @@ from recon.plans.lineage import materialize
 WINDOW, GRAM = 50, 24
 CHUNK = 1 << 20  # bytes that are hashed at a time
 PLACE = np.uint64((1 << 21) - 1)  # low bits of a window's minimum hold the place in the chunk
-BATCH_BYTES = 16 << 20  # text whose anchors or contexts are gathered before they are sent
-RANGE_BYTES = 64 << 20  # text whose anchors make one range
-FINER = 16  # buckets of contexts per range
-ROW_GROUPS = 4  # groups of rows per range, whose places and intervals are gathered
+BATCH_BYTES = 8 << 20  # text whose anchors or contexts are gathered before they are sent
+RANGE_BYTES = 32 << 20  # text whose anchors make one range
+FINER = 8  # buckets of contexts per range
+ROW_GROUPS = 2  # groups of rows per range, whose places and intervals are gathered
 SORT_BYTES = 1 << 20  # context bytes that are sorted at a time
 HOT_SHARE, HOT_LEAST = 1_000_000, 50_000
 NO_PLACE = np.uint32(0xFFFFFFFF)
@@ -478,7 +478,7 @@ def repeated_strings(
     whole. Ids are integers; NULL ids count as one id smaller than all others. Rows
     with the same id do not remove from each other. An empty table gives no rows.
     Other columns are not looked at. `docs` must be a scan of files, since rows are
-    numbered. A task holds the texts of a batch (16 MB, or one longer text).
+    numbered. A task holds the texts of a batch (8 MB, or one longer text).
     """
     texts = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
