@@ -3,15 +3,17 @@
 1. Each document's set of word shingles is hashed once per shingle; its K smallest
    hashes are its sketch. Documents with equal sets become one representative.
 2. Inverted lists: large sets are listed under runs of two neighbouring sketch
-   values. Two sets of Jaccard similarity J share a run unless no two neighbours
-   among the K smallest hashes of their union are common: at J = 0.8 and K = 32
-   about 5 in 10^10 pairs. Small sets are listed under their smallest values, as
-   many as must hold a common one, which misses nothing.
+   values. Two sets of Jaccard similarity J share none of m neighbouring runs if no
+   two neighbours among m + 1 hashes of their union are common: at J = 0.8 and
+   m = 31 about 5 in 10^10 pairs, and fewer if the m runs lie apart. Small sets are
+   listed under their smallest values, as many as must hold a common one, which
+   misses nothing.
 3. Members of lists with more than LIST_PAIRS members are compared with hubs of the
    list: its smallest row and members that are in many long lists, as the original
-   of many copies is. Where such a list then still spans several components, its
-   members are listed again under the tokens of their full sets that are rarest,
-   as many as must hold a common one, and compared across components there.
+   of many copies is. A set with SURE runs in short lists meets every similar set in
+   one of them. Where the other members of a long list still span several
+   components, they are listed again under the tokens of their full sets that are
+   rarest, as many as must hold a common one, and compared across components there.
 4. Pairs pass if size ratio and the overlap of the union's sketch allow the
    threshold; the survivors are compared on full sets.
 5. Components of the confirmed links give the groups.
@@ -20,6 +22,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,13 +38,13 @@ from recon.llm.components import components
 from recon.plans.lineage import materialize
 
 WORDS, PERCENT = 5, 80
-K = 32
+K = 64
 LIST_PAIRS = 16
 RUN = 2
+SURE = 31  # runs in short lists that a similar set shares one of, but for 5 in 10^10
 BUCKETS = 1 << 20  # of token counts; they only set the order of tokens, and any order misses nothing
-# Of the K smallest hashes of a union so many must be common; at J = 0.8 fewer come once in 10^9 pairs.
-LEAST_COMMON = 10
-KNOWN_WORDS = 1_000_000
+MISSED = 1e-9  # share of similar pairs that the union sketch may reject
+KNOWN_WORDS = 1 << 17
 
 _known: dict[bytes, int] = {}
 
@@ -148,7 +151,7 @@ def _short_pairs(listed: DataFrame, counts: DataFrame, most: int, percent: int)
 
 
 def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs from short lists and with hubs of long ones, and the members (key, rep, n) of long lists."""
+    """Pairs from short lists and with hubs of long ones, and (key, rep): members of long lists that short ones do not settle."""
     edge = k * 100 // percent
     pairs, long_members = [], []
     small, large = _small_listed(reps.where(F.col("n") <= edge), percent), _listed(reps.where(F.col("n") > k), RUN)
@@ -159,7 +162,11 @@ def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataF
         if long_keys.take(1):
             long = materialize(listed.join(long_keys, "key").select("key", "rep", "n"), f"long-{name}")
             pairs.append(_hub_pairs(long, percent))
-            long_members.append(long)
+            if name == "lists":
+                # Of a sketch's k - RUN + 1 runs, those not in long lists are in short ones.
+                busy = long.groupBy("rep").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > k - RUN + 1 - SURE)
+                long = long.join(busy.select("rep"), "rep", "left_semi")
+            long_members.append(long.select("key", "rep"))
     members = reduce(DataFrame.unionByName, long_members) if long_members else None
     return reduce(DataFrame.unionByName, pairs), members
 
@@ -168,13 +175,13 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Every member with three hubs of its list, if their sizes allow: linear in the list.
 
     The original of a family has no edits, so it is in the most long lists; ties go
-    another way in each list.
+    the same way in each list, so lists of one family share hubs.
     """
     met = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("lists")), "rep")
     hub = F.struct("rep", "n")
 
     def top(salt: int) -> Column:
-        return F.max_by(hub, F.struct("lists", F.xxhash64("key", "rep", F.lit(salt))))
+        return F.max_by(hub, F.struct("lists", F.xxhash64("rep", F.lit(salt))))
 
     pick = met.groupBy("key").agg(F.array_distinct(F.array(F.min(hub), top(1), top(2))).alias("hubs"))
     met = members.join(pick, "key").select("rep", "n", F.explode("hubs").alias("hub"))
@@ -254,12 +261,22 @@ def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+def least_common(k: int, percent: int) -> int:
+    """So many of the k smallest hashes of a union are common to both sets, but for MISSED of the pairs at the threshold."""
+    p, below = percent / 100, 0.0
+    for c in range(k + 1):
+        below += math.comb(k, c) * p**c * (1 - p) ** (k - c)
+        if below > MISSED:
+            return c
+    return k
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose union sketch holds enough common values."""
     both = _with(pairs, reps, "sketch")
     union = F.slice(F.array_sort(F.array_union("a_value", "b_value")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("a_value", "b_value")))
-    enough = (common >= LEAST_COMMON) | (F.size("a_value") < k) | (F.size("b_value") < k)
+    enough = (common >= least_common(k, percent)) | (F.size("a_value") < k) | (F.size("b_value") < k)
     return both.where(enough).select("a", "b")
 
 
@@ -302,14 +319,14 @@ def near_groups(
     )
 
     found, members = _candidates(reps, percent, k, most)
-    pairs = materialize(_plausible(found.distinct(), reps, k), "candidates")
+    pairs = materialize(_plausible(found.distinct(), reps, k, percent), "candidates")
     links = materialize(_confirmed(pairs, _sets_of(pairs, rows, words, "sets"), percent), "links")
     roots = components(links, "a", "b")
     if members is not None:
         open_rows = materialize(_unsettled(members, materialize(roots, "roots")), "unsettled")
         if open_rows.take(1):
             listed = materialize(_rarest(rows.join(open_rows, "row_id"), words, percent), "rarest")
-            more = materialize(_plausible(_split_pairs(listed, percent).distinct(), reps, k), "more-candidates")
+            more = materialize(_plausible(_split_pairs(listed, percent).distinct(), reps, k, percent), "more-candidates")
             more = materialize(_confirmed(more, _sets_of(more, rows, words, "more-sets"), percent), "more-links")
             if more.take(1):
                 roots = components(links.unionByName(more), "a", "b")
