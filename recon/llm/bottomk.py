@@ -45,6 +45,7 @@ SURE = 31  # runs in short lists that a similar set shares one of, but for 5 in
 BUCKETS = 1 << 20  # of token counts; they only set the order of tokens, and any order misses nothing
 MISSED = 1e-9  # share of similar pairs that the union sketch may reject
 KNOWN_WORDS = 1 << 17
+MARKS = 1 << 26  # bits that tell which texts are needed, 8 MB at most; where they are all set, all texts are shuffled
 
 _known: dict[bytes, int] = {}
 
@@ -107,10 +108,20 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(run, "row_id long, full array<long>")
 
 
-def _sets_of(pairs: DataFrame, rows: DataFrame, words: int, name: str) -> DataFrame:
-    """(rep, full): the full sets of both ends of the pairs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    return materialize(_sets(rows.join(ends, "row_id", "left_semi"), words).withColumnRenamed("row_id", "rep"), name)
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` without most of those whose row_id is not in `ids`: a bitmap of at most MARKS bits is broadcast, texts stay where they are."""
+    place = F.pmod(F.xxhash64("row_id"), F.lit(MARKS)) + 1
+    number, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = ids.select(number.alias("number"), bit.alias("bit")).groupBy("number").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    octet = F.conv(F.hex(F.substring("marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(marks), number == F.col("number")).withColumns({"octet": octet, "bit": (bit % 8).cast("int")})
+    return met.where("shiftright(octet, bit) % 2 = 1").select(*rows.columns)
+
+
+def _sets_of(ids: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(rep, full): the full sets of the rows of the given row_ids."""
+    wanted = _marked(rows, ids).join(ids, "row_id", "left_semi")
+    return _sets(wanted, words).withColumnRenamed("row_id", "rep")
 
 
 def _run_keys(length: int) -> Column:
@@ -190,49 +201,49 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(row_id, root) of members of lists that span several components."""
+    """(rep, root) of members of lists that span several components."""
     m = members.join(roots, members.rep == roots.node, "left").select(
-        "key", F.col("rep").alias("row_id"), F.coalesce("root", "rep").alias("root")
+        "key", "rep", F.coalesce("root", "rep").alias("root")
     )
     spread = m.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    return m.join(spread.select("key"), "key", "left_semi").select("row_id", "root").distinct()
+    return m.join(spread.select("key"), "key", "left_semi").select("rep", "root").distinct()
 
 
 def _buckets(tokens: np.ndarray) -> np.ndarray:
     return tokens & (BUCKETS - 1)
 
 
-def _rarest(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rep, root, n, at, key): sets under their rarest tokens, as many as leave fewer behind than a similar set must share."""
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, root, n, at, key): the sets (rep, root, full) under their rarest tokens, as many as leave fewer behind than a similar set must share."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for text in b.column(0):
-                np.add.at(total, _buckets(shingle_hashes(text.as_py().encode(), words)), 1)
+            for s in b.column(0):
+                np.add.at(total, _buckets(s.values.to_numpy()), 1)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "met"])
 
-    counted = rows.select("text").mapInArrow(count, "bucket long, met long")
+    counted = sets.select("full").mapInArrow(count, "bucket long, met long")
     table = counted.groupBy("bucket").agg(F.sum("met").alias("met")).toArrow()
     often = np.zeros(BUCKETS, np.int64)
     often[table["bucket"].to_numpy()] = table["met"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(often)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in batches:
-            for row, root, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = shingle_hashes(text.as_py().encode(), words)
+            for rep, root, full in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = full.values.to_numpy()
                 n, met = len(s), often[_buckets(s)]
                 first = np.lexsort((s, met))[: n - (n * percent + 99) // 100 + 1]
                 at = np.flatnonzero(met[first] > 1)  # others are in one set only
-                cols = [np.full(len(at), x, np.int64) for x in (row, root, n)]
+                cols = [np.full(len(at), x, np.int64) for x in (rep, root, n)]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, cols), pa.array(at), pa.array(s[first[at]])], names=["rep", "root", "n", "at", "key"]
                 )
 
-    return rows.select("row_id", "root", "text").mapInArrow(run, "rep long, root long, n long, at long, key long")
+    return sets.select("rep", "root", "full").mapInArrow(run, "rep long, root long, n long, at long, key long")
 
 
 def _split_pairs(m: DataFrame, percent: int) -> DataFrame:
@@ -320,14 +331,20 @@ def near_groups(
 
     found, members = _candidates(reps, percent, k, most)
     pairs = materialize(_plausible(found.distinct(), reps, k, percent), "candidates")
-    links = materialize(_confirmed(pairs, _sets_of(pairs, rows, words, "sets"), percent), "links")
+    # Texts travel once, also for what the lists may leave open.
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id"))
+    if members is not None:
+        needed = needed.unionByName(members.select(F.col("rep").alias("row_id")))
+    sets = materialize(_sets_of(materialize(needed.distinct(), "needed"), rows, words), "sets")
+    links = materialize(_confirmed(pairs, sets, percent), "links")
     roots = components(links, "a", "b")
     if members is not None:
         open_rows = materialize(_unsettled(members, materialize(roots, "roots")), "unsettled")
         if open_rows.take(1):
-            listed = materialize(_rarest(rows.join(open_rows, "row_id"), words, percent), "rarest")
+            open_sets = materialize(sets.join(open_rows, "rep"), "open-sets")
+            listed = materialize(_rarest(open_sets, percent), "rarest")
             more = materialize(_plausible(_split_pairs(listed, percent).distinct(), reps, k, percent), "more-candidates")
-            more = materialize(_confirmed(more, _sets_of(more, rows, words, "more-sets"), percent), "more-links")
+            more = materialize(_confirmed(more, sets, percent), "more-links")
             if more.take(1):
                 roots = components(links.unionByName(more), "a", "b")
 
