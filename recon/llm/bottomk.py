@@ -45,7 +45,7 @@ SURE = 31  # runs in short lists that a similar set shares one of, but for 5 in
 BUCKETS = 1 << 20  # of token counts; they only set the order of tokens, and any order misses nothing
 MISSED = 1e-9  # share of similar pairs that the union sketch may reject
 KNOWN_WORDS = 1 << 17
-MARKS = 1 << 26  # bits that tell which texts are needed, 8 MB at most; where they are all set, all texts are shuffled
+MARKS = 1 << 26  # bits that tell which rows a join needs, 8 MB at most; where they are all set, all rows are shuffled
 
 _known: dict[bytes, int] = {}
 
@@ -108,9 +108,9 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(run, "row_id long, full array<long>")
 
 
-def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """`rows` without most of those whose row_id is not in `ids`: a bitmap of at most MARKS bits is broadcast, texts stay where they are."""
-    place = F.pmod(F.xxhash64("row_id"), F.lit(MARKS)) + 1
+def _marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """`rows` without most of those whose `column` is not in `ids`: a bitmap of at most MARKS bits is broadcast, the rows stay where they are."""
+    place = F.pmod(F.xxhash64(column), F.lit(MARKS)) + 1
     number, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
     marks = ids.select(number.alias("number"), bit.alias("bit")).groupBy("number").agg(F.bitmap_construct_agg("bit").alias("marks"))
     octet = F.conv(F.hex(F.substring("marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -120,7 +120,8 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _sets_of(ids: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(rep, full): the full sets of the rows of the given row_ids."""
-    wanted = _marked(rows, ids).join(ids, "row_id", "left_semi")
+    # A semi join would be pushed below the bitmap.
+    wanted = _marked(rows, ids, "row_id").join(ids, "row_id")
     return _sets(wanted, words).withColumnRenamed("row_id", "rep")
 
 
@@ -168,6 +169,7 @@ def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataF
     small, large = _small_listed(reps.where(F.col("n") <= edge), percent), _listed(reps.where(F.col("n") > k), RUN)
     for name, listed in (("small-lists", small), ("lists", large)):
         counts = materialize(listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), name)
+        listed = _marked(listed, counts, "key")
         pairs.append(_short_pairs(listed, counts, most, percent))
         long_keys = counts.where(F.col("members") > most).select("key")
         if long_keys.take(1):
@@ -284,7 +286,9 @@ def least_common(k: int, percent: int) -> int:
 
 def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose union sketch holds enough common values."""
-    both = _with(pairs, reps, "sketch")
+    pairs = materialize(pairs.distinct(), "met")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    both = _with(pairs, _marked(reps, ends, "rep"), "sketch")
     union = F.slice(F.array_sort(F.array_union("a_value", "b_value")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("a_value", "b_value")))
     enough = (common >= least_common(k, percent)) | (F.size("a_value") < k) | (F.size("b_value") < k)
@@ -330,7 +334,7 @@ def near_groups(
     )
 
     found, members = _candidates(reps, percent, k, most)
-    pairs = materialize(_plausible(found.distinct(), reps, k, percent), "candidates")
+    pairs = materialize(_plausible(found, reps, k, percent), "candidates")
     # Texts travel once, also for what the lists may leave open.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id"))
     if members is not None:
@@ -343,7 +347,7 @@ def near_groups(
         if open_rows.take(1):
             open_sets = materialize(sets.join(open_rows, "rep"), "open-sets")
             listed = materialize(_rarest(open_sets, percent), "rarest")
-            more = materialize(_plausible(_split_pairs(listed, percent).distinct(), reps, k, percent), "more-candidates")
+            more = materialize(_plausible(_split_pairs(listed, percent), reps, k, percent), "more-candidates")
             more = materialize(_confirmed(more, sets, percent), "more-links")
             if more.take(1):
                 roots = components(links.unionByName(more), "a", "b")
