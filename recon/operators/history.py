@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recon.operators.cooldown import fired_alerts as fired_alerts  # H10
 from recon.operators.grading import grade
 
 # Size of the latest-runs view, health limit in percent, trend gap.
@@ -208,29 +209,6 @@ def health(error_rate: Column) -> Column:
     return F.when(error_rate == 0, "healthy").when(error_rate < UNHEALTHY_RATE, "warning").otherwise("unhealthy")
 
 
-def fired_alerts(checks: DataFrame, cooldown_seconds: int) -> DataFrame:
-    """Which checks raise an alert when a rule rests after each alert it fired.
-
-    `checks` has `rule`, `checked_at` and `fires`, one row per rule and check
-    tick, so a rule's list is as long as there are ticks, not data rows. Whether
-    a check may fire depends on the last one that did: a fold in time order.
-    """
-    due = checks.where("fires").select("rule", F.unix_micros(F.col("checked_at").cast("timestamp")).alias("at")).distinct()
-    ordered = due.groupBy("rule").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    rest = F.lit(int(cooldown_seconds) * 1_000_000)
-    start = F.array().cast("array<bigint>")
-    fold = F.aggregate(
-        "ats",
-        start,
-        lambda fired, at: F.when(
-            (F.size(fired) == 0) | (at >= F.try_element_at(fired, F.lit(-1)) + rest), F.concat(fired, F.array(at))
-        ).otherwise(fired),
-    )
-    return ordered.select("rule", F.explode(fold).alias("at")).select(
-        "rule", F.timestamp_micros("at").cast("timestamp_ntz").alias("fired_at")
-    )
-
-
 def quality_trend(summary: DataFrame) -> DataFrame:
     """Each completed run against the previous run of the same table pair.
 

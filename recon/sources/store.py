@@ -1,7 +1,16 @@
-"""The result store: Parquet tables partitioned by comparison."""
+"""The result store: appended Parquet tables and a manifest.
+
+A save appends files to a table and then one entry to the manifest; rows count from
+the moment their entry is there. The latest entry of a table and comparison decides:
+it names the save whose rows stand, or says that they are gone. Deleting is an entry
+too. Compaction moves the rows that stand into few large files, ordered by
+comparison, and empties the folders that held them.
+"""
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,6 +21,7 @@ from pyspark.errors import AnalysisException
 
 from recon.operators.grading import difference_type
 from recon.operators.history import doomed
+from recon.plans.lineage import materialize
 
 # Stored layouts.
 LAYOUTS = {
@@ -58,12 +68,17 @@ TABLE_CHILDREN = ("performance_metrics", "timeline_analysis", "column_statistics
 SCHEMA_CHILDREN = ("schema_column_differences", "schema_table_differences")
 
 
+MANIFEST = "table_name string, comparison_id string, save_id string, place string, at timestamp, revision int, gone boolean"
+WRITER = f"writer-{uuid.uuid4().hex}"  # each driver appends to a folder of its own
+_appending = threading.Lock()  # two appends to one folder would clear each other's temporary files
+
+
 @dataclass(frozen=True)
 class ResultStore:
-    """A folder with one Parquet table per result kind.
+    """A folder with one Parquet table per result kind, and the manifest.
 
-    Each comparison owns one partition per table, and saving replaces exactly
-    that partition, so a repeated save leaves no duplicates.
+    Saving a comparison again replaces what was saved of it; a save that breaks
+    leaves what was there. Drivers may save at the same time.
     """
 
     spark: SparkSession
@@ -72,9 +87,7 @@ class ResultStore:
     def location(self, table: str) -> str:
         return f"{self.path.rstrip('/')}/{table}"
 
-    def read(self, table: str) -> DataFrame:
-        """A stored table; empty before the first save. Filters on `comparison_id` prune partitions."""
-        schema = T.StructType.fromDDL(LAYOUTS[table])
+    def _scan(self, table: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self.location(table)).select(*schema.names)
         except AnalysisException as e:
@@ -82,12 +95,45 @@ class ResultStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def save(self, table: str, comparison_id: str, rows: DataFrame) -> None:
-        """Replace one comparison's rows; missing columns become NULL."""
-        schema = T.StructType.fromDDL(LAYOUTS[table])
+    def manifest(self) -> DataFrame:
+        """All entries, one per save, deletion or move of a comparison in a table."""
+        return self._scan("manifest", T.StructType.fromDDL(MANIFEST))
+
+    def _standing(self, table: str) -> DataFrame:
+        """(comparison_id, at, revision, save_id, place): the save of each comparison that counts."""
+        latest = F.max(F.struct("at", "revision", "save_id", "place", "gone")).alias("e")
+        entries = self.manifest().where((F.col("table_name") == table) & F.col("comparison_id").isNotNull())
+        return entries.groupBy("comparison_id").agg(latest).where("NOT e.gone").select("comparison_id", "e.*").drop("gone")
+
+    def _rows(self, table: str, standing: DataFrame) -> DataFrame:
+        schema = T.StructType.fromDDL(f"{LAYOUTS[table]}, save_id string, place string")
+        return self._scan(table, schema).join(standing, ["comparison_id", "save_id", "place"], "left_semi")
+
+    def read(self, table: str) -> DataFrame:
+        """A stored table; empty before the first save. Filters on `comparison_id` reach the scan."""
+        names = T.StructType.fromDDL(LAYOUTS[table]).names
+        return self._rows(table, self._standing(table)).select(*names)
+
+    def _enter(self, entries: DataFrame) -> None:
+        schema = T.StructType.fromDDL(MANIFEST)
+        defaults = {"at": F.current_timestamp(), "revision": F.lit(0), "gone": F.lit(False)}
+        columns = [
+            (F.col(f.name) if f.name in entries.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+        with _appending:
+            entries.select(*columns).write.mode("append").parquet(f"{self.location('manifest')}/by={WRITER}")
+
+    def save(self, table: str, comparison_id: str | None, rows: DataFrame) -> None:
+        """Replace one comparison's rows; missing columns become NULL.
+
+        Without `comparison_id`, `rows` has the column itself and replaces each
+        comparison that it holds.
+        """
+        schema, save_id = T.StructType.fromDDL(LAYOUTS[table]), uuid.uuid4().hex
         out = []
         for f in schema.fields:
-            if f.name == "comparison_id":
+            if f.name == "comparison_id" and comparison_id is not None:
                 c = F.lit(comparison_id)
             elif f.name in rows.columns:
                 c = F.col(f.name)
@@ -96,36 +142,63 @@ class ResultStore:
             else:
                 c = F.lit(None)
             out.append(c.cast(f.dataType).alias(f.name))
-        writer = rows.select(*out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("comparison_id").parquet(self.location(table))
-
-    def delete(self, tables: tuple[str, ...], ids: list[str]) -> None:
-        """Drop the partitions of the given comparisons; other partitions are not touched."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for table in tables:
-            for i in ids:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.location(table)}/comparison_id={escape(i)}")
-                p.getFileSystem(conf).delete(p, True)
+        with _appending:
+            stored = rows.select(*out, F.lit(save_id).alias("save_id"))
+            stored.write.mode("append").parquet(f"{self.location(table)}/place={WRITER}")
+        if comparison_id is not None:
+            ids = self.spark.range(1, numPartitions=1).select(F.lit(comparison_id).alias("comparison_id"))
+        else:
+            saved = self._scan(table, T.StructType.fromDDL("comparison_id string, save_id string, place string"))
+            ids = saved.where((F.col("save_id") == save_id) & (F.col("place") == WRITER)).select("comparison_id").distinct()
+        about = {"table_name": F.lit(table), "save_id": F.lit(save_id), "place": F.lit(WRITER)}
+        self._enter(ids.withColumns(about))
+
+    def delete(self, tables: tuple[str, ...], ids: list[str] | DataFrame) -> None:
+        """Drop what is stored for the given comparisons, in one step for all tables."""
+        if not isinstance(ids, DataFrame):
+            ids = self.spark.createDataFrame([(i,) for i in ids], "comparison_id string")
+        names = F.explode(F.array(*[F.lit(t) for t in tables]))
+        self._enter(ids.select("comparison_id", names.alias("table_name"), F.lit(True).alias("gone")))
 
     def clear(
         self, *, kind: str = "all", failed: bool = False, now: datetime | None = None, days: int | None = None
     ) -> dict[str, int]:
-        """Delete failed, old or all comparisons with everything stored for them; returns counts.
-
-        The ids of a history fit the driver: one per comparison ever run.
-        """
+        """Delete failed, old or all comparisons with everything stored for them; returns counts."""
         cleared = {}
         for name, parent, children in (
             ("table", "comparison_summary", TABLE_CHILDREN),
             ("schema", "schema_comparison_summary", SCHEMA_CHILDREN),
         ):
             if kind in ("all", name):
-                ids = [r[0] for r in doomed(self.read(parent), failed=failed, now=now, days=days).collect()]
-                self.delete((*children, parent), ids)
-                cleared[f"{name}_comparisons"] = len(ids)
+                ids = materialize(doomed(self.read(parent), failed=failed, now=now, days=days).distinct(), "doomed")
+                cleared[f"{name}_comparisons"] = ids.count()
+                if cleared[f"{name}_comparisons"]:
+                    self.delete((*children, parent), ids)
         return cleared
 
+    def compact(self, tables: tuple[str, ...] = tuple(LAYOUTS)) -> None:
+        """Rewrite the rows that stand into few files and empty the folders they came from.
+
+        Run it while no driver saves: a save under way would lose its files.
+        """
+        for table in tables:
+            standing = materialize(self._standing(table), "standing")
+            place = f"packed-{uuid.uuid4().hex}"
+            rows = self._rows(table, standing).drop("place")
+            packed = rows.repartitionByRange("comparison_id").sortWithinPartitions("comparison_id")
+            packed.write.parquet(f"{self.location(table)}/place={place}")
+            moved = {"table_name": F.lit(table), "place": F.lit(place), "revision": F.col("revision") + 1}
+            self._enter(standing.withColumns(moved))
+            # Folders: one per driver or compaction since the last one, not per comparison.
+            mine = self.manifest().where((F.col("table_name") == table) & F.col("place").isNotNull())
+            emptied = mine.where("gone AND comparison_id IS NULL").select("place")
+            old = mine.where(F.col("place") != place).select("place").distinct().join(emptied, "place", "left_anti")
+            for (folder,) in old.collect():
+                rows.limit(0).write.mode("overwrite").parquet(f"{self.location(table)}/place={folder}")
+                if folder != WRITER:  # this driver goes on writing into its own
+                    gone = self.spark.range(1, numPartitions=1).select(F.lit(folder).alias("place"))
+                    self._enter(gone.withColumns({"table_name": F.lit(table), "gone": F.lit(True)}))
+
     def details(self, comparison_id: str, limit: int | None = None) -> dict[str, DataFrame]:
         """H2: everything stored for one comparison; reads one partition per table. `limit` shows the first differences only."""
         mine = F.col("comparison_id") == comparison_id

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from recon.operators import history as hs
+from recon.plans.lineage import scratch_path
+from recon.sources.store import ResultStore
 from recon.suite.inputs import HISTORY, METRICS, SCHEMA_HISTORY, derive, sql
 from recon.suite.registry import check
 
@@ -188,3 +190,24 @@ def retention(spark, sf):
 def retention_failed(spark, sf):
     h = tables(spark, sf)
     return hs.without(h, hs.doomed(h, failed=True)).select("comparison_id", "status")
+
+
+@check(
+    "S12_clear",
+    H
+    + """, k AS (SELECT * FROM h WHERE status <> 'failed' AND NOT (created_at < TIMESTAMP '2000-01-01' - INTERVAL 365 DAY))
+    SELECT 'comparison_summary' AS stored, comparison_id, status FROM k
+    UNION ALL SELECT 'performance_metrics', comparison_id, status FROM k""",
+)
+def clear(spark, sf):
+    """Failed and old runs leave the store with all they stored; compaction keeps what stands."""
+    h = tables(spark, sf)
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    store.save("comparison_summary", None, h)
+    store.save("performance_metrics", None, h.select("comparison_id", F.lit("status").alias("metric_name"), F.col("status").alias("metric_unit")))
+    store.clear(kind="table", failed=True)
+    store.clear(kind="table", now=datetime(2000, 1, 1), days=365)
+    store.compact(("comparison_summary", "performance_metrics"))
+    kept = store.read("comparison_summary").select(F.lit("comparison_summary").alias("stored"), "comparison_id", "status")
+    metrics = store.read("performance_metrics").select(F.lit("performance_metrics"), "comparison_id", "metric_unit")
+    return kept.union(metrics)

@@ -1,14 +1,17 @@
 """Sources, sinks, the result store, batches, sampling, streaming."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recon import CompareRules, Options, Remapping, ResultStore, batch_compare, compare, connect_to_table, side
 from recon.operators import history as hs
 from recon.operators import sampling as sp
+from recon.operators.cooldown import last_fired, walk
 from recon.operators.keys import DuplicateKeysError, NullKeysError
 from recon.operators.relational import explain_frame
 from recon.plans.batch import batch_totals
@@ -279,6 +282,52 @@ def test_cooldown_batch_and_stream_agree(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected + [("b", t0 + timedelta(minutes=14))])
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+def test_cooldown_over_blocks(spark, block):
+    """Blocks of any size fire what one fold over each rule's ticks fires."""
+    rng, t0 = random.Random(5), datetime(2024, 1, 1)
+    minutes = {"a": [rng.randrange(400) for _ in range(90)], "b": list(range(0, 60, 2)), None: [7, 7, 30], "c": [0]}
+    rows = [(r, t0 + timedelta(minutes=m), True) for r, ms in minutes.items() for m in ms] + [("a", None, True), ("d", t0, False)]
+    checks = spark.createDataFrame(rows, "rule string, checked_at timestamp_ntz, fires boolean")
+    expected = {(r, t0 + timedelta(minutes=m)) for r, ms in minutes.items() for m in fold(ms, 11)}
+    got = [tuple(r) for r in hs.fired_alerts(checks, 660, block).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert hs.fired_alerts(checks.where("false"), 660, block).count() == 0
+
+
+def test_cooldown_of_one_busy_rule():
+    ticks = np.arange(0, 2_000_000, 2)
+    last = last_fired(ticks, 7)
+    assert last[0] == walk(ticks, 0, 7)[-1] and last[3] == walk(ticks, 3, 7)[-1]
+
+
+def test_store_moves_and_forgets(spark, tmp_path):
+    """Rows that stand survive compaction once each; saved anew after a deletion, a comparison is back."""
+    store = ResultStore(spark, str(tmp_path / "moved"))
+
+    def save(cid, *names):
+        store.save("performance_metrics", cid, spark.createDataFrame([(n,) for n in names], "metric_name string"))
+
+    def stored():
+        return sorted((r.comparison_id, r.metric_name) for r in store.read("performance_metrics").collect())
+
+    for cid in ("a", "b", "c"):
+        save(cid, "x", "y")
+    save("b", "z")
+    store.delete(("performance_metrics",), ["c"])
+    assert stored() == [("a", "x"), ("a", "y"), ("b", "z")]
+    for _ in range(2):
+        store.compact(("performance_metrics",))
+        assert stored() == [("a", "x"), ("a", "y"), ("b", "z")]
+    assert spark.read.parquet(store.location("performance_metrics")).count() == 3
+    save("a", "new")
+    save("c", "back")
+    assert stored() == [("a", "new"), ("b", "z"), ("c", "back")]
+    with pytest.raises(Exception, match="broken"):
+        store.save("performance_metrics", "b", spark.range(1).selectExpr("raise_error('broken') AS metric_name"))
+    assert ("b", "z") in stored()
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     schema = "ts timestamp_ntz, is_different boolean"
