@@ -1,98 +1,224 @@
 """Line deduplication by a tree of line templates.
 
 Every line goes down a tree of fixed depth: by its number of tokens, then by its
-leading tokens, where tokens with digits count as variable. In a leaf, a line is
-cut into at most FIELDS fields of neighbouring tokens. Most fields of a template
-are met about equally often at their places in the leaf; a field met less than
-half as often as them is variable, so it does not matter how large the leaf is or
-what else is in it. The line's template is its constant fields with gaps for the
+leading tokens. Tokens with digits count as variable and take the wildcard child.
+A line is also held against the leaves in which one of its leading tokens takes
+the wildcard child, and belongs there if that token varies there. In a leaf, most
+tokens of a template are met about equally often at their places; a token met less
+than half as often as them is variable, so it does not matter how large the leaf is
+or what else is in it. The line's template is its constant tokens with gaps for the
 variable ones; a line that is not constant enough stands for itself, whole. A
 template that occurs in several documents is kept where it occurs first and
 dropped from all other documents.
 
-Everything is counted by leaf, place and field hash with map-side sums, so a leaf
-of any size is a few numbers per task.
+Equal lines are counted first, and one of them stands for all. Only different lines
+that share a leaf are taken apart into tokens; their counts by leaf, place and token
+are sums of numbers, so a leaf of any size is a few numbers per task.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from recon.llm.bottomk import _marked
 from recon.llm.common import whole_text
 from recon.plans.lineage import materialize
 
 LEADING = 3
-FIELDS = 16
 LEAST_TOKENS = 4  # shorter lines, and scripts without blanks, are compared whole
+LEAST_TAIL = 4  # a leading token may vary if so many tokens follow the leading ones
 MIN_DOCS = 2
-CONSTANT = 0.6  # share of fields that must be constant
-CONSTANT_SHARE = 0.5  # a constant field is met so often, as a share of what most fields of its line are met
+CONSTANT = 0.6  # share of tokens that must be constant
+CONSTANT_SHARE = 0.5  # a constant token is met so often, as a share of what most tokens of its line are met
 VARIABLE = "<*>"
+FLUSH = 100_000  # rows a task gathers before it sends them on
+CACHED = 200_000  # token hashes a task remembers
 
+TOKEN = re.compile(r"[^ \t\r]+")
+DIGIT = re.compile("[0-9]")
+BLANK = " \t\r"
 
-def tokens_of(line: Column) -> Column:
-    """Tokens between blanks and tabs; a token with a digit is variable."""
-    # Most lines have no digit; and a run without one is passed over whole, not tried again from each of its characters.
-    masked = F.regexp_replace(line, r"[^ \t\r0-9]*+[0-9][^ \t\r]*", VARIABLE)
-    masked = F.when(line.rlike("[0-9]"), masked).otherwise(line)
-    return F.filter(F.split(masked, r"[ \t\r]+"), lambda t: t != "")
 
+def _hash(text: str) -> int:
+    """A positive 63-bit hash."""
+    return xxhash.xxh3_64_intdigest(text.encode()) >> 1 | 1
 
-def _field(tokens: Column) -> Column:
-    """The hash of a field, NULL if half of its tokens or more are masked: such a field is variable."""
-    masked = F.size(F.filter(tokens, lambda t: t == VARIABLE))
-    return F.when(masked * 2 < F.size(tokens), F.xxhash64(F.array_join(tokens, " ")))
 
+def masked(token: str) -> str:
+    return VARIABLE if DIGIT.search(token) else token
 
-def parsed_lines(rows: DataFrame, leading: int, fields: int, least: int) -> DataFrame:
-    """(row_id, doc_id, line, exact, leaf, lead, fields): hash and tree leaf of each line, number of its leading fields, hashes of all."""
-    lines = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    lines = lines.withColumn("t", tokens_of(F.col("words"))).where(F.size("t") > 0)
-    whole = F.size("t") < least
-    size = F.ceil(F.size("t") / fields).cast("int")
-    starts = F.sequence(F.lit(1), F.size("t"), size)
-    return lines.select(
-        "row_id",
-        "doc_id",
-        "line",
-        F.xxhash64(F.btrim("words", F.lit(" \t\r"))).alias("exact"),
-        F.least(F.floor(F.lit(leading) / size), F.size("t")).alias("lead"),
-        F.xxhash64(F.size("t"), F.slice("t", 1, leading)).alias("leaf"),
-        F.when(whole, F.array().cast("array<bigint>")).otherwise(F.transform(starts, lambda i: _field(F.slice("t", i, size)))).alias("fields"),
+
+def leaves_of(n: int, first: list[str], leading: int, least: int) -> list[int]:
+    """The leaf of a line of `n` tokens, then the leaf with a wildcard for each leading token; 0 where there is none."""
+    if n < least:
+        return [0] * (leading + 1)
+    path = [masked(t) for t in first]
+    leaf = lambda tokens: _hash("\n".join([str(n), *tokens]))
+    out = [leaf(path)]
+    for k in range(leading):
+        varies = n >= leading + LEAST_TAIL and path[k] != VARIABLE
+        out.append(leaf([*path[:k], VARIABLE, *path[k + 1 :]]) if varies else 0)
+    return out
+
+
+def parsed_lines(rows: DataFrame, leading: int, least: int) -> DataFrame:
+    """(row_id, doc_id, line, exact, leaf0, leaf1 ...): the hash of each line with tokens and its leaves."""
+    leaves = [f"leaf{k}" for k in range(leading + 1)]
+    schema = T.StructType(
+        [
+            T.StructField("row_id", T.LongType()),
+            rows.schema["doc_id"],
+            T.StructField("line", T.IntegerType()),
+            *[T.StructField(c, T.LongType()) for c in ["exact", *leaves]],
+        ]
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, lines, numbers = [], [], []
 
-def repeated_lines(
-    rows: DataFrame, leading: int, fields: int, least: int, min_docs: int, constant: float
-) -> DataFrame:
-    """(row_id, line) of lines whose template occurs in at least `min_docs` documents, without those of the first one."""
-    lines = materialize(parsed_lines(rows, leading, fields, least), "lines")
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("a"), F.max("row_id").alias("b"))
-    # Lines of one document only cannot recur across documents.
-    shared = lines.join(leaves.where("n > 1 AND a <> b").select("leaf"), "leaf", "left_semi")
-    placed = materialize(
-        shared.select("row_id", "line", "leaf", "lead", F.posexplode("fields").alias("place", "field")).select(
-            "row_id", "line", F.when(F.col("field").isNotNull(), F.xxhash64("leaf", "place", "field")).alias("spot"), (F.col("place") >= F.col("lead")).alias("tail")
-        ),
-        "fields",
+            def out(b: pa.RecordBatch = b) -> pa.RecordBatch:
+                place = pa.array(at, pa.int64())
+                cols = np.array(numbers, np.int64).reshape(-1, leading + 2).T
+                arrays = [b.column(0).take(place), b.column(1).take(place), pa.array(lines, pa.int32()), *map(pa.array, cols)]
+                return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+            for i, text in enumerate(b.column(2)):
+                for j, line in enumerate(text.as_py().split("\n")):
+                    tokens = TOKEN.findall(line)
+                    if tokens:
+                        at.append(i)
+                        lines.append(j)
+                        numbers.append(_hash(line.strip(BLANK)))
+                        numbers.extend(leaves_of(len(tokens), tokens[:leading], leading, least))
+                if len(at) >= FLUSH:
+                    yield out()
+                    at, lines, numbers = [], [], []
+            yield out()
+
+    return rows.select("row_id", "doc_id", "text").mapInArrow(run, schema)
+
+
+def _shared(lines: DataFrame, leading: int, min_docs: int) -> DataFrame:
+    """(row_id, wants): per row, its lines (exact, how often they occur, leaves) to take apart.
+
+    A leaf counts if different lines of different rows are in it. A wildcard leaf
+    counts if it has more than twice the lines of the leaf without the wildcard, or
+    if that has under `min_docs`; otherwise the leading token could not vary.
+    """
+    leaves = [f"leaf{k}" for k in range(leading + 1)]
+    rep = lines.groupBy("exact").agg(
+        F.count(F.lit(1)).alias("m"), F.min("row_id").alias("a"), F.max("row_id").alias("b"), *[F.max(c).alias(c) for c in leaves]
+    )
+    rep = materialize(rep, "different-lines")
+    spread = rep.select("exact", "m", "a", "b", F.posexplode(F.array(*leaves)).alias("kind", "leaf")).where("leaf <> 0")
+    sizes = spread.groupBy("leaf").agg(
+        F.sum("m").alias("n"), F.count(F.lit(1)).alias("d"), F.min("a").alias("low"), F.max("b").alias("high")
+    )
+    sizes = materialize(sizes.where("d > 1 AND low <> high").select("leaf", "n"), "leaves")
+    met = _marked(spread.select("exact", "m", "a", "kind", "leaf"), sizes, "leaf").join(sizes, "leaf")
+    whole = F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("n"))), F.max("m"))
+    of_line = met.groupBy("a", "exact").agg(
+        F.max("m").alias("m"), whole.alias("whole"), F.sort_array(F.collect_list(F.struct("kind", "leaf", "n"))).alias("leaves")
     )
-    often = placed.where("spot IS NOT NULL").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    met = F.struct("tail", F.coalesce("n", F.lit(0)).alias("n"), "spot")
-    of_line = placed.join(often, "spot", "left").groupBy("row_id", "line").agg(F.collect_list(met).alias("f"))
-    # What enough fields behind the leading ones are met at least; a field met far less often varies, however often that is.
-    tail = F.sort_array(F.transform(F.filter("f", lambda x: x["tail"]), lambda x: x["n"]), asc=False)
-    of_line = of_line.withColumn("usual", F.get(tail, F.ceil(constant * F.size(tail)).cast("int") - 1))
+    chosen = F.filter("leaves", lambda x: (x["kind"] == 0) | (x["n"] > 2 * F.col("whole")) | (F.col("whole") < min_docs))
+    of_line = of_line.select("a", F.struct("exact", "m", chosen.alias("leaves")).alias("want")).where(F.size("want.leaves") > 0)
+    return of_line.groupBy(F.col("a").alias("row_id")).agg(F.collect_list("want").alias("wants"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers whose bits all depend on all bits of `x`."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _placed(rows: DataFrame, wants: DataFrame) -> DataFrame:
+    """(exact, kind, m, place, spot): tokens of the wanted lines; spot is NULL for a masked one, else hashes leaf, place and token."""
+    # A semi join would be pushed below the bitmap.
+    texts = _marked(rows.select("row_id", "text"), wants, "row_id").join(wants, "row_id").select("text", "wants")
+    names = ["exact", "kind", "m", "place", "spot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        parts: list[tuple] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            exact, kind, m, place, spot, none = map(np.concatenate, zip(*parts))
+            arrays = [pa.array(exact), pa.array(kind), pa.array(m), pa.array(place), pa.array(spot, mask=none)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for b in batches:
+            for text, wanted in zip(b.column(0), b.column(1)):
+                open_lines = {w["exact"]: w for w in wanted.as_py()}
+                for line in text.as_py().split("\n"):
+                    exact = _hash(line.strip(BLANK))
+                    want = open_lines.pop(exact, None)
+                    if want is None:
+                        continue
+                    tokens = TOKEN.findall(line)
+                    if len(known) > CACHED:
+                        known.clear()
+                    for t in tokens:
+                        if t not in known:
+                            known[t] = 0 if DIGIT.search(t) else _hash(t)
+                    token = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                    n, place = len(tokens), np.arange(len(tokens), dtype=np.int32)
+                    for leaf in want["leaves"]:
+                        salt = _mixed(np.uint64(leaf["leaf"]) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        spot = _mixed(token ^ salt).view(np.int64)
+                        same = (np.full(n, exact), np.full(n, leaf["kind"], np.int32), np.full(n, want["m"]))
+                        parts.append((*same, place, spot, token == 0))
+                        held += n
+                    if held >= FLUSH:
+                        yield out()
+                        parts, held = [], 0
+        if parts:
+            yield out()
+
+    return texts.mapInArrow(run, "exact long, kind int, m long, place int, spot long")
+
+
+def general_templates(placed: DataFrame, leading: int, min_docs: int, constant: float) -> DataFrame:
+    """(exact, general): lines that are constant enough in one of their leaves, with their template's hash.
+
+    Of several such leaves, a line takes the one where its constant tokens are met most often.
+    """
+    often = placed.where("spot IS NOT NULL").groupBy("spot").agg(F.sum("m").alias("n")).where(F.col("n") >= min_docs)
+    met = F.struct("place", F.coalesce("n", F.lit(0)).alias("n"), "spot")
+    lines = placed.join(often, "spot", "left").groupBy("exact", "kind").agg(F.collect_list(met).alias("f"))
+    # What enough tokens behind the leading ones are met at least; a token met far less often varies, however often that is.
+    tail = F.sort_array(F.transform(F.filter("f", lambda x: x["place"] >= leading), lambda x: x["n"]), asc=False)
+    lines = lines.withColumn("tail", tail)
+    lines = lines.withColumn("usual", F.get("tail", F.ceil(constant * F.size("tail")).cast("int") - 1)).where(F.col("usual") >= min_docs)
     is_constant = lambda x: (x["n"] >= min_docs) & (x["n"] >= CONSTANT_SHARE * F.col("usual"))
-    spots = F.sort_array(F.transform(F.filter("f", is_constant), lambda x: x["spot"]))
-    of_line = of_line.select("row_id", "line", "usual", spots.alias("spots"), F.size("f").alias("all"))
-    enough = (F.col("usual") >= min_docs) & (F.size("spots") >= constant * F.col("all"))
-    general = of_line.where(enough).select("row_id", "line", F.xxhash64("spots", "all").alias("general"))
+    kept = F.filter("f", is_constant)
+    spots = F.sort_array(F.transform(kept, lambda x: x["spot"]))
+    fits = ~F.exists(kept, lambda x: x["place"] == F.col("kind") - 1)  # what takes a wildcard must vary
+    lines = lines.where(fits).select("exact", "kind", "usual", spots.alias("spots"), F.size("f").alias("all"))
+    enough = lines.where(F.size("spots") >= constant * F.col("all"))
+    template = F.struct("usual", "kind", F.xxhash64("spots", "all").alias("general"))
+    return enough.groupBy("exact").agg(F.max(template).alias("t")).select("exact", "t.general")
+
+
+def repeated_lines(rows: DataFrame, leading: int, least: int, min_docs: int, constant: float) -> DataFrame:
+    """(row_id, line) of lines whose template occurs in at least `min_docs` documents, without those of the first one."""
+    lines = materialize(parsed_lines(rows, leading, least), "lines")
+    placed = materialize(_placed(rows, materialize(_shared(lines, leading, min_docs), "wants")), "tokens")
+    general = general_templates(placed, leading, min_docs, constant)
     # Without a general template, the whole line is one.
-    told = shared.select("row_id", "doc_id", "line", "exact").join(general, ["row_id", "line"], "left")
-    told = told.select("row_id", "doc_id", "line", F.coalesce("general", "exact").alias("template"))
-    told = materialize(told, "told")
+    told = lines.select("row_id", "doc_id", "line", "exact").join(general, "exact", "left")
+    told = materialize(told.select("row_id", "doc_id", "line", F.coalesce("general", "exact").alias("template")), "told")
     first = told.groupBy("template").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id"))).alias("first"),
         F.min("row_id").alias("a"),
@@ -120,7 +246,6 @@ def drop_repeated_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     leading: int = LEADING,
-    fields: int = FIELDS,
     least: int = LEAST_TOKENS,
     min_docs: int = MIN_DOCS,
     constant: float = CONSTANT,
@@ -136,7 +261,7 @@ def drop_repeated_lines(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")
     )
-    gone = repeated_lines(rows, leading, fields, least, min_docs, constant)
+    gone = repeated_lines(rows, leading, least, min_docs, constant)
     gone = gone.groupBy("row_id").agg(F.collect_list("line").alias("dropped"))
     without = F.pandas_udf(_without, "string")
     return rows.join(gone, "row_id", "left").select(

@@ -60,3 +60,89 @@ def test_rows_of_numbers_stay(spark, tmp_path):
     texts += [" ".join(str(i * 100 + j) for j in range(40)) for i in range(3)]
     got = {r.doc_id: r.n_dropped for r in drop_repeated_lines(docs_of(spark, tmp_path, texts, more="numbers")).collect()}
     assert [got[i] for i in range(len(texts))] == [0, 0, 0, 0, 1, 0, 0, 0]  # one is an exact copy
+
+
+def test_a_leading_token_may_vary(spark, tmp_path):
+    rest = "on the old wooden table in town today"
+    few = [f"by {name} {rest}" for name in ("ann", "bob", "cid", "dora", "eve", "fay")]
+    got = drop_repeated_lines(docs_of(spark, tmp_path, [*few, "by the lake we saw nothing but fog all day"], more="few")).collect()
+    assert sorted(r.doc_id for r in got if r.n_dropped) == [1, 2, 3, 4, 5]
+    # Names that recur by chance, some met once, at every leading place.
+    names = ["".join(chr(97 + (i // 26**j) % 26) for j in range(3)) for i in range(50)]
+    rng = random.Random(3)
+    for place in range(3):
+        texts = []
+        for _ in range(400):
+            words_of = ["seen", "by", *rest.split()]
+            words_of.insert(place, rng.choice(names))
+            texts.append(" ".join(words_of))
+        got = drop_repeated_lines(docs_of(spark, tmp_path, texts, more=f"place{place}")).collect()
+        assert sorted(r.doc_id for r in got if r.n_dropped) == list(range(1, 400)), place
+
+
+def test_any_number_of_tokens_gives_the_same_outcome(spark, tmp_path):
+    names = ["ann", "bob", "cid", "dora"]
+    for n in (15, 16, 17, 32, 33, 49, 300):
+        rng = random.Random(n)
+        line = words(rng, n).split()
+        texts = [" ".join([*line[: n // 2], name, *line[n // 2 :]]) for name in names]
+        texts += [" ".join([*line[: n // 2], *words(rng, n // 2 + 1).split()]) for _ in range(2)]  # half another line
+        got = {r.doc_id: r.n_dropped for r in drop_repeated_lines(docs_of(spark, tmp_path, texts, more=f"n{n}")).collect()}
+        assert [got[i] for i in range(6)] == [0, 1, 1, 1, 0, 0], n
+
+
+def plainly(texts, leading=3, least=4, tail=4, constant=0.6, share=0.5):
+    """Which lines of which texts go, by the same rules in plain loops."""
+    from collections import Counter, defaultdict
+
+    lines = []
+    for row, text in enumerate(texts):
+        for at, line in enumerate((text or "").split("\n")):
+            tokens = [t for t in line.replace("\t", " ").replace("\r", " ").split(" ") if t]
+            if tokens:
+                lines.append((row, at, line.strip(" \t\r"), tuple("<*>" if any(c in "0123456789" for c in t) else t for t in tokens)))
+    leaves = defaultdict(list)
+    for row, _, exact, t in lines:
+        if len(t) >= least:
+            for k in range(-1, leading if len(t) >= leading + tail else 0):
+                if k < 0 or t[k] != "<*>":
+                    path = tuple("<*>" if i == k else x for i, x in enumerate(t[:leading]))
+                    leaves[len(t), path].append((row, exact, t, k))
+    best = {}
+    for leaf, members in leaves.items():
+        if len({e for _, e, _, _ in members}) < 2 or len({r for r, _, _, _ in members}) < 2:
+            continue
+        met = Counter((i, x) for _, _, t, _ in members for i, x in enumerate(t) if x != "<*>")
+        for _, exact, t, k in members:
+            n = [met[i, x] if x != "<*>" else 0 for i, x in enumerate(t)]
+            after = sorted(n[leading:], reverse=True)
+            need = -(-int(round(constant * 1000)) * len(after) // 1000) - 1
+            if need < 0 or after[need] < 2:
+                continue
+            kept = [(i, x) for i, x in enumerate(t) if n[i] >= 2 and n[i] >= share * after[need]]
+            if len(kept) >= constant * len(t) and (k < 0 or k not in [i for i, _ in kept]):
+                found = (after[need], k, (leaf, tuple(kept)))
+                best[exact] = max(best.get(exact, found), found)
+    homes = defaultdict(set)
+    told = [(row, at, best[exact][2] if exact in best else exact) for row, at, exact, _ in lines]
+    for row, _, template in told:
+        homes[template].add(row)
+    return sorted((row, at) for row, at, template in told if row != min(homes[template]))
+
+
+def test_against_plain_loops(spark, tmp_path):
+    rng = random.Random(8)
+    vocabulary = ["red", "blue", "sky", "sea", "7", "x1"]
+    texts = ["\n".join(" ".join(rng.choice(vocabulary[: rng.choice((2, 3, 6))]) for _ in range(rng.randrange(1, 10))) for _ in range(5)) for _ in range(120)]
+    base = [rng.choices(["alpha", "beta", "gamma", "delta", "12"], k=11) for _ in range(4)]
+    for i in range(80):
+        line = list(rng.choice(base))
+        line[rng.randrange(11)] = rng.choice(["ann", "bob", f"v{i}"])
+        texts.append(" ".join(line) + "\n" + texts[i])
+    texts += [None, "", " \t\r", " ".join(f"w{i}x" if i % 5 else "9" for i in range(30_000))] * 2
+    got = drop_repeated_lines(docs_of(spark, tmp_path, texts, more="exact")).collect()
+    want = plainly(texts)
+    assert sum(r.n_dropped for r in got) == len(want)
+    for r in got:
+        gone = {at for row, at in want if row == r.doc_id}
+        assert r.text == "\n".join(x for at, x in enumerate((texts[r.doc_id] or "").split("\n")) if at not in gone), r.doc_id
