@@ -112,8 +112,8 @@ def _shared(lines: DataFrame, leading: int, min_docs: int) -> DataFrame:
     """(row_id, wants): per row, its lines (exact, how often they occur, leaves) to take apart.
 
     A leaf counts if different lines of different rows are in it. A wildcard leaf
-    counts if it has more than twice the lines of the leaf without the wildcard, or
-    if that has under `min_docs`; otherwise the leading token could not vary.
+    counts if it has more than twice the lines that belong to the leaf without the
+    wildcard, or if those are under `min_docs`; otherwise the leading token could not vary.
     """
     leaves = [f"leaf{k}" for k in range(leading + 1)]
     rep = lines.groupBy("exact").agg(
@@ -122,11 +122,15 @@ def _shared(lines: DataFrame, leading: int, min_docs: int) -> DataFrame:
     rep = materialize(rep, "different-lines")
     spread = rep.select("exact", "m", "a", "b", F.posexplode(F.array(*leaves)).alias("kind", "leaf")).where("leaf <> 0")
     sizes = spread.groupBy("leaf").agg(
-        F.sum("m").alias("n"), F.count(F.lit(1)).alias("d"), F.min("a").alias("low"), F.max("b").alias("high")
+        F.sum("m").alias("n"),
+        F.sum(F.when(F.col("kind") == 0, F.col("m")).otherwise(0)).alias("own"),
+        F.count(F.lit(1)).alias("d"),
+        F.min("a").alias("low"),
+        F.max("b").alias("high"),
     )
-    sizes = materialize(sizes.where("d > 1 AND low <> high").select("leaf", "n"), "leaves")
+    sizes = materialize(sizes.where("d > 1 AND low <> high").select("leaf", "n", "own"), "leaves")
     met = _marked(spread.select("exact", "m", "a", "kind", "leaf"), sizes, "leaf").join(sizes, "leaf")
-    whole = F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("n"))), F.max("m"))
+    whole = F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("own"))), F.max("m"))
     of_line = met.groupBy("a", "exact").agg(
         F.max("m").alias("m"), whole.alias("whole"), F.sort_array(F.collect_list(F.struct("kind", "leaf", "n"))).alias("leaves")
     )
