@@ -3,7 +3,8 @@
 Every line goes down a tree of fixed depth: by its number of tokens, then by its
 leading tokens. Tokens with digits count as variable and take the wildcard child.
 A line is also held against the leaves in which one of its leading tokens takes
-the wildcard child, and belongs there if that token varies there. In a leaf, most
+the wildcard child, unless its own leaf has half of the lines there or more, and
+belongs there if that token varies among them. In a leaf, most
 tokens of a template are met about equally often at their places; a token met less
 than half as often as them is variable, so it does not matter how large the leaf is
 or what else is in it. The line's template is its constant tokens with gaps for the
@@ -18,6 +19,7 @@ are sums of numbers, so a leaf of any size is a few numbers per task.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recon.llm.bottomk import _marked
 from recon.llm.common import whole_text
@@ -70,46 +71,30 @@ def leaves_of(n: int, first: list[str], leading: int, least: int) -> list[int]:
     return out
 
 
-def parsed_lines(rows: DataFrame, leading: int, least: int) -> DataFrame:
-    """(row_id, doc_id, line, exact, leaf0, leaf1 ...): the hash of each line with tokens and its leaves."""
-    leaves = [f"leaf{k}" for k in range(leading + 1)]
-    schema = T.StructType(
-        [
-            T.StructField("row_id", T.LongType()),
-            rows.schema["doc_id"],
-            T.StructField("line", T.IntegerType()),
-            *[T.StructField(c, T.LongType()) for c in ["exact", *leaves]],
-        ]
-    )
+def exact_lines(rows: DataFrame) -> DataFrame:
+    """(row_id, doc_id, line, exact, words): the lines with tokens, numbered, with the hash of what is between their outer blanks."""
+    lines = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    bare = F.btrim("words", F.lit(BLANK))
+    return lines.where(F.length(bare) > 0).select("row_id", "doc_id", "line", F.xxhash64(bare).alias("exact"), "words")
+
+
+def lines_in_tree(lines: DataFrame, leading: int, least: int) -> DataFrame:
+    """(row_id, exact, leaf0, leaf1 ...): lines and their leaves."""
+    names = ["row_id", "exact", *[f"leaf{k}" for k in range(leading + 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, lines, numbers = [], [], []
-
-            def out(b: pa.RecordBatch = b) -> pa.RecordBatch:
-                place = pa.array(at, pa.int64())
-                cols = np.array(numbers, np.int64).reshape(-1, leading + 2).T
-                arrays = [b.column(0).take(place), b.column(1).take(place), pa.array(lines, pa.int32()), *map(pa.array, cols)]
-                return pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-            for i, text in enumerate(b.column(2)):
-                for j, line in enumerate(text.as_py().split("\n")):
-                    tokens = TOKEN.findall(line)
-                    if tokens:
-                        at.append(i)
-                        lines.append(j)
-                        numbers.append(_hash(line.strip(BLANK)))
-                        numbers.extend(leaves_of(len(tokens), tokens[:leading], leading, least))
-                if len(at) >= FLUSH:
-                    yield out()
-                    at, lines, numbers = [], [], []
-            yield out()
+            numbers = np.empty((b.num_rows, leading + 1), np.int64)
+            for i, line in enumerate(b.column(2)):
+                tokens = TOKEN.findall(line.as_py())
+                numbers[i] = leaves_of(len(tokens), tokens[:leading], leading, least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, numbers.T.copy())], names=names)
 
-    return rows.select("row_id", "doc_id", "text").mapInArrow(run, schema)
+    return lines.select("row_id", "exact", "words").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _shared(lines: DataFrame, leading: int, min_docs: int) -> DataFrame:
-    """(row_id, wants): per row, its lines (exact, how often they occur, leaves) to take apart.
+    """(exact, row_id, m, leaves): lines to take apart, where one of them is, how often they occur, and in which leaves.
 
     A leaf counts if different lines of different rows are in it. A wildcard leaf
     counts if it has more than twice the lines that belong to the leaf without the
@@ -135,8 +120,7 @@ def _shared(lines: DataFrame, leading: int, min_docs: int) -> DataFrame:
         F.max("m").alias("m"), whole.alias("whole"), F.sort_array(F.collect_list(F.struct("kind", "leaf", "n"))).alias("leaves")
     )
     chosen = F.filter("leaves", lambda x: (x["kind"] == 0) | (x["n"] > 2 * F.col("whole")) | (F.col("whole") < min_docs))
-    of_line = of_line.select("a", F.struct("exact", "m", chosen.alias("leaves")).alias("want")).where(F.size("want.leaves") > 0)
-    return of_line.groupBy(F.col("a").alias("row_id")).agg(F.collect_list("want").alias("wants"))
+    return of_line.select("exact", F.col("a").alias("row_id"), "m", chosen.alias("leaves")).where(F.size("leaves") > 0)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -146,11 +130,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _placed(rows: DataFrame, wants: DataFrame) -> DataFrame:
-    """(exact, kind, m, place, spot): tokens of the wanted lines; spot is NULL for a masked one, else hashes leaf, place and token."""
+def _placed(lines: DataFrame, wants: DataFrame) -> DataFrame:
+    """(exact, kind, m, size, place, spot): tokens of the wanted lines of `size` tokens but masked ones; spot hashes leaf, place and token."""
     # A semi join would be pushed below the bitmap.
-    texts = _marked(rows.select("row_id", "text"), wants, "row_id").join(wants, "row_id").select("text", "wants")
-    names = ["exact", "kind", "m", "place", "spot"]
+    texts = _marked(lines.select("row_id", "exact", "words"), wants, "exact").join(wants, ["exact", "row_id"])
+    texts = texts.dropDuplicates(["exact"]).select("exact", "m", "leaves", "words")
+    names = ["exact", "kind", "m", "size", "place", "spot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -158,39 +143,32 @@ def _placed(rows: DataFrame, wants: DataFrame) -> DataFrame:
         held = 0
 
         def out() -> pa.RecordBatch:
-            exact, kind, m, place, spot, none = map(np.concatenate, zip(*parts))
-            arrays = [pa.array(exact), pa.array(kind), pa.array(m), pa.array(place), pa.array(spot, mask=none)]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
         for b in batches:
-            for text, wanted in zip(b.column(0), b.column(1)):
-                open_lines = {w["exact"]: w for w in wanted.as_py()}
-                for line in text.as_py().split("\n"):
-                    exact = _hash(line.strip(BLANK))
-                    want = open_lines.pop(exact, None)
-                    if want is None:
-                        continue
-                    tokens = TOKEN.findall(line)
-                    if len(known) > CACHED:
-                        known.clear()
-                    for t in tokens:
-                        if t not in known:
-                            known[t] = 0 if DIGIT.search(t) else _hash(t)
-                    token = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                    n, place = len(tokens), np.arange(len(tokens), dtype=np.int32)
-                    for leaf in want["leaves"]:
-                        salt = _mixed(np.uint64(leaf["leaf"]) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        spot = _mixed(token ^ salt).view(np.int64)
-                        same = (np.full(n, exact), np.full(n, leaf["kind"], np.int32), np.full(n, want["m"]))
-                        parts.append((*same, place, spot, token == 0))
-                        held += n
-                    if held >= FLUSH:
-                        yield out()
-                        parts, held = [], 0
-        if parts:
+            for exact, m, leaves, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                tokens = TOKEN.findall(line.as_py())
+                if len(known) > CACHED:
+                    known.clear()
+                for t in tokens:
+                    if t not in known:
+                        known[t] = 0 if DIGIT.search(t) else _hash(t)
+                token = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                place = np.flatnonzero(token).astype(np.int32)
+                token, n = token[place], len(place)
+                for leaf in leaves.as_py():
+                    salt = _mixed(np.uint64(leaf["leaf"]) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    spot = _mixed(token ^ salt).view(np.int64)
+                    same = (np.full(n, exact), np.full(n, leaf["kind"], np.int32), np.full(n, m), np.full(n, len(tokens), np.int32))
+                    parts.append((*same, place, spot))
+                    held += n
+                if held >= FLUSH:
+                    yield out()
+                    parts, held = [], 0
+        if held:
             yield out()
 
-    return texts.mapInArrow(run, "exact long, kind int, m long, place int, spot long")
+    return texts.mapInArrow(run, "exact long, kind int, m long, size int, place int, spot long")
 
 
 def general_templates(placed: DataFrame, leading: int, min_docs: int, constant: float) -> DataFrame:
@@ -198,28 +176,37 @@ def general_templates(placed: DataFrame, leading: int, min_docs: int, constant:
 
     Of several such leaves, a line takes the one where its constant tokens are met most often.
     """
-    often = placed.where("spot IS NOT NULL").groupBy("spot").agg(F.sum("m").alias("n")).where(F.col("n") >= min_docs)
-    met = F.struct("place", F.coalesce("n", F.lit(0)).alias("n"), "spot")
-    lines = placed.join(often, "spot", "left").groupBy("exact", "kind").agg(F.collect_list(met).alias("f"))
-    # What enough tokens behind the leading ones are met at least; a token met far less often varies, however often that is.
-    tail = F.sort_array(F.transform(F.filter("f", lambda x: x["place"] >= leading), lambda x: x["n"]), asc=False)
-    lines = lines.withColumn("tail", tail)
-    lines = lines.withColumn("usual", F.get("tail", F.ceil(constant * F.size("tail")).cast("int") - 1)).where(F.col("usual") >= min_docs)
-    is_constant = lambda x: (x["n"] >= min_docs) & (x["n"] >= CONSTANT_SHARE * F.col("usual"))
-    kept = F.filter("f", is_constant)
-    spots = F.sort_array(F.transform(kept, lambda x: x["spot"]))
-    fits = ~F.exists(kept, lambda x: x["place"] == F.col("kind") - 1)  # what takes a wildcard must vary
-    lines = lines.where(fits).select("exact", "kind", "usual", spots.alias("spots"), F.size("f").alias("all"))
-    enough = lines.where(F.size("spots") >= constant * F.col("all"))
-    template = F.struct("usual", "kind", F.xxhash64("spots", "all").alias("general"))
-    return enough.groupBy("exact").agg(F.max(template).alias("t")).select("exact", "t.general")
+    often = placed.groupBy("spot").agg(F.sum("m").alias("n")).where(F.col("n") >= min_docs)
+    often = materialize(often, "often")
+    # Tokens met too rarely are told by the size of their line; they need not travel.
+    met = _marked(placed, often, "spot").join(often, "spot")
+    lines = met.groupBy("exact", "kind", "size").agg(F.collect_list(F.struct("place", "n", "spot")).alias("f"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple] = []
+            for exact, kind, size, f in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+                place, n, spot = (f.values.field(i).to_numpy() for i in range(3))
+                # What enough tokens behind the leading ones are met at least; one met far less often varies, however often that is.
+                tail, last = np.sort(n[place >= leading])[::-1], math.ceil(constant * (size - leading)) - 1
+                if not 0 <= last < len(tail):
+                    continue
+                kept = n >= CONSTANT_SHARE * tail[last]
+                if kept.sum() >= constant * size and not (place[kept] == kind - 1).any():  # what takes a wildcard must vary
+                    template = np.append(np.sort(spot[kept]), size).astype("<i8").tobytes()
+                    found.append((exact, int(tail[last]), kind, xxhash.xxh3_64_intdigest(template) >> 1))
+            cols = zip(*found) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["exact", "usual", "kind", "general"])
+
+    enough = lines.mapInArrow(run, "exact long, usual long, kind long, general long")
+    return enough.groupBy("exact").agg(F.max_by("general", F.struct("usual", "kind")).alias("general"))
 
 
 def repeated_lines(rows: DataFrame, leading: int, least: int, min_docs: int, constant: float) -> DataFrame:
     """(row_id, line) of lines whose template occurs in at least `min_docs` documents, without those of the first one."""
-    lines = materialize(parsed_lines(rows, leading, least), "lines")
-    placed = materialize(_placed(rows, materialize(_shared(lines, leading, min_docs), "wants")), "tokens")
-    general = general_templates(placed, leading, min_docs, constant)
+    lines = exact_lines(rows)
+    wants = materialize(_shared(lines_in_tree(lines, leading, least), leading, min_docs), "wants")
+    general = general_templates(materialize(_placed(lines, wants), "tokens"), leading, min_docs, constant)
     # Without a general template, the whole line is one.
     told = lines.select("row_id", "doc_id", "line", "exact").join(general, "exact", "left")
     told = materialize(told.select("row_id", "doc_id", "line", F.coalesce("general", "exact").alias("template")), "told")

@@ -108,10 +108,17 @@ def plainly(texts, leading=3, least=4, tail=4, constant=0.6, share=0.5):
                 if k < 0 or t[k] != "<*>":
                     path = tuple("<*>" if i == k else x for i, x in enumerate(t[:leading]))
                     leaves[len(t), path].append((row, exact, t, k))
-    best = {}
-    for leaf, members in leaves.items():
-        if len({e for _, e, _, _ in members}) < 2 or len({r for r, _, _, _ in members}) < 2:
-            continue
+    shared = {f: m for f, m in leaves.items() if len({x[1] for x in m}) > 1 and len({x[0] for x in m}) > 1}
+    copies, best = Counter(exact for _, _, exact, _ in lines), {}
+
+    def belongs(leaf, exact, t, k):
+        """Whether a line takes the wildcard: its own leaf has under half of the lines, or one line."""
+        whole = shared.get((len(t), t[:leading]))
+        own = sum(x[3] < 0 for x in whole) if whole else copies[exact]
+        return k < 0 or own < 2 or len(shared[leaf]) > 2 * own
+
+    for leaf, members in shared.items():
+        members = [x for x in members if belongs(leaf, *x[1:])]
         met = Counter((i, x) for _, _, t, _ in members for i, x in enumerate(t) if x != "<*>")
         for _, exact, t, k in members:
             n = [met[i, x] if x != "<*>" else 0 for i, x in enumerate(t)]
