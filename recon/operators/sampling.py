@@ -37,6 +37,18 @@ def percent_sample(df: DataFrame, percent: float, keys: Sequence[str] | None = N
     return df.where(_share_of(keys, seed) < percent / 100.0)
 
 
+def block_sample(df: DataFrame, percent: float, seed: int = 42) -> DataFrame:
+    """M1, by blocks: all rows of about `percent` of the files that `df` scans, the other files are not opened.
+
+    A file is taken by a digest of seed and file name, which its directory listing tells,
+    so the same files are taken on every read, and a larger percentage adds files to
+    those of a smaller one. Rows of a file come together: cheap, but rows that were
+    written together are not independent. `df` must be a scan of files, possibly
+    filtered and projected; a table of few files gives a coarse sample.
+    """
+    return df.where(low48(F.concat(F.lit(f"{seed}|"), F.col("_metadata.file_name"))) / F.lit(float(1 << 48)) < percent / 100.0)
+
+
 def fixed_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """M2: exactly `n` random rows (all, if fewer): those with the smallest digest of seed and key.
 

@@ -36,3 +36,22 @@ def test_many_strata_are_joined_by_a_shuffle(table, monkeypatch):
     monkeypatch.setattr(sp, "MOST_STRATA", 1)
     want = {r.g: r["count"] for r in sp.stratified_fixed(df, "g", ["id"], 11).groupBy("g").count().collect()}
     assert want == {None: 11, "a": 11, "b": 11}
+
+
+def test_block_sample_opens_only_its_files(spark, tmp_path):
+    path = tmp_path / "blocks"
+    spark.range(4000).repartition(40).write.parquet(str(path))
+    df = spark.read.parquet(str(path))
+    share = lambda name: int(hashlib.md5(f"7|{name}".encode()).hexdigest()[20:], 16) / (1 << 48)
+    files = sorted(path.glob("*.parquet"), key=lambda f: share(f.name))
+    taken = [f for f in files if share(f.name) < 0.25]
+    assert 0 < len(taken) < len(files) == 40
+    want = sorted(r.id for f in taken for r in spark.read.parquet(str(f)).collect())
+    assert sorted(r.id for r in sp.block_sample(df, 25.0, 7).collect()) == want
+    assert sp.block_sample(df, 100.0).count() == 4000 and sp.block_sample(df, 0.0).count() == 0
+    assert sp.block_sample(df.where("id % 2 = 0"), 25.0, 7).count() == sum(i % 2 == 0 for i in want)
+    for f in files[len(taken) :]:
+        f.write_bytes(b"unreadable")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    # Files outside the sample may be broken: they are not opened.
+    assert sorted(r.id for r in sp.block_sample(df, 25.0, 7).collect()) == want
