@@ -62,3 +62,44 @@ def test_nulls_one_kind_of_label_and_no_rows(spark, tmp_path):
     assert len(rows) == 4 and max(rows.values()) < 0.01 and rows[0] == rows[3] and rows[1] == rows[2]
     assert without_toxic(df, labels).columns == df.columns and without_toxic(df, labels).count() == 4
     assert toxicity(written(spark, tmp_path, [], DOCS), labels).count() == 0
+
+
+def plain_score(p, text):
+    """The highest window of a text by loops over words, without padding, batches or remembered words."""
+    h, sigmoid = gru.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    words = text.lower().split()
+    starts = [0]
+    while starts[-1] + gru.WINDOW < len(words):
+        starts.append(starts[-1] + gru.STRIDE)
+    best = 0.0
+    for at in starts:
+        vectors = []
+        for word in words[at : at + gru.WINDOW]:
+            heads, grams, _ = gru.word_rows([word])
+            vectors.append(np.concatenate([p["word"][heads[0]], np.mean([p["char"][g] for g in grams], axis=0)]))
+        sides = []
+        for side, order in ((0, vectors), (1, vectors[::-1])):
+            state, out = np.zeros(h), []
+            for v in order:
+                x, hu = v @ p["w"][side] + p["b"][side][0], state @ p["u"][side]
+                update, reset = sigmoid(x[:h] + hu[:h]), sigmoid(x[h : 2 * h] + hu[h : 2 * h])
+                new = np.tanh(x[2 * h :] + reset * hu[2 * h :])
+                state = update * state + (1 - update) * new
+                out.append(state)
+            sides.append(out if side == 0 else out[::-1])
+        states = [np.concatenate(s) for s in zip(*sides)]
+        weights = np.exp([s @ p["att"] for s in states])
+        pooled = sum((w * s for w, s in zip(weights / weights.sum(), states)), np.zeros(2 * h)) if states else np.zeros(2 * h)
+        best = max(best, sigmoid(pooled @ p["out"] + p["bias"][0]))
+    return best
+
+
+def test_scores_against_plain_loops():
+    p = gru.fresh(5)
+    rng = random.Random(5)
+    vocabulary = ["fool", "Good", "day,", "(x)", "ünï", "字", "a-b", "%", *[f"w{i}" for i in range(60)]]
+    texts = ["", "one", "  Fool fool  "] + [" ".join(rng.choices(vocabulary, k=n)) for n in (2, 31, 47, 48, 49, 64, 80, 81, 113, 400)]
+    want = [plain_score({k: v.astype(np.float64) for k, v in p.items()}, t) for t in texts]
+    got = gru.Scorer(p)(texts)
+    assert np.abs(got - want).max() < 1e-4
+    assert len({round(x, 4) for x in want}) > 8  # the texts do differ
