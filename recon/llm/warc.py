@@ -34,6 +34,8 @@ from recon.llm.files import opened
 from recon.plans.lineage import materialize, scratch_path
 
 FILE_BYTES = 1 << 30  # an archive is closed once it is larger
+TASK_BYTES = 32 << 20  # compressed records that one task reads back
+BATCH_BYTES = 16 << 20  # html that a task holds before it sends it on
 BLOCK_ENTRIES = 3000
 DATE = "2000-01-01T00:00:00Z"
 NO_ID = -(2**63)  # orders NULL ids first
@@ -224,19 +226,29 @@ class Index:
         return self.file(name).read_at(length, offset)
 
 
-def read_captures(wanted: DataFrame, archives: str, index: str, parts: list[tuple[str, int, str]]) -> DataFrame:
+def read_captures(
+    wanted: DataFrame, archives: str, index: str, parts: list[tuple[str, int, str]], tasks: int | None = None
+) -> DataFrame:
     """Records of (key, page_id) through the index: page_id, payload_bytes, payload_digest, record_type, refers_to, html.
 
     Keys are sorted before, so neighbouring lookups share blocks. Payloads are
-    checked against their digests; a revisit has no html.
+    checked against their digests; a revisit has no html. The keys are small and what
+    they read is not, so `tasks` says how many tasks share them; a task sends on its
+    rows whenever it holds BATCH_BYTES of html.
     """
     out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
     names = [x.split()[0] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Index(archives, index, parts)
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        cols: list[list] = [[] for _ in names]
+        held = 0
+
+        def gathered() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
         for b in batches:
-            cols: list[list] = [[] for _ in names]
             for key, page_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for place in at.lookup(key, page_id):
                     head, http, payload = parse_record(at.read(*place))
@@ -248,10 +260,14 @@ def read_captures(wanted: DataFrame, archives: str, index: str, parts: list[tupl
                     values = (_id_of(head["WARC-Record-ID"]), int(http["Content-Length"]), digest, kind, refers, html)
                     for c, v in zip(cols, values):
                         c.append(v)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    near = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+                    held += len(payload) if html else 0
+                    if held >= BATCH_BYTES:
+                        yield gathered()
+                        cols, held = [[] for _ in names], 0
+            yield gathered()
+            cols, held = [[] for _ in names], 0
+
+    near = wanted.repartitionByRange(*([tasks] if tasks else []), "key", "page_id").sortWithinPartitions("key", "page_id")
     return near.select("key", F.col("page_id").cast("long")).mapInArrow(run, out)
 
 
@@ -273,4 +289,6 @@ def archive_round_trip(
     captures = write_archives(with_revisits(rows, least_bytes).withColumn("key", url_key(F.col("url"))), archives)
     parts = write_index(captures, index)
     wanted = rows.select(url_key(F.col("url")).alias("key"), "page_id").distinct()
-    return read_captures(wanted, archives, index, parts)
+    stored = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))
+    return read_captures(wanted, archives, index, parts, tasks)

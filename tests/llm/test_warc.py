@@ -59,3 +59,19 @@ def test_small_payloads_are_no_revisits(spark, tmp_path):
     df = written(spark, tmp_path, [(1, "u", "ab", ""), (2, "u", "ab", ""), (3, "u", "abcd", ""), (4, "u", "abcd", "")], SCHEMA)
     got = {r.page_id: r.record_type for r in warc.archive_round_trip(df, least_bytes=3).collect()}
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_read_back_in_many_tasks_and_small_batches(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://a.org/{i}", f"page {i} " * (i % 50), "") for i in range(300)] + [(300, "http://a.org/x", "long " * 1_000_000, "")]
+    df = written(spark, tmp_path, rows, SCHEMA)
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 500)
+    out = warc.archive_round_trip(df)
+    assert out.rdd.getNumPartitions() > 8
+    want = {i: h for i, _, h, _ in rows}
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        raw = want[r.page_id].encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), warc.payload_digest(raw))
+        assert r.record_type == "revisit" or r.html == want[r.page_id]
