@@ -40,7 +40,7 @@ CHUNK = 1 << 22  # bytes of text handled at once
 FLUSH_WORDS = 200_000  # different words a task gathers before it sends them on
 HOT_WORDS = 1 << 18  # a word with more than one in so many tokens is looked up in tasks; so there are fewer of them
 WORD_BYTES = 64  # longer words go by their digest
-MODEL_CONTEXTS = 1 << 18  # contexts of three to DEPTH bytes that scoring keeps in memory, the most frequent ones
+MODEL_CONTEXTS = 1 << 18  # contexts of three to DEPTH bytes that scoring keeps in memory, the most frequent ones; bytes behind others are joined
 BLOCK_CONTEXTS = 2048  # full-depth contexts whose decision nodes are spread out at once
 
 LEAVES = np.arange(256) + 256
@@ -244,38 +244,47 @@ class Branch:
         met = np.concatenate([np.add.reduceat(self.n, self.first5), self.counts4.sum(1), self.counts3.sum(1)])
         return (met[:, None] >= 2.0 ** np.arange(48)).sum(0)
 
-    def predictions(self, two: Callable[[np.ndarray], np.ndarray], least: float):
-        """(depth, contexts, ones) of contexts met at least `least` times.
+    def predictions(
+        self, two: Callable[[np.ndarray], np.ndarray], least: float, asked: Callable[[int, np.ndarray], np.ndarray] | None = None
+    ):
+        """(depth, contexts, ones) of contexts met at least `least` times, of three and more bytes only those that `asked` tells.
 
         `two` maps the prediction of deeper contexts to the mixture with all shallower ones.
         """
+        told = asked or (lambda depth, context: np.ones(len(context), bool))
         next3, next4 = kt_next(*decisions(self.counts3)), kt_next(*decisions(self.counts4))
         context4 = self.context[self.first5[self.first4]]
-        met3, met4 = self.counts3.sum(1) >= least, self.counts4.sum(1) >= least
+        met3 = (self.counts3.sum(1) >= least) & told(3, context4[self.first3] & 0xFFFFFF)
+        met4 = (self.counts4.sum(1) >= least) & told(4, context4 & 0xFFFFFFFF)
         yield 2, self.context[:1] & 0xFFFF, two(kt_next(*decisions(self.counts2[None])))
         yield 3, (context4[self.first3] & 0xFFFFFF)[met3], two(self.below2(next3[met3]))
         up3 = np.repeat(np.arange(len(self.first3)), np.diff(np.append(self.first3, len(self.first4))))
         mix3 = lambda at, deeper: self.below2(self.own3[at] * next3[at] + (1 - self.own3[at]) * deeper)
         yield 4, (context4 & 0xFFFFFFFF)[met4], two(mix3(up3[met4], next4[met4]))
         for a, counts5, starts in self.blocks():
-            take = counts5.sum(1) >= least
+            first = self.first4[a]
+            context5 = self.context[self.first5[first : first + len(counts5)]]
+            take = (counts5.sum(1) >= least) & told(5, context5)
             up4 = a + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(counts5))))[take]
             own = self.own4[up4] * next4[up4] + (1 - self.own4[up4]) * kt_next(*decisions(counts5[take]))
-            first = self.first4[a]
-            yield 5, self.context[self.first5[first : first + len(counts5)]][take], two(mix3(up3[up4], own))
+            yield 5, context5[take], two(mix3(up3[up4], own))
 
     def below2(self, deeper: np.ndarray) -> np.ndarray:
         return self.own2 * kt_next(*decisions(self.counts2[None])) + (1 - self.own2) * deeper
 
 
-def build_model(strings: DataFrame, path: str, contexts: int = MODEL_CONTEXTS) -> list[int]:
+def build_model(
+    strings: DataFrame, path: str, contexts: int = MODEL_CONTEXTS
+) -> tuple[list[int], Callable[[DataFrame], DataFrame] | None]:
     """Write predictions to `path` as (depth, context, logs), and return the bytes that `logs` tells one by one.
 
     `strings` has (code, n). Work is dealt by the last two bytes of the context;
     above that, groups have at most 256 members, and so has what the driver sees.
     `logs` are 32-bit ln probabilities of the bytes met in training and last one for
-    each other byte, which share what is left evenly. A context that is not written
-    is predicted as its longest written ending.
+    each other byte, which share what is left evenly. A context that was never met
+    is predicted as its longest ending that was. At most `contexts` contexts of three
+    and more bytes are written; if there are others, the second result maps strings
+    (code) to their ln probabilities (code, log) from all contexts.
     """
     spark = strings.sparkSession
     node = "counts array<double>, logs array<double>, sizes array<long>"
@@ -308,11 +317,14 @@ def build_model(strings: DataFrame, path: str, contexts: int = MODEL_CONTEXTS) -
     least = 2.0 ** int(np.argmax(sizes <= contexts))
     told = np.flatnonzero(counts0).tolist()
 
-    def rows_of(depth: int, context: np.ndarray, ones: np.ndarray) -> pa.Table:
+    def logs_of(ones: np.ndarray) -> np.ndarray:
         logs = byte_logs(ones)
         rest = 1 - np.exp(logs[:, told]).sum(1)
         other = np.log(np.maximum(rest, 1e-300) / max(1, 256 - len(told)))
-        logs = np.hstack([logs[:, told], other[:, None]]).astype("<f4")
+        return np.hstack([logs[:, told], other[:, None]]).astype("<f4")
+
+    def rows_of(depth: int, context: np.ndarray, ones: np.ndarray) -> pa.Table:
+        logs = logs_of(ones)
         return pa.table(
             {
                 "depth": pa.array(np.full(len(context), depth, np.int32)),
@@ -321,28 +333,58 @@ def build_model(strings: DataFrame, path: str, contexts: int = MODEL_CONTEXTS) -
             }
         )
 
-    def full(group: pa.Table) -> pa.Table:
-        last = group["pair"][0].as_py() & 255
+    def with_shorter(last: int) -> Callable[[np.ndarray], np.ndarray]:
+        return lambda deeper: own0 * next0 + (1 - own0) * (own1[last] * next1[last] + (1 - own1[last]) * deeper)
 
-        def two(deeper: np.ndarray) -> np.ndarray:
-            return own0 * next0 + (1 - own0) * (own1[last] * next1[last] + (1 - own1[last]) * deeper)
+    def one(last: int) -> np.ndarray:
+        return own0 * next0 + (1 - own0) * next1[last]
 
+    def full(group: pa.Table) -> pa.Table:
+        two = with_shorter(group["pair"][0].as_py() & 255)
         b = Branch(group["code"].to_numpy(), group["n"].to_numpy())
         return pa.concat_tables([rows_of(*x) for x in b.predictions(two, least)])
 
+    column = np.full(256, len(told))
+    column[told] = np.arange(len(told))
+
+    def answers(group: pa.Table) -> pa.Table:
+        last = group["pair"][0].as_py() & 255
+        code, n = group["code"].to_numpy(), group["n"].to_numpy()
+        asked = np.sort(code[n == 0])
+        context, col = asked >> 8, column[asked & 255]
+        endings = {d: context & ((1 << 8 * d) - 1) for d in (3, 4, 5)}
+        log = logs_of(one(last) if last in next1 else next0)[0][col]
+        if (n > 0).any() and len(asked):
+            b = Branch(code[n > 0], n[n > 0])
+            for depth, met, ones in b.predictions(with_shorter(last), 1, lambda d, c: np.isin(c, endings[d])):
+                # Longer endings come later, those of one depth in any order.
+                order = np.argsort(met)
+                own = endings[depth] if depth > 2 else context & 0xFFFF
+                for at in range(0, len(met), BLOCK_CONTEXTS):
+                    some = order[at : at + BLOCK_CONTEXTS]
+                    place = np.minimum(np.searchsorted(met[some], own), len(some) - 1)
+                    hit = met[some][place] == own
+                    log[hit] = logs_of(ones[some])[place[hit], col[hit]]
+        return pa.table({"code": asked, "log": log.astype(np.float64)})
+
+    def answered(codes: DataFrame) -> DataFrame:
+        asked = codes.select("code", F.lit(0).cast("long").alias("n"), F.shiftright("code", 8).bitwiseAND(0xFFFF).alias("pair"))
+        return paired.unionByName(asked).groupBy("pair").applyInArrow(answers, "code long, log double")
+
     schema = "depth int, context long, logs binary"
     upper = [rows_of(0, np.zeros(1, np.int64), next0)]
-    upper += [rows_of(1, np.array([b]), own0 * next0 + (1 - own0) * next1[b]) for b in counts1]
+    upper += [rows_of(1, np.array([b]), one(b)) for b in counts1]
     tops = [(r["depth"], r["context"], bytearray(r["logs"])) for t in upper for r in t.to_pylist()]
     deep = paired.groupBy("pair").applyInArrow(full, schema)
     deep.unionByName(spark.createDataFrame(tops, schema)).write.parquet(path)
-    return told
+    return told, answered if least > 1 else None
 
 
 class Model:
-    """The predictions in memory: node numbers by context, and a row of logarithms for each node."""
+    """The predictions in memory: node numbers by context, and a row of logarithms for each node; `whole` if no context is missing."""
 
-    def __init__(self, path: str, told: list[int]):
+    def __init__(self, path: str, told: list[int], whole: bool = True):
+        self.whole = whole
         t = read_table(path)
         depth, context = t["depth"].to_numpy(), t["context"].to_numpy()
         order = np.lexsort((context, depth))
@@ -385,8 +427,9 @@ class Model:
         self.is_three = np.zeros(len(depth), bool)
         self.is_three[at] = True
 
-    def log10(self, text: bytes) -> float:
-        total = 0.0
+    def log10(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """log10 probability of the bytes whose context is here in full; the strings of all others, and how often they come."""
+        total, missing = 0.0, []
         for piece in _pieces(text):
             col = self.column[piece]
             b = piece.astype(np.int32)
@@ -395,15 +438,20 @@ class Model:
             four = np.where(self.is_three[node], self.older[node.astype(np.int64) * self.width + col[1 : 1 + n]], 0)
             five = self.older[four.astype(np.int64) * self.width + col[:n]]
             node = np.where(five > 0, five, np.where(four > 0, four, node)).astype(np.int64)
-            total += float(self.logs[node * self.width + col[DEPTH:]].sum(dtype=np.float64))
-        return total / math.log(10)
+            logs = self.logs[node * self.width + col[DEPTH:]]
+            if not self.whole:
+                missing.append(codes(piece)[five == 0])
+                logs = logs[five > 0]
+            total += float(logs.sum(dtype=np.float64))
+        code, times = np.unique(np.concatenate([np.empty(0, np.uint64), *missing]).view(np.int64), return_counts=True)
+        return total / math.log(10), code, times
 
 
 @lru_cache(maxsize=1)
-def _loaded(model_path: str, words_path: str, told: tuple[int, ...]) -> tuple[Model, dict[bytes, float]]:
+def _loaded(model_path: str, words_path: str, told: tuple[int, ...], whole: bool) -> tuple[Model, dict[bytes, float]]:
     t = read_table(words_path)
     hot = dict(zip(t["key"].to_pylist(), np.log10(t["n"].to_numpy() + 1.0).tolist()))
-    return Model(model_path, list(told)), hot
+    return Model(model_path, list(told), whole), hot
 
 
 def lm_scores(
@@ -416,9 +464,9 @@ def lm_scores(
     weighted context trees, base_score that of its words and end under the word
     model. NULL texts are empty: one end token. Repeated rows count as often as
     they occur. An empty table gives no rows; without training rows every byte has
-    8 bits. Counts cover all training rows; only the number of contexts of three and
-    more bytes held in memory while scoring is bounded (`contexts`): less frequent
-    ones are predicted as their longest ending that is held.
+    8 bits. Counts cover all training rows; the number of contexts of three and
+    more bytes held in memory while scoring is bounded (`contexts`): strings behind
+    less frequent ones are scored from all counts in tasks and joined.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -431,7 +479,8 @@ def lm_scores(
     ).first()
     code = F.conv(F.hex("key"), 16, 10).cast("long")
     model_path, words_path = scratch_path(spark, "ctw-model"), scratch_path(spark, "hot-words")
-    told = tuple(build_model(counts.where("kind = 0").select(code.alias("code"), "n"), model_path, contexts))
+    told, answered = build_model(counts.where("kind = 0").select(code.alias("code"), "n"), model_path, contexts)
+    told, whole = tuple(told), answered is None
     is_hot = F.col("n") * HOT_WORDS > n_train
     words.where(is_hot).coalesce(8).write.parquet(words_path)
 
@@ -441,15 +490,16 @@ def lm_scores(
             rows.schema["doc_id"],
             rows.schema["held_out"],
             *T._parse_datatype_string(
-                "row long, n_tokens long, known long, logs double, score double, bytes long, rare array<binary>, times array<long>"
+                "row long, n_tokens long, known long, logs double, score double, bytes long, rare array<binary>, times array<long>, "
+                "code array<long>, met array<long>"
             ),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot = _loaded(model_path, words_path, told)
+        model, hot = _loaded(model_path, words_path, told, whole)
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(10)]
             for row, text in zip(b.column(2).to_pylist(), b.column(3)):
                 low = text.as_py().encode().lower()
                 tokens = low.split()
@@ -460,7 +510,8 @@ def lm_scores(
                     times = rare.pop(long_word)
                     logs, known = logs + times * hot[long_word], known + times
                 known += ends > 0
-                values = (row, len(tokens) + 1, known, logs + end_log, model.log10(low), len(low) + 1, list(rare), list(rare.values()))
+                score, code, met = model.log10(low)
+                values = (row, len(tokens) + 1, known, logs + end_log, score, len(low) + 1, list(rare), list(rare.values()), code, met)
                 for c, v in zip(cols, values):
                     c.append(v)
             arrays = [pa.array(c, f.type) for c, f in zip(cols, SCORED)]
@@ -474,7 +525,12 @@ def lm_scores(
         F.sum("times").alias("cold_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("cold_logs")
     )
     base = F.col("logs") + F.coalesce("cold_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_train + v_train + 1)
-    return scored.drop("rare", "times").join(met, "row", "left").select(
+    if not whole:
+        missing = scored.select("row", F.explode(F.arrays_zip("code", "met")).alias("m")).select("row", "m.code", "m.met")
+        logs = materialize(answered(materialize(missing.select("code").distinct(), "asked")), "answers")
+        more = missing.join(logs, "code").groupBy("row").agg((F.sum(F.col("met") * F.col("log")) / math.log(10)).alias("more"))
+        scored = scored.join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+    return scored.drop("rare", "times", "code", "met").join(met, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -496,5 +552,7 @@ SCORED = pa.schema(
         ("bytes", pa.int64()),
         ("rare", pa.list_(pa.binary())),
         ("times", pa.list_(pa.int64())),
+        ("code", pa.list_(pa.int64())),
+        ("met", pa.list_(pa.int64())),
     ]
 )

@@ -97,6 +97,15 @@ def test_fewer_contexts_still_a_distribution(spark, tmp_path):
     assert full.keys() == few.keys() and all(few[i] < 0 and full[i] > few[i] - 1 for i in full)
 
 
+def test_contexts_out_of_memory_score_the_same(spark, tmp_path):
+    texts = ["abcde fghij klmno", "abcdefgh", None, "zzzz abc abcd", "fghij klm \u00e9"] * 6 + ["pqrst uvwxy abcde", "\u00fc abcd fghi"] * 7
+    df = docs_of(spark, tmp_path, texts)
+    full = {r.doc_id: (r.score, r.bits_per_byte) for r in lm_scores(df).collect()}
+    for held in (0, 4, 30):
+        few = {r.doc_id: (r.score, r.bits_per_byte) for r in lm_scores(df, contexts=held).collect()}
+        assert few.keys() == full.keys() and all(few[i] == pytest.approx(full[i], rel=1e-9) for i in full)
+
+
 def test_no_rows_and_no_training_rows(spark, tmp_path):
     assert lm_scores(written(spark, tmp_path, [], DOCS)).count() == 0
     ids = [r.id for r in spark.range(100).where(fold_of("id", 7) == 2).collect()]
