@@ -8,14 +8,15 @@
    m = 31 about 5 in 10^10 pairs, and fewer if the m runs lie apart. Small sets are
    listed under their smallest values, as many as must hold a common one, which
    misses nothing.
-3. Members of lists with more than LIST_PAIRS members are compared with hubs of the
-   list: its smallest row and members that are in many long lists, as the original
+3. Members of lists with more than LIST_PAIRS members are compared with three hubs of
+   their lists: smallest rows and members that are in many long lists, as the original
    of many copies is. A set with SURE runs in short lists meets every similar set in
    one of them. Where the other members of a long list still span several
    components, they are listed again under the tokens of their full sets that are
    rarest, as many as must hold a common one, and compared across components there.
-4. Pairs pass if size ratio and the overlap of the union's sketch allow the
-   threshold; the survivors are compared on full sets.
+4. Pairs pass if size ratio, 64 bits of each set and the overlap of the union's
+   sketch allow the threshold; the survivors are compared on full sets. The bits
+   travel with the lists, so that most chance pairs end there.
 5. Components of the confirmed links give the groups.
 """
 
@@ -43,7 +44,8 @@ LIST_PAIRS = 16
 RUN = 2
 SURE = 31  # runs in short lists that a similar set shares one of, but for 5 in 10^10
 BUCKETS = 1 << 20  # of token counts; they only set the order of tokens, and any order misses nothing
-MISSED = 1e-9  # share of similar pairs that the union sketch may reject
+BINS = 64
+MISSED = 1e-9  # share of similar pairs that the union sketch may reject, and that the bits may
 KNOWN_WORDS = 1 << 17
 MARKS = 1 << 26  # bits that tell which rows a join needs, 8 MB at most; where they are all set, all rows are shuffled
 
@@ -77,22 +79,48 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(((z ^ (z >> np.uint64(31))) >> np.uint64(1)).view(np.int64))
 
 
+def bin_bits(s: np.ndarray) -> int:
+    """One bit of the smallest of the sorted hashes in each of BINS bins; 0 where there is none.
+
+    Sets of similarity J differ in a bin with a chance of at most (1 - J) / 2.
+    """
+    bit = np.zeros(BINS, np.uint8)
+    back = s[::-1]
+    bit[back & (BINS - 1)] = (back >> 6) & 1  # the last one stays
+    return int(np.packbits(bit, bitorder="little").view(np.int64)[0])
+
+
+def most_differing(percent: int) -> int:
+    """Bits in which two sets at the threshold differ at most, but for MISSED of the pairs."""
+    p, above = (1 - percent / 100) / 2, 0.0
+    for c in range(BINS, 0, -1):
+        above += math.comb(BINS, c) * p**c * (1 - p) ** (BINS - c)
+        if above > MISSED:
+            return c
+    return 0
+
+
 def _sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
-    """(row_id, doc_id, n, sig, sketch): set size, 128-bit digest of the set, its k smallest hashes."""
+    """(row_id, doc_id, n, sig, sketch, bits): set size, 128-bit digest of the set, its k smallest hashes, bits of its bins."""
     out = T.StructType(
-        [rows.schema["row_id"], rows.schema["doc_id"], *T._parse_datatype_string("n long, sig binary, sketch array<long>")]
+        [
+            rows.schema["row_id"],
+            rows.schema["doc_id"],
+            *T._parse_datatype_string("n long, sig binary, sketch array<long>, bits long"),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sig, sketch = [], [], []
+            n, sig, sketch, bits = [], [], [], []
             for text in b.column(2):
                 s = shingle_hashes(text.as_py().encode(), words)
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append(s[:k])
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=out.names)
+                bits.append(bin_bits(s))
+            found = (pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bits, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names=out.names)
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(run, out)
 
@@ -108,21 +136,23 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(run, "row_id long, full array<long>")
 
 
-def _marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """`rows` without most of those whose `column` is not in `ids`: a bitmap of at most MARKS bits is broadcast, the rows stay where they are."""
+def _marked(rows: DataFrame, ids: DataFrame, column: str, others: bool = False) -> DataFrame:
+    """`rows` without most of those whose `column` is not in `ids`: a bitmap of at most MARKS bits is broadcast, the rows stay where they are.
+
+    With `others`, it is the rows left out there.
+    """
     place = F.pmod(F.xxhash64(column), F.lit(MARKS)) + 1
     number, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
     marks = ids.select(number.alias("number"), bit.alias("bit")).groupBy("number").agg(F.bitmap_construct_agg("bit").alias("marks"))
     octet = F.conv(F.hex(F.substring("marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.join(F.broadcast(marks), number == F.col("number")).withColumns({"octet": octet, "bit": (bit % 8).cast("int")})
-    return met.where("shiftright(octet, bit) % 2 = 1").select(*rows.columns)
+    met = rows.join(F.broadcast(marks), number == F.col("number"), "left" if others else "inner")
+    met = met.withColumns({"octet": octet, "bit": (bit % 8).cast("int")})
+    return met.where("coalesce(shiftright(octet, bit) % 2, 0) = 0" if others else "shiftright(octet, bit) % 2 = 1").select(*rows.columns)
 
 
 def _sets_of(ids: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(rep, full): the full sets of the rows of the given row_ids."""
-    # A semi join would be pushed below the bitmap.
-    wanted = _marked(rows, ids, "row_id").join(ids, "row_id")
-    return _sets(wanted, words).withColumnRenamed("row_id", "rep")
+    """(rep, full): the full sets of the rows of the given row_ids, and of few others that share a bit with them; no text is shuffled."""
+    return _sets(_marked(rows, ids, "row_id"), words).withColumnRenamed("row_id", "rep")
 
 
 def _run_keys(length: int) -> Column:
@@ -132,9 +162,9 @@ def _run_keys(length: int) -> Column:
 
 
 def _listed(reps: DataFrame, length: int) -> DataFrame:
-    """(rep, n, at, key): sets under their runs of `length` sketch values."""
-    return reps.where(F.size("sketch") >= length).select("rep", "n", F.explode(_run_keys(length)).alias("e")).select(
-        "rep", "n", "e.at", "e.key"
+    """(rep, n, bits, at, key): sets under their runs of `length` sketch values."""
+    return reps.where(F.size("sketch") >= length).select("rep", "n", "bits", F.explode(_run_keys(length)).alias("e")).select(
+        "rep", "n", "bits", "e.at", "e.key"
     )
 
 
@@ -142,22 +172,27 @@ def _small_listed(reps: DataFrame, percent: int) -> DataFrame:
     """Sets under their smallest values, as many as leave fewer behind than a similar set must share."""
     least = F.floor((F.col("n") * percent + 99) / 100)
     prefix = F.slice("sketch", 1, (F.col("n") - least + 1).cast("int"))
-    return reps.select("rep", "n", F.lit(0).alias("at"), F.explode(prefix).alias("key"))
+    return reps.select("rep", "n", "bits", F.lit(0).alias("at"), F.explode(prefix).alias("key"))
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _alike(x: Column, y: Column, percent: int) -> Column:
+    """Sizes and bits of the sets x and y allow the threshold."""
+    enough = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    return enough & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= most_differing(percent))
+
+
 def _short_pairs(listed: DataFrame, counts: DataFrame, most: int, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of lists with 2 to `most` members; no list is longer than `most` here."""
     lists = (
         listed.join(counts.where((F.col("members") > 1) & (F.col("members") <= most)).select("key"), "key")
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("l"))
+        .agg(F.sort_array(F.collect_list(F.struct("rep", "n", "bits"))).alias("l"))
         .select("l", F.posexplode("l").alias("i", "x"))
-        .select("x", F.explode(F.slice("l", F.col("i") + 2, most)).alias("y"))
-        .where(_similar_sizes("x.n", "y.n", percent))
+        .select("x", F.explode(F.filter(F.slice("l", F.col("i") + 2, most), lambda y: _alike(F.col("x"), y, percent))).alias("y"))
     )
     return lists.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
@@ -173,7 +208,7 @@ def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataF
         pairs.append(_short_pairs(listed, counts, most, percent))
         long_keys = counts.where(F.col("members") > most).select("key")
         if long_keys.take(1):
-            long = materialize(listed.join(long_keys, "key").select("key", "rep", "n"), f"long-{name}")
+            long = materialize(listed.join(long_keys, "key").select("key", "rep", "n", "bits"), f"long-{name}")
             pairs.append(_hub_pairs(long, percent))
             if name == "lists":
                 # Of a sketch's k - RUN + 1 runs, those not in long lists are in short ones.
@@ -185,21 +220,33 @@ def _candidates(reps: DataFrame, percent: int, k: int, most: int) -> tuple[DataF
 
 
 def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Every member with three hubs of its list, if their sizes allow: linear in the list.
+    """Every member with up to three hubs of its lists, as far as it can be similar to them: linear in the members.
 
     The original of a family has no edits, so it is in the most long lists; ties go
-    the same way in each list, so lists of one family share hubs.
+    the same way in each list, so lists of one family share hubs. Of the hubs of all
+    its lists, a member takes those by the same order.
     """
     met = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("lists")), "rep")
-    hub = F.struct("rep", "n")
+    hub = F.struct("rep", "n", "bits", "lists")
+
+    def order(rep: Column | str, lists: Column | str, salt: int) -> Column:
+        return F.struct(lists, F.xxhash64(rep, F.lit(salt)))
+
+    tops = [F.max_by(hub, order("rep", "lists", salt)) for salt in (1, 2)]
+    pick = met.groupBy("key").agg(F.min(hub).alias("h0"), *[h.alias(f"h{i}") for i, h in enumerate(tops, 1)])
+    own = F.struct("rep", "n", "bits")
 
-    def top(salt: int) -> Column:
-        return F.max_by(hub, F.struct("lists", F.xxhash64("rep", F.lit(salt))))
+    def taken(h: str) -> Column:
+        return F.when((F.col("rep") != F.col(f"{h}.rep")) & _alike(own, F.col(h), percent), F.col(h))
 
-    pick = met.groupBy("key").agg(F.array_distinct(F.array(F.min(hub), top(1), top(2))).alias("hubs"))
-    met = members.join(pick, "key").select("rep", "n", F.explode("hubs").alias("hub"))
-    met = met.where((F.col("rep") != F.col("hub.rep")) & _similar_sizes("n", "hub.n", percent))
-    return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+    met = members.join(pick, "key").select("rep", *[taken(h).alias(h) for h in ("h0", "h1", "h2")])
+    # max_by skips NULL orders only, so a hub that is not taken has none.
+    best = [
+        F.max_by(h, F.when(F.col(h).isNotNull(), order(F.col(f"{h}.rep"), F.col(f"{h}.lists"), salt))) for salt, h in ((1, "h1"), (2, "h2"))
+    ]
+    hubs = met.groupBy("rep").agg(F.array_compact(F.array_distinct(F.array(F.min("h0")["rep"], *[h["rep"] for h in best]))).alias("hubs"))
+    met = hubs.select("rep", F.explode("hubs").alias("hub"))
+    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -268,9 +315,11 @@ def _split_pairs(m: DataFrame, percent: int) -> DataFrame:
 
 
 def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Pairs with the value of both ends, as a_value and b_value."""
-    left = values.select(F.col("rep").alias("a"), F.col(column).alias("a_value"))
-    right = values.select(F.col("rep").alias("b"), F.col(column).alias("b_value"))
+    """Pairs, read from files, with the value of both ends, as a_value and b_value."""
+    left, right = (
+        _marked(values, pairs.select(F.col(end).alias("rep")), "rep").select(F.col("rep").alias(end), F.col(column).alias(f"{end}_value"))
+        for end in ("a", "b")
+    )
     return pairs.join(left, "a").join(right, "b")
 
 
@@ -287,8 +336,7 @@ def least_common(k: int, percent: int) -> int:
 def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose union sketch holds enough common values."""
     pairs = materialize(pairs.distinct(), "met")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    both = _with(pairs, _marked(reps, ends, "rep"), "sketch")
+    both = _with(pairs, reps, "sketch")
     union = F.slice(F.array_sort(F.array_union("a_value", "b_value")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("a_value", "b_value")))
     enough = (common >= least_common(k, percent)) | (F.size("a_value") < k) | (F.size("b_value") < k)
@@ -326,12 +374,16 @@ def near_groups(
     full = sketches.where("n > 0")
     classes = full.groupBy("sig").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
-    reps = materialize(
-        full.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(
-            F.col("row_id").alias("rep"), "n", "sketch"
-        ),
-        "reps",
+    total = full.count()
+    of_class = attach(full.select("row_id", "doc_id", "n", "sig"), classes, ["sig"], "copies", total).drop("sig")
+    of_class = materialize(of_class, "of-class")
+    # Most rows are representatives: only those that share a bit with another row of a class are shuffled.
+    again = of_class.where("row_id <> rep").select("row_id")
+    known = full.select("row_id", "n", "sketch", "bits")
+    reps = _marked(known, again, "row_id", others=True).unionByName(
+        _marked(known, again, "row_id").join(again, "row_id", "left_anti")
     )
+    reps = materialize(reps.withColumnRenamed("row_id", "rep"), "reps")
 
     found, members = _candidates(reps, percent, k, most)
     pairs = materialize(_plausible(found, reps, k, percent), "candidates")
@@ -345,16 +397,14 @@ def near_groups(
     if members is not None:
         open_rows = materialize(_unsettled(members, materialize(roots, "roots")), "unsettled")
         if open_rows.take(1):
-            open_sets = materialize(sets.join(open_rows, "rep"), "open-sets")
+            open_sets = materialize(_marked(sets, open_rows, "rep").join(open_rows, "rep"), "open-sets")
             listed = materialize(_rarest(open_sets, percent), "rarest")
             more = materialize(_plausible(_split_pairs(listed, percent), reps, k, percent), "more-candidates")
             more = materialize(_confirmed(more, sets, percent), "more-links")
             if more.take(1):
                 roots = components(links.unionByName(more), "a", "b")
 
-    total = full.count()
-    placed = attach(full.select("row_id", "doc_id", "n", "sig"), classes, ["sig"], "copies", total).drop("sig")
-    placed = placed.join(roots, placed.rep == roots.node, "left").select(
+    placed = of_class.join(roots, of_class.rep == roots.node, "left").select(
         "row_id", "doc_id", "n", F.coalesce("root", "rep").alias("root")
     )
     placed = materialize(placed, "placed")

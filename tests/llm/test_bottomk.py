@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from recon.llm.bottomk import near_groups, without_near_copies
+from recon.llm.bottomk import _hub_pairs, bin_bits, most_differing, near_groups, without_near_copies
 from recon.llm.components import components
 from tests.llm.tables import DOCS, docs_of, written
 
@@ -75,6 +76,27 @@ def test_a_mass_of_edits_of_one_original_is_one_group(spark, tmp_path):
     assert got == brute(texts, 5)
 
 
+def test_members_of_many_long_lists_meet_few_hubs(spark):
+    rows = [(key, rep, 100, 7) for rep in range(40) for key in range(30)]
+    rows += [(99, rep, 100, 7 if rep < 40 else -8) for rep in range(60)]  # the others differ in all bits
+    pairs = _hub_pairs(spark.createDataFrame(rows, "key long, rep long, n long, bits long"), 80)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) <= 3 * 60  # not one for each list that a member is in
+    assert {x for p in got for x in p if x < 40} == set(range(40)) and all((a < 40) == (b < 40) for a, b in got)
+
+
+def test_bits_of_similar_sets_differ_little():
+    rng = np.random.default_rng(3)
+    least = most_differing(80)
+    for n in (1, 4, 30, 64, 65, 300, 5000):
+        for _ in range(200):
+            s = rng.permutation(np.unique(rng.integers(1, 1 << 62, n + n // 4)))
+            a, b = s[: n + n // 8], s[n // 8 :]  # similarity 0.8 or more
+            assert ((bin_bits(np.sort(a)) ^ bin_bits(np.sort(b))) % (1 << 64)).bit_count() <= least
+    far = [(bin_bits(np.unique(rng.integers(1, 1 << 62, 300))) ^ bin_bits(np.unique(rng.integers(1, 1 << 62, 300)))) % (1 << 64) for _ in range(400)]
+    assert np.mean([x.bit_count() > least for x in far]) > 0.9
+
+
 def test_repeated_rows_nulls_and_no_rows(spark, tmp_path):
     rows = [(5, "same text here", None, None, None)] * 3 + [(None, "same text here", None, None, None), (2, None, None, None, None)]
     df = written(spark, tmp_path, rows, DOCS)
