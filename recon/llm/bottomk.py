@@ -380,9 +380,9 @@ def near_groups(
     # Most rows are representatives: only those that share a bit with another row of a class are shuffled.
     again = of_class.where("row_id <> rep").select("row_id")
     known = full.select("row_id", "n", "sketch", "bits")
-    reps = _marked(known, again, "row_id", others=True).unionByName(
-        _marked(known, again, "row_id").join(again, "row_id", "left_anti")
-    )
+    # An anti join would be pushed below the bitmap.
+    told = _marked(known, again, "row_id").join(again.withColumn("again", F.lit(True)), "row_id", "left").where("again IS NULL")
+    reps = _marked(known, again, "row_id", others=True).unionByName(told.drop("again"))
     reps = materialize(reps.withColumnRenamed("row_id", "rep"), "reps")
 
     found, members = _candidates(reps, percent, k, most)
