@@ -21,7 +21,6 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recon.llm.common import fold_of, whole_text
-from recon.llm.files import read_table
+from recon.llm.files import read_batches, read_table
 from recon.plans.lineage import materialize, scratch_path
 
 DEPTH = 5
@@ -42,6 +41,8 @@ HOT_WORDS = 1 << 18  # a word with more than one in so many tokens is looked up
 WORD_BYTES = 64  # longer words go by their digest
 MODEL_CONTEXTS = 1 << 18  # contexts of three to DEPTH bytes that scoring keeps in memory, the most frequent ones; bytes behind others are joined
 BLOCK_CONTEXTS = 2048  # full-depth contexts whose decision nodes are spread out at once
+READ_ROWS = 8192  # contexts of the model read at once
+SCORE_ROWS = 1000  # texts whose scores are gathered before they are sent on
 
 LEAVES = np.arange(256) + 256
 PATH = np.stack([LEAVES >> s for s in range(8, 0, -1)], axis=1)  # decision nodes of each byte
@@ -78,6 +79,8 @@ def count_strings(rows: DataFrame) -> DataFrame:
     """(kind, key, n) from (text): kind 0 are byte strings (8 bytes, big-endian), kind 1 words, the empty word being the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_model()  # that of an earlier table, if this process has scored one
+
         def rows_of(kind: int, keys: pa.Array, n: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), keys, n], names=["kind", "key", "n"])
 
@@ -385,8 +388,8 @@ class Model:
 
     def __init__(self, path: str, told: list[int], whole: bool = True):
         self.whole = whole
-        t = read_table(path)
-        depth, context = t["depth"].to_numpy(), t["context"].to_numpy()
+        small = list(read_batches(path, ["depth", "context"], READ_ROWS))
+        depth, context = (np.concatenate([b.column(i).to_numpy() for b in small]) for i in (0, 1))
         order = np.lexsort((context, depth))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -394,23 +397,26 @@ class Model:
         self.width = len(told) + 1
         self.logs = np.empty((len(depth), self.width), "<f4")
         first = 0
-        for chunk in filter(len, t["logs"].chunks):  # straight to their places, so that no second copy of all rows is held
+        for b in read_batches(path, ["logs"], READ_ROWS):  # straight to their places, so that no second copy of all rows is held
+            chunk = b.column(0)
             offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
             own = np.frombuffer(chunk.buffers()[2], "<f4")[offsets[0] // 4 : offsets[-1] // 4]
             self.logs[place[first : first + len(chunk)]] = own.reshape(len(chunk), self.width)
             first += len(chunk)
-        del t
         self.logs = self.logs.reshape(-1)
+        pa.default_memory_pool().release_unused()
         self.column = np.full(256, len(told), np.int32)
         self.column[told] = np.arange(len(told))
-        three = np.zeros((256, 256, 256), np.int32)
+        # By columns, as every byte of a context that was met has its own.
+        three = np.zeros((self.width,) * 3, np.int32)
         for i in np.flatnonzero(depth == 1).tolist():
-            three[:, :, context[i]] = i
+            three[:, :, self.column[context[i]]] = i
         for i in np.flatnonzero(depth == 2).tolist():
-            three[:, context[i] >> 8, context[i] & 255] = i
+            three[:, self.column[context[i] >> 8], self.column[context[i] & 255]] = i
         three = three.reshape(-1)
         at = np.flatnonzero(depth == 3)
-        three[context[at]] = at
+        met = [self.column[context[at] >> s & 255].astype(np.int64) for s in (16, 8, 0)]
+        three[(met[0] * self.width + met[1]) * self.width + met[2]] = at
         self.three = three
         # Children of a node by the column of the next older byte; 0 where there is none.
         inner = int((depth < 5).sum())
@@ -432,9 +438,8 @@ class Model:
         total, missing = 0.0, []
         for piece in _pieces(text):
             col = self.column[piece]
-            b = piece.astype(np.int32)
             n = len(piece) - DEPTH
-            node = self.three[b[2 : 2 + n] << 16 | b[3 : 3 + n] << 8 | b[4 : 4 + n]]
+            node = self.three[(col[2 : 2 + n] * self.width + col[3 : 3 + n]) * self.width + col[4 : 4 + n]]
             four = np.where(self.is_three[node], self.older[node.astype(np.int64) * self.width + col[1 : 1 + n]], 0)
             five = self.older[four.astype(np.int64) * self.width + col[:n]]
             node = np.where(five > 0, five, np.where(four > 0, four, node)).astype(np.int64)
@@ -447,11 +452,22 @@ class Model:
         return total / math.log(10), code, times
 
 
-@lru_cache(maxsize=1)
+_models: dict[tuple, tuple[Model, dict[bytes, float]]] = {}  # one at most
+
+
+def forget_model() -> None:
+    """Free the model that this process has in memory."""
+    _models.clear()
+
+
 def _loaded(model_path: str, words_path: str, told: tuple[int, ...], whole: bool) -> tuple[Model, dict[bytes, float]]:
-    t = read_table(words_path)
-    hot = dict(zip(t["key"].to_pylist(), np.log10(t["n"].to_numpy() + 1.0).tolist()))
-    return Model(model_path, list(told), whole), hot
+    own = (model_path, words_path, told, whole)
+    if own not in _models:
+        forget_model()  # before the next one is read
+        t = read_table(words_path)
+        hot = dict(zip(t["key"].to_pylist(), np.log10(t["n"].to_numpy() + 1.0).tolist()))
+        _models[own] = Model(model_path, list(told), whole), hot
+    return _models[own]
 
 
 def lm_scores(
@@ -498,7 +514,7 @@ def lm_scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot = _loaded(model_path, words_path, told, whole)
-        for b in batches:
+        for b in (all_rows.slice(at, SCORE_ROWS) for all_rows in batches for at in range(0, all_rows.num_rows, SCORE_ROWS)):
             cols: list[list] = [[] for _ in range(10)]
             for row, text in zip(b.column(2).to_pylist(), b.column(3)):
                 low = text.as_py().encode().lower()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -25,3 +27,11 @@ def read_table(path: str) -> pa.Table:
     """A small Parquet folder that Spark wrote, inside a task."""
     store, inner = opened(path)
     return pq.read_table(inner, filesystem=store)
+
+
+def read_batches(path: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same folder a few rows at a time, in the same order each time."""
+    store, inner = opened(path)
+    for part in sorted(f.path for f in store.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".parquet")):
+        with store.open_input_file(part) as f:
+            yield from pq.ParquetFile(f).iter_batches(rows, columns=columns, use_threads=False)

@@ -1,9 +1,13 @@
 import math
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from recon.llm import ctw
 from recon.llm.common import fold_of
 from recon.llm.ctw import DEPTH, END, log_gamma, lm_scores
 from tests.llm.tables import DOCS, docs_of, written
@@ -106,6 +110,47 @@ def test_contexts_out_of_memory_score_the_same(spark, tmp_path):
         assert few.keys() == full.keys() and all(few[i] == pytest.approx(full[i], rel=1e-9) for i in full)
 
 
+def test_a_task_holds_one_model(monkeypatch):
+    alive, held = [], []
+
+    class Held:
+        def __init__(self, path, told, whole):
+            alive.append([path for path, r in held if r() is not None])
+            held.append((path, weakref.ref(self)))
+
+    monkeypatch.setattr(ctw, "Model", Held)
+    monkeypatch.setattr(ctw, "read_table", lambda path: pa.table({"key": [b"a"], "n": [3]}))
+    for path in ("m1", "m2", "m2"):
+        assert ctw._loaded(path, "words", (1, 2), True)[1] == {b"a": math.log10(4)}
+    assert alive == [[], []]  # the first is gone before the second is read
+    ctw.forget_model()
+    assert all(r() is None for _, r in held)
+
+
+def test_a_model_is_read_a_few_contexts_at_a_time(monkeypatch, tmp_path):
+    told, rng = [97, 98, END], np.random.default_rng(1)
+    rows = [(0, 0), (1, 98), (2, 97 << 8 | 98), (3, 97 << 16 | 98 << 8 | 97), (3, END << 16 | END << 8 | END), (4, 97 << 24 | 98 << 16 | 97 << 8 | 97)]
+    rows += [(5, END << 32 | 97 << 24 | 98 << 16 | 97 << 8 | 97), (4, 98 << 24 | 97 << 16 | 98 << 8 | 97)]
+    logs = -rng.random((len(rows), 4)).astype("<f4")
+    for i in range(2):
+        depth, context = (pa.array([r[c] for r in rows[i::2]], t) for c, t in ((0, pa.int32()), (1, pa.int64())))
+        pq.write_table(pa.table({"depth": depth, "context": context, "logs": [x.tobytes() for x in logs[i::2]]}), tmp_path / f"part-{i}.parquet")
+    monkeypatch.setattr(ctw, "READ_ROWS", 2)
+    monkeypatch.setattr(ctw, "read_table", None)  # the whole table is not read at once
+    model = ctw.Model(str(tmp_path), told)
+    by = {r: x for r, x in zip(rows, logs)}
+    column = {97: 0, 98: 1, END: 2}
+    for text in (b"", b"abab", b"aba", b"zabab\xc3\xa9b", b"babaabab" * 3):
+        whole, want = ctw.framed(text), 0.0
+        for i in range(DEPTH, len(whole)):
+            ending = [(d, int.from_bytes(whole[i - d : i], "big")) for d in range(6)]
+            # Longer contexts hang below those of three bytes, one byte at a time.
+            most = next((d for d in (3, 4, 5) if ending[d] not in by), 6) - 1
+            node = ending[most] if most > 2 else next(e for e in reversed(ending[:3]) if e in by)
+            want += float(by[node][column.get(whole[i], 3)])
+        assert model.log10(text)[0] == pytest.approx(want / math.log(10), rel=1e-5)
+
+
 def test_no_rows_and_no_training_rows(spark, tmp_path):
     assert lm_scores(written(spark, tmp_path, [], DOCS)).count() == 0
     ids = [r.id for r in spark.range(100).where(fold_of("id", 7) == 2).collect()]
