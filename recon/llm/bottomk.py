@@ -14,10 +14,13 @@
    one of them. Where the other members of a long list still span several
    components, they are listed again under the tokens of their full sets that are
    rarest, as many as must hold a common one, and compared across components there.
-4. Pairs pass if size ratio, 64 bits of each set and the overlap of the union's
-   sketch allow the threshold; the survivors are compared on full sets. The bits
-   travel with the lists, so that most chance pairs end there.
-5. Components of the confirmed links give the groups.
+4. Pairs pass if size ratio, 64 bits of each set, its parities and, for large sets, the
+   overlap of the union's sketch allow the threshold; the survivors are compared on
+   full sets. The bits travel with the lists, so that most chance pairs end there.
+   Parities tell in 512 bins whether a set has an odd number of tokens there: sets
+   differ in at least as many tokens as bins, so they never end a similar pair.
+5. Components of the confirmed links give the groups. First, each set is compared with
+   the smallest of its partners only, then pairs whose ends are not in one component.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ RUN = 2
 SURE = 31  # runs in short lists that a similar set shares one of, but for 5 in 10^10
 BUCKETS = 1 << 20  # of token counts; they only set the order of tokens, and any order misses nothing
 BINS = 64
+PARITIES = 8  # words of 64 bins each
+CHANCE_ODD = 200  # of the 512 bins; sets that have nothing in common differ in about half of them
 MISSED = 1e-9  # share of similar pairs that the union sketch may reject, and that the bits may
 KNOWN_WORDS = 1 << 17
 MARKS = 1 << 26  # bits that tell which rows a join needs, 8 MB at most; where they are all set, all rows are shuffled
@@ -90,6 +95,26 @@ def bin_bits(s: np.ndarray) -> int:
     return int(np.packbits(bit, bitorder="little").view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES words of bits: whether the number of hashes in a bin is odd."""
+    bins = 64 * PARITIES
+    odd = np.bincount(s & (bins - 1), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PARITY_COLUMNS = [f"p{i}" for i in range(PARITIES)]
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bins in whose parity two sets differ; `a` and `b` lead to their words, as in 'a_' for a_p0, a_p1 ..."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PARITY_COLUMNS])
+
+
+def _near_enough(sizes: Column, differing: Column, percent: int) -> Column:
+    """Sets of together `sizes` tokens may be similar if they differ in no more than `differing` of them."""
+    return (sizes - differing) * 100 >= (sizes + differing) * percent
+
+
 def most_differing(percent: int) -> int:
     """Bits in which two sets at the threshold differ at most, but for MISSED of the pairs."""
     p, above = (1 - percent / 100) / 2, 0.0
@@ -101,26 +126,27 @@ def most_differing(percent: int) -> int:
 
 
 def _sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
-    """(row_id, doc_id, n, sig, sketch, bits): set size, 128-bit digest of the set, its k smallest hashes, bits of its bins."""
+    """(row_id, doc_id, n, sig, sketch, bits, p0 ...): set size, 128-bit digest of the set, its k smallest hashes, bits of its bins, parities."""
     out = T.StructType(
         [
             rows.schema["row_id"],
             rows.schema["doc_id"],
-            *T._parse_datatype_string("n long, sig binary, sketch array<long>, bits long"),
+            *T._parse_datatype_string("n long, sig binary, sketch array<long>, bits long, " + ", ".join(f"{c} long" for c in PARITY_COLUMNS)),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sig, sketch, bits = [], [], [], []
-            for text in b.column(2):
+            n, sig, sketch, bits, odd = [], [], [], [], np.empty((b.num_rows, PARITIES), np.int64)
+            for i, text in enumerate(b.column(2)):
                 s = shingle_hashes(text.as_py().encode(), words)
+                odd[i] = parities(s)
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append(s[:k])
                 bits.append(bin_bits(s))
             found = (pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(bits, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found, *map(pa.array, odd.T.copy())], names=out.names)
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(run, out)
 
@@ -263,7 +289,7 @@ def _buckets(tokens: np.ndarray) -> np.ndarray:
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, root, n, at, key): the sets (rep, root, full) under their rarest tokens, as many as leave fewer behind than a similar set must share."""
+    """(rep, root, n, at, key, p0 ...): the sets (rep, root, full) under their rarest tokens, as many as leave fewer behind than a similar set must share."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -288,11 +314,11 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
                 first = np.lexsort((s, met))[: n - (n * percent + 99) // 100 + 1]
                 at = np.flatnonzero(met[first] > 1)  # others are in one set only
                 cols = [np.full(len(at), x, np.int64) for x in (rep, root, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, cols), pa.array(at), pa.array(s[first[at]])], names=["rep", "root", "n", "at", "key"]
-                )
+                odd = [np.full(len(at), x, np.int64) for x in parities(s)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(at), pa.array(s[first[at]]), *map(pa.array, odd)], names=names)
 
-    return sets.select("rep", "root", "full").mapInArrow(run, "rep long, root long, n long, at long, key long")
+    names = ["rep", "root", "n", "at", "key", *PARITY_COLUMNS]
+    return sets.select("rep", "root", "full").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _split_pairs(m: DataFrame, percent: int) -> DataFrame:
@@ -300,17 +326,24 @@ def _split_pairs(m: DataFrame, percent: int) -> DataFrame:
 
     `at` counts the tokens before a member's place. At the first token that two sets
     share, what both have from there on must reach the overlap that the threshold asks.
+    Of pairs that differ in too many parities, none is made.
     """
     sizes = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("parts"))
     m = m.join(major.where("parts > 1").drop("parts"), "key")
     minor = m.where("root <> major").select(
-        "key", F.col("rep").alias("z"), F.col("n").alias("zn"), F.col("root").alias("zroot"), F.col("at").alias("zat")
+        "key",
+        F.col("rep").alias("z"),
+        F.col("n").alias("zn"),
+        F.col("root").alias("zroot"),
+        F.col("at").alias("zat"),
+        *[F.col(c).alias(f"z{c}") for c in PARITY_COLUMNS],
     )
     once = (F.col("root") == F.col("major")) | (F.col("rep") < F.col("z"))
     left = F.least(F.col("n") - F.col("at"), F.col("zn") - F.col("zat"))
     enough = left * (100 + percent) >= (F.col("n") + F.col("zn")) * percent
-    met = m.join(minor, "key").where((F.col("root") != F.col("zroot")) & once & enough & _similar_sizes("n", "zn", percent))
+    near = _near_enough(F.col("n") + F.col("zn"), _differing("", "z"), percent)
+    met = m.join(minor, "key").where((F.col("root") != F.col("zroot")) & once & enough & _similar_sizes("n", "zn", percent) & near)
     return met.select(F.least("rep", "z").alias("a"), F.greatest("rep", "z").alias("b"))
 
 
@@ -334,13 +367,20 @@ def least_common(k: int, percent: int) -> int:
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose union sketch holds enough common values."""
+    """Pairs whose parities allow the threshold and, where these tell little, whose union sketch holds enough common values."""
     pairs = materialize(pairs.distinct(), "met")
-    both = _with(pairs, reps, "sketch")
+    both = _with(pairs, reps.select("rep", F.struct("n", *PARITY_COLUMNS).alias("odd")), "odd")
+    sizes = F.col("a_value.n") + F.col("b_value.n")
+    large = _near_enough(sizes, F.lit(CHANCE_ODD), percent).alias("large")
+    near = materialize(both.where(_near_enough(sizes, _differing("a_value.", "b_value."), percent)).select("a", "b", large), "near")
+    small, large = near.where("NOT large").select("a", "b"), near.where("large").select("a", "b")
+    if not large.take(1):
+        return small
+    both = _with(large, reps, "sketch")
     union = F.slice(F.array_sort(F.array_union("a_value", "b_value")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("a_value", "b_value")))
     enough = (common >= least_common(k, percent)) | (F.size("a_value") < k) | (F.size("b_value") < k)
-    return both.where(enough).select("a", "b")
+    return small.unionByName(both.where(enough).select("a", "b"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -349,6 +389,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("a_value") + F.size("b_value") - common) * percent).select("a", "b")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links, with `links`, that connect the same sets as all similar pairs do, and the components' roots.
+
+    Copies of one set have nearly all pairs among them; most are in one component
+    once each is linked with the smallest, and need not be compared any more.
+    """
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    found = materialize(_confirmed(first, sets, percent), "links")
+    links = found if links is None else links.unionByName(found)
+    roots = materialize(components(links, "a", "b"), "roots")
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        rest = rest.join(named, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    rest = materialize(rest.where("a_root <> b_root").select("a", "b"), "other-pairs")
+    if rest.take(1):
+        more = materialize(_confirmed(rest, sets, percent), "other-links")
+        if more.take(1):
+            links = links.unionByName(more)
+            roots = materialize(components(links, "a", "b"), "roots")
+    return links, roots
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -379,7 +442,7 @@ def near_groups(
     of_class = materialize(of_class, "of-class")
     # Most rows are representatives: only those that share a bit with another row of a class are shuffled.
     again = of_class.where("row_id <> rep").select("row_id")
-    known = full.select("row_id", "n", "sketch", "bits")
+    known = full.select("row_id", "n", "sketch", "bits", *PARITY_COLUMNS)
     # An anti join would be pushed below the bitmap.
     told = _marked(known, again, "row_id").join(again.withColumn("again", F.lit(True)), "row_id", "left").where("again IS NULL")
     reps = _marked(known, again, "row_id", others=True).unionByName(told.drop("again"))
@@ -392,17 +455,15 @@ def near_groups(
     if members is not None:
         needed = needed.unionByName(members.select(F.col("rep").alias("row_id")))
     sets = materialize(_sets_of(materialize(needed.distinct(), "needed"), rows, words), "sets")
-    links = materialize(_confirmed(pairs, sets, percent), "links")
-    roots = components(links, "a", "b")
+    links, roots = _linked(pairs, sets, percent)
     if members is not None:
-        open_rows = materialize(_unsettled(members, materialize(roots, "roots")), "unsettled")
+        open_rows = materialize(_unsettled(members, roots), "unsettled")
         if open_rows.take(1):
             open_sets = materialize(_marked(sets, open_rows, "rep").join(open_rows, "rep"), "open-sets")
             listed = materialize(_rarest(open_sets, percent), "rarest")
             more = materialize(_plausible(_split_pairs(listed, percent), reps, k, percent), "more-candidates")
-            more = materialize(_confirmed(more, sets, percent), "more-links")
             if more.take(1):
-                roots = components(links.unionByName(more), "a", "b")
+                _, roots = _linked(more, sets, percent, links)
 
     placed = of_class.join(roots, of_class.rep == roots.node, "left").select(
         "row_id", "doc_id", "n", F.coalesce("root", "rep").alias("root")

@@ -44,10 +44,6 @@ BLOCK_CONTEXTS = 2048  # full-depth contexts whose decision nodes are spread out
 READ_ROWS = 8192  # contexts of the model read at once
 SCORE_ROWS = 1000  # texts whose scores are gathered before they are sent on
 
-LEAVES = np.arange(256) + 256
-PATH = np.stack([LEAVES >> s for s in range(8, 0, -1)], axis=1)  # decision nodes of each byte
-BITS = np.stack([(LEAVES >> (s - 1)) & 1 for s in range(8, 0, -1)], axis=1)
-
 
 def word_key(word: bytes) -> bytes:
     """The word, or a digest that no word can equal if it is long."""
@@ -191,9 +187,12 @@ def weigh(counts: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def byte_logs(ones: np.ndarray) -> np.ndarray:
     """(contexts, 256) ln probabilities of bytes from the probability of a one at each decision node."""
-    node = PATH - 1
-    p = np.where(BITS[None] == 1, ones[:, node], 1 - ones[:, node])
-    return np.log(p).sum(2)
+    zero, one = np.log(1 - ones), np.log(ones)
+    out = np.zeros((len(ones), 1))
+    for first in (0, 1, 3, 7, 15, 31, 63, 127):
+        level = slice(first, 2 * first + 1)
+        out = np.stack([out + zero[:, level], out + one[:, level]], axis=2).reshape(len(ones), -1)
+    return out
 
 
 class Branch:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from recon.llm.bottomk import _hub_pairs, bin_bits, most_differing, near_groups, without_near_copies
+from recon.llm.bottomk import _hub_pairs, _linked, _rarest, _split_pairs, bin_bits, most_differing, near_groups, parities, without_near_copies
 from recon.llm.components import components
 from tests.llm.tables import DOCS, docs_of, written
 
@@ -97,6 +97,50 @@ def test_bits_of_similar_sets_differ_little():
     assert np.mean([x.bit_count() > least for x in far]) > 0.9
 
 
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n, gone in [(0, 0), (1, 0), (5, 1), (64, 10), (300, 30), (300, 300), (3000, 500)]:
+        tokens = np.unique(rng.integers(1, 1 << 62, n + gone))
+        a, b = tokens[: len(tokens) - gone], tokens[gone:]
+        odd = [int(x) % (1 << 64) for x in parities(a) ^ parities(b)]
+        assert len(odd) == 8 and sum(x.bit_count() for x in odd) <= len(np.setxor1d(a, b))
+
+
+def test_a_mass_of_dissimilar_edits_makes_few_pairs(spark, tmp_path):
+    # Edits of one original that are too far from it and from each other, but for two of each hundred.
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(100), 1 if i % 50 == 0 else 4):
+            w[at] = f"v{rng.randrange(40)}"  # edits recur
+        texts.append(" ".join(w))
+    sets = [{hash(t) & (1 << 62) - 1 for t in x} for x in sets_of(texts, 5)]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rows = [(i, i, sorted(x)) for i, x in enumerate(sets)]
+    frame = written(spark, tmp_path, rows, "rep long, root long, full array<long>")
+    got = {tuple(r) for r in _split_pairs(_rarest(frame, 80), 80).distinct().collect()}
+    assert alike <= got and len(got) < 10 * len(texts)
+    assert sorted(tuple(r)[1:5] for r in near_groups(docs_of(spark, tmp_path, texts), words=5).collect()) == brute(texts, 5)
+
+
+def test_copies_of_one_set_are_not_compared_pair_by_pair(spark, tmp_path):
+    sets = [(i, [*range(100), 1000 + i]) for i in range(30)] + [(30, [*range(90), *range(2000, 2010)]), (31, list(range(3000, 3100)))]
+    pairs = [(i, j) for j in range(32) for i in range(j)]
+    links, roots = _linked(
+        written(spark, tmp_path, pairs, "a long, b long"), written(spark, tmp_path, sets, "rep long, full array<long>"), 80
+    )
+    assert {r.node: r.root for r in roots.collect()} == {i: 0 for i in range(31)}
+    assert links.count() < 40  # of 435 and more
+    # A set that is not like its smallest partner meets the others.
+    far = [(0, list(range(5000, 5100))), (1, list(range(100))), (2, [*range(100), 7])]
+    _, roots = _linked(
+        written(spark, tmp_path, [(0, 1), (0, 2), (1, 2)], "a long, b long"), written(spark, tmp_path, far, "rep long, full array<long>"), 80
+    )
+    assert {r.node: r.root for r in roots.collect()} == {1: 1, 2: 1}
+
+
 def test_repeated_rows_nulls_and_no_rows(spark, tmp_path):
     rows = [(5, "same text here", None, None, None)] * 3 + [(None, "same text here", None, None, None), (2, None, None, None, None)]
     df = written(spark, tmp_path, rows, DOCS)

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import weakref
 from collections import Counter, defaultdict
 
@@ -158,6 +159,19 @@ def test_no_rows_and_no_training_rows(spark, tmp_path):
     assert rows[0].bits_per_byte == pytest.approx(8) and rows[0].base_score == 0
 
 
+def test_logs_of_bytes_take_little_memory():
+    ones = np.random.default_rng(2).uniform(0.01, 0.99, (2000, 255))
+    tracemalloc.start()
+    logs = ctw.byte_logs(ones)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * ones.nbytes
+    for byte in (0, 1, 97, 255):
+        bits = [(byte >> s & 1, (byte | 256) >> s + 1) for s in range(7, -1, -1)]
+        want = sum(np.log(ones[:, node - 1] if bit else 1 - ones[:, node - 1]) for bit, node in bits)
+        assert np.allclose(logs[:, byte], want)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.9, 8.0, 100.5, 1e7])
     assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x])
