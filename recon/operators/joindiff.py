@@ -16,6 +16,7 @@ from recon.operators.keys import any_null, require_sound_keys
 from recon.sources.side import TableSide, check_keys, pair_form, with_key_forms
 
 NUMERIC = T.NumericType
+KEYS_PER_TASK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -295,13 +296,20 @@ def only_left(a: TableSide, b: TableSide) -> DataFrame:
 def _by_presence(a: TableSide, b: TableSide, how: str) -> DataFrame:
     """Semi or anti join on whole keys.
 
-    The keys of B are made distinct first, so a frequent key crosses the
-    shuffle once per task, and adaptive execution can split a skewed A.
+    Tasks hold about KEYS_PER_TASK rows each, however many there are: their number
+    is set, so adaptive execution does not merge them, and no task makes the keys
+    of a whole file distinct. The keys of B are made distinct in parts first, so a
+    frequent key of B meets in one task as often as there are tasks, at most.
     """
     left = a.rows().where(~any_null(a.keys))
     right = b.rows().select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(b.keys)])
-    right = right.where(~any_null(tuple(right.columns))).distinct()
-    return left.join(right, [left[k] == right[f"__{i}"] for i, k in enumerate(a.keys)], how)
+    right = right.where(~any_null(tuple(right.columns)))
+    keys = right.columns
+    n = max(left.sparkSession.sparkContext.defaultParallelism, -(-max(left.count(), right.count()) // KEYS_PER_TASK))
+    parts = right.withColumn("__part", F.monotonically_increasing_id() % n).repartition(n, *keys, "__part").distinct()
+    right = parts.drop("__part").repartition(n, *keys).distinct()
+    # Many keys in a row take few bytes, so they would be broadcast whole.
+    return left.join(right.hint("merge"), [left[k] == right[f"__{i}"] for i, k in enumerate(a.keys)], how)
 
 
 def side_stats(s: TableSide) -> DataFrame:

@@ -1,11 +1,13 @@
 """Join diff and key checks on small tables with known answers."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from recon import CompareRules, compare_by_key, join_diff, side
+from recon.operators import joindiff
 from recon.operators.hashdiff import rowset_diff
 from recon.operators.joindiff import both_sides, only_left
 from recon.operators.keys import DuplicateKeysError, NullKeysError, duplicate_keys, key_health, key_summary
@@ -85,6 +87,18 @@ def test_presence_with_duplicates_and_nulls(spark):
     assert sorted((r.id for r in only_left(a, b).collect()), key=str) == [2, None]
 
 
+def test_presence_deals_keys_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(joindiff, "KEYS_PER_TASK", 100)
+    rows = [(i,) for i in range(3000)] + [(None,)] * 5
+    a = side(spark.createDataFrame(rows, "id int"), "id")
+    b = side(spark.createDataFrame([(i,) for i in range(0, 4000, 2)] + [(8,)] * 900 + [(None,)], "id int"), "id")
+    found = both_sides(a, b).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.id for r in found) == list(range(0, 3000, 2))
+    assert max(Counter(r.task for r in found).values()) < 150  # not a fourth of all
+    left = [r.id for r in only_left(a, b).collect()]
+    assert sorted(x for x in left if x is not None) == list(range(1, 3000, 2)) and left.count(None) == 5
+
+
 def test_key_types_must_match(spark):
     ints = spark.createDataFrame([(1, "a")], "id int, v string")
     texts = spark.createDataFrame([("1", "a")], "id string, v string")
