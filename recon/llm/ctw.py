@@ -191,7 +191,7 @@ def byte_logs(ones: np.ndarray) -> np.ndarray:
     out = np.zeros((len(ones), 1))
     for first in (0, 1, 3, 7, 15, 31, 63, 127):
         level = slice(first, 2 * first + 1)
-        out = np.stack([out + zero[:, level], out + one[:, level]], axis=2).reshape(len(ones), -1)
+        out = np.stack([out + zero[:, level], out + one[:, level]], axis=2).reshape(len(ones), 2 * first + 2)
     return out
 
 

@@ -160,6 +160,7 @@ def test_no_rows_and_no_training_rows(spark, tmp_path):
 
 
 def test_logs_of_bytes_take_little_memory():
+    assert ctw.byte_logs(np.empty((0, 255))).shape == (0, 256)
     ones = np.random.default_rng(2).uniform(0.01, 0.99, (2000, 255))
     tracemalloc.start()
     logs = ctw.byte_logs(ones)
