@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recon.llm.common import attach, whole_text, without_rows
+from recon.llm.common import attach, forget_others, whole_text, without_rows
 from recon.llm.components import components
 from recon.plans.lineage import materialize
 
@@ -53,10 +53,15 @@ CHANCE_ODD = 200  # of the 512 bins; sets that have nothing in common differ in
 MISSED = 1e-9  # share of similar pairs that the union sketch may reject, and that the bits may
 KNOWN_WORDS = 1 << 17
 MARKS = 1 << 26  # bits that tell which rows a join needs, 8 MB at most; where they are all set, all rows are shuffled
+LEAST_MARKS = 1 << 15  # one row of bits
 
 _known: dict[bytes, int] = {}
 
 
+def _forget_words() -> None:
+    _known.clear()
+
+
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """The sorted distinct 63-bit hashes of the text's word shingles.
 
@@ -136,6 +141,7 @@ def _sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(_forget_words)
         for b in batches:
             n, sig, sketch, bits, odd = [], [], [], [], np.empty((b.num_rows, PARITIES), np.int64)
             for i, text in enumerate(b.column(2)):
@@ -155,6 +161,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     """(row_id, full): the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(_forget_words)
         for b in batches:
             full = [shingle_hashes(t.as_py().encode(), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.list_(pa.int64()))], names=["row_id", "full"])
@@ -162,23 +169,28 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(run, "row_id long, full array<long>")
 
 
-def _marked(rows: DataFrame, ids: DataFrame, column: str, others: bool = False) -> DataFrame:
-    """`rows` without most of those whose `column` is not in `ids`: a bitmap of at most MARKS bits is broadcast, the rows stay where they are.
+def marks_for(rows: int) -> int:
+    """Bits for the ids of at most `rows` rows: 32 to 64 for each, LEAST_MARKS to MARKS in all."""
+    return min(MARKS, max(LEAST_MARKS, 1 << (32 * rows).bit_length()))
+
+
+def _marked(rows: DataFrame, ids: DataFrame, column: str, others: bool = False, marks: int = MARKS) -> DataFrame:
+    """`rows` without most of those whose `column` is not in `ids`: a bitmap of at most `marks` bits is broadcast, the rows stay where they are.
 
     With `others`, it is the rows left out there.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(MARKS)) + 1
+    place = F.pmod(F.xxhash64(column), F.lit(marks)) + 1
     number, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
-    marks = ids.select(number.alias("number"), bit.alias("bit")).groupBy("number").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    bits = ids.select(number.alias("number"), bit.alias("bit")).groupBy("number").agg(F.bitmap_construct_agg("bit").alias("marks"))
     octet = F.conv(F.hex(F.substring("marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.join(F.broadcast(marks), number == F.col("number"), "left" if others else "inner")
+    met = rows.join(F.broadcast(bits), number == F.col("number"), "left" if others else "inner")
     met = met.withColumns({"octet": octet, "bit": (bit % 8).cast("int")})
     return met.where("coalesce(shiftright(octet, bit) % 2, 0) = 0" if others else "shiftright(octet, bit) % 2 = 1").select(*rows.columns)
 
 
-def _sets_of(ids: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+def _sets_of(ids: DataFrame, rows: DataFrame, words: int, marks: int = MARKS) -> DataFrame:
     """(rep, full): the full sets of the rows of the given row_ids, and of few others that share a bit with them; no text is shuffled."""
-    return _sets(_marked(rows, ids, "row_id"), words).withColumnRenamed("row_id", "rep")
+    return _sets(_marked(rows, ids, "row_id", marks=marks), words).withColumnRenamed("row_id", "rep")
 
 
 def _run_keys(length: int) -> Column:
@@ -347,12 +359,12 @@ def _split_pairs(m: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("rep", "z").alias("a"), F.greatest("rep", "z").alias("b"))
 
 
-def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+def _with(pairs: DataFrame, values: DataFrame, column: str, marks: int) -> DataFrame:
     """Pairs, read from files, with the value of both ends, as a_value and b_value."""
-    left, right = (
-        _marked(values, pairs.select(F.col(end).alias("rep")), "rep").select(F.col("rep").alias(end), F.col(column).alias(f"{end}_value"))
-        for end in ("a", "b")
-    )
+    # Both ends take their values from the same rows, so these are looked up and shuffled once.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    met = _marked(values, ends, "rep", marks=marks).select("rep", F.col(column).alias("value"))
+    left, right = (met.select(F.col("rep").alias(end), F.col("value").alias(f"{end}_value")) for end in ("a", "b"))
     return pairs.join(left, "a").join(right, "b")
 
 
@@ -366,52 +378,60 @@ def least_common(k: int, percent: int) -> int:
     return k
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, reps: DataFrame, k: int, percent: int, marks: int = MARKS) -> DataFrame:
     """Pairs whose parities allow the threshold and, where these tell little, whose union sketch holds enough common values."""
     pairs = materialize(pairs.distinct(), "met")
-    both = _with(pairs, reps.select("rep", F.struct("n", *PARITY_COLUMNS).alias("odd")), "odd")
+    both = _with(pairs, reps.select("rep", F.struct("n", *PARITY_COLUMNS).alias("odd")), "odd", marks)
     sizes = F.col("a_value.n") + F.col("b_value.n")
     large = _near_enough(sizes, F.lit(CHANCE_ODD), percent).alias("large")
     near = materialize(both.where(_near_enough(sizes, _differing("a_value.", "b_value."), percent)).select("a", "b", large), "near")
     small, large = near.where("NOT large").select("a", "b"), near.where("large").select("a", "b")
     if not large.take(1):
         return small
-    both = _with(large, reps, "sketch")
+    both = _with(large, reps, "sketch", marks)
     union = F.slice(F.array_sort(F.array_union("a_value", "b_value")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("a_value", "b_value")))
     enough = (common >= least_common(k, percent)) | (F.size("a_value") < k) | (F.size("b_value") < k)
     return small.unionByName(both.where(enough).select("a", "b"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = _with(pairs, sets, "full")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, marks: int) -> DataFrame:
+    both = _with(pairs, sets, "full", marks)
     common = F.size(F.array_intersect("a_value", "b_value"))
     return both.where(common * 100 >= (F.size("a_value") + F.size("b_value") - common) * percent).select("a", "b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links, with `links`, that connect the same sets as all similar pairs do, and the components' roots.
+def _linked(
+    pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None = None, marks: int = MARKS
+) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links that connect the same sets as all similar pairs do, and the roots of their components and, if given, those of `roots`.
 
     Copies of one set have nearly all pairs among them; most are in one component
     once each is linked with the smallest, and need not be compared any more.
     """
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    found = materialize(_confirmed(first, sets, percent), "links")
-    links = found if links is None else links.unionByName(found)
-    roots = materialize(components(links, "a", "b"), "roots")
+    links = materialize(_confirmed(first, sets, percent, marks), "links")
+    roots = _joined(roots, links)
     rest = pairs.join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         named = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
         rest = rest.join(named, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
     rest = materialize(rest.where("a_root <> b_root").select("a", "b"), "other-pairs")
     if rest.take(1):
-        more = materialize(_confirmed(rest, sets, percent), "other-links")
+        more = materialize(_confirmed(rest, sets, percent, marks), "other-links")
         if more.take(1):
             links = links.unionByName(more)
-            roots = materialize(components(links, "a", "b"), "roots")
+            roots = _joined(roots, more)
     return links, roots
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root): the components of `roots`, if given, joined by further links (a, b)."""
+    if roots is not None:  # a component is its members' links with its smallest
+        links = links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return materialize(components(links, "a", "b"), "roots")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -438,32 +458,33 @@ def near_groups(
     classes = full.groupBy("sig").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     total = full.count()
+    marks = marks_for(total)
     of_class = attach(full.select("row_id", "doc_id", "n", "sig"), classes, ["sig"], "copies", total).drop("sig")
     of_class = materialize(of_class, "of-class")
     # Most rows are representatives: only those that share a bit with another row of a class are shuffled.
     again = of_class.where("row_id <> rep").select("row_id")
     known = full.select("row_id", "n", "sketch", "bits", *PARITY_COLUMNS)
     # An anti join would be pushed below the bitmap.
-    told = _marked(known, again, "row_id").join(again.withColumn("again", F.lit(True)), "row_id", "left").where("again IS NULL")
-    reps = _marked(known, again, "row_id", others=True).unionByName(told.drop("again"))
+    told = _marked(known, again, "row_id", marks=marks).join(again.withColumn("again", F.lit(True)), "row_id", "left").where("again IS NULL")
+    reps = _marked(known, again, "row_id", others=True, marks=marks).unionByName(told.drop("again"))
     reps = materialize(reps.withColumnRenamed("row_id", "rep"), "reps")
 
     found, members = _candidates(reps, percent, k, most)
-    pairs = materialize(_plausible(found, reps, k, percent), "candidates")
+    pairs = materialize(_plausible(found, reps, k, percent, marks), "candidates")
     # Texts travel once, also for what the lists may leave open.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("row_id"))
     if members is not None:
         needed = needed.unionByName(members.select(F.col("rep").alias("row_id")))
-    sets = materialize(_sets_of(materialize(needed.distinct(), "needed"), rows, words), "sets")
-    links, roots = _linked(pairs, sets, percent)
+    sets = materialize(_sets_of(materialize(needed.distinct(), "needed"), rows, words, marks), "sets")
+    _, roots = _linked(pairs, sets, percent, marks=marks)
     if members is not None:
         open_rows = materialize(_unsettled(members, roots), "unsettled")
         if open_rows.take(1):
-            open_sets = materialize(_marked(sets, open_rows, "rep").join(open_rows, "rep"), "open-sets")
+            open_sets = materialize(_marked(sets, open_rows, "rep", marks=marks).join(open_rows, "rep"), "open-sets")
             listed = materialize(_rarest(open_sets, percent), "rarest")
-            more = materialize(_plausible(_split_pairs(listed, percent), reps, k, percent), "more-candidates")
+            more = materialize(_plausible(_split_pairs(listed, percent), reps, k, percent, marks), "more-candidates")
             if more.take(1):
-                _, roots = _linked(more, sets, percent, links)
+                _, roots = _linked(more, sets, percent, roots, marks)
 
     placed = of_class.join(roots, of_class.rep == roots.node, "left").select(
         "row_id", "doc_id", "n", F.coalesce("root", "rep").alias("root")

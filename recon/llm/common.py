@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key is hot when more than one row in HOT_SHARE has it; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
+_held: list[Callable[[], object]] = []  # how to free what the last operator keeps in this process
+
+
+def forget_others(forget: Callable[[], object]) -> None:
+    """Free what tasks of other operators keep in this Python worker; `forget`, a function of a module, frees what the caller keeps.
+
+    Workers go from stage to stage, so what each stage keeps for its next tasks would add up.
+    """
+    if _held != [forget]:
+        for other in _held:
+            other()
+        _held[:] = [forget]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""

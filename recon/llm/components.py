@@ -29,24 +29,28 @@ def _small_star(links: DataFrame) -> DataFrame:
     return _down(moved.unionByName(least.select(F.col("u").alias("v"), "m")), "v", "m")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every larger node has one link and none is the smaller node of another."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not met.where("up > 1 OR up = 1 AND down = 1").take(1)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node with a link: root is the smallest node of its component, also for the root itself.
 
     Sums and minima are combined before shuffles, joins can be split where a node
     has very many links. Every round is written, so a lost executor costs a
-    re-read. Ends when a round changes nothing.
+    re-read. Ends when all links lead from a component's nodes to its smallest one.
+    `links` is read several times, so it should be a table in files.
     """
-    def mark(frame: DataFrame) -> tuple:
-        return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 31))).first())
-
-    links = materialize(_down(links, a, b), "links")
-    seen = mark(links)
+    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
     while True:
         links = materialize(_large_star(links), "large-star")
         links = materialize(_small_star(links), "small-star")
-        now = mark(links)
-        if now == seen:
+        if _are_stars(links):
             break
-        seen = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

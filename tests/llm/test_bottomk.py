@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from recon.llm.bottomk import _hub_pairs, _linked, _rarest, _split_pairs, bin_bits, most_differing, near_groups, parities, without_near_copies
+from recon.llm import bottomk
+from recon.llm import components as components_module
+from recon.llm.bottomk import MARKS, _hub_pairs, _joined, _linked, _marked, _rarest, _split_pairs, _with, bin_bits, marks_for, most_differing, near_groups, parities, without_near_copies
+from recon.llm.common import forget_others
 from recon.llm.components import components
 from tests.llm.tables import DOCS, docs_of, written
 
@@ -157,3 +160,53 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(29)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.root for r in components(links, "a", "b").collect()}
     assert got == {n: min(order[:30]) for n in order[:30]} | {100: 100, 101: 100}
+
+
+def test_components_write_few_tables(spark, tmp_path, monkeypatch):
+    wrote = []
+    keep = components_module.materialize
+    monkeypatch.setattr(components_module, "materialize", lambda df, name: wrote.append(name) or keep(df, name))
+    star = written(spark, tmp_path, [(0, i) for i in range(1, 9)] + [(20, 21)], "a long, b long")
+    assert {r.node: r.root for r in components(star, "a", "b").collect()} == {i: 0 for i in range(9)} | {20: 20, 21: 20}
+    assert len(wrote) == 2
+    # Further links join whole components, whose own links are not needed any more.
+    more = written(spark, tmp_path, [(8, 21), (30, 31)], "a long, b long")
+    roots = _joined(components(star, "a", "b"), more)
+    assert {r.node: r.root for r in roots.collect()} == {i: 0 for i in [*range(9), 20, 21]} | {30: 30, 31: 30}
+
+
+def test_bitmaps_are_as_large_as_the_rows_need(spark, tmp_path):
+    assert marks_for(0) == marks_for(500) == 1 << 15 and marks_for(10**9) == MARKS
+    assert all(32 * n <= marks_for(n) <= 64 * n for n in (2000, 51_282, 10**6))
+    rows = written(spark, tmp_path, [(i,) for i in range(2000)], "rep long")
+    ids = rows.where("rep % 20 = 3")
+    kept = {r.rep for r in _marked(rows, ids, "rep", marks=marks_for(2000)).collect()}
+    assert kept >= set(range(3, 2000, 20)) and len(kept) < 150
+    left = {r.rep for r in _marked(rows, ids, "rep", others=True, marks=marks_for(2000)).collect()}
+    assert left == set(range(2000)) - kept
+
+
+def test_values_of_both_ends_are_shuffled_once(spark, tmp_path):
+    pairs = written(spark, tmp_path, [(i, i + 50) for i in range(50)], "a long, b long")
+    values = written(spark, tmp_path, [(i, 7 * i) for i in range(200)], "rep long, x long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = _with(pairs, values, "x", marks_for(200))
+        assert all((r.a_value, r.b_value) == (7 * r.a, 7 * r.b) for r in both.collect()) and both.count() == 50
+        both.collect()
+        assert "ReusedExchange" in both._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_other_operators_keep_is_freed():
+    freed = []
+    first, second = lambda: freed.append(1), lambda: freed.append(2)
+    for forget in (first, first, second, second, first):
+        forget_others(forget)
+    assert freed[-2:] == [1, 2]
+    bottomk.shingle_hashes(b"one two three", 2)
+    forget_others(bottomk._forget_words)
+    bottomk.shingle_hashes(b"one two three", 2)
+    forget_others(first)
+    assert not bottomk._known and freed[-1] == 1
