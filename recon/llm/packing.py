@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recon.llm.common import whole_text
+from recon.llm.common import forget_others, whole_text
 from recon.plans.lineage import materialize
 
 SEQ_LEN = 1024
@@ -86,6 +86,10 @@ def _encoder(path: str, ranks: str | None, pattern: str | None) -> ChunkEncoder:
     return ChunkEncoder(path, ranks, pattern)
 
 
+def _forget_encoders() -> None:
+    _encoder.cache_clear()
+
+
 def tokenised(
     docs: DataFrame,
     tokenizer: str,
@@ -103,6 +107,7 @@ def tokenised(
     step = 4 * seq_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(_forget_encoders)
         enc = _encoder(tokenizer, ranks, pattern)
         for batch in batches:
             at, start, length, crc, tokens, kept = [], [], [], [], [], []

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,14 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recon.llm import gru
-from recon.llm.common import fold_of, whole_text
+from recon.llm.common import fold_of, forget_others, whole_text
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 # Bounds of the training sample: texts of each kind, and characters of a text that may be in it.
 TOXIC_TEXTS, CLEAN_TEXTS, SAMPLE_CHARS = 1000, 3000, 20_000
 
-_models: dict[str, gru.Scorer] = {}
+
+def _forget_nothing() -> None:
+    """A task keeps its scorer to itself."""
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int, chars: int) -> DataFrame:
@@ -66,15 +67,12 @@ def train(sample: DataFrame, seed: int = 0) -> bytes:
 
 def scorer(model: bytes) -> object:
     """A column function: score of a text column, NULL as empty."""
-    name = uuid.uuid4().hex
-
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = gru.Scorer(pickle.loads(model))
+        forget_others(_forget_nothing)
+        network = gru.Scorer(pickle.loads(model))  # goes with the task
         for s in texts:
-            yield pd.Series(_models[name](s.tolist()))
+            yield pd.Series(network(s.tolist()))
 
     return lambda text: score(text)
 

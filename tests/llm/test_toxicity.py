@@ -1,8 +1,12 @@
+import pickle
 import random
+import weakref
 
 import numpy as np
+import pandas as pd
 
 from recon.llm import gru
+from recon.llm import toxicity as toxicity_module
 from recon.llm.common import table
 from recon.llm.toxicity import toxicity, without_toxic
 from tests.llm.tables import DOCS, docs_of, written
@@ -103,3 +107,18 @@ def test_scores_against_plain_loops():
     got = gru.Scorer(p)(texts)
     assert np.abs(got - want).max() < 1e-4
     assert len({round(x, 4) for x in want}) > 8  # the texts do differ
+
+
+def test_a_task_keeps_no_network(spark, monkeypatch):
+    made = []
+
+    class Seen(gru.Scorer):
+        def __init__(self, p):
+            super().__init__(p)
+            made.append(weakref.ref(self))
+
+    score = toxicity_module.scorer(pickle.dumps(gru.fresh())).__closure__[0].cell_contents
+    monkeypatch.setattr(gru, "Scorer", Seen)
+    parts = list(score.func(iter([pd.Series(["one two", ""]), pd.Series(["three"])])))
+    assert [len(p) for p in parts] == [2, 1] and len(made) == 1
+    assert made[0]() is None
