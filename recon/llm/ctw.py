@@ -291,6 +291,13 @@ def build_model(
     spark = strings.sparkSession
     node = "counts array<double>, logs array<double>, sizes array<long>"
 
+    def grouped(rows: DataFrame, by: str, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        def alone(group: pa.Table) -> pa.Table:
+            forget_model()  # groups need none: they come before scoring, with that of an earlier table, or after it
+            return work(group)
+
+        return rows.groupBy(by).applyInArrow(alone, schema)
+
     def second(group: pa.Table) -> pa.Table:
         b = Branch(group["code"].to_numpy(), group["n"].to_numpy())
         return pa.table({"pair": group["pair"][:1], "counts": [b.counts2], "logs": [b.logs2[0]], "sizes": [b.sizes()]})
@@ -305,9 +312,9 @@ def build_model(
         return pa.table({"last": group["last"][:1], "counts": [counts], "logs": [logs[0]], "sizes": [sizes], "own": [own[0]]})
 
     paired = strings.withColumn("pair", F.shiftright("code", 8).bitwiseAND(0xFFFF))
-    pairs = paired.groupBy("pair").applyInArrow(second, f"pair long, {node}")
+    pairs = grouped(paired, "pair", second, f"pair long, {node}")
     pairs = pairs.withColumn("last", F.col("pair").bitwiseAND(255))
-    singles = pairs.groupBy("last").applyInArrow(first, f"last long, {node}, own array<double>").collect()
+    singles = grouped(pairs, "last", first, f"last long, {node}, own array<double>").collect()
 
     counts1 = {r["last"]: np.array(r["counts"]) for r in singles}
     own1 = {r["last"]: np.array(r["own"]) for r in singles}
@@ -371,13 +378,13 @@ def build_model(
 
     def answered(codes: DataFrame) -> DataFrame:
         asked = codes.select("code", F.lit(0).cast("long").alias("n"), F.shiftright("code", 8).bitwiseAND(0xFFFF).alias("pair"))
-        return paired.unionByName(asked).groupBy("pair").applyInArrow(answers, "code long, log double")
+        return grouped(paired.unionByName(asked), "pair", answers, "code long, log double")
 
     schema = "depth int, context long, logs binary"
     upper = [rows_of(0, np.zeros(1, np.int64), next0)]
     upper += [rows_of(1, np.array([b]), one(b)) for b in counts1]
     tops = [(r["depth"], r["context"], bytearray(r["logs"])) for t in upper for r in t.to_pylist()]
-    deep = paired.groupBy("pair").applyInArrow(full, schema)
+    deep = grouped(paired, "pair", full, schema)
     deep.unionByName(spark.createDataFrame(tops, schema)).write.parquet(path)
     return told, answered if least > 1 else None
 
@@ -456,7 +463,9 @@ _models: dict[tuple, tuple[Model, dict[bytes, float]]] = {}  # one at most
 
 def forget_model() -> None:
     """Free the model that this process has in memory."""
-    _models.clear()
+    if _models:
+        _models.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def _loaded(model_path: str, words_path: str, told: tuple[int, ...], whole: bool) -> tuple[Model, dict[bytes, float]]:

@@ -1,3 +1,4 @@
+import contextlib
 import math
 import tracemalloc
 import weakref
@@ -128,6 +129,24 @@ def test_a_task_holds_one_model(monkeypatch):
     assert all(r() is None for _, r in held)
 
 
+def test_groups_of_strings_hold_no_model(spark, tmp_path, monkeypatch):
+    kind = type(spark.range(1).groupBy("id"))
+    plain, works = kind.applyInArrow, []
+
+    def seen(self, work, schema):
+        works.append(work)
+        return plain(self, work, schema)
+
+    monkeypatch.setattr(kind, "applyInArrow", seen)
+    lm_scores(docs_of(spark, tmp_path, [f"some text {i} of words" for i in range(40)]), contexts=5)
+    assert len(works) == 4  # pairs and last bytes, then the model's rows, then the answers to strings it lacks
+    for work in works:
+        ctw._models["an earlier table"] = None
+        with contextlib.suppress(KeyError):  # no group has these columns
+            work(pa.table({"other": [1]}))
+        assert not ctw._models
+
+
 def test_a_model_is_read_a_few_contexts_at_a_time(monkeypatch, tmp_path):
     told, rng = [97, 98, END], np.random.default_rng(1)
     rows = [(0, 0), (1, 98), (2, 97 << 8 | 98), (3, 97 << 16 | 98 << 8 | 97), (3, END << 16 | END << 8 | END), (4, 97 << 24 | 98 << 16 | 97 << 8 | 97)]
