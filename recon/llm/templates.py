@@ -19,8 +19,8 @@ are sums of numbers, so a leaf of any size is a few numbers per task.
 
 from __future__ import annotations
 
-import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,10 +84,9 @@ def lines_in_tree(lines: DataFrame, leading: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            numbers = np.empty((b.num_rows, leading + 1), np.int64)
-            for i, line in enumerate(b.column(2)):
-                tokens = TOKEN.findall(line.as_py())
-                numbers[i] = leaves_of(len(tokens), tokens[:leading], leading, least)
+            lines_of_tokens = map(TOKEN.findall, b.column(2).to_pylist())
+            numbers = [leaves_of(len(tokens), tokens[:leading], leading, least) for tokens in lines_of_tokens]
+            numbers = np.array(numbers, np.int64).reshape(-1, leading + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, numbers.T.copy())], names=names)
 
     return lines.select("row_id", "exact", "words").mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -130,6 +129,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Hashes of tokens, 0 of those with digits."""
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = 0 if DIGIT.search(token) else _hash(token)
+        return found
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of groups of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _spots(exact: pa.Array, m: pa.Array, leaves: pa.ListArray, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns of `_placed` of lines with `size` tokens each, whose hashes are `token`."""
+    line = np.repeat(np.arange(len(size)), size)
+    place = _within(size)
+    here = np.flatnonzero(token)
+    token, place = token[here], place[here]
+    n = np.bincount(line[here], minlength=len(size))
+    first = np.cumsum(n) - n
+    # Each line's tokens once for each of its leaves.
+    kind, leaf = leaves.flatten().flatten()[:2]
+    of = np.repeat(np.arange(len(size)), leaves.value_lengths().to_numpy())
+    row = np.repeat(np.arange(len(of)), n[of])
+    at = first[of][row] + _within(n[of])
+    token, place, line = token[at], place[at], of[row]
+    salt = _mixed(leaf.to_numpy().astype(np.uint64)[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    spot = _mixed(token ^ salt).view(np.int64)
+    same = exact.to_numpy()[line], kind.to_numpy()[row], m.to_numpy()[line], size[line].astype(np.int32)
+    return (*same, place.astype(np.int32), spot)
+
+
 def _placed(lines: DataFrame, wants: DataFrame) -> DataFrame:
     """(exact, kind, m, size, place, spot): tokens of the wanted lines of `size` tokens but masked ones; spot hashes leaf, place and token."""
     # A semi join would be pushed below the bitmap.
@@ -138,65 +170,91 @@ def _placed(lines: DataFrame, wants: DataFrame) -> DataFrame:
     names = ["exact", "kind", "m", "size", "place", "spot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        parts: list[tuple] = []
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
-
+        known = _Hashes()
         for b in batches:
-            for exact, m, leaves, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                tokens = TOKEN.findall(line.as_py())
+            a, held, tokens, sizes = 0, 0, [], []
+            many = b.column(2).value_lengths().to_pylist()
+            for i, line in enumerate(b.column(3)):
                 if len(known) > CACHED:
                     known.clear()
-                for t in tokens:
-                    if t not in known:
-                        known[t] = 0 if DIGIT.search(t) else _hash(t)
-                token = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                place = np.flatnonzero(token).astype(np.int32)
-                token, n = token[place], len(place)
-                for leaf in leaves.as_py():
-                    salt = _mixed(np.uint64(leaf["leaf"]) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    spot = _mixed(token ^ salt).view(np.int64)
-                    same = (np.full(n, exact), np.full(n, leaf["kind"], np.int32), np.full(n, m), np.full(n, len(tokens), np.int32))
-                    parts.append((*same, place, spot))
-                    held += n
-                if held >= FLUSH:
-                    yield out()
-                    parts, held = [], 0
-        if held:
-            yield out()
+                own = list(map(known.__getitem__, TOKEN.findall(line.as_py())))
+                tokens += own
+                sizes.append(len(own))
+                held += len(own) * many[i]
+                if held >= FLUSH or i + 1 == b.num_rows:
+                    some = b.slice(a, i + 1 - a)
+                    spots = _spots(*(some.column(k) for k in range(3)), np.array(tokens, np.uint64), np.array(sizes, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in spots], names=names)
+                    a, held, tokens, sizes = i + 1, 0, [], []
 
     return texts.mapInArrow(run, "exact long, kind int, m long, size int, place int, spot long")
 
 
-def general_templates(placed: DataFrame, leading: int, min_docs: int, constant: float) -> DataFrame:
+def _starts(exact: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where lines in a leaf start, whose tokens lie together."""
+    return np.flatnonzero(np.append(True, (np.diff(exact) != 0) | (np.diff(kind) != 0)))
+
+
+def _enough(tokens: list[np.ndarray], leading: int, constant: float) -> tuple[np.ndarray, ...]:
+    """(exact, usual, kind, general) of lines in leaves with enough constant tokens, from columns of tokens, each line's together."""
+    exact, kind, size, place, n, spot = tokens
+    first = _starts(exact, kind)
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(exact))))
+    exact, kind, size = exact[first], kind[first].astype(np.int64), size[first].astype(np.int64)
+    # What enough tokens behind the leading ones are met at least; one met far less often varies, however often that is.
+    tail = np.flatnonzero(place >= leading)
+    tail = tail[np.lexsort((-n[tail], row[tail]))]
+    tails = np.bincount(row[tail], minlength=len(size))
+    last = np.ceil(constant * (size - leading)).astype(np.int64) - 1
+    good = (last >= 0) & (last < tails)
+    usual = np.zeros(len(size), np.int64)
+    usual[good] = n[tail[(np.cumsum(tails) - tails + last)[good]]]
+    kept = good[row] & (n >= CONSTANT_SHARE * usual[row])
+    good &= np.bincount(row[kept], minlength=len(size)) >= constant * size
+    good[row[kept & (place == kind[row] - 1)]] = False  # what takes a wildcard must vary
+    kept = np.flatnonzero(kept & good[row])
+    kept = kept[np.lexsort((spot[kept], row[kept]))]
+    ends = np.cumsum(np.bincount(row[kept], minlength=len(size))).tolist()
+    spots, found = spot[kept].astype("<i8"), np.flatnonzero(good)
+    template = (spots[ends[i - 1] if i else 0 : ends[i]].tobytes() + struct.pack("<q", size[i]) for i in found.tolist())
+    general = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in template], np.int64)
+    return exact[found], usual[found], kind[found], general
+
+
+def general_templates(placed: DataFrame, leading: int, min_docs: int, constant: float, flush: int = FLUSH) -> DataFrame:
     """(exact, general): lines that are constant enough in one of their leaves, with their template's hash.
 
     Of several such leaves, a line takes the one where its constant tokens are met most often.
     """
     often = placed.groupBy("spot").agg(F.sum("m").alias("n")).where(F.col("n") >= min_docs)
     often = materialize(often, "often")
-    # Tokens met too rarely are told by the size of their line; they need not travel.
+    # Tokens met too rarely are told by the size of their line; they need not travel. The others travel as rows: a line's
+    # tokens come from all tasks, so lists of them would hardly be combined before.
     met = _marked(placed, often, "spot").join(often, "spot")
-    lines = met.groupBy("exact", "kind", "size").agg(F.collect_list(F.struct("place", "n", "spot")).alias("f"))
+    lines = met.select("exact", "kind", "size", "place", "n", "spot").repartition("exact", "kind").sortWithinPartitions("exact", "kind")
+    names = ["exact", "usual", "kind", "general"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        held, most = 0, flush
+
+        def out(tokens: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _enough(tokens, leading, constant)], names=names)
+
         for b in batches:
-            found: list[tuple] = []
-            for exact, kind, size, f in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
-                place, n, spot = (f.values.field(i).to_numpy() for i in range(3))
-                # What enough tokens behind the leading ones are met at least; one met far less often varies, however often that is.
-                tail, last = np.sort(n[place >= leading])[::-1], math.ceil(constant * (size - leading)) - 1
-                if not 0 <= last < len(tail):
-                    continue
-                kept = n >= CONSTANT_SHARE * tail[last]
-                if kept.sum() >= constant * size and not (place[kept] == kind - 1).any():  # what takes a wildcard must vary
-                    template = np.append(np.sort(spot[kept]), size).astype("<i8").tobytes()
-                    found.append((exact, int(tail[last]), kind, xxhash.xxh3_64_intdigest(template) >> 1))
-            cols = zip(*found) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["exact", "usual", "kind", "general"])
+            if b.num_rows:
+                waiting.append([c.to_numpy() for c in b.columns])
+                held += b.num_rows
+            if held < most:
+                continue
+            tokens = [np.concatenate(c) for c in zip(*waiting)]
+            last = int(_starts(*tokens[:2])[-1])  # the last line may go on
+            if last:
+                yield out([c[:last] for c in tokens])
+            waiting, held = [[c[last:].copy() for c in tokens]], held - last
+            most = max(flush, 2 * held)
+        if waiting:
+            yield out([np.concatenate(c) for c in zip(*waiting)])
 
     enough = lines.mapInArrow(run, "exact long, usual long, kind long, general long")
     return enough.groupBy("exact").agg(F.max_by("general", F.struct("usual", "kind")).alias("general"))

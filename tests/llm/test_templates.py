@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from recon.llm import templates
 from recon.llm.templates import drop_repeated_lines
 from tests.llm.tables import DOCS, docs_of, written
 
@@ -153,3 +157,47 @@ def test_against_plain_loops(spark, tmp_path):
     for r in got:
         gone = {at for row, at in want if row == r.doc_id}
         assert r.text == "\n".join(x for at, x in enumerate((texts[r.doc_id] or "").split("\n")) if at not in gone), r.doc_id
+
+
+def test_tokens_of_lines_taken_apart_together():
+    rng, leaf = random.Random(4), pa.list_(pa.struct([("kind", pa.int32()), ("leaf", pa.int64()), ("n", pa.int64())]))
+    texts = [" ".join(rng.choice(["a", "b", "c7", "é"]) for _ in range(rng.randrange(9))) for _ in range(50)]
+    leaves = [[{"kind": k, "leaf": rng.randrange(1, 2**63), "n": 2} for k in range(rng.randrange(1, 5))] for _ in texts]
+    found = [templates.TOKEN.findall(t) for t in texts]
+    hashes = templates._Hashes()
+    token = np.array([hashes[t] for f in found for t in f], np.uint64)
+    at = pa.array(range(50), pa.int64()), pa.array([i + 7 for i in range(50)], pa.int64()), pa.array(leaves, leaf)
+    cut = [x.slice(10) for x in at]
+    skipped = sum(map(len, found[:10]))
+    got = list(zip(*(c.tolist() for c in templates._spots(*cut, token[skipped:], np.array([len(f) for f in found[10:]])))))
+    want = []
+    for i in range(10, 50):
+        for x in leaves[i]:
+            for place, t in enumerate(found[i]):
+                if "7" not in t:
+                    salt = templates._mixed(np.array([x["leaf"]], np.uint64) + np.array([place], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    spot = templates._mixed(np.array([templates._hash(t)], np.uint64) ^ salt).view(np.int64)[0]
+                    want.append((i, x["kind"], i + 7, len(found[i]), place, int(spot)))
+    assert got == want
+
+
+def test_lines_that_go_on_in_later_batches(spark, tmp_path):
+    schema = "exact long, kind int, m long, size int, place int, spot long"
+    rows = [(e, k, 1, 6, p, 100 * k + 10 * p + (1000 * e if p == 4 else 0)) for e in range(1, 40) for k in (0, 1) for p in range(k, 6)]
+    placed = written(spark, tmp_path, rows, schema)
+    whole = sorted(map(tuple, templates.general_templates(placed, 3, 2, 0.6).collect()))
+    assert len(whole) == 39 and len({g for _, g in whole}) == 1
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 4)
+    try:
+        assert sorted(map(tuple, templates.general_templates(placed, 3, 2, 0.6, flush=3).collect())) == whole
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_templates_are_found_without_lists(spark, tmp_path):
+    schema = "exact long, kind int, m long, size int, place int, spot long"
+    placed = written(spark, tmp_path, [(e, 0, 1, 6, p, p) for e in (1, 2) for p in range(6)], schema)
+    plan = templates.general_templates(placed, 3, 2, 0.6)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
